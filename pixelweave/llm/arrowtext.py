@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 
@@ -50,9 +52,14 @@ class Block:
     data: np.ndarray
     offsets: np.ndarray
 
-    def words(self, table: np.ndarray, lower: bool = False) -> "Words":
+    def words(self, table: np.ndarray, lower: bool = False, accents: bool = False) -> "Words":
+        """lower takes A-Z down, accents also the letters of the Latin-1 block."""
         n = int(self.offsets[-1])
         data = LOWER[self.data] if lower else self.data
+        if accents:
+            data = data.copy()
+            upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
+            data[upper] += 0x20
         inside = table[data[:n]]
         before = np.empty(n, dtype=bool)
         before[:1] = False
@@ -183,3 +190,12 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def row_struct(carry: tuple[str, ...]) -> Column:
+    """The carried columns as one struct of own names, so that no name can clash."""
+    return F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)), F.lit(0).alias("_")).alias("row")
+
+
+def unpack_row(made: DataFrame, carry: tuple[str, ...], *more: Column) -> DataFrame:
+    return made.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(carry)), *more)

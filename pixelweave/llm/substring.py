@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import NON_SPACE, RollingHash, blocks, covered, mix, sliding, window_is_inside
+from .arrowtext import NON_SPACE, RollingHash, blocks, covered, mix, row_struct, sliding, unpack_row, window_is_inside
 
 _LAST = (1 << 63) - 1
 
 
 def _anchors(window: int, half: int):
-    """Level 1: for every window, its least half-length window; rows (gram, text id, position).
+    """Level 1: for every window, its least half-length window; rows (gram, text, row, position).
 
     Equal windows have equal least half-windows, so a window can only repeat if
     the half-window chosen for it repeats as well.
@@ -25,8 +25,8 @@ def _anchors(window: int, half: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for block in blocks(batch.column(1)):
+            rids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for block in blocks(batch.column(3)):
                 words = block.words(NON_SPACE)
                 (hashes,) = words.hashes()
                 grams = RollingHash(hashes).all(half)
@@ -38,8 +38,8 @@ def _anchors(window: int, half: int):
                 chosen = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), width) == grams)
                 text = words.text_of()[chosen]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[chosen].view(np.int64)), pa.array(ids[block.first + text]), pa.array((chosen - words.bounds[text]).astype(np.int32))],
-                    names=["gram", "t", "p"],
+                    [pa.array(grams[chosen].view(np.int64)), pa.array(texts[block.first + text]), pa.array(rids[block.first + text]), pa.array((chosen - words.bounds[text]).astype(np.int32))],
+                    names=["gram", "t", "rid", "p"],
                 )
 
     return run
@@ -50,9 +50,9 @@ def _windows(window: int, half: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            places = batch.column(3)
-            for block in blocks(batch.column(2)):
+            rids, order = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            places = batch.column(5)
+            for block in blocks(batch.column(3)):
                 words = block.words(NON_SPACE)
                 hashes = words.hashes(2)
                 if len(hashes[0]) < window:
@@ -64,43 +64,47 @@ def _windows(window: int, half: int):
                 starts = np.flatnonzero(wanted & window_is_inside(words.bounds, window)[:n])
                 text = words.text_of()[starts]
                 h1, h2 = (RollingHash(h).at(starts, starts + window) for h in hashes)
-                order = np.lexsort((starts, h1, text))
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (h1[order][1:] != h1[order][:-1]) | (text[order][1:] != text[order][:-1])
-                keep = order[new]
+                by = np.lexsort((starts, h1, text))
+                new = np.ones(len(by), dtype=bool)
+                new[1:] = (h1[by][1:] != h1[by][:-1]) | (text[by][1:] != text[by][:-1])
+                keep = by[new]
                 text = text[keep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h1[keep].view(np.int64)),
                         pa.array(h2[keep].view(np.int64)),
-                        pa.array(first[block.first + text]),
-                        pa.array(ids[block.first + text]),
+                        pa.array(order[block.first + text]),
+                        pa.array(rids[block.first + text]),
                         pa.array((starts[keep] - words.bounds[text]).astype(np.int32)),
                     ],
-                    names=["h1", "h2", "first", "t", "s"],
+                    names=["h1", "h2", "ord", "rid", "s"],
                 )
 
     return run
 
 
 def _removal(window: int, with_text: bool):
-    """Marks and removes words; s holds one place of every window to remove, a copy loses all windows."""
+    """Marks and removes words; late holds one place of every window to remove, or -1 for all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copy = batch.column(2).to_numpy(zero_copy_only=False)
-            places = batch.column(3)
-            for block in blocks(batch.column(1)):
+            places = batch.column(5)
+            for block in blocks(batch.column(3)):
                 words = block.words(NON_SPACE)
                 total = len(words.starts)
                 gone = np.zeros(total, dtype=bool)
                 counts = words.counts()
                 part = places.slice(block.first, block.last - block.first)
                 lengths = part.value_lengths().fill_null(0).to_numpy()
+                whole = np.zeros(len(counts), dtype=bool)
                 if lengths.any():
                     (hashes,) = words.hashes()
                     rolling = RollingHash(hashes)
-                    at = part.flatten().to_numpy() + np.repeat(words.bounds[:-1], lengths)
+                    at, owner = part.flatten().to_numpy(), np.repeat(np.arange(len(counts)), lengths)
+                    whole[owner[at < 0]] = True
+                    owner, at = owner[at >= 0], at[at >= 0]
+                    lengths = np.bincount(owner, minlength=len(counts))
+                    at = at + words.bounds[owner]
                     texts = np.flatnonzero(lengths)
                     inside = np.flatnonzero(window_is_inside(words.bounds, window) & np.repeat(lengths > 0, counts))
                     salt = mix(np.arange(len(counts), dtype=np.uint64))
@@ -109,8 +113,7 @@ def _removal(window: int, with_text: bool):
                     every = rolling.at(inside, inside + window) ^ salt[text[inside]]
                     hit = inside[np.isin(every, bad)]
                     gone = covered(total, hit, hit + window)
-                whole = copy[block.first : block.last] & (counts >= window)
-                gone |= np.repeat(whole, counts)
+                gone |= np.repeat(whole & (counts >= window), counts)
                 removed = np.add.reduceat(np.append(gone, False).astype(np.int64), words.bounds[:-1]) * (counts > 0) if len(counts) else counts
                 raw, kept = block.data.tobytes(), []
                 for k in range(len(counts)):
@@ -118,7 +121,7 @@ def _removal(window: int, with_text: bool):
                     left = np.arange(low, high) if not removed[k] else low + np.flatnonzero(~gone[low:high])
                     begins, ends = words.starts[left].tolist(), words.ends[left].tolist()
                     kept.append(b" ".join([raw[b:e] for b, e in zip(begins, ends)]))
-                out = [batch.column(0).slice(block.first, block.last - block.first), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+                out = [batch.column(4).slice(block.first, block.last - block.first), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
                 if with_text:
                     out.append(pa.array([x.decode() for x in kept], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(out)])
@@ -135,13 +138,15 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     judged on the input. Returns key, n_words, n_removed, kept_sha256 (of the kept
     words joined by one space), with_text also kept_text, then the carried columns.
 
-    Equal texts are taken together first: all but the least key lose every
-    window without being searched. On the distinct texts level 1 keeps the least
-    half-length window of each window (about 8 % of the places) and the grams
-    found in more than one text; level 2 hashes only windows that hold such a gram,
-    by 128 bits, and finds the least key for each. The two joins are on hashes of
-    few-byte rows, which Spark splits where a passage is in very many documents.
-    The text is shuffled once; the three passes over it share that exchange.
+    The text is dealt out once, by row, and all passes read that one exchange.
+    Level 1 keeps the least half-length window of each window (about 8 % of the
+    places) and the grams found in more than one text; level 2 extends only those
+    to whole windows, by 128 bits, and finds the least key of each. No level above
+    is needed: a longer repeat is a run of repeated windows. A document whose whole
+    text is in a smaller key's is known by its text's hash and loses all windows.
+    The tables of grams, windows and texts hold a row for each key of theirs and
+    are joined on a hash of it, so that both sides of a join are dealt out for it
+    alone and Spark can split a passage that is in very many documents.
 
     Null texts have no words. A null key counts as larger than any other. Rows that
     repeat a key are one document for the comparison: they take nothing from each
@@ -151,22 +156,23 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     half = window // 2
     order = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
     body = F.coalesce(F.col(text), F.lit(""))
-    row = F.struct(F.col(key).alias("key"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
-    texts = docs.select(row.alias("row"), order.alias("ord"), body.alias("text")).withColumn("t", F.xxhash64("text"))
-    firsts = texts.groupBy("t").agg(F.min("ord").alias("first"))
-    known = texts.join(firsts, "t")
-    unique = known.filter("ord = first")
-
-    anchors = unique.select("t", "text").mapInArrow(_anchors(window, half), "gram long, t long, p int")
-    repeated = anchors.groupBy("gram").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select("gram")
-    places = anchors.join(repeated, "gram").groupBy("t").agg(F.collect_set("p").alias("places"))
-
-    windows = unique.join(places, "t").select("t", "first", "text", "places").mapInArrow(_windows(window, half), "h1 long, h2 long, first long, t long, s int")
-    least = windows.groupBy("h1", "h2").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most").select("h1", "h2", "least")
-    late = windows.join(least, ["h1", "h2"]).filter("first > least").groupBy("t").agg(F.collect_set("s").alias("late"))
-
-    kind = texts.schema["row"].dataType.simpleString()
-    done = known.join(late, "t", "left").select("row", "text", (F.col("ord") > F.col("first")).alias("copy"), "late")
-    done = done.mapInArrow(_removal(window, with_text), f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    base = docs.select(F.xxhash64(F.col(key), body).alias("rid"), F.xxhash64(body).alias("t"), order.alias("ord"), body.alias("text"), row_struct((key, *carry))).repartition("rid")
+
+    anchors = base.mapInArrow(_anchors(window, half), "gram long, t long, rid long, p int")
+    repeated = anchors.groupBy("gram").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select(F.xxhash64("gram").alias("k"))
+    places = anchors.select(F.xxhash64("gram").alias("k"), "rid", "p").join(repeated, "k").groupBy("rid").agg(F.collect_set("p").alias("places"))
+
+    windows = base.join(places, "rid").mapInArrow(_windows(window, half), "h1 long, h2 long, ord long, rid long, s int")
+    least = windows.groupBy("h1", "h2").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most").select(F.xxhash64("h1").alias("k"), "h2", "least")
+    late = windows.select(F.xxhash64("h1").alias("k"), "h2", "ord", "rid", "s").join(least, ["k", "h2"]).filter("ord > least").select("rid", "s")
+
+    # only t, ord and rid are wanted here, so this is read from the input and not from the exchange of texts
+    own = docs.select(F.xxhash64(body).alias("t"), order.alias("ord"), F.xxhash64(F.col(key), body).alias("rid"))
+    firsts = own.groupBy("t").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").select(F.xxhash64("t").alias("k"), "first")
+    copies = own.select(F.xxhash64("t").alias("k"), "ord", "rid").join(firsts, "k").filter("ord > first").select("rid", F.lit(-1).alias("s"))
+
+    gone = late.unionByName(copies).groupBy("rid").agg(F.collect_set("s").alias("late"))
+    kind = base.schema["row"].dataType.simpleString()
+    done = base.join(gone, "rid", "left").mapInArrow(_removal(window, with_text), f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     made = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-    return done.select(F.col("row.key").alias(key), *made, *(F.col(f"row.c{k}").alias(c) for k, c in enumerate(carry)))
+    return unpack_row(done, (key, *carry), *map(F.col, made)).select(key, *made, *carry)
