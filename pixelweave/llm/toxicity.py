@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .arrowtext import ALNUM, Block, blocks, mix, row_struct, unpack_row
 
 #: At most so many labelled rows are brought to the driver for training.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 BUCKETS = 1 << 17
 DIM = 8
 #: So many words of a text are averaged: those with the highest scores.
@@ -119,18 +119,26 @@ def fit(texts: list[str | None], labels: np.ndarray, top: int = TOP_WORDS, dim:
     stress = np.where(y == 1, toxic_weight, 1.0) / len(y)
     share = (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(share / (1 - share)))
-    if y.sum() in (0, len(y)):
+    if y.sum() in (0, len(y)) or not any(texts):
         return Model(np.zeros(BUCKETS), bias, top)
-    bag, sizes, which, owner, known = [], [], [], [], 0
+    seen, bag, sizes, token, owner = np.zeros(0, dtype=np.uint64), [], [], [], []
+    known = []
     for block in blocks(pa.array(texts, pa.string())):
-        data, starts, ends, inside, text = distinct_words(block)
-        bucket, bounds = word_bags(data, starts, ends)
-        bag.append(bucket)
+        words = block.words(ALNUM, lower=True, accents=True)
+        (h,) = words.hashes()
+        token.append(h)
+        owner.append((words.text_of() + block.first).astype(np.int32))
+        new, first = np.unique(h, return_index=True)
+        fresh = ~np.isin(new, seen)
+        new, first = new[fresh], first[fresh]
+        bucket, bounds = word_bags(words.data, words.starts[first], words.ends[first])
+        seen = np.union1d(seen, new)
+        known.append(new)
+        bag.append(bucket.astype(np.int32))
         sizes.append(np.diff(bounds))
-        which.append(inside + known)
-        owner.append(text + block.first)
-        known += len(starts)
-    bag, sizes, which, owner = (np.concatenate(x) for x in (bag, sizes, which, owner))
+    known, bag, sizes, token, owner = (np.concatenate(x) for x in (known, bag, sizes, token, owner))
+    by_hash = np.argsort(known)
+    which = by_hash[np.searchsorted(known, token, sorter=by_hash)].astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     vectors = rng.normal(0, 1 / dim, (BUCKETS, dim))
     softmax = rng.normal(0, 1, (2, dim))
