@@ -72,7 +72,7 @@ def _windows(window: int, half: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h1[keep].view(np.int64)),
-                        pa.array(h2[keep].view(np.int64)),
+                        pa.array((h2[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         pa.array(order[block.first + text]),
                         pa.array(rids[block.first + text]),
                         pa.array((starts[keep] - words.bounds[text]).astype(np.int32)),
@@ -141,7 +141,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     The text is dealt out once, by row, and all passes read that one exchange.
     Level 1 keeps the least half-length window of each window (about 8 % of the
     places) and the grams found in more than one text; level 2 extends only those
-    to whole windows, by 128 bits, and finds the least key of each. No level above
+    to whole windows, by 96 bits, and finds the least key of each. No level above
     is needed: a longer repeat is a run of repeated windows. A document whose whole
     text is in a smaller key's is known by its text's hash and loses all windows.
     The tables of grams, windows and texts hold a row for each key of theirs and
@@ -162,7 +162,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     repeated = anchors.groupBy("gram").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select(F.xxhash64("gram").alias("k"))
     places = anchors.select(F.xxhash64("gram").alias("k"), "rid", "p").join(repeated, "k").groupBy("rid").agg(F.collect_set("p").alias("places"))
 
-    windows = base.join(places, "rid").mapInArrow(_windows(window, half), "h1 long, h2 long, ord long, rid long, s int")
+    windows = base.join(places, "rid").mapInArrow(_windows(window, half), "h1 long, h2 int, ord long, rid long, s int")
     least = windows.groupBy("h1", "h2").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most").select(F.xxhash64("h1").alias("k"), "h2", "least")
     late = windows.select(F.xxhash64("h1").alias("k"), "h2", "ord", "rid", "s").join(least, ["k", "h2"]).filter("ord > least").select("rid", "s")
 
