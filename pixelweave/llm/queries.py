@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, substring, toxicity
+from . import bpe, decontam, substring, templates, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.main_text(_table(spark, sf_dir, "pages"), carry=("page_id", "url"))
+    return found.select("page_id", "url", "text", "n_chars", "n_template_blocks")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def fetched_at(page_id: Column) -> Column:
+    """The pages table has no fetch times; this gives each page one within 2024 and 2025."""
+    return F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(page_id * 104_729, F.lit(63_072_000)))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    date = F.date_format(fetched_at(F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    headers = F.concat(F.lit("Content-Type: text/html; charset=utf-8\r\nX-Page: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    records = warc.build_derivatives(_table(spark, sf_dir, "pages"), date=date, headers=headers)
+    return records.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "source_headers", "source_digest", "content_type", "block_digest", "content_length", F.sha2("header", 256).alias("header_sha256"), F.sha2("block", 256).alias("block_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -32,8 +49,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
 }
