@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, substring, templates, toxicity, warc
+from . import bpe, decontam, spotsigs, substring, templates, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,59 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """The tables hold no URL list; this derives dated entries from the hosts of the pages.
+
+    Each host gets an entry of some kind by its md5; most are removed later and some
+    come back.
+    """
+    hosts = pages.select(templates.host_of(F.col("url")).alias("host")).filter("host != ''").distinct()
+    v = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long")
+    day = lambda n: F.lit(1_704_067_200) + n * 86_400
+    own = hosts.select("host", v.alias("v")).select(
+        F.when(F.col("v") % 4 == 0, "domain").when(F.col("v") % 4 == 1, "prefix").otherwise("host").alias("kind"),
+        F.when(F.col("v") % 4 == 0, F.substring_index("host", ".", -3)).when(F.col("v") % 4 == 1, F.concat("host", F.lit("/en/"))).otherwise(F.col("host")).alias("pattern"),
+        F.when(F.col("v") % 3 == 0, "adult").when(F.col("v") % 3 == 1, "malware").otherwise("spam").alias("category"),
+        "v",
+    )
+    added = own.select("kind", "pattern", "category", day(F.col("v") % 500).alias("at"), F.lit("add").alias("action"))
+    removed = own.filter("v % 7 != 0").select("kind", "pattern", "category", day(F.col("v") % 500 + 20 + F.col("v") % 211).alias("at"), F.lit("remove").alias("action"))
+    again = own.filter("v % 5 = 0").select("kind", "pattern", "category", day(F.col("v") % 500 + 300).alias("at"), F.lit("add").alias("action"))
+    return added.unionByName(removed).unionByName(again)
+
+
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.unix_timestamp(fetched_at(F.col("page_id"))).alias("fetched_at"))
+    return urllists.evaluate(captures, list_entries(pages))
+
+
+OP5_SQL = r"""
+WITH cap AS (SELECT page_id, url, CAST(1704067200 + ((page_id * 104729) % 63072000 + 63072000) % 63072000 AS BIGINT) AS fetched_at,
+      coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+      coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '') AS path FROM pages),
+hosts AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS v FROM cap WHERE host <> ''),
+own AS (SELECT v, CASE v % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'prefix' ELSE 'host' END AS kind,
+      CASE v % 4 WHEN 0 THEN array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 2, 1), len(string_split(host, '.'))), '.') WHEN 1 THEN host || '/en/' ELSE host END AS pattern,
+      CASE v % 3 WHEN 0 THEN 'adult' WHEN 1 THEN 'malware' ELSE 'spam' END AS category FROM hosts),
+events AS (SELECT kind, pattern, category, moment, max(action) AS action FROM (
+      SELECT kind, pattern, category, 1704067200 + (v % 500) * 86400 AS moment, 'add' AS action FROM own
+      UNION ALL SELECT kind, pattern, category, 1704067200 + (v % 500 + 20 + v % 211) * 86400, 'remove' FROM own WHERE v % 7 <> 0
+      UNION ALL SELECT kind, pattern, category, 1704067200 + (v % 500 + 300) * 86400, 'add' FROM own WHERE v % 5 = 0) GROUP BY ALL),
+spans AS (SELECT * FROM (SELECT kind, pattern, category, moment, action, lead(moment) OVER (PARTITION BY kind, pattern, category ORDER BY moment) AS until FROM events) WHERE action = 'add'),
+hits AS (SELECT c.page_id, s.category, s.moment FROM cap c JOIN spans s ON c.host <> '' AND s.moment <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until)
+      AND ((s.kind = 'host' AND c.host = s.pattern) OR (s.kind = 'domain' AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern)))
+        OR (s.kind = 'prefix' AND starts_with(c.host || c.path, s.pattern)))),
+found AS (SELECT page_id, count(*) AS n_active, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, min(moment) AS active_since FROM hits GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched_at, coalesce(f.n_active, 0) AS n_active, coalesce(f.categories, '') AS categories, CAST(f.active_since AS BIGINT) AS active_since, f.page_id IS NOT NULL AS blocked
+FROM cap c LEFT JOIN found f USING (page_id)
+"""
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def fetched_at(page_id: Column) -> Column:
     """The pages table has no fetch times; this gives each page one within 2024 and 2025."""
     return F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(page_id * 104_729, F.lit(63_072_000)))
@@ -52,8 +105,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_url_lists": op5_url_lists,
     "op6_warc_derivatives": op6_warc_derivatives,
+    "op7_spotsigs": op7_spotsigs,
     "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_url_lists": OP5_SQL}
