@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     *(part.column(c) for c in range(3)),
                     pa.array([hash_of(max(p.blocks, key=len, default="")) for p in pages], pa.int64()),
-                    pa.array([p.blocks for p in pages], pa.list_(pa.string())),
+                    # blocks have no line ends; compressed, as this is most of what is dealt out
+                    pa.array([zlib.compress("\n".join(p.blocks).encode("utf-8", "replace"), 6) for p in pages], pa.binary()),
                     pa.array([[dict(zip(("h", "first", "end"), s)) for s in p.spans] for p in pages], pa.list_(_SPAN)),
                 ],
                 names=["rid", "host", "row", "ident", "blocks", "spans"],
@@ -62,7 +64,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks, spans, dropped in zip(*(batch.column(c).to_pylist() for c in (4, 5, 6))):
             gone = set(dropped or ())
             out = {k for s in spans if s["h"] in gone for k in range(s["first"], s["end"])}
-            texts.append(" ".join(b for k, b in enumerate(blocks) if k not in out))
+            lines = zlib.decompress(blocks).decode().split("\n")
+            texts.append(" ".join(b for k, b in enumerate(lines) if k not in out))
             removed.append(len(out))
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["row", "text", "n_template_blocks"])
 
@@ -89,7 +92,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     rid = F.xxhash64(F.col(url), F.col(html), *(F.col(c) for c in carry)).alias("rid")
     rows = pages.select(rid, host_of(F.col(url)).alias("host"), row_struct(carry), F.col(html).cast("string").alias("html"))
     kind = rows.schema["row"].dataType.simpleString()
-    parsed = rows.mapInArrow(_parsed, f"rid long, host string, row {kind}, ident long, blocks array<string>, spans array<struct<h: long, first: int, end: int>>").repartition("rid")
+    parsed = rows.mapInArrow(_parsed, f"rid long, host string, row {kind}, ident long, blocks binary, spans array<struct<h: long, first: int, end: int>>").repartition("rid")
     subtrees = parsed.mapInArrow(_subtrees, "rid long, host string, ident long, h long")
     counts = subtrees.groupBy("host", "h", "ident").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     hosts = counts.filter("h = 0").select("host", F.col("n").alias("pages"))
