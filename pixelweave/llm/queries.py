@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, spotsigs, substring, templates, toxicity, urllists, warc
+from . import bpe, decontam, lattice, spotsigs, substring, templates, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(_table(spark, sf_dir, "documents"))
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """The tables hold no URL list; this derives dated entries from the hosts of the pages.
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_lattice_score": op4_lattice_score,
     "op5_url_lists": op5_url_lists,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_spotsigs": op7_spotsigs,
