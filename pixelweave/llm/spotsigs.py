@@ -21,12 +21,16 @@ CHAIN = 2
 
 
 def _anchor_runs(anchors: tuple[str, ...]) -> str:
-    """Pattern of one or more anchors after a space, each with the space that follows."""
+    """Pattern of one or more anchors after a space, each with the space that follows.
+
+    The repeat is possessive, as Java takes others by recursion, without bound in a
+    text that repeats a common word.
+    """
     by_first: dict[str, list[str]] = {}
     for w in sorted({w for line in anchors for w in line.split()}):
         by_first.setdefault(w[0], []).append(w[1:])
     either = "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in by_first.items())
-    return f"(?<= )(?:(?:{either}) )+"
+    return f"(?<= )(?:(?:{either}) )++"
 
 
 def add_signatures(df: DataFrame, text: str, out: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:

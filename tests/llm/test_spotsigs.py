@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -14,8 +15,8 @@ def sigs(text):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     out = set()
     for i in [-1, *(k for k, w in enumerate(words) if w in ANCHORS)]:
-        chain = [w for w in words[i + 1 :] if w not in ANCHORS][:2]
-        if chain and (i == -1 or words[i + 1] not in ANCHORS):
+        chain = list(itertools.islice((w for w in itertools.islice(words, i + 1, None) if w not in ANCHORS), 2)) if i < 0 or i + 1 < len(words) and words[i + 1] not in ANCHORS else []
+        if chain:
             out.add(zlib.crc32(" ".join(chain).encode()))
     return sorted(out)
 
@@ -48,12 +49,13 @@ def test_gaps_nulls_ties_and_clashes(spark):
     ids = [-700, -3, 0, 1, 255, 256, 5000, 5001, 70_000, 9_000_000_000, None]
     text = lambda: " ".join(rng.choice(["the", "der", "cat", "sits", "élan", "Über", "of", "42"]) for _ in range(rng.randrange(1, 60)))
     rows = [(i, text()) for i in ids]
+    rows[1] = (-3, "the " * 50_000 + "cat " * 50_000 + "of the " * 50_000 + "sits")
     rows[2], rows[3], rows[5] = (0, None), (1, ""), (256, "the of and")
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("g", F.lit(1)).withColumn("after", F.lit(2)).withColumn("sigs", F.lit(3)).withColumn("key", F.lit(4))
     got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in spotsigs.fingerprints(docs).collect()}
     assert got == expected(rows)
     assert spotsigs.fingerprints(docs.limit(0)).count() == 0
-    one = spotsigs.fingerprints(docs.filter("doc_id = -3")).collect()[0]
+    one = spotsigs.fingerprints(docs.filter("doc_id = 70000")).collect()[0]
     assert one.near_next == 1.0
     twice = spotsigs.fingerprints(docs.union(docs))
     assert twice.count() == 22 and twice.groupBy("doc_id").agg(F.countDistinct("fingerprint").alias("n")).filter("n != 1").count() == 0
