@@ -29,7 +29,9 @@ ROUNDS = 3
 #: side; there are at most 1 / share of them, whatever the input.
 HEAD_SHARE = 1 / (1 << 20)
 #: Text of a block whose distinct words are scored together.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
+#: Words whose lattices are held at once.
+SLICE = 1 << 14
 
 _U = np.uint64
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
@@ -186,6 +188,16 @@ class Lattice:
         return out
 
 
+def word_logp(units: Units, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Log probability of each word; words of like sizes are taken together."""
+    out = np.empty(len(starts))
+    order = np.argsort(ends - starts, kind="stable")
+    for k in range(0, len(order), SLICE):
+        part = order[k : k + SLICE]
+        out[part] = Lattice(units, data, starts[part], ends[part]).word_logp()
+    return out
+
+
 def distinct_words(block: Block):
     """Words of a block, the first place of each different one, which one each is, and their hashes."""
     words = block.words(NON_SPACE, lower=True)
@@ -229,8 +241,8 @@ def fit(counts: DataFrame, units: Units, n_texts: int, rounds: int = ROUNDS) ->
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for k in range(0, batch.num_rows, 1 << 16):
-                    part = batch.slice(k, 1 << 16)
+                for k in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(k, SLICE)
                     got = Lattice(shared.value, *_joined(part.column(0))).expected(part.column(1).to_numpy().astype(np.float64))
                     total = got if total is None else total + got
             if total is not None:
@@ -321,8 +333,7 @@ def _score(shared):
                 words, first, which, known = distinct_words(block)
                 count = words.counts()
                 text = words.text_of()
-                lattice = Lattice(units, words.data, words.starts[first], words.ends[first])
-                logp = lattice.word_logp() / np.log(10)
+                logp = word_logp(units, words.data, words.starts[first], words.ends[first]) / np.log(10)
                 at = np.minimum(np.searchsorted(head, known), max(len(head) - 1, 0))
                 in_head = (head[at] == known) if len(head) else np.zeros(len(known), dtype=bool)
                 base = np.where(in_head, np.log10(((head_n[at] if len(head) else 0) + 1) / lower), 0.0)
