@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lattice, spotsigs, substring, templates, toxicity, urllists, warc
+from . import bpe, decontam, icws, lattice, spotsigs, substring, templates, toxicity, urllists, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return icws.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_spotsigs": op7_spotsigs,
     "op8_decontamination": op8_decontamination,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {"op5_url_lists": OP5_SQL}
