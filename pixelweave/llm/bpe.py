@@ -129,24 +129,22 @@ def bpe_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", rank_fi
     return out.withColumnRenamed("key", key)
 
 
-def bpe_round_trip(docs: DataFrame, text: str = "text", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Replaces each text by the decoded bytes of its token ids and adds n_tokens.
+def bpe_round_trip(docs: DataFrame, text: str = "text", ids: str = "token_ids", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Adds the token ids and their number (n_tokens) and puts the ids' decoded bytes in the text's place.
 
-    All other columns stay. Null texts stay null and have 0 tokens.
+    All other columns stay; columns of the added names are replaced. A null text
+    stays null and has no ids.
     """
     rank_file, pattern = rank_file or default_rank_file(), pattern or default_pattern()
 
-    @F.pandas_udf("struct<text: string, n_tokens: long>")
+    @F.pandas_udf("struct<text: string, ids: array<int>>")
     def both(texts):
         import pandas as pd
 
         enc = encoder(rank_file, pattern)
-        made = []
-        for t in texts:
-            ids = encode(t, enc) if t else []
-            made.append((None if t is None else enc.decode_bytes(ids).decode(), len(ids)))
-        return pd.DataFrame(made, columns=["text", "n_tokens"])
+        found = [encode(t, enc) if t else [] for t in texts]
+        return pd.DataFrame({"text": [None if t is None else enc.decode_bytes(x).decode() for t, x in zip(texts, found)], "ids": found})
 
-    names = [c for c in docs.columns if c not in (text, "n_tokens")]
+    names = [c for c in docs.columns if c not in (ids, "n_tokens")]
     done = docs.select(*names, both(F.col(text)).alias("_made"))
-    return done.select(*names, F.col("_made.text").alias(text), F.col("_made.n_tokens").alias("n_tokens")).select(*docs.columns, *([] if "n_tokens" in docs.columns else ["n_tokens"]))
+    return done.select(*(F.col("_made.text").alias(c) if c == text else F.col(c) for c in names), F.col("_made.ids").alias(ids), F.size("_made.ids").cast("long").alias("n_tokens"))

@@ -121,9 +121,10 @@ def _removal(window: int, with_text: bool):
                     left = np.arange(low, high) if not removed[k] else low + np.flatnonzero(~gone[low:high])
                     begins, ends = words.starts[left].tolist(), words.ends[left].tolist()
                     kept.append(b" ".join([raw[b:e] for b, e in zip(begins, ends)]))
+                texts = [x if removed[k] else raw[block.offsets[k] : block.offsets[k + 1]] for k, x in enumerate(kept)] if with_text else []
                 out = [batch.column(4).slice(block.first, block.last - block.first), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
                 if with_text:
-                    out.append(pa.array([x.decode() for x in kept], pa.string()))
+                    out.append(pa.array([x.decode() for x in texts], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=["row", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(out)])
 
     return run
@@ -136,7 +137,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     `window` consecutive words of one document; each word covered by a window
     whose word sequence also starts in a document with a smaller key is removed,
     judged on the input. Returns key, n_words, n_removed, kept_sha256 (of the kept
-    words joined by one space), with_text also kept_text, then the carried columns.
+    words joined by one space), with_text also kept_text (the text itself if nothing
+    was removed, else the kept words joined by one space), then the carried columns.
 
     The text is dealt out once, by row, and all passes read that one exchange.
     Level 1 keeps the least half-length window of each window (about 8 % of the
