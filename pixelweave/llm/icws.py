@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, RollingHash, blocks, mix
 from .components import components
-from .shared import checkpointed, stored
+from .shared import stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Samples are compared in bands of so many rows; a pair of likeness 0.8 meets in
-#: none of them with a probability of 0.59 ** 24 = 3e-6.
-BANDS, ROWS = 24, 4
+#: none of them with a probability of 0.59 ** 20 = 3e-5.
+BANDS, ROWS = 20, 4
 #: Shingles of at least this share of the documents weigh less the more have them.
 COMMON_SHARE = 1 / 64
 IDF_WEIGHT = 0.5
@@ -29,13 +29,12 @@ SLICE = 256
 _U = np.uint64
 
 
-def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and count of each text's different word shingles, by row.
+def raw_shingles(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and hash of each word shingle, by row, for blocks of whole texts.
 
     Words are runs of lower-cased letters and digits; a text of fewer words than a
     shingle has one of all of them.
     """
-    rows, hashes, counts = [], [], []
     for block in blocks(column):
         words = block.words(ALNUM, lower=True, accents=True)
         (h,) = words.hashes()
@@ -44,22 +43,34 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
         rolling = RollingHash(h)
         n, text = words.counts(), words.text_of()
         at = np.flatnonzero(np.arange(len(h)) + size <= np.repeat(words.bounds[1:], n))
-        gram, owner = rolling.at(at, at + size), text[at]
+        gram, owner = rolling.all(size)[at] if len(h) >= size else np.zeros(0, dtype=np.uint64), text[at]
         short = np.flatnonzero((n > 0) & (n < size))
         if short.size:
             gram = np.concatenate([gram, rolling.at(words.bounds[short], words.bounds[short + 1])])
             owner = np.concatenate([owner, short])
+        yield owner + block.first, gram
+
+
+def _distinct(owner: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's different shingles and their counts, by text, in one sort of text and shingle."""
+    base = owner.min() if len(owner) else 0
+    if len(owner) and int(owner.max() - base) < 1 << 20:
+        order = np.argsort((owner - base).astype(np.uint64) << _U(44) | gram >> _U(20))
+    else:
         order = np.lexsort((gram, owner))
-        gram, owner = gram[order], owner[order]
-        new = np.ones(len(gram), dtype=bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-        first = np.flatnonzero(new)
-        rows.append(owner[first] + block.first)
-        hashes.append(gram[first])
-        counts.append(np.diff(np.append(first, len(gram))))
-    if not rows:
+    gram, owner = gram[order], owner[order]
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return owner[first], gram[first], np.diff(np.append(first, len(gram)))
+
+
+def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and count of each text's different shingles, by row."""
+    found = [_distinct(*raw) for raw in raw_shingles(column, size)]
+    if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(rows), np.concatenate(hashes), np.concatenate(counts)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 @dataclass
@@ -156,48 +167,66 @@ def likeness(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
     return np.divide(both, whole, out=np.zeros(n), where=whole > 0)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], common: np.ndarray | None, share: float) -> Iterator[pa.RecordBatch]:
-    """Document counts of shingles within one task: of the common ones, or of those at least half as common here."""
-    tables, docs = [], 0
-    for batch in batches:
-        docs += batch.num_rows
-        for k in range(0, batch.num_rows, SLICE):
-            _, gram, _ = shingles(batch.column(0).slice(k, SLICE))
-            tables.append(np.unique(gram if common is None else gram[np.isin(gram, common)], return_counts=True))
-            if len(tables) >= 32:
-                tables = [_merged(tables)]
-    if tables:
-        gram, n = _merged(tables)
-        if common is None:
-            keep = n >= docs * share / 2
-            gram, n = gram[keep], n[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-
-def _merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    gram, n = (np.concatenate(x) for x in zip(*tables))
-    order = np.argsort(gram, kind="stable")
-    gram, n = gram[order], n[order]
-    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, dtype=np.int64)
-    return gram[first], np.add.reduceat(n, first) if len(first) else n
+#: Slots of the tables that sort out shingles before they are looked at one by one.
+SLOTS = 1 << 22
+_SHIFT = _U(64 - 22)
+
+
+def _maybe_common(share: float):
+    """Shingles that are at least half as common in a batch as asked for, and how often they are there at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [gram for _, gram in raw_shingles(batch.column(0))]
+            if not grams:
+                continue
+            gram, least = np.concatenate(grams), batch.num_rows * share / 2
+            often = np.bincount((gram >> _SHIFT).astype(np.int64), minlength=SLOTS) >= least
+            gram, n = np.unique(gram[often[(gram >> _SHIFT).astype(np.int64)]], return_counts=True)
+            keep = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
+
+    return run
+
+
+def _counted(shared):
+    """Document counts, within each batch, of the shingles asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        slots = np.zeros(SLOTS, dtype=bool)
+        slots[(common >> _SHIFT).astype(np.int64)] = True
+        for batch in batches:
+            found = []
+            for owner, gram in raw_shingles(batch.column(0)):
+                at = np.flatnonzero(slots[(gram >> _SHIFT).astype(np.int64)])
+                owner, gram = owner[at], gram[at]
+                hit = common[np.minimum(np.searchsorted(common, gram), len(common) - 1)] == gram
+                found.append(_distinct(owner[hit], gram[hit])[1])
+            if found:
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    return run
 
 
 def fit_weights(docs: DataFrame, text: str, n_docs: int, share: float = COMMON_SHARE) -> Weights:
     """Document counts, over all documents, of the shingles that at least `share` of them have.
 
-    A shingle that common is at least as common in one of the tasks, and its counts
-    of the tasks where it is half as common sum to half of its share at least. There
-    are at most 2 / share shingles of that kind for each shingle of a mean text,
-    whatever the number of documents; they are counted exactly in a second pass.
+    Over the batches where such a shingle is at least half as common it has at least
+    half of its share of all documents. There are at most 2 / share shingles of that
+    kind for each shingle of a mean text, whatever the number of documents; they are
+    counted exactly in a second pass.
     """
+    none = np.zeros(0, dtype=np.uint64)
     if not n_docs:
-        return Weights(np.zeros(0, dtype=np.uint64), np.zeros(0), 0, share)
+        return Weights(none, np.zeros(0), 0, share)
     texts = docs.select(F.col(text).alias("text"))
-    sums = lambda common: texts.mapInArrow(lambda b: _counted(b, None if common is None else common.value, share), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    maybe = np.sort(sums(None).filter(F.col("n") >= n_docs * share / 2).toArrow().column("gram").to_numpy().view(np.uint64))
+    total = lambda function: texts.mapInArrow(function, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    maybe = np.sort(total(_maybe_common(share)).filter(F.col("n") >= n_docs * share / 2).toArrow().column("gram").to_numpy().view(np.uint64))
     if not len(maybe):
-        return Weights(maybe, np.zeros(0), n_docs, share)
-    exact = sums(docs.sparkSession.sparkContext.broadcast(maybe)).filter(F.col("n") >= n_docs * share).toArrow()
+        return Weights(none, np.zeros(0), n_docs, share)
+    exact = total(_counted(docs.sparkSession.sparkContext.broadcast(maybe))).filter(F.col("n") >= n_docs * share).toArrow()
     gram = exact.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(gram)
     return Weights(gram[order], exact.column("n").to_numpy()[order], n_docs, share)
@@ -226,19 +255,6 @@ def _bands(shared):
     return run
 
 
-def _sketched(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
-        for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                part = batch.slice(k, SLICE)
-                which, samples, weight = _samples(part.column(1), shared.value, sampler)
-                short = (samples ^ (samples >> _U(32))).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(weight)], names=["t", "sig", "w"])
-
-    return run
-
-
 def _verified(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,33 +265,45 @@ def _verified(shared):
     return run
 
 
-def _close_pairs(threshold: float):
-    """Pairs of a group's members of different classes whose samples and weights allow the threshold."""
-    least = threshold - 3.4 * np.sqrt(threshold * (1 - threshold) / (BANDS * ROWS))
+def _links(shared, threshold: float):
+    """Links between members of a bucket's part that are in different classes, one for each member and class.
+
+    A member outside of the main class is compared with all others at once: its
+    weights are laid out by shingle and every other member's are gathered from there.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         t, label, main = (table.column(c).to_numpy() for c in ("t", "label", "main"))
-        w = table.column("w").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(len(t), -1)
-        first_part = bool(table.column("part")[0].as_py() == 0)
+        row, gram, count = shingles(table.column("text").combine_chunks())
+        w = shared.value.of(gram, count)
+        _, place = np.unique(gram, return_inverse=True)
+        starts = np.searchsorted(row, np.arange(len(t) + 1))
+        whole = np.bincount(row, w, minlength=len(t))
+        laid = np.zeros(len(gram))
+        once = table.column("part")[0].as_py() == 0
         a, b = [], []
         for i in np.flatnonzero(~main):
-            other = (label != label[i]) & (np.minimum(w, w[i]) >= threshold * np.maximum(w, w[i]) * (1 - 1e-9))
-            other &= main | ((t > t[i]) & first_part)  # outsiders are in every part of a bucket
-            at = np.flatnonzero(other)
-            at = at[(sig[at] == sig[i]).mean(axis=1) >= least]
-            a.append(np.minimum(t[at], t[i]))
-            b.append(np.maximum(t[at], t[i]))
+            own = slice(starts[i], starts[i + 1])
+            other = (label != label[i]) & (main | (once & (t > t[i]))) & (np.minimum(whole, whole[i]) >= threshold * np.maximum(whole, whole[i]) * (1 - 1e-9))
+            if not other.any():
+                continue
+            laid[place[own]] = w[own]
+            both = np.bincount(row, np.minimum(w, laid[place]), minlength=len(t))
+            laid[place[own]] = 0
+            at = np.flatnonzero(other & (both >= threshold * (whole + whole[i] - both) * (1 - 1e-12)) & (both > 0))
+            _, first = np.unique(label[at], return_index=True)
+            a.append(np.full(len(first), t[i]))
+            b.append(t[at[first]])
         none = [np.zeros(0, dtype=np.int64)]
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
     return run
 
 
-#: Members of a bucket that are compared in one task at most, besides those outside of its main class.
+#: Members of a bucket's main class that are compared in one task at most, besides its others.
 PART = 1024
-#: Star rounds before the rest is compared pair by pair, at most.
-STARS = 5
+#: Rounds in which large buckets are compared with a hub.
+STARS = 6
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -286,14 +314,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     counts times an idf from 1 to 1 + IDF_WEIGHT that is flat for shingles that
     less than COMMON_SHARE of the documents have.
 
-    Equal texts are one text. Texts that share a band of weighted samples with
+    Equal texts are one text. Those that share a band of weighted samples with
     another are kept in the shared folder. In each bucket (texts of one band value)
-    they are compared with one of them, a hub, then, where that leaves more than one
-    class in a bucket, those of other classes with another hub, and so on; at last
-    the members of a bucket that are still outside of its main class with all of
-    other classes, if samples and weights allow a link. Every comparison is by
-    the exact likeness of whole texts. No pairs within a class are made, and no
-    bucket is cut off; a large one is taken in parts.
+    all are compared with one of them, the hub, which then leaves the bucket; large
+    buckets go on with other hubs. Then the members outside of a bucket's main class
+    are compared with all members of other classes, in parts of the bucket. Every
+    comparison is by the likeness of whole texts. Links within a class are not
+    looked for, and no bucket is cut off.
 
     Texts without words (null, empty) are equal to those of the same text only, null
     being empty. A null key comes after all others and its class_id is null only in
@@ -305,62 +332,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     n_docs = docs.count()
     weights = spark.sparkContext.broadcast(fit_weights(texts, "text", n_docs))
 
-    banded = texts.mapInArrow(_bands(weights), "bh long, t long")
-    buckets = banded.groupBy("bh").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select(F.xxhash64("bh").alias("k"))
+    banded = stored(texts.mapInArrow(_bands(weights), "bh long, t long"))
+    buckets = banded.groupBy("bh").agg(F.min("t").alias("hub"), F.max("t").alias("top")).filter("hub < top").select(F.xxhash64("bh").alias("k"), "hub")
     members = stored(banded.select(F.xxhash64("bh").alias("k"), "t").join(buckets, "k").distinct())
-    shared = checkpointed(members.select("t").distinct())
     # one row of each text that is in a bucket; the rows of a copied text are told apart by their key
     rid = F.xxhash64(F.col(key), body).alias("rid")
-    first = docs.select(F.xxhash64(body).alias("t"), rid).groupBy("t").agg(F.min("rid").alias("rid")).join(shared, "t")
-    kept = docs.select(rid, F.xxhash64(body).alias("t"), body).join(first.select("rid"), "rid").dropDuplicates(["rid"])
+    first = docs.select(F.xxhash64(body).alias("t"), rid).groupBy("t").agg(F.min("rid").alias("rid")).join(members.select("t").distinct(), "t").select("rid")
+    kept = docs.select(rid, F.xxhash64(body).alias("t"), body).join(first, "rid").dropDuplicates(["rid"])
     kept = stored(kept.select("t", "text"))
-    sketched = stored(kept.mapInArrow(_sketched(weights), "t long, sig binary, w double"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.withColumn("k", F.xxhash64("a")).join(kept.select(F.xxhash64("t").alias("k"), F.col("text").alias("x")), "k")
         two = one.select("a", "b", "x").withColumn("k", F.xxhash64("b")).join(kept.select(F.xxhash64("t").alias("k"), F.col("text").alias("y")), "k")
-        return stored(two.select("a", "b", "x", "y").mapInArrow(_verified(weights), "a long, b long, likeness double"))
-
-    tested, labels = None, None
-    for star in range(STARS + 1):
-        if labels is None:
-            hubs = members.groupBy("k").agg(F.min("t").alias("hub"))
-            pairs = members.join(hubs, "k").filter("t != hub").select(F.col("hub").alias("a"), F.col("t").alias("b"))
-        else:
-            known = members.withColumn("v", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("v"), "label"), "v", "left").select("k", "t", F.coalesce("label", "t").alias("label"))
-            sizes = known.groupBy("k", "label").agg(F.count("*").alias("n"))
-            mixed = sizes.groupBy("k").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.max_by("label", F.struct("n", "label")).alias("top")).filter("classes > 1")
-            mixed = checkpointed(mixed)
-            cross, size = mixed.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-            if not cross:
-                break
-            known = known.join(mixed.select("k", "n", "top"), "k")
-            last = star == STARS or cross <= 8 * size
-            if last:
-                pairs = _rest(known, sketched, threshold)
-            else:
-                hubs = known.groupBy("k").agg(F.min(F.struct(F.xxhash64("t", F.lit(star)).alias("o"), "t", "label")).alias("hub"))
-                pairs = known.join(hubs, "k").filter("label != hub.label").select(F.least("t", "hub.t").alias("a"), F.greatest("t", "hub.t").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = verify(pairs)
-        tested = found if tested is None else tested.unionByName(found)
-        labels = components(tested.filter(F.col("likeness") >= threshold).select("a", "b"))
-        if star and last:
+        found = two.select("a", "b", "x", "y").mapInArrow(_verified(weights), "a long, b long, likeness double")
+        return stored(found.filter(F.col("likeness") >= threshold).select("a", "b"))
+
+    links = verified(members.filter("t != hub").select(F.col("hub").alias("a"), F.col("t").alias("b")).distinct())
+    left = members.filter("t != hub").select("k", "t")
+    for star in range(1, STARS + 1):
+        labels = components(links)
+        known = _mixed(left, labels)
+        if star == STARS or known.filter(F.col("n") > PART).isEmpty():
             break
+        hubs = known.filter(F.col("n") > PART).groupBy("k").agg(F.min(F.struct(F.xxhash64("t", F.lit(star)).alias("o"), "t", "label")).alias("hub"))
+        met = stored(known.join(hubs, "k").select("k", "t", (F.col("label") != F.col("hub.label")).alias("new"), F.col("hub.t").alias("hub")))
+        links = links.unionByName(verified(met.filter("new").select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b")).distinct()))
+        left = known.filter(F.col("n") <= PART).select("k", "t").unionByName(met.filter("t != hub").select("k", "t"))
+    links = links.unionByName(_rest(known, kept, weights, threshold))
+    labels = components(links)
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("t"))
-    if labels is not None:
-        named = rows.withColumn("k", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("k"), "label"), "k", "left").select("key", F.coalesce("label", "t").alias("c"))
-    else:
-        named = rows.select("key", F.col("t").alias("c"))
+    named = rows.withColumn("k", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("k"), "label"), "k", "left").select("key", F.coalesce("label", "t").alias("c"))
     classes = named.groupBy("c").agg(F.min("key").alias("class_id")).select(F.xxhash64("c").alias("k"), "class_id")
     return named.withColumn("k", F.xxhash64("c")).join(classes, "k").select(F.col("key").alias(key), "class_id")
 
 
-def _rest(known: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different classes within a bucket that may be linked.
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(k, t, label, n, top) of the buckets whose members are in more than one class; buckets of the same members once."""
+    known = members.withColumn("v", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("v"), "label"), "v", "left").select("k", "t", F.coalesce("label", "t").alias("label"))
+    sizes = known.groupBy("k", "label").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("t"), 24)).alias("sum"))
+    mixed = sizes.groupBy("k").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.max_by("label", F.struct("n", "label")).alias("top")).filter("classes > 1")
+    mixed = mixed.groupBy("n", "sum").agg(F.min(F.struct("k", "top")).alias("x")).select(F.col("x.k").alias("k"), "n", F.col("x.top").alias("top"))
+    return stored(known.join(mixed, "k"))
+
+
+def _rest(known: DataFrame, kept: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links between classes within the buckets.
 
     A bucket's main class is dealt out over parts of about PART members; its other
     members go to every part.
@@ -369,5 +386,5 @@ def _rest(known: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     main = F.col("label") == F.col("top")
     own = F.pmod(F.xxhash64("t", "k"), parts).cast("int")
     dealt = known.select("k", "t", "label", main.alias("main"), F.explode(F.when(main, F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
-    dealt = dealt.withColumn("h", F.xxhash64("t")).join(sketched.select(F.xxhash64("t").alias("h"), "sig", "w"), "h").select("k", "part", "t", "label", "main", "sig", "w")
-    return dealt.groupBy("k", "part").applyInArrow(_close_pairs(threshold), "a long, b long")
+    dealt = dealt.withColumn("h", F.xxhash64("t")).join(kept.select(F.xxhash64("t").alias("h"), "text"), "h").select("k", "part", "t", "label", "main", "text")
+    return stored(dealt.groupBy("k", "part").applyInArrow(_links(weights, threshold), "a long, b long"))
