@@ -1,10 +1,779 @@
-"""Named queries of the engine over the driver's tables, and their SQL."""
+"""Named queries of the engine over the driver's tables, and the SQL each must equal."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import scenes, sqltext
+from .functions import areas, change, classes, display, indices
+from .operators import crosstab, focal, grid, sampling, tiling
+from .operators.otsu import histogram, otsu
+from .plans import consensus, learning, methods, reporting
+from .sources import tables, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, ctes: str | None = None, select: str | None = None):
+    """Registers a query and, where SQL can express it, its oracle: WITH ctes select."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if select:
+            SQL[name] = (f"WITH {ctes}\n" if ctes else "") + select
+        return f
+
+    return keep
+
+
+def r6(x: Column, name: str) -> Column:
+    return F.round(x, 6).alias(name)
+
+
+# Scans and masks
+
+
+@query("scan_crop", scenes.SCENES, "SELECT * FROM scenes WHERE r BETWEEN 10 AND 59 AND c BETWEEN 2 AND 41")
+def scan_crop(spark, sf):
+    return grid.crop(scenes.scenes(spark, sf), 2, 10, 40, 50)
+
+
+@query("raster_info", scenes.DENSE, "SELECT max(c) + 1 AS width, max(r) + 1 AS height, 'x' AS band, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean FROM dense")
+def raster_info(spark, sf):
+    return grid.raster_info(scenes.dense_grid(spark, sf), "x").select("width", "height", "band", *(r6(F.col(n), n) for n in ("min", "max", "mean")))
+
+
+@query("cloud_mask", scenes.SCENES, "SELECT r, c, scene, scl NOT IN (3, 8, 9, 10) AS clear FROM scenes")
+def cloud_mask(spark, sf):
+    return scenes.scenes(spark, sf).select("r", "c", "scene", (~grid.cloudy(F.col("scl"))).alias("clear"))
+
+
+@query(
+    "scl_join",
+    scenes.SCENES,
+    """SELECT p.r, p.c, coalesce(s.clear, true) AS clear FROM (SELECT DISTINCT r, c FROM scenes) p
+LEFT JOIN (SELECT r // 2 AS r20, c // 2 AS c20, sum(l_orderkey) % 11 NOT IN (3, 8, 9, 10) AS clear FROM lines WHERE scene = 'before' GROUP BY ALL) s ON p.r // 2 = s.r20 AND p.c // 2 = s.c20""",
+)
+def scl_join(spark, sf):
+    pixels = scenes.scenes(spark, sf).select("r", "c").distinct()
+    return grid.clear(pixels, scenes.scl20(spark, sf)).select("r", "c", "clear")
+
+
+@query("align_dates", scenes.PAIR, "SELECT * FROM pair")
+def align_dates(spark, sf):
+    return scenes.pair(spark, sf)
+
+
+@query("valid_both", scenes.CLEAR, "SELECT r, c, valid FROM clear")
+def valid_both(spark, sf):
+    return scenes.clear_pair(spark, sf).select("r", "c", "valid")
+
+
+@query("apply_mask", scenes.CLEAR, "SELECT r, c, b04_b, b08_b, b04_a, b08_a FROM clear")
+def apply_mask(spark, sf):
+    return scenes.clear_pair(spark, sf).select("r", "c", "b04_b", "b08_b", "b04_a", "b08_a")
+
+
+@query("mask_counts", scenes.CLEAR, "SELECT count(*) AS pixels, count_if(valid) AS valid, count(b04_b) AS present, round(100.0 * count_if(NOT valid) / count(*), 6) AS cloud_pct FROM clear")
+def mask_counts(spark, sf):
+    return scenes.clear_pair(spark, sf).agg(F.count("*").alias("pixels"), F.count_if("valid").alias("valid"), F.count("b04_b").alias("present"), r6(F.lit(100.0) * F.count_if(~F.col("valid")) / F.count("*"), "cloud_pct"))
+
+
+@query(
+    "geotransform_shift",
+    None,
+    "SELECT CAST(l_linenumber AS INT) AS tile, 500000.0 + l_linenumber * 120 * 10.0 AS origin_x, 3900000.0 + l_linenumber * 80 * -10.0 AS origin_y FROM (SELECT DISTINCT l_linenumber FROM lineitem)",
+)
+def geotransform_shift(spark, sf):
+    tiles = scenes.table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("tile")).distinct()
+    gt = F.struct(F.lit(500000.0).alias("origin_x"), F.lit(10.0).alias("px_w"), F.lit(0.0).alias("rot_x"), F.lit(3900000.0).alias("origin_y"), F.lit(0.0).alias("rot_y"), F.lit(-10.0).alias("px_h"))
+    return tiles.withColumn("gt", grid.shift_geotransform(gt, F.col("tile") * 120, F.col("tile") * 80)).select("tile", "gt.origin_x", "gt.origin_y")
+
+
+@query(
+    "mosaic",
+    scenes.SCENES,
+    "SELECT r, c, coalesce(max(b04) FILTER (WHERE scene = 'after'), max(b04) FILTER (WHERE scene = 'before')) AS b04 FROM scenes GROUP BY r, c",
+)
+def mosaic(spark, sf):
+    both = scenes.scenes(spark, sf)
+    return tables.mosaic([both.filter(F.col("scene") == s).select("r", "c", "b04") for s in ("before", "after")])
+
+
+@query(
+    "resample_nearest",
+    scenes.LABELS,
+    "SELECT t.r, t.c, s.wc FROM dense t LEFT JOIN labelled s ON s.r = CAST(floor((t.r + 0.5) * 10 / 25) AS INT) AND s.c = CAST(floor((t.c + 0.5) * 10 / 25) AS INT)",
+)
+def resample_nearest(spark, sf):
+    gt = lambda size: tables.Geotransform(300000.0, size, 4000000.0, -size)
+    return tables.resample_nearest(scenes.dense_grid(spark, sf).select("r", "c"), gt(10.0), scenes.label_map(spark, sf), gt(25.0), "wc")
+
+
+# Map algebra
+
+
+@query("band_diff", scenes.CLEAR, "SELECT r, c, b04_a - b04_b AS diff, abs(b04_a - b04_b) AS abs_diff FROM clear")
+def band_diff(spark, sf):
+    diff = change.difference(F.col("b04_b"), F.col("b04_a"))
+    return scenes.clear_pair(spark, sf).select("r", "c", diff.alias("diff"), F.abs(diff).alias("abs_diff"))
+
+
+_INDEX_SQL = {
+    "ndvi": "(b08_b - b04_b) / nullif(b08_b + b04_b, 0)", "ndwi": "(b03_b - b08_b) / nullif(b03_b + b08_b, 0)", "brightness": "(b02_b + b03_b + b04_b + b08_b) / 4",
+    "savi": "1.5 * (b08_b - b04_b) / nullif(b08_b + b04_b + 0.5, 0)", "evi": "2.5 * (b08_b - b04_b) / nullif(b08_b + 6 * b04_b - 7.5 * b02_b + 1, 0)", "bsi": "(b04_b + b02_b - b08_b) / nullif(b04_b + b02_b + b08_b, 0)",
+}
+
+
+def _index(name: str):
+    @query(name, scenes.CLEAR, f"SELECT r, c, round({_INDEX_SQL[name]}, 6) AS {name} FROM clear")
+    def run(spark, sf):
+        features = {c: f for c, f in zip(indices.FEATURES, indices.feature_columns("_b"))}
+        return scenes.clear_pair(spark, sf).select("r", "c", features[name].alias("x")).select("r", "c", r6(F.col("x"), name))
+
+    return run
+
+
+for _name in _INDEX_SQL:
+    _index(_name)
+
+
+@query("ndvi_delta", scenes.MAPS, "SELECT r, c, round(ndvi_b, 6) AS before, round(ndvi_a, 6) AS after, round(delta, 6) AS delta, round(abs(delta), 6) AS abs_delta FROM maps")
+def ndvi_delta(spark, sf):
+    rows = scenes.class_maps(spark, sf)
+    return rows.select("r", "c", r6(F.col("ndvi_b"), "before"), r6(F.col("ndvi_a"), "after"), r6(F.col("delta"), "delta"), r6(F.abs("delta"), "abs_delta"))
+
+
+_FEATURES_SQL = ", ".join([f"{b}_b AS {b}" for b in indices.BANDS] + [f"{v} AS {k}" for k, v in _INDEX_SQL.items()])
+
+
+@query("feature_stack", scenes.CLEAR, f"SELECT r, c, {', '.join(f'round({k}, 6) AS {k}' for k in indices.FEATURES)}, {' AND '.join(f'{k} IS NOT NULL' for k in indices.FEATURES)} AS present FROM (SELECT r, c, {_FEATURES_SQL} FROM clear)")
+def feature_stack(spark, sf):
+    return learning.date_features(scenes.clear_pair(spark, sf), "b").select("r", "c", *(r6(F.col(k), k) for k in indices.FEATURES), "present")
+
+
+@query(
+    "feature_stack_texture",
+    f"""{sqltext.FULL},
+top AS (SELECT quantile_cont(b08_b, 0.99) AS p99 FROM clear WHERE b08_b > 0),
+scaled AS (SELECT r, c, coalesce(least(1.0, greatest(0.0, b08_b / nullif(p99, 0))), 0.0) AS x FROM cells LEFT JOIN clear USING (r, c) CROSS JOIN top),
+{sqltext.box('scaled', 'tex', 'x')}""",
+    "SELECT r, c, round(b08_b, 6) AS b08, CASE WHEN b08_b IS NOT NULL THEN round(homogeneity, 6) END AS homogeneity, CASE WHEN b08_b IS NOT NULL THEN round(contrast, 6) END AS contrast FROM clear JOIN tex USING (r, c)",
+)
+def feature_stack_texture(spark, sf):
+    pair = scenes.clear_pair(spark, sf)
+    out = learning.with_texture(learning.date_features(pair, "b"), grid.shape_of(scenes.pair(spark, sf)))
+    return out.select("r", "c", *(r6(F.col(k), k) for k in ("b08", "homogeneity", "contrast")))
+
+
+_ANGLE = "degrees(atan2(b08_a - b08_b, b04_a - b04_b))"
+
+
+@query("change_vector", scenes.MAPS, "SELECT r, c, round(magnitude, 6) AS magnitude FROM maps")
+def change_vector(spark, sf):
+    return scenes.class_maps(spark, sf).select("r", "c", r6(F.col("magnitude"), "magnitude"))
+
+
+@query("direction", scenes.CLEAR, f"SELECT r, c, round(CASE WHEN {_ANGLE} < 0 THEN {_ANGLE} + 360 ELSE {_ANGLE} END, 6) AS direction FROM clear")
+def direction(spark, sf):
+    return scenes.clear_pair(spark, sf).select("r", "c", r6(change.direction(F.col("b04_a") - F.col("b04_b"), F.col("b08_a") - F.col("b08_b")), "direction"))
+
+
+@query(
+    "direction_class",
+    f"{scenes.MAPS}, turned AS (SELECT r, c, magnitude, CASE WHEN {_ANGLE} < 0 THEN {_ANGLE} + 360 ELSE {_ANGLE} END AS d FROM maps)",
+    "SELECT r, c, coalesce(CASE WHEN magnitude > 700 THEN CASE WHEN d >= 180 AND d < 270 THEN 1 WHEN d >= 90 AND d < 180 THEN 2 WHEN d >= 0 AND d < 90 THEN 3 WHEN d >= 270 THEN 4 END END, 0) AS change_type FROM turned",
+)
+def direction_class(spark, sf):
+    rows = scenes.class_maps(spark, sf)
+    angle = change.direction(F.col("b04_a") - F.col("b04_b"), F.col("b08_a") - F.col("b08_b"))
+    return rows.select("r", "c", change.direction_class(angle, F.col("magnitude"), F.lit(700.0)).alias("change_type"))
+
+
+@query("normalize_band", scenes.DENSE, "SELECT r, c, round((x - (SELECT min(x) FROM dense)) / (SELECT max(x) - min(x) FROM dense), 6) AS scaled FROM dense")
+def normalize_band(spark, sf):
+    return grid.normalise(scenes.dense_grid(spark, sf), "x", "scaled").select("r", "c", r6(F.col("scaled"), "scaled"))
+
+
+@query("zscore", scenes.DENSE, "SELECT r, c, round((x - (SELECT avg(x) FROM dense)) / (SELECT stddev_pop(x) FROM dense), 5) AS z FROM dense")
+def zscore(spark, sf):
+    return grid.scene_zscore(scenes.dense_grid(spark, sf), "x").select("r", "c", F.round("x", 5).alias("z"))
+
+
+@query("pixel_index", scenes.DENSE, "SELECT r, c, CAST(r * 100 + c AS BIGINT) AS pixel_id, (r * 100 + c) // 100 AS r2, (r * 100 + c) % 100 AS c2 FROM dense")
+def pixel_index(spark, sf):
+    rows = scenes.dense_grid(spark, sf).select("r", "c", (F.col("r").cast("long") * 100 + F.col("c")).alias("pixel_id"))
+    return rows.select("*", F.expr("cast(pixel_id div 100 as int)").alias("r2"), (F.col("pixel_id") % 100).cast("int").alias("c2"))
+
+
+@query("sibling_band", None, "SELECT p_partkey, replace('T31_' || p_name || '_B04_10m.jp2', '_B04_', '_B08_') AS nir, replace(lower(p_type), ' ', '_') AS slug, replace(replace(replace(p_type, ' ', '_'), '+', ''), '__', '_') AS file FROM part")
+def sibling_band(spark, sf):
+    path = F.concat(F.lit("T31_"), F.col("p_name"), F.lit("_B04_10m.jp2"))
+    return scenes.table(spark, sf, "part").select("p_partkey", display.sibling_band(path, "B08").alias("nir"), display.metric_slug(F.col("p_type"), slashes=False).alias("slug"), display.file_slug(F.col("p_type")).alias("file"))
+
+
+# Classes
+
+
+@query("recode_classes", scenes.LABELS, "SELECT r, c, CASE WHEN wc IN (10, 40) THEN 1 WHEN wc IN (50, 60, 70) THEN 2 WHEN wc IN (80, 90, 95) THEN 3 WHEN wc IN (20, 30, 100) THEN 4 ELSE 0 END AS label FROM labelled")
+def recode_classes(spark, sf):
+    return scenes.label_map(spark, sf).select("r", "c", classes.recode(F.col("wc"), classes.CODE_TO_CLASS).alias("label"))
+
+
+@query("recode_binary", scenes.LABELS, "SELECT r, c, CASE WHEN wc IN (10, 20, 30, 40, 100) THEN 1 WHEN wc IN (50, 60, 70, 80, 90, 95) THEN 2 ELSE 0 END AS label FROM labelled")
+def recode_binary(spark, sf):
+    labels = scenes.label_map(spark, sf)
+    dim = classes.class_table(spark, classes.CODE_TO_BINARY)
+    return labels.join(F.broadcast(dim), labels.wc == dim.code, "left").select("r", "c", F.coalesce("class", F.lit(0)).alias("label"))
+
+
+@query("pseudo_labels", scenes.MAPS, "SELECT r, c, coalesce(CASE WHEN ndvi_b > 0.45 THEN 1 WHEN ndvi_b < 0.38 THEN 2 END, 0) AS label FROM maps")
+def pseudo_labels(spark, sf):
+    return scenes.class_maps(spark, sf).select("r", "c", classes.pseudo_label(F.col("ndvi_b"), 0.45, 0.38).alias("label"))
+
+
+@query("class_counts", scenes.LABELS, "SELECT wc, count(*) AS n FROM labelled GROUP BY wc")
+def class_counts(spark, sf):
+    return scenes.label_map(spark, sf).groupBy("wc").agg(F.count("*").alias("n"))
+
+
+@query("class_colours", scenes.MAPS, "SELECT class_b AS class, list_extract(['#ffffff', '#2dc653', '#c1440e', '#457b9d', '#f4d35e'], class_b + 1) AS colour, CASE WHEN class_b = 0 THEN 0.25 ELSE 1.0 END AS opacity, count(*) AS n FROM maps GROUP BY ALL")
+def class_colours(spark, sf):
+    colour, opacity = classes.colour(F.col("class_b"))
+    return scenes.class_maps(spark, sf).groupBy(F.col("class_b").alias("class"), colour.alias("colour"), opacity.alias("opacity")).agg(F.count("*").alias("n"))
+
+
+# Histograms, thresholds, neighbourhoods
+
+
+@query("histogram_256", f"{scenes.DENSE}, {sqltext.histogram('dense', 'h', 'x')}", "SELECT bin, round(centre, 6) AS centre, n FROM h")
+def histogram_256(spark, sf):
+    return histogram(scenes.dense_grid(spark, sf), "x").select("bin", r6(F.col("centre"), "centre"), "n")
+
+
+@query("histogram_80", f"{scenes.DENSE}, {sqltext.histogram('dense', 'h', 'x', 80, 'x IS NOT NULL')}", "SELECT bin, round(centre, 6) AS centre, n FROM h")
+def histogram_80(spark, sf):
+    return histogram(scenes.dense_grid(spark, sf), "x", bins=80, positive=False).select("bin", r6(F.col("centre"), "centre"), "n")
+
+
+@query("percentiles", scenes.DENSE, "SELECT round(quantile_cont(x, 0.95), 6) AS p95, round(quantile_cont(x, 0.99), 6) AS p99, round(stddev_pop(x), 6) AS deviation FROM dense WHERE x > 0")
+def percentiles(spark, sf):
+    return scenes.dense_grid(spark, sf).filter("x > 0").agg(r6(F.percentile("x", F.lit(0.95)), "p95"), r6(F.percentile("x", F.lit(0.99)), "p99"), r6(F.stddev_pop("x"), "deviation"))
+
+
+@query("otsu_global", f"{scenes.DENSE}, {sqltext.otsu('dense', 't', 'x')}", "SELECT round(threshold, 6) AS threshold FROM t")
+def otsu_global(spark, sf):
+    return otsu(scenes.dense_grid(spark, sf), "x").select(r6(F.col("threshold"), "threshold"))
+
+
+@query("otsu_per_tile", f"{scenes.DENSE}, tiles AS (SELECT (r // 25) * 4 + c // 25 AS tile, x FROM dense), {sqltext.otsu('tiles', 't', 'x', 'tile')}", "SELECT CAST(tile AS INT) AS tile, round(threshold, 6) AS threshold FROM t")
+def otsu_per_tile(spark, sf):
+    tiles = scenes.dense_grid(spark, sf).withColumn("tile", F.expr("cast((r div 25) * 4 + c div 25 as int)"))
+    return otsu(tiles, "x", ("tile",)).select("tile", r6(F.col("threshold"), "threshold"))
+
+
+@query("gaussian_blur", f"{scenes.DENSE}, {sqltext.blurred('dense', 'b', 'x')}", "SELECT r, c, round(smoothed, 6) AS x FROM b")
+def gaussian_blur(spark, sf):
+    cells = scenes.dense_grid(spark, sf)
+    return focal.gaussian(cells, grid.shape_of(cells), "x", tile=64).select("r", "c", r6(F.col("x"), "x"))
+
+
+_UNIT = f"{scenes.DENSE}, unit AS (SELECT r, c, x / 100 AS x FROM dense), {sqltext.box('unit', 't', 'x')}"
+
+
+def _texture(spark, sf):
+    cells = scenes.dense_grid(spark, sf).select("r", "c", (F.col("x") / 100).alias("x"))
+    return focal.box_texture(cells, grid.shape_of(cells), "x", tile=64)
+
+
+@query("box_homogeneity", _UNIT, "SELECT r, c, round(homogeneity, 6) AS homogeneity FROM t")
+def box_homogeneity(spark, sf):
+    return _texture(spark, sf).select("r", "c", r6(F.col("homogeneity"), "homogeneity"))
+
+
+@query("local_contrast", _UNIT, "SELECT r, c, round(contrast, 6) AS contrast FROM t")
+def local_contrast(spark, sf):
+    return _texture(spark, sf).select("r", "c", r6(F.col("contrast"), "contrast"))
+
+
+_FULL_MAPS = f"""{scenes.MAPS},
+extent AS (SELECT max(r) AS h, max(c) AS w FROM pair),
+cells AS (SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c FROM (SELECT unnest(range(h + 1)) AS i FROM extent), (SELECT unnest(range(w + 1)) AS j FROM extent)),
+full_maps AS (SELECT r, c, coalesce(class_b, 0) AS class_b, coalesce(class_a, 0) AS class_a, coalesce(valid, false) AS valid, coalesce(rf, false) AS rf, coalesce(ndvi, false) AS ndvi FROM cells LEFT JOIN maps USING (r, c)),
+{sqltext.majority('full_maps', 'm', ['class_b', 'class_a'], [1, 2, 3, 4])}"""
+
+
+def _majority(spark, sf):
+    maps = scenes.class_maps(spark, sf)
+    shape = grid.shape_of(scenes.pair(spark, sf))
+    cells = grid.dense(maps.select("r", "c", "class_b", "class_a", "valid", "rf", "ndvi"), shape)
+    return cells, focal.majority(cells, shape, ["class_b", "class_a"], [1, 2, 3, 4], F.col("valid"), tile=64)
+
+
+@query("majority_filter", _FULL_MAPS, "SELECT r, c, class_b, class_a FROM m")
+def majority_filter(spark, sf):
+    return _majority(spark, sf)[1]
+
+
+@query(
+    "majority_compare",
+    f"{_FULL_MAPS}, j AS (SELECT f.valid, f.rf, f.ndvi, f.valid AND m.class_b > 0 AND m.class_a > 0 AND m.class_b <> m.class_a AS now FROM full_maps f JOIN m USING (r, c))",
+    """SELECT count_if(valid) AS total_pixels, round(100.0 * count_if(valid AND rf) / count_if(valid), 6) AS change_pct_original, round(100.0 * count_if(now) / count_if(valid), 6) AS change_pct_smoothed,
+round(100.0 * count_if(valid AND rf) / count_if(valid) - 100.0 * count_if(now) / count_if(valid), 6) AS reduction_pp,
+round(coalesce(CAST(count_if(valid AND rf AND ndvi) AS DOUBLE) / nullif(count_if(valid AND (rf OR ndvi)), 0), 0), 6) AS jaccard_original,
+round(coalesce(CAST(count_if(valid AND now AND ndvi) AS DOUBLE) / nullif(count_if(valid AND (now OR ndvi)), 0), 0), 6) AS jaccard_smoothed FROM j""",
+)
+def majority_compare(spark, sf):
+    cells, smooth = _majority(spark, sf)
+    old = cells.select("r", "c", *(F.coalesce(k, F.lit(False)).alias(n) for k, n in (("valid", "valid"), ("rf", "changed_before"), ("ndvi", "ndvi"))))
+    rows = smooth.join(old, ["r", "c"]).withColumn("changed", F.col("valid") & (F.col("class_b") > 0) & (F.col("class_a") > 0) & (F.col("class_b") != F.col("class_a")))
+    out = learning.majority_comparison(rows, "ndvi")
+    return out.select("total_pixels", *(r6(F.col(k), k) for k in out.columns[1:]))
+
+
+# Methods
+
+
+def _run(method, spark, sf):
+    return method(scenes.clear_pair(spark, sf), grid.shape_of(scenes.pair(spark, sf)))
+
+
+def _figures(result):
+    s = result.summary
+    return s.select(*(r6(F.col(k), k) if k.endswith("pct") or k == "threshold" else F.col(k) for k in s.columns))
+
+
+def _figures_sql(source: str, valid: str, more: str = "") -> str:
+    return f"SELECT count(*) AS total_pixels, count({valid}) AS valid_pixels, count_if(changed) AS changed_pixels, round(coalesce(100.0 * count_if(changed) / nullif(count({valid}), 0), 0), 6) AS change_pct, round(max(threshold), 6) AS threshold{more} FROM {source}"
+
+
+@query("run_band_diff", sqltext.BAND_DIFF, _figures_sql("bd", "abs_diff"))
+def run_band_diff(spark, sf):
+    return _figures(_run(methods.band_differencing, spark, sf))
+
+
+@query("run_ndvi_diff", sqltext.NDVI_DIFF, _figures_sql("nd", "delta", ", round(coalesce(100.0 * count_if(gain) / nullif(count(delta), 0), 0), 6) AS gain_pct, round(coalesce(100.0 * count_if(loss) / nullif(count(delta), 0), 0), 6) AS loss_pct"))
+def run_ndvi_diff(spark, sf):
+    return _figures(_run(methods.ndvi_differencing, spark, sf))
+
+
+@query("run_cva", sqltext.CVA, _figures_sql("cv", "magnitude"))
+def run_cva(spark, sf):
+    return _figures(_run(methods.change_vectors, spark, sf))
+
+
+@query("ndvi_change_map", sqltext.NDVI_DIFF, "SELECT r, c, changed, gain, loss FROM nd")
+def ndvi_change_map(spark, sf):
+    return _run(methods.ndvi_differencing, spark, sf).pixels.select("r", "c", "changed", "gain", "loss")
+
+
+_TYPES = "(VALUES (1, 'Vegetation Loss'), (2, 'Vegetation Gain'), (3, 'Urban/Soil Gain'), (4, 'Water/Shadow'))"
+
+
+@query(
+    "cva_type_stats",
+    sqltext.CVA,
+    f"SELECT t.change_type, t.label, coalesce(n, 0) AS n, round(coalesce(100.0 * coalesce(n, 0) / nullif((SELECT count(magnitude) FROM cv), 0), 0), 6) AS pct FROM {_TYPES} t(change_type, label) LEFT JOIN (SELECT change_type, count(*) AS n FROM cv GROUP BY change_type) USING (change_type)",
+)
+def cva_type_stats(spark, sf):
+    return methods.type_counts(_run(methods.change_vectors, spark, sf)).select("change_type", "label", "n", r6(F.col("pct"), "pct"))
+
+
+# Cross tabulations and agreement
+
+_CELLS = "(SELECT unnest(range(1, 5)) AS class_before), (SELECT unnest(range(1, 5)) AS class_after)"
+
+
+def _matrix_sql(where: str) -> str:
+    return f"""matrix AS (SELECT CAST(class_before AS INT) AS class_before, CAST(class_after AS INT) AS class_after, coalesce(k.n, 0) AS n, coalesce(100.0 * coalesce(k.n, 0) / nullif(sum(coalesce(k.n, 0)) OVER (PARTITION BY class_before), 0), 0) AS row_pct FROM {_CELLS}
+LEFT JOIN (SELECT class_b, class_a, count(*) AS n FROM maps WHERE class_b > 0 AND class_a > 0 AND {where} GROUP BY ALL) k ON class_b = class_before AND class_a = class_after)"""
+
+
+_MATRIX = "SELECT class_before, class_after, n, round(row_pct, 6) AS row_pct FROM matrix"
+
+
+@query("transition_matrix", f"{scenes.MAPS}, {_matrix_sql('true')}", _MATRIX)
+def transition_matrix(spark, sf):
+    return crosstab.transitions(scenes.class_maps(spark, sf), "class_b", "class_a", 4).select("class_before", "class_after", "n", r6(F.col("row_pct"), "row_pct"))
+
+
+@query("transition_matrix_conf", f"{scenes.MAPS}, {_matrix_sql('conf_b >= 0.6 AND conf_a >= 0.6')}", _MATRIX)
+def transition_matrix_conf(spark, sf):
+    sure = (F.col("conf_b") >= 0.6) & (F.col("conf_a") >= 0.6)
+    return crosstab.transitions(scenes.class_maps(spark, sf), "class_b", "class_a", 4, sure).select("class_before", "class_after", "n", r6(F.col("row_pct"), "row_pct"))
+
+
+_PAIRS = [("ndvi", "rf"), ("ndvi", "cva"), ("ndvi", "bd"), ("rf", "cva"), ("rf", "bd"), ("cva", "bd")]
+
+
+def _jaccard_sql(a: str, b: str, ok: str = "true") -> str:
+    return f"round(coalesce(CAST(count_if({ok} AND {a} AND {b}) AS DOUBLE) / nullif(count_if({ok} AND ({a} OR {b})), 0), 0), 6)"
+
+
+@query("jaccard_pairs", scenes.MAPS, f"SELECT {', '.join(f'{_jaccard_sql(a, b)} AS {a}_{b}' for a, b in _PAIRS)} FROM maps")
+def jaccard_pairs(spark, sf):
+    return scenes.class_maps(spark, sf).agg(*(r6(crosstab.jaccard(F.col(a), F.col(b)), f"{a}_{b}") for a, b in _PAIRS))
+
+
+_SEVERITY = """CASE WHEN delta IS NULL OR NOT valid THEN 0 WHEN loss AND delta < -0.20 THEN 1 WHEN loss AND delta < -0.10 THEN 2 WHEN loss THEN 3 WHEN gain THEN 4
+WHEN ndvi_b >= 0.22 AND ndvi_a >= 0.18 THEN 5 WHEN ndvi_b < 0.12 THEN 6 WHEN ndvi_b >= 0.12 AND ndvi_b < 0.22 THEN 7 ELSE 0 END"""
+_STATES = ", ".join(f"({k}, '{v}')" for k, v in change.SEVERITIES.items())
+
+
+@query(
+    "ndvi_severity",
+    f"{scenes.MAPS}, s AS (SELECT {_SEVERITY} AS severity FROM maps)",
+    f"SELECT t.severity, t.label, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM s), 6) AS pct FROM (VALUES {_STATES}) t(severity, label) LEFT JOIN (SELECT severity, count(*) AS n FROM s GROUP BY severity) USING (severity)",
+)
+def ndvi_severity(spark, sf):
+    return consensus.ndvi_severity(scenes.class_maps(spark, sf)).select("severity", "label", "n", r6(F.col("pct"), "pct"))
+
+
+_SCORED = f"""{scenes.MAPS}, top AS (SELECT quantile_cont(magnitude, 0.95) AS p95 FROM maps WHERE magnitude > 0),
+scored AS (SELECT *, CASE WHEN valid AND delta IS NOT NULL THEN CAST(ndvi AS INT) + CAST(rf AS INT) + CAST(cva AS INT) + CAST(bd AS INT) ELSE 0 END AS agreement,
+  CASE WHEN valid AND delta IS NOT NULL THEN round(0.45e0 * CAST(ndvi AS INT) + 0.30e0 * CAST(rf AS INT) * greatest(0.0, least(1.0, (least(conf_b, conf_a) - 0.6e0) / (1 - 0.6e0)))
+    + 0.20e0 * CAST(cva AS INT) * (0.5e0 + 0.5e0 * least(1.0, greatest(0.0, coalesce(magnitude, 0) / p95))) + 0.05e0 * CAST(bd AS INT), 6) ELSE 0.0 END AS score FROM maps CROSS JOIN top),
+voted AS (SELECT * REPLACE (valid AND delta IS NOT NULL AS valid), CASE WHEN score >= 0.55 THEN 2 WHEN score >= 0.35 THEN 1 ELSE 0 END AS consensus_class FROM scored)"""
+
+
+def _scored(spark, sf):
+    return consensus.consensus(scenes.class_maps(spark, sf))
+
+
+@query("consensus_map", _SCORED, "SELECT r, c, agreement, round(score, 5) AS score, consensus_class FROM voted")
+def consensus_map(spark, sf):
+    return _scored(spark, sf).select("r", "c", "agreement", F.round("score", 5).alias("score"), "consensus_class")
+
+
+@query(
+    "consensus_summary",
+    _SCORED,
+    f"SELECT count_if(valid) AS valid_pixels, round(100.0 * count_if(valid AND consensus_class >= 1) / count_if(valid), 6) AS change_pct_any, round(100.0 * count_if(valid AND consensus_class = 2) / count_if(valid), 6) AS change_pct_confirmed, {', '.join(f'{_jaccard_sql(a, b, chr(118) + "alid")} AS jaccard_{a}_{b}' for a, b in _PAIRS)} FROM voted",
+)
+def consensus_summary(spark, sf):
+    out = consensus.consensus_summary(_scored(spark, sf))
+    return out.select("valid_pixels", *(r6(F.col(k), k) for k in out.columns[1:]))
+
+
+@query("agreement_hist", _SCORED, "SELECT agreement, count(*) AS n FROM voted GROUP BY agreement")
+def agreement_hist(spark, sf):
+    return _scored(spark, sf).groupBy("agreement").agg(F.count("*").alias("n"))
+
+
+@query(
+    "credible_transitions",
+    f"""{scenes.MAPS}, {_matrix_sql('conf_b >= 0.6 AND conf_a >= 0.6')},
+totals AS (SELECT CASE WHEN count_if(rf) > 0 THEN CAST(count_if(ndvi) AS DOUBLE) / count_if(rf) ELSE 1.0 END AS scale_factor FROM maps WHERE valid),
+off AS (SELECT *, CASE WHEN class_before <> class_after THEN row_pct * scale_factor ELSE 0.0 END AS o FROM matrix CROSS JOIN totals),
+scaled AS (SELECT *, CASE WHEN class_before <> class_after THEN o ELSE greatest(0.0, 100 - sum(o) OVER (PARTITION BY class_before)) END AS scaled_pct FROM off),
+judged AS (SELECT *, (class_before = 2 AND class_after = 1 AND scaled_pct > 15) OR (class_before <> class_after AND ((class_before = 3 AND scaled_pct > 30) OR (class_after = 3 AND scaled_pct > 10))) AS suspect FROM scaled)""",
+    "SELECT class_before, class_after, round(scaled_pct, 5) AS scaled_pct, suspect, round(coalesce(CASE WHEN suspect THEN 0 ELSE scaled_pct END / nullif(sum(CASE WHEN suspect THEN 0 ELSE scaled_pct END) OVER (PARTITION BY class_before), 0) * 100, 0), 5) AS credible_pct FROM judged",
+)
+def credible_transitions(spark, sf):
+    maps = scenes.class_maps(spark, sf)
+    matrix = crosstab.transitions(maps, "class_b", "class_a", 4, (F.col("conf_b") >= 0.6) & (F.col("conf_a") >= 0.6))
+    totals = maps.filter("valid").agg(F.count_if("ndvi").cast("double").alias("ndvi_n"), F.count_if("rf").cast("double").alias("rf_n"))
+    out = consensus.credible_transitions(matrix, F.col("ndvi_n"), F.col("rf_n"), totals)
+    return out.select("class_before", "class_after", F.round("scaled_pct", 5).alias("scaled_pct"), "suspect", F.round("credible_pct", 5).alias("credible_pct"))
+
+
+@query(
+    "confidence_sweep",
+    f"""{scenes.MAPS}, taus AS (SELECT i, round(0.5 + 0.05 * i, 2) AS threshold FROM (SELECT unnest(range(9)) AS i)),
+swept AS (SELECT i, threshold, (SELECT count_if(valid) FROM maps) AS valid, count(*) AS n, count_if(rf) AS c, coalesce(CAST(count_if(rf AND ndvi) AS DOUBLE) / nullif(count_if(rf OR ndvi), 0), 0) AS jaccard
+  FROM taus JOIN maps ON valid AND least(conf_b, conf_a) >= threshold GROUP BY ALL)""",
+    "SELECT CAST(threshold AS DOUBLE) AS threshold, round(100.0 * n / valid, 6) AS coverage_pct, round(100.0 * c / n, 6) AS change_pct, round(jaccard, 6) AS jaccard, jaccard > 0 AND row_number() OVER (ORDER BY jaccard DESC, i) = 1 AS best FROM swept",
+)
+def confidence_sweep(spark, sf):
+    out = consensus.confidence_sweep(scenes.class_maps(spark, sf).withColumn("changed", F.col("rf")))
+    return out.select("threshold", *(r6(F.col(k), k) for k in ("coverage_pct", "change_pct", "jaccard")), "best")
+
+
+@query(
+    "macro_f1",
+    f"{scenes.MAPS}, k AS (SELECT class_b AS t, class_a AS p FROM maps WHERE valid), s AS (SELECT x.class, count_if(t = x.class AND p = x.class) AS hit, count_if(t = x.class) AS support, count_if(p = x.class) AS found FROM k, (SELECT t AS class FROM k UNION SELECT p FROM k) x GROUP BY x.class)",
+    "SELECT round(avg(2.0 * hit / (support + found)), 6) AS macro_f1, round(CAST(sum(hit) AS DOUBLE) / sum(support), 6) AS accuracy FROM s",
+)
+def macro_f1(spark, sf):
+    out = crosstab.macro_f1(scenes.class_maps(spark, sf).filter("valid"), "class_b", "class_a")
+    return out.select(r6(F.col("macro_f1"), "macro_f1"), r6(F.col("accuracy"), "accuracy"))
+
+
+@query(
+    "class_report",
+    f"{scenes.MAPS}, k AS (SELECT class_b AS t, class_a AS p FROM maps WHERE valid), s AS (SELECT x.class, count_if(t = x.class AND p = x.class) AS hit, count_if(t = x.class) AS support, count_if(p = x.class) AS found FROM k, (SELECT t AS class FROM k UNION SELECT p FROM k) x GROUP BY x.class)",
+    "SELECT class, round(coalesce(1.0 * hit / nullif(found, 0), 0), 6) AS precision, round(coalesce(1.0 * hit / nullif(support, 0), 0), 6) AS recall, round(2.0 * hit / (support + found), 6) AS f1, support FROM s",
+)
+def class_report(spark, sf):
+    out = crosstab.class_scores(scenes.class_maps(spark, sf).filter("valid"), "class_b", "class_a")
+    return out.select("class", *(r6(F.col(k), k) for k in ("precision", "recall", "f1")), "support")
+
+
+# Statistics
+
+
+def _long_sql(source: str, method: str, metrics: list[tuple[str, str, str]]) -> str:
+    return "\nUNION ALL ".join(f"SELECT {k} AS ordinal, '{method}' AS method, '{name}' AS metric, CAST({value} AS DOUBLE) AS value, '{unit}' AS unit FROM {source}" for k, (name, value, unit) in enumerate(metrics))
+
+
+def _share_sql(n: str, valid: str) -> str:
+    return f"round(coalesce(100.0 * count_if({n}) / nullif(count({valid}), 0), 0), 4)"
+
+
+def _universal(valid: str) -> list[tuple[str, str, str]]:
+    return [("total_pixels", "count(*)", "px"), ("changed_pixels", "count_if(changed)", "px"), ("unchanged_pixels", "count(*) - count_if(changed)", "px"), ("change_pct", _share_sql("changed", valid), "%"), ("threshold", "round(max(threshold), 6)", "")]
+
+
+def _sizes(column: str) -> list[tuple[str, str, str]]:
+    return [(f"{column}_mean", f"round(avg({column}), 4)", ""), (f"{column}_std", f"round(stddev_pop({column}), 4)", ""), (f"{column}_max", f"round(max({column}), 4)", "")]
+
+
+_CVA_SLUGS = {k: v.lower().replace(" ", "_").replace("/", "_") for k, v in change.CVA_TYPES.items()}
+
+
+@query("stats_long_bd", sqltext.BAND_DIFF, _long_sql("bd", "Band Differencing", _universal("abs_diff") + _sizes("abs_diff")))
+def stats_long_bd(spark, sf):
+    return reporting.long_statistics(_run(methods.band_differencing, spark, sf))
+
+
+_NDVI_LONG = [(f"{n}_mean", f"round(avg({c}), 6)", "") for n, c in (("ndvi_before", "ndvi_b"), ("ndvi_after", "ndvi_a"), ("delta_ndvi", "delta"))] + [(f"{n}_std", f"round(stddev_pop({c}), 6)", "") for n, c in (("delta_ndvi", "delta"), ("ndvi_before", "ndvi_b"), ("ndvi_after", "ndvi_a"))]
+
+
+@query("stats_long_ndvi", sqltext.NDVI_DIFF, _long_sql("nd", "NDVI Differencing", _universal("delta") + _NDVI_LONG + [("vegetation_gain_pct", _share_sql("gain", "delta"), "%"), ("vegetation_loss_pct", _share_sql("loss", "delta"), "%")]))
+def stats_long_ndvi(spark, sf):
+    return reporting.long_statistics(_run(methods.ndvi_differencing, spark, sf))
+
+
+@query("stats_long_cva", sqltext.CVA, _long_sql("cv", "CVA", _universal("magnitude") + _sizes("magnitude") + [x for k, s in _CVA_SLUGS.items() for x in ((f"cva_{s}_px", f"count_if(change_type = {k})", "px"), (f"cva_{s}_pct", _share_sql(f"change_type = {k}", "magnitude"), "%"))]))
+def stats_long_cva(spark, sf):
+    return reporting.long_statistics(_run(methods.change_vectors, spark, sf))
+
+
+def _all(spark, sf):
+    return [_run(m, spark, sf) for m in (methods.band_differencing, methods.ndvi_differencing, methods.change_vectors)]
+
+
+def _wide_sql() -> str:
+    own = {"bd": ("Band Differencing", "abs_diff"), "nd": ("NDVI Differencing", "delta"), "cv": ("CVA", "magnitude")}
+    rows = []
+    for source, (method, valid) in own.items():
+        ndvi = (_share_sql("gain", "delta"), _share_sql("loss", "delta"), "round(avg(delta), 6)") if source == "nd" else ("NULL",) * 3
+        types = [_share_sql(f"change_type = {k}", valid) if source == "cv" else "NULL" for k in _CVA_SLUGS]
+        more = ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for v, n in zip((*ndvi, *types), ("ndvi_gain_pct", "ndvi_loss_pct", "delta_ndvi_mean", *(f"cva_{s}_pct" for s in _CVA_SLUGS.values()))))
+        rows.append(f"SELECT '{method}' AS method, {_share_sql('changed', valid)} AS change_pct, count_if(changed) AS changed_pixels, count(*) AS total_pixels, round(max(threshold), 6) AS threshold, {more} FROM {source}")
+    return "\nUNION ALL ".join(rows)
+
+
+@query("compare_methods", sqltext.ALL_METHODS, _wide_sql())
+def compare_methods(spark, sf):
+    return reporting.compare(_all(spark, sf))
+
+
+@query(
+    "summary_table",
+    f"{sqltext.ALL_METHODS}, wide AS ({_wide_sql()})",
+    "SELECT method, printf('%.2f%%', change_pct) AS change, printf('%.0f km²', change_pct * 4) AS changed_area, CASE WHEN method = 'NDVI Differencing' THEN printf('±%.4f', threshold) ELSE printf('%.2f', threshold) END AS threshold FROM wide",
+)
+def summary_table(spark, sf):
+    return reporting.summary_table(reporting.compare(_all(spark, sf)))
+
+
+@query(
+    "area_stats",
+    sqltext.ALL_METHODS,
+    "\nUNION ALL ".join(
+        f"""SELECT '{m}' AS method, round(count_if(changed) * 100.0, 2) AS changed_area_m2, round(count_if(changed) * 100.0 / 10000, 4) AS changed_area_ha, round(count_if(changed) * 100.0 / 1000000, 6) AS changed_area_km2,
+round((count(*) - count_if(changed)) * 100.0 / 10000, 4) AS unchanged_area_ha, round(100.0 * count_if(changed) / count(*), 4) AS change_pct, count(*) AS valid_pixels FROM {s}"""
+        for s, m in (("bd", "Band Differencing"), ("nd", "NDVI Differencing"), ("cv", "CVA"))
+    ),
+)
+def area_stats(spark, sf):
+    return reporting.all_areas(_all(spark, sf))
+
+
+# Tiles
+
+_GRID = """tiles AS (SELECT CAST(i AS INT) AS tile_id, CAST(i // 3 AS INT) AS tile_row, CAST(i % 3 AS INT) AS tile_col, CAST(i % 3 * 33 AS INT) AS dest_x, CAST(i // 3 * (h // 4) AS INT) AS dest_y, h FROM (SELECT unnest(range(12)) AS i), (SELECT max(event_id) // 100 + 1 AS h FROM events)),
+sized AS (SELECT *, CAST(CASE WHEN tile_col < 2 THEN 33 ELSE 100 - dest_x END AS INT) AS x_size_inner, CAST(CASE WHEN tile_row < 3 THEN h // 4 ELSE h - dest_y END AS INT) AS y_size_inner, greatest(0, dest_x - 5) AS x_off, greatest(0, dest_y - 5) AS y_off FROM tiles),
+tile_grid AS (SELECT tile_id, tile_row, tile_col, x_off, y_off, CAST(least(100, dest_x + x_size_inner + 5) - x_off AS INT) AS x_size, CAST(least(h, dest_y + y_size_inner + 5) - y_off AS INT) AS y_size, dest_x - x_off AS x_off_inner, dest_y - y_off AS y_off_inner, x_size_inner, y_size_inner, dest_x, dest_y FROM sized)"""
+
+
+def _event_grid(spark, sf):
+    cells = scenes.dense_grid(spark, sf)
+    return cells, grid.shape_of(cells)
+
+
+@query("tile_grid", _GRID, "SELECT * FROM tile_grid")
+def tile_grid(spark, sf):
+    return tiling.tile_grid(spark, 100, _event_grid(spark, sf)[1].height, 3, 4, 5)
+
+
+@query("scl_tile", _GRID, "SELECT tile_id, x_off // 2 AS x_off, y_off // 2 AS y_off, greatest(1, x_size // 2) AS x_size, greatest(1, y_size // 2) AS y_size FROM tile_grid")
+def scl_tile(spark, sf):
+    return tiling.half_resolution(tiling.tile_grid(spark, 100, _event_grid(spark, sf)[1].height, 3, 4, 5))
+
+
+_IN_TILES = f"""{_GRID}, {scenes.DENSE},
+placed AS (SELECT d.*, g.tile_id, g.tile_row, g.tile_col, d.c >= g.dest_x AND d.c < g.dest_x + g.x_size_inner AND d.r >= g.dest_y AND d.r < g.dest_y + g.y_size_inner AS inner_px
+  FROM dense d JOIN tile_grid g ON d.c >= g.x_off AND d.c < g.x_off + g.x_size AND d.r >= g.y_off AND d.r < g.y_off + g.y_size)"""
+
+
+@query("pixels_in_tiles", _IN_TILES, "SELECT r, c, tile_id, inner_px FROM placed")
+def pixels_in_tiles(spark, sf):
+    cells, shape = _event_grid(spark, sf)
+    return tiling.in_tiles(cells, 100, shape.height, 3, 4, 5).select("r", "c", "tile_id", F.col("inner").alias("inner_px"))
+
+
+_TILE_STATS = """stats AS (SELECT tile_id, tile_row, tile_col, count(*) AS valid_pixels, count_if(x > 50) AS changed_pixels FROM placed WHERE inner_px GROUP BY ALL),
+tile_stats AS (SELECT *, round(100.0 * changed_pixels / valid_pixels, 4) AS change_pct, round(changed_pixels * 100.0 / 10000, 2) AS changed_area_ha, round(changed_pixels * 100.0 / 1000000, 4) AS changed_area_km2 FROM stats)"""
+
+
+def _tile_stats(spark, sf):
+    cells, shape = _event_grid(spark, sf)
+    inner = tiling.in_tiles(cells, 100, shape.height, 3, 4, 5).filter("inner").withColumn("changed", F.col("x") > 50)
+    return tiling.tile_statistics(inner, "changed")
+
+
+@query("tile_stats", f"{_IN_TILES}, {_TILE_STATS}", "SELECT * FROM tile_stats")
+def tile_stats(spark, sf):
+    return _tile_stats(spark, sf)
+
+
+@query("tile_rollup", f"{_IN_TILES}, {_TILE_STATS}", "SELECT CAST(sum(valid_pixels) AS BIGINT) AS valid_pixels, CAST(sum(changed_pixels) AS BIGINT) AS changed_pixels, round(100.0 * sum(changed_pixels) / sum(valid_pixels), 4) AS change_pct FROM tile_stats")
+def tile_rollup(spark, sf):
+    return tiling.rollup(_tile_stats(spark, sf))
+
+
+@query("tile_pivot", f"{_IN_TILES}, {_TILE_STATS}", "SELECT tile_row, " + ", ".join(f"coalesce(max(change_pct) FILTER (WHERE tile_col = {k}), 0.0) AS col_{k}" for k in range(3)) + " FROM tile_stats GROUP BY tile_row")
+def tile_pivot(spark, sf):
+    return tiling.tile_table(_tile_stats(spark, sf), 3)
+
+
+@query("stitch", _IN_TILES, "SELECT d.r, d.c, coalesce(round(p.x * 2, 6), -1.0) AS x FROM dense d LEFT JOIN (SELECT * FROM placed WHERE inner_px AND tile_id <> 7) p USING (r, c)")
+def stitch(spark, sf):
+    cells, shape = _event_grid(spark, sf)
+    parts = tiling.in_tiles(cells, 100, shape.height, 3, 4, 5).filter("tile_id != 7").withColumn("x", F.round(F.col("x") * 2, 6))
+    return tiling.stitch(parts, cells, "x", -1.0)
+
+
+@query(
+    "tiled_ndvi",
+    f"""{sqltext.FULL},
+nd_cells AS (SELECT r, c, abs(ndvi_a - ndvi_b) AS abs_delta FROM cells LEFT JOIN (SELECT r, c, (b08_b - b04_b) / nullif(b08_b + b04_b, 0) AS ndvi_b, (b08_a - b04_a) / nullif(b08_a + b04_a, 0) AS ndvi_a FROM clear) USING (r, c)),
+{sqltext.blurred('nd_cells', 'nd_s', 'abs_delta')}, tiles AS (SELECT r, c, smoothed, (r // 50) * 2 + c // 50 AS tile FROM nd_s), {sqltext.otsu('tiles', 'nd_t', 'smoothed', 'tile')}""",
+    "SELECT r, c, round(threshold, 6) AS threshold, coalesce(smoothed > threshold, false) AS changed FROM tiles LEFT JOIN nd_t USING (tile)",
+)
+def tiled_ndvi(spark, sf):
+    result = methods.ndvi_differencing(scenes.clear_pair(spark, sf), grid.shape_of(scenes.pair(spark, sf)), by_tile=50)
+    return result.pixels.select("r", "c", r6(F.col("threshold"), "threshold"), "changed")
+
+
+# Sampling and ablation tables
+
+
+@query(
+    "class_guard",
+    f"{scenes.LABELS}, k AS (SELECT r, c, CASE WHEN wc IN (10, 40) THEN 1 WHEN wc IN (50, 60, 70) THEN 2 WHEN wc IN (80, 90, 95) AND r % 10 = 0 THEN 3 WHEN wc = 100 AND r = 3 THEN 4 ELSE 0 END AS label FROM dense JOIN labelled USING (r, c)), n AS (SELECT t.class, count(k.label) AS n FROM (VALUES (1), (2), (3), (4)) t(class) LEFT JOIN k ON k.label = t.class GROUP BY t.class)",
+    "SELECT class, n, CASE WHEN n >= 100 THEN class WHEN class = 3 THEN 2 ELSE coalesce((SELECT arg_max(class, (n, -class)) FROM n WHERE n >= 100), 2) END AS target FROM n",
+)
+def class_guard(spark, sf):
+    wc = F.col("wc")
+    label = F.when(wc.isin(10, 40), 1).when(wc.isin(50, 60, 70), 2).when(wc.isin(80, 90, 95) & (F.col("r") % 10 == 0), 3).when((wc == 100) & (F.col("r") == 3), 4).otherwise(0)
+    return sampling.class_guard(scenes.label_map(spark, sf).withColumn("label", label), "label", [1, 2, 3, 4])
+
+
+_SAMPLE = f"""{scenes.LABELS}, usable AS (SELECT CAST(r * 100 + c AS BIGINT) AS pixel_id, CASE WHEN wc IN (10, 40) THEN 1 WHEN wc IN (50, 60, 70) THEN 2 WHEN wc IN (80, 90, 95) THEN 3 WHEN wc IN (20, 30, 100) THEN 4 ELSE 0 END AS label FROM labelled),
+ranked AS (SELECT pixel_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(pixel_id AS VARCHAR)), pixel_id) AS rank FROM usable WHERE label > 0)"""
+
+
+@query("stratified_sample", _SAMPLE, "SELECT pixel_id, label, CAST(rank AS INT) AS rank, CASE WHEN rank <= 40 THEN 'before' ELSE 'after' END AS date FROM ranked WHERE rank <= 80")
+def stratified_sample(spark, sf):
+    usable = scenes.label_map(spark, sf).select((F.col("r").cast("long") * 100 + F.col("c")).alias("pixel_id"), classes.recode(F.col("wc"), classes.CODE_TO_CLASS).alias("label"))
+    return sampling.stratified_pair(usable, "label", [1, 2, 3, 4], 40)
+
+
+@query(
+    "binary_sample",
+    f"{_SAMPLE.replace('usable AS', 'four AS').replace('FROM usable WHERE label > 0', 'FROM usable').replace('ranked AS', 'usable AS (SELECT pixel_id, label FROM four WHERE label IN (1, 2)), per AS (SELECT least(100, count_if(label = 1), count_if(label = 2)) // 2 AS k FROM usable), ranked AS')}",
+    "SELECT pixel_id, label, CAST(rank AS INT) AS rank, CASE WHEN rank <= k THEN 'before' ELSE 'after' END AS date FROM ranked, per WHERE rank <= 2 * k",
+)
+def binary_sample(spark, sf):
+    usable = scenes.label_map(spark, sf).select((F.col("r").cast("long") * 100 + F.col("c")).alias("pixel_id"), classes.recode(F.col("wc"), classes.CODE_TO_CLASS).alias("label"))
+    return sampling.balanced_binary(usable, "label", 200)
+
+
+@query("spatial_folds", scenes.DENSE, "SELECT r, c, CAST(least(r // greatest(1, (SELECT max(r) + 1 FROM dense) // 4), 3) * 4 + least(c // 25, 3) AS INT) AS fold FROM dense")
+def spatial_folds(spark, sf):
+    cells, shape = _event_grid(spark, sf)
+    return cells.select("r", "c", sampling.spatial_block(shape).alias("fold"))
+
+
+_FIGURES = [("Baseline (all 10)", 0.5929, 0.1253, 36.44), ("No NDWI", 0.5879, 0.1240, 36.10), ("No EVI", 0.6200, 0.1250, 35.00), ("No SAVI", 0.5900, 0.1800, 36.00), ("Veg indices only", 0.5695, 0.1491, 40.78)]
+
+
+@query(
+    "ablation_verdict",
+    f"f(name, f1, jaccard, change_pct) AS (VALUES {', '.join(str((n, *map(float, x))) for n, *x in _FIGURES)}), d AS (SELECT f.*, f.f1 - b.f1 AS d1, f.jaccard - b.jaccard AS dj, f.change_pct - b.change_pct AS dc FROM f, f b WHERE b.name = 'Baseline (all 10)')",
+    "SELECT name, printf('%+.4f', d1) AS delta_f1, printf('%+.4f', dj) AS delta_jaccard, printf('%+.2f', dc) AS delta_change, CASE WHEN name = 'Baseline (all 10)' THEN 'BASELINE' WHEN d1 > 0.02 OR dj > 0.05 THEN 'BETTER (removing helps)' WHEN d1 < -0.02 THEN 'WORSE (removing hurts)' ELSE 'NEUTRAL (±noise)' END AS verdict FROM d",
+)
+def ablation_verdict(spark, sf):
+    figures = spark.createDataFrame(_FIGURES, "name string, f1 double, jaccard double, change_pct double")
+    return learning.verdicts(figures).select("name", display.signed(F.col("delta_f1")).alias("delta_f1"), display.signed(F.col("delta_jaccard")).alias("delta_jaccard"), display.signed(F.col("delta_change"), 2).alias("delta_change"), "verdict")
+
+
+@query(
+    "experiment_dedup",
+    "e(ordinal, name, features) AS (VALUES " + ", ".join(f"({k}, '{n}', {list(f)})" for k, (n, f) in enumerate(learning.EXPERIMENTS.items())) + ")",
+    "SELECT ordinal, name, CAST(len(features) AS INT) AS n_features FROM e QUALIFY row_number() OVER (PARTITION BY list_sort(features) ORDER BY ordinal) = 1",
+)
+def experiment_dedup(spark, sf):
+    listed = spark.createDataFrame([(k, n, list(f)) for k, (n, f) in enumerate(learning.EXPERIMENTS.items())], "ordinal int, name string, features array<string>")
+    return learning.distinct_experiments(listed).select("ordinal", "name", F.size("features").alias("n_features"))
+
+
+# Without SQL: trained models and files
+
+_SMALL = learning.ForestSettings(trees=10, depth=6)
+
+
+def _labels(spark, sf):
+    return scenes.class_maps(spark, sf).select("r", "c", F.when(F.col("ndvi_b") > 0.5, 10).when(F.col("ndvi_b") > 0.4, 30).otherwise(60).alias("wc"))
+
+
+@query("rf_classify")
+def rf_classify(spark, sf):
+    r = learning.random_forest(scenes.clear_pair(spark, sf), grid.shape_of(scenes.pair(spark, sf)), _labels(spark, sf), 2000, _SMALL, cross_validate=False)
+    return r.pixels
+
+
+@query("rf_binary")
+def rf_binary(spark, sf):
+    r = learning.binary_forest(scenes.clear_pair(spark, sf), grid.shape_of(scenes.pair(spark, sf)), _labels(spark, sf), 2000, _SMALL, cross_validate=False)
+    return r.pixels
+
+
+@query("kmeans_labels")
+def kmeans_labels(spark, sf):
+    return learning.cluster_labels(learning.date_features(scenes.clear_pair(spark, sf), "b"), starts=2)
+
+
+@query("tiff_round_trip", scenes.DENSE, "SELECT r, c, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM dense")
+def tiff_round_trip(spark, sf):
+    cells, shape = _event_grid(spark, sf)
+    parts = tiling.in_tiles(cells, 100, shape.height, 3, 4, 0)
+    images = tiff.to_tiff(parts, "x", (500000.0, 10.0, 0.0, 3900000.0, 0.0, -10.0))
+    return tiff.pixels_of(images, ["tile_id"]).select("r", "c", F.col("value").alias("x"))
+
+
+@query("tiled_function", scenes.DENSE, "SELECT r, c, round(x * 2 + 1, 6) AS x FROM dense")
+def tiled_function(spark, sf):
+    cells, shape = _event_grid(spark, sf)
+
+    def double(frame):
+        return frame.assign(x=(frame.x * 2 + 1).round(6))[["r", "c", "x", "tile_id"]]
+
+    return tiling.tiled(cells, 100, shape.height, 3, 4, 5, double, "r int, c int, x double, tile_id int")
