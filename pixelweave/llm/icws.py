@@ -301,7 +301,7 @@ def _links(shared, threshold: float):
 
 
 #: Members of a bucket's main class that are compared in one task at most, besides its others.
-PART = 1024
+PART = 2048
 #: Rounds in which large buckets are compared with a hub.
 STARS = 6
 
