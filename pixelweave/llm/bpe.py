@@ -11,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import row_struct, unpack_row
+
 #: Texts over so many characters are encoded in pieces cut at safe boundaries.
 PIECE_CHARS = 8192
+#: Texts whose ids are held at once.
+SLICE = 256
 _ENCODERS: dict = {}
 
 
@@ -137,14 +141,20 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", ids: str = "token_ids",
     """
     rank_file, pattern = rank_file or default_rank_file(), pattern or default_pattern()
 
-    @F.pandas_udf("struct<text: string, ids: array<int>>")
-    def both(texts):
-        import pandas as pd
+    names = [c for c in docs.columns if c not in (ids, "n_tokens")]
+    carry = tuple(c for c in names if c != text)
 
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file, pattern)
-        found = [encode(t, enc) if t else [] for t in texts]
-        return pd.DataFrame({"text": [None if t is None else enc.decode_bytes(x).decode() for t, x in zip(texts, found)], "ids": found})
-
-    names = [c for c in docs.columns if c not in (ids, "n_tokens")]
-    done = docs.select(*names, both(F.col(text)).alias("_made"))
-    return done.select(*(F.col("_made.text").alias(c) if c == text else F.col(c) for c in names), F.col("_made.ids").alias(ids), F.size("_made.ids").cast("long").alias("n_tokens"))
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                texts = part.column(1).to_pylist()
+                found = [encode(t, enc) if t else [] for t in texts]
+                back = [None if t is None else enc.decode_bytes(x).decode() for t, x in zip(texts, found)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(back, pa.string()), pa.array(found, pa.list_(pa.int32()))], names=["row", "text", "ids"])
+
+    rows = docs.select(row_struct(carry), F.col(text).cast("string").alias("text"))
+    made = rows.mapInArrow(both, f"row {rows.schema['row'].dataType.simpleString()}, text string, ids array<int>")
+    done = unpack_row(made, carry, F.col("text").alias(text), F.col("ids").alias(ids), F.size("ids").cast("long").alias("n_tokens"))
+    return done.select(*names, ids, "n_tokens")
