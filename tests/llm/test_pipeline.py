@@ -1,7 +1,6 @@
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pixelweave.llm import bpe, toxicity
+from pixelweave.llm import toxicity
 
 from . import test_bpe, test_decontam, test_icws, test_substring
 
