@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scenes, sqltext
-from .functions import areas, change, classes, display, indices
+from .functions import change, classes, display, indices
 from .operators import crosstab, focal, grid, sampling, tiling
 from .operators.otsu import histogram, otsu
 from .plans import consensus, learning, methods, reporting
@@ -250,14 +250,14 @@ def class_colours(spark, sf):
 # Histograms, thresholds, neighbourhoods
 
 
-@query("histogram_256", f"{scenes.DENSE}, {sqltext.histogram('dense', 'h', 'x')}", "SELECT bin, round(centre, 6) AS centre, n FROM h")
+@query("histogram_256", f"{scenes.DENSE}, {sqltext.histogram('dense', 'h', 'x')}", "SELECT bin, round(centre, 4) AS centre, n FROM h")
 def histogram_256(spark, sf):
-    return histogram(scenes.dense_grid(spark, sf), "x").select("bin", r6(F.col("centre"), "centre"), "n")
+    return histogram(scenes.dense_grid(spark, sf), "x").select("bin", F.round("centre", 4).alias("centre"), "n")
 
 
-@query("histogram_80", f"{scenes.DENSE}, {sqltext.histogram('dense', 'h', 'x', 80, 'x IS NOT NULL')}", "SELECT bin, round(centre, 6) AS centre, n FROM h")
+@query("histogram_80", f"{scenes.DENSE}, {sqltext.histogram('dense', 'h', 'x', 80, 'x IS NOT NULL')}", "SELECT bin, round(centre, 4) AS centre, n FROM h")
 def histogram_80(spark, sf):
-    return histogram(scenes.dense_grid(spark, sf), "x", bins=80, positive=False).select("bin", r6(F.col("centre"), "centre"), "n")
+    return histogram(scenes.dense_grid(spark, sf), "x", bins=80, positive=False).select("bin", F.round("centre", 4).alias("centre"), "n")
 
 
 @query("percentiles", scenes.DENSE, "SELECT round(quantile_cont(x, 0.95), 6) AS p95, round(quantile_cont(x, 0.99), 6) AS p99, round(stddev_pop(x), 6) AS deviation FROM dense WHERE x > 0")
@@ -444,9 +444,9 @@ def _scored(spark, sf):
     return consensus.consensus(scenes.class_maps(spark, sf))
 
 
-@query("consensus_map", _SCORED, "SELECT r, c, agreement, round(score, 5) AS score, consensus_class FROM voted")
+@query("consensus_map", _SCORED, "SELECT r, c, agreement, score, consensus_class FROM voted")
 def consensus_map(spark, sf):
-    return _scored(spark, sf).select("r", "c", "agreement", F.round("score", 5).alias("score"), "consensus_class")
+    return _scored(spark, sf).select("r", "c", "agreement", "score", "consensus_class")
 
 
 @query(

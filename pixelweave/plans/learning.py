@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -40,6 +40,8 @@ class ForestSettings:
     subset: str = "0.4"
     min_leaf: int = 5
     seed: int = 42
+    #: Blocks of the image, by rows and columns, that cross-validation leaves out in turn.
+    blocks: tuple[int, int] = (4, 4)
 
 
 @dataclass
@@ -152,7 +154,7 @@ def grid_search(samples: DataFrame, features: tuple[str, ...], settings: ForestS
     best, top = settings, -1.0
     for subset in ("sqrt", "0.3", "0.4"):
         for leaf in (3, 5, 10):
-            trial = ForestSettings(settings.trees, settings.depth, subset, leaf, settings.seed)
+            trial = replace(settings, subset=subset, min_leaf=leaf)
             score = spatial_cv(samples, features, trial)[0]
             if score > top:
                 best, top = trial, score
@@ -175,10 +177,10 @@ def cluster_labels(features: DataFrame, k: int = 4, sample: int = 50_000, starts
     return best.transform(assembled).select("r", "c", (F.col("cluster") + 1).alias("label"))
 
 
-def _samples(pair: DataFrame, chosen: DataFrame, shape: grid.Shape, features: dict[str, DataFrame]) -> DataFrame:
+def _samples(chosen: DataFrame, shape: grid.Shape, features: dict[str, DataFrame], blocks: tuple[int, int]) -> DataFrame:
     """Features of chosen pixels (r, c, label, date) on their own date, with folds."""
     parts = [features[d].filter("present").join(chosen.filter(F.col("date") == name), ["r", "c"]) for d, name in (("b", "before"), ("a", "after"))]
-    return parts[0].unionByName(parts[1]).withColumn("fold", spatial_block(shape)).withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c"))
+    return parts[0].unionByName(parts[1]).withColumn("fold", spatial_block(shape, *blocks)).withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c"))
 
 
 def random_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None = None, n_samples: int = 50_000, settings: ForestSettings = ForestSettings(), cross_validate: bool = True, features: tuple[str, ...] = FEATURES) -> ForestResult:
@@ -199,7 +201,7 @@ def random_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None =
         keyed = clusters.withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c")).withColumn("date", F.lit("before"))
         chosen = keyed.orderBy(order_key(settings.seed, F.col("pixel_id"))).limit(min(5000, n_samples))
         mode = "unsupervised"
-    samples = _samples(pair, chosen.select("r", "c", "label", "date"), shape, by_date).cache()
+    samples = _samples(chosen.select("r", "c", "label", "date"), shape, by_date, settings.blocks).cache()
     model, accuracy, cv = train(samples, features, settings, cross_validate)
     samples.unpersist()
     pixels = classify(model, by_date["b"], "_b").join(classify(model, by_date["a"], "_a"), ["r", "c"])
@@ -223,7 +225,7 @@ def binary_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None =
     chosen = balanced_binary(usable.filter("label > 0"), "label", n_samples, settings.seed)
     if labels is None:
         chosen = chosen.withColumn("date", F.lit("before"))
-    samples = _samples(pair, chosen.select("r", "c", "label", "date"), shape, by_date).cache()
+    samples = _samples(chosen.select("r", "c", "label", "date"), shape, by_date, settings.blocks).cache()
     model, accuracy, cv = train(samples, names, settings, cross_validate)
     samples.unpersist()
     pixels = classify(model, by_date["b"], "_b").join(classify(model, by_date["a"], "_a"), ["r", "c"])

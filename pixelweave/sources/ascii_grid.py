@@ -11,7 +11,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
 
     Header lines are a name and a number; lines after the last row are left out.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))).alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))).alias("lines"))
     heads = F.filter("lines", lambda x: x.rlike(r"^[A-Za-z_]+ [-+0-9.eE]+$"))
     number = lambda name: F.try_element_at(F.transform(F.filter(heads, lambda x: F.upper(F.split_part(x, F.lit(" "), F.lit(1))) == name), lambda x: F.split_part(x, F.lit(" "), F.lit(2)).cast("double")), F.lit(1))
     body = F.filter("lines", lambda x: x.rlike(r"^[-+0-9]"))
