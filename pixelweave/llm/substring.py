@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import NON_SPACE, RollingHash, blocks, covered, mix, row_struct, sliding, unpack_row, window_is_inside
+from .shared import stored
 
 _LAST = (1 << 63) - 1
 
@@ -45,8 +47,8 @@ def _anchors(window: int, half: int):
     return run
 
 
-def _windows(window: int, half: int):
-    """Level 2: hashes of the windows that hold a surviving half-window, one row per text and hash."""
+def _windows(window: int, half: int, every: bool = False):
+    """Level 2: hashes of the windows that hold a surviving half-window, one row per text and hash, or every one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +68,7 @@ def _windows(window: int, half: int):
                 h1, h2 = (RollingHash(h).at(starts, starts + window) for h in hashes)
                 by = np.lexsort((starts, h1, text))
                 new = np.ones(len(by), dtype=bool)
-                new[1:] = (h1[by][1:] != h1[by][:-1]) | (text[by][1:] != text[by][:-1])
+                new[1:] = every | (h1[by][1:] != h1[by][:-1]) | (text[by][1:] != text[by][:-1])
                 keep = by[new]
                 text = text[keep]
                 yield pa.RecordBatch.from_arrays(
@@ -144,7 +146,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Level 1 keeps the least half-length window of each window (about 8 % of the
     places) and the grams found in more than one text; level 2 extends only those
     to whole windows, by 96 bits, and finds the least key of each. No level above
-    is needed: a longer repeat is a run of repeated windows. A document whose whole
+    is needed here: a longer repeat is a run of repeated windows (repeat_levels goes
+    on to the end). A document whose whole
     text is in a smaller key's is known by its text's hash and loses all windows.
     The tables of grams, windows and texts hold a row for each key of theirs and
     are joined on a hash of it, so that both sides of a join are dealt out for it
@@ -178,3 +181,66 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     done = base.join(gone, "rid", "left").mapInArrow(_removal(window, with_text), f"row {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     made = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     return unpack_row(done, (key, *carry), *map(F.col, made)).select(key, *made, *carry)
+
+
+def _doubled(length: int):
+    """Hashes of the windows of a length whose two halves both survived."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            places = batch.column(5)
+            for block in blocks(batch.column(3)):
+                words = block.words(NON_SPACE)
+                hashes = words.hashes(2)
+                part = places.slice(block.first, block.last - block.first)
+                owner = np.repeat(np.arange(block.last - block.first), part.value_lengths().to_numpy())
+                at = part.flatten().to_numpy() + words.bounds[owner]
+                survived = np.zeros(len(words.starts) + length, dtype=bool)
+                survived[at] = True
+                fits = (at + length <= words.bounds[owner + 1]) & survived[at + length // 2]
+                owner, at = owner[fits], at[fits]
+                h1, h2 = (RollingHash(h).at(at, at + length) for h in hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(texts[block.first + owner]), pa.array(rids[block.first + owner]), pa.array((at - words.bounds[owner]).astype(np.int32))],
+                    names=["h1", "h2", "t", "rid", "p"],
+                )
+
+    return run
+
+
+def repeat_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
+    """How far repeats go: (key, place, length) of every window that is also in another text.
+
+    From half-windows to windows as in substring_dedup; then windows whose both
+    halves are also in another text are extended to twice the length, and so on
+    until no candidate survives. length is the last at which the words from a place
+    on are also in another text. Each level is kept in the shared folder; its size
+    bounds the next.
+
+    Null and short texts have no rows; equal texts are one text; rows that repeat a
+    key each have theirs.
+    """
+    half = window // 2
+    order = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
+    body = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select(F.xxhash64(F.col(key), body).alias("rid"), F.xxhash64(body).alias("t"), order.alias("ord"), body.alias("text"), row_struct((key,))).repartition("rid")
+
+    def repeated(found: DataFrame, *by: str) -> DataFrame:
+        shared = found.groupBy(*by).agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select(F.xxhash64(*by).alias("k"))
+        return found.select(F.xxhash64(*by).alias("k"), "rid", "p").join(shared, "k").select("rid", "p").distinct()
+
+    def with_places(left: DataFrame) -> DataFrame:
+        return base.join(left.groupBy("rid").agg(F.collect_set("p").alias("places")), "rid")
+
+    anchors = repeated(base.mapInArrow(_anchors(window, half), "gram long, t long, rid long, p int"), "gram")
+    windows = with_places(anchors).mapInArrow(_windows(window, half, every=True), "h1 long, h2 int, ord long, rid long, s int")
+    windows = windows.join(base.select("rid", "t").distinct(), "rid").select("h1", "h2", "t", "rid", F.col("s").alias("p"))
+    length, levels = window, [stored(repeated(windows, "h1", "h2").withColumn("length", F.lit(window)))]
+    while not levels[-1].isEmpty():
+        length *= 2
+        found = with_places(levels[-1]).mapInArrow(_doubled(length), "h1 long, h2 long, t long, rid long, p int")
+        levels.append(stored(repeated(found, "h1", "h2").withColumn("length", F.lit(length))))
+    longest = reduce(DataFrame.unionByName, levels).groupBy("rid", "p").agg(F.max("length").alias("length"))
+    named = base.select("rid", F.col("row.c0").alias("key"))
+    return named.join(longest, "rid").select(F.col("key").alias(key), F.col("p").alias("place"), "length")

@@ -74,3 +74,31 @@ def test_planted_passages_nulls_ties_and_repeats(spark):
 
 def test_empty_table(spark):
     assert substring.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_levels_double_until_none_survives(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"v{rng.randrange(10**8)}" for _ in range(n)]
+    shared = {30: fresh(30), 60: fresh(60), 130: fresh(130), 450: fresh(450)}
+    rows = []
+    for k, passage in enumerate(shared.values()):
+        for side in range(2):
+            rows.append((10 * k + side, " ".join(fresh(20 + side) + passage + fresh(15))))
+    rows += [(90, None), (91, " ".join(fresh(200))), (92, rows[-1][1]), (93, rows[-1][1])]
+    got = substring.repeat_levels(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {t or "" for _, t in rows}
+    want = {}
+    for length in (50, 100, 200, 400):
+        where = {}
+        for t in texts:
+            words = t.split()
+            for i in range(len(words) - length + 1):
+                where.setdefault(tuple(words[i : i + length]), set()).add(t)
+        for k, t in rows:
+            words = (t or "").split()
+            for i in range(len(words) - length + 1):
+                if len(where[tuple(words[i : i + length])]) > 1:
+                    want[k, i] = length
+    assert {(r.doc_id, r.place): r.length for r in got} == want and len(got) == len(want)
+    assert {v for v in want.values()} == {50, 100, 200, 400}
+    assert substring.repeat_levels(spark.createDataFrame([], "doc_id long, text string")).count() == 0
