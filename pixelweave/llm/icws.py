@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, RollingHash, blocks, mix
 from .components import components
-from .shared import stored
+from .shared import small_side, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -338,6 +338,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     # one row of each text that is in a bucket; the rows of a copied text are told apart by their key
     rid = F.xxhash64(F.col(key), body).alias("rid")
     first = docs.select(F.xxhash64(body).alias("t"), rid).groupBy("t").agg(F.min("rid").alias("rid")).join(members.select("t").distinct(), "t").select("rid")
+    first = small_side(stored(first))
     kept = docs.select(rid, F.xxhash64(body).alias("t"), body).join(first, "rid").dropDuplicates(["rid"])
     kept = stored(kept.select("t", "text"))
 

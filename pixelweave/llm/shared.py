@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> str:
@@ -33,3 +34,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few bytes that are broadcast at most: some 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A stored table of keys, marked for broadcast if it has been counted to be small; else Spark joins by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
