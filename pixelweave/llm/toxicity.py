@@ -108,8 +108,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
+#: Words, and texts, of the sample that are looked at together.
+SLICE = 1 << 15
+TEXTS = 256
+
+
 def _word_scores(odds: np.ndarray, bag: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(odds[bag], starts) / sizes
+    out = np.empty(len(sizes))
+    for k in range(0, len(sizes), SLICE):
+        begin, end = starts[k], starts[k + SLICE] if k + SLICE < len(starts) else len(bag)
+        out[k : k + SLICE] = np.add.reduceat(odds[bag[begin:end]], starts[k : k + SLICE] - begin)
+    return out / sizes
+
+
+def _nearest(score: np.ndarray, which: np.ndarray, owner: np.ndarray, n_texts: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """top_words of the whole sample, some texts at a time; owner is in order."""
+    cuts = np.searchsorted(owner, np.arange(0, n_texts + TEXTS, TEXTS))
+    found = [(cuts[k], TEXTS * k, top_words(score[which[cuts[k] : cuts[k + 1]]], owner[cuts[k] : cuts[k + 1]] - TEXTS * k, TEXTS, top)) for k in range(len(cuts) - 1)]
+    return np.concatenate([at + best for at, _, (best, _) in found]), np.concatenate([base + text for _, base, (_, text) in found])
 
 
 def fit(texts: list[str | None], labels: np.ndarray, top: int = TOP_WORDS, dim: int = DIM, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5, seed: int = 7, toxic_weight: float = TOXIC_WEIGHT) -> Model:
@@ -123,7 +139,7 @@ def fit(texts: list[str | None], labels: np.ndarray, top: int = TOP_WORDS, dim:
         return Model(np.zeros(BUCKETS), bias, top)
     seen, bag, sizes, token, owner = np.zeros(0, dtype=np.uint64), [], [], [], []
     known = []
-    for block in blocks(pa.array(texts, pa.string())):
+    for block in blocks(pa.array(texts, pa.string()), 1 << 18):
         words = block.words(ALNUM, lower=True, accents=True)
         (h,) = words.hashes()
         token.append(h)
@@ -137,8 +153,9 @@ def fit(texts: list[str | None], labels: np.ndarray, top: int = TOP_WORDS, dim:
         bag.append(bucket.astype(np.int32))
         sizes.append(np.diff(bounds))
     known, bag, sizes, token, owner = (np.concatenate(x) for x in (known, bag, sizes, token, owner))
-    by_hash = np.argsort(known)
-    which = by_hash[np.searchsorted(known, token, sorter=by_hash)].astype(np.int32)
+    by_hash = np.argsort(known).astype(np.int32)
+    which = np.concatenate([by_hash[np.searchsorted(known, token[k : k + (1 << 18)], sorter=by_hash)] for k in range(0, len(token), 1 << 18)])
+    del token
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     vectors = rng.normal(0, 1 / dim, (BUCKETS, dim))
     softmax = rng.normal(0, 1, (2, dim))
@@ -147,7 +164,7 @@ def fit(texts: list[str | None], labels: np.ndarray, top: int = TOP_WORDS, dim:
         vectors, softmax, base = params
         lean = softmax[1] - softmax[0]
         if epoch % REFRESH == 1:  # the words that may be among a text's best until the next look at all
-            near, text = top_words(_word_scores(vectors @ lean, bag, starts, sizes)[which], owner, len(y), 4 * top)
+            near, text = _nearest(_word_scores(vectors @ lean, bag, starts, sizes), which, owner, len(y), 4 * top)
             word, inside = np.unique(which[near], return_inverse=True)
             counts = sizes[word]
             begin = np.cumsum(counts) - counts
