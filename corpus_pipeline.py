@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import bpe, decontam, icws, substring, toxicity
-from pixelweave.llm.shared import stored
+from pixelweave.llm.shared import small_side, stored
 
 #: Documents of this toxicity or more are left out.
 TOXIC = 0.3
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each class, unchanged."""
     found = stored(icws.near_duplicates(docs))
-    late = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    late = small_side(stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()))
     kept = docs.join(late.withColumnRenamed("doc_id", "_late"), F.col("doc_id").eqNullSafe(F.col("_late")), "left_anti")
     if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
