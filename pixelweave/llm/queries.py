@@ -27,6 +27,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i + 1, i + 50), ' ')) AS win FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 49, 0))) AS i FROM d)),
+least AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM wins JOIN least USING (win) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words WHERE (doc_id, p) NOT IN (SELECT doc_id, p FROM gone) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lattice_scores(_table(spark, sf_dir, "documents"))
 
@@ -101,6 +113,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bw AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i + 1, i + k), ' ') AS win FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, k, array_to_string(list_slice(w, i + 1, i + k), ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(greatest(len(w) - k + 1, 0))) AS i FROM d, (SELECT DISTINCT k FROM bw))),
+hits AS (SELECT doc_id, i, dw.k, item FROM dw JOIN bw ON dw.win = bw.win AND dw.k = bw.k),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS named FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(x.n, 0) AS n_items, sha256(coalesce(x.named, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items x USING (doc_id)
+"""
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icws.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -121,4 +146,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {"op5_url_lists": OP5_SQL}
+SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op5_url_lists": OP5_SQL, "op8_decontamination": OP8_SQL}
