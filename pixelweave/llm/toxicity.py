@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), 1 << 19):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.last - block.first), pa.array(shared.value.scores(block))], names=["row", "score"])
 
     rows = docs.select(row_struct(carry), F.col(text).cast("string").alias("text"))
