@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import math
 import os
 from dataclasses import dataclass
@@ -128,6 +129,15 @@ def band_file(root: str, archive: str, date: str, band: str, resolution: str = "
     return os.path.join(images, own[0] if own else f"{date}_{band}_10m.jp2")
 
 
+def label_files(root: str, names: tuple[str, ...] = (), pattern: str = "*label*.tif") -> list[str]:
+    """Land-cover files of a folder: those of the given names that are there, else all of the pattern."""
+    named = [os.path.join(root, n) for n in names if os.path.exists(os.path.join(root, n))]
+    found = named or sorted(glob.glob(os.path.join(root, pattern)))
+    if not found:
+        raise FileNotFoundError(f"no land-cover file in {root}")
+    return found
+
+
 @dataclass(frozen=True)
 class PairConfig:
     """Files and window of a pair of scenes."""

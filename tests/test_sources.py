@@ -70,6 +70,11 @@ def test_paths_and_config(tmp_path, monkeypatch):
     config = tables.PairConfig("p", {"b04": str(images / "T_20240615_B04_10m.jp2")}, {"b04": "/nowhere"})
     assert config.check_files() == (False, ["/nowhere"]) and config.scl_window == (2000, 2000, 1000, 1000) and "2000 x 2000" in config.summary()
     assert tables.data_root(str(tmp_path)) == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        tables.label_files(str(tmp_path))
+    for name in ("a_label.tif", "b_label.tif"):
+        (tmp_path / name).write_bytes(b"")
+    assert len(tables.label_files(str(tmp_path))) == 2 and tables.label_files(str(tmp_path), ("b_label.tif", "none.tif")) == [str(tmp_path / "b_label.tif")]
     monkeypatch.chdir(tmp_path)
     monkeypatch.delenv("RASTER_DATA_ROOT", raising=False)
     with pytest.raises(FileNotFoundError):
@@ -122,6 +127,22 @@ def test_binary_forest_smoothing_and_sweep(spark, field):
     assert stand_in.mode == "ndvi_threshold_binary" and stand_in.accuracy > 0.8
 
 
+def test_integrated_run(spark, field):
+    from pixelweave.plans import integrated
+
+    pair, shape, labels = field
+    bd, nd, cv = (m(pair, shape) for m in (methods.band_differencing, methods.ndvi_differencing, methods.change_vectors))
+    forest = learning.random_forest(pair, shape, labels, 300, SMALL, cross_validate=False)
+    run = integrated.integrated(bd, nd, cv, forest)
+    assert run.scored.count() == 900 and run.summary.first().valid_pixels == 900
+    assert abs(run.severity.agg(F.sum("pct")).first()[0] - 100) < 0.01
+    assert run.table.count() == 5 and run.transitions.count() == 16
+    long = {r.metric: r.value for r in integrated.forest_statistics(forest).collect()}
+    assert long["total_pixels"] == 900 and abs(long["rf_accuracy_pct"] - forest.accuracy * 100) < 0.01
+    better = integrated.improvement_pipeline(pair, shape, nd, labels, SMALL, 300, texture=False, window=3, cross_validate=False)
+    assert better.comparison.first().total_pixels == 900 and better.sweep.count() <= 9
+
+
 def test_folds_clusters_and_ablation(spark, field):
     pair, shape, labels = field
     mean, deviation, scores = learning.spatial_cv(spark.createDataFrame([(float(k), k % 2 + 1, k % 3) for k in range(60)], "x double, label int, fold int").withColumn("x", F.col("x") % 2), ("x",), SMALL)
