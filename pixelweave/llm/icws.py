@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, RollingHash, blocks, mix
@@ -280,7 +280,7 @@ def _links(shared, threshold: float):
         starts = np.searchsorted(row, np.arange(len(t) + 1))
         whole = np.bincount(row, w, minlength=len(t))
         laid = np.zeros(len(gram))
-        once = table.column("part")[0].as_py() == 0
+        once = table.column("once")[0].as_py()
         a, b = [], []
         for i in np.flatnonzero(~main):
             own = slice(starts[i], starts[i + 1])
@@ -300,7 +300,7 @@ def _links(shared, threshold: float):
     return run
 
 
-#: Members of a bucket's main class that are compared in one task at most, besides its others.
+#: Members of a bucket's main class, and as many of its others, that are compared in one task.
 PART = 2048
 #: Rounds in which large buckets are compared with a hub.
 STARS = 6
@@ -318,8 +318,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     another are kept in the shared folder. In each bucket (texts of one band value)
     all are compared with one of them, the hub, which then leaves the bucket; large
     buckets go on with other hubs. Then the members outside of a bucket's main class
-    are compared with all members of other classes, in parts of the bucket. Every
-    comparison is by the likeness of whole texts. Links within a class are not
+    are compared with all members of other classes, in parts of the bucket; if they
+    are many, only with those that share one of their rarest shingles, as all that
+    are linked do. Every comparison is by the likeness of whole texts. Links within a class are not
     looked for, and no bucket is cut off.
 
     Texts without words (null, empty) are equal to those of the same text only, null
@@ -359,7 +360,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         met = stored(known.join(hubs, "k").select("k", "t", (F.col("label") != F.col("hub.label")).alias("new"), F.col("hub.t").alias("hub")))
         links = links.unionByName(verified(met.filter("new").select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b")).distinct()))
         left = known.filter(F.col("n") <= PART).select("k", "t").unionByName(met.filter("t != hub").select("k", "t"))
-    links = links.unionByName(_rest(known, kept, weights, threshold))
+    links = links.unionByName(_rest(known, kept, labels, weights, threshold))
     labels = components(links)
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("t"))
@@ -369,23 +370,74 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(k, t, label, n, top) of the buckets whose members are in more than one class; buckets of the same members once."""
+    """(k, t, label, n, n_top, top) of the buckets whose members are in more than one class; buckets of the same members once."""
     known = members.withColumn("v", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("v"), "label"), "v", "left").select("k", "t", F.coalesce("label", "t").alias("label"))
     sizes = known.groupBy("k", "label").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("t"), 24)).alias("sum"))
-    mixed = sizes.groupBy("k").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.max_by("label", F.struct("n", "label")).alias("top")).filter("classes > 1")
-    mixed = mixed.groupBy("n", "sum").agg(F.min(F.struct("k", "top")).alias("x")).select(F.col("x.k").alias("k"), "n", F.col("x.top").alias("top"))
+    mixed = sizes.groupBy("k").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.max("n").alias("n_top"), F.max_by("label", F.struct("n", "label")).alias("top")).filter("classes > 1")
+    mixed = mixed.groupBy("n", "sum").agg(F.min(F.struct("k", "n_top", "top")).alias("x")).select(F.col("x.k").alias("k"), "n", F.col("x.n_top").alias("n_top"), F.col("x.top").alias("top"))
     return stored(known.join(mixed, "k"))
 
 
-def _rest(known: DataFrame, kept: DataFrame, weights, threshold: float) -> DataFrame:
-    """Links between classes within the buckets.
+def _weighted(shared):
+    """A row for each different shingle of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                row, gram, count = shingles(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(gram.view(np.int64)), pa.array(shared.value.of(gram, count))], names=["t", "gram", "w"])
+
+    return run
 
-    A bucket's main class is dealt out over parts of about PART members; its other
-    members go to every part.
+
+def _narrowed(known: DataFrame, kept: DataFrame, labels: DataFrame, weights, threshold: float) -> DataFrame:
+    """The members of buckets with many members outside of the main class, in buckets of one shingle each.
+
+    A text's shingles are ordered by how many of these texts have them, the rarest
+    first; what comes after its prefix weighs less than the threshold's share of it.
+    Two texts that are linked share a shingle of both prefixes, so no link is lost,
+    and what many of the texts have in common is in no prefix unless a text is
+    mostly that.
     """
-    parts = F.ceil(F.col("n") / PART).cast("int")
+    texts = known.select("t").distinct().withColumn("h", F.xxhash64("t")).join(kept.select(F.xxhash64("t").alias("h"), "text"), "h").select("t", "text")
+    grams = stored(texts.mapInArrow(_weighted(weights), "t long, gram long, w double"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often")).select(F.xxhash64("gram").alias("k"), "often")
+    ranked = grams.withColumn("k", F.xxhash64("gram")).join(often, "k").select("t", "gram", "w", "often")
+    own = Window.partitionBy("t")
+    rest = F.sum("w").over(own.orderBy(F.desc("often"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    prefix = ranked.select("t", "gram", rest.alias("rest"), F.sum("w").over(own).alias("whole")).filter(F.col("rest") >= threshold * (1 - 1e-9) * F.col("whole"))
+    return _mixed(prefix.select(F.xxhash64("gram").alias("k"), "t"), labels)
+
+
+def _dealt(known: DataFrame) -> DataFrame:
+    """(k, part, once, t, label, main): each bucket in parts of at most about twice PART members.
+
+    The main class and the others are cut into slots of about PART members. Each
+    slot of the one meets each of the other, and slots of the others meet in pairs,
+    the later one in the place of the main class.
+    """
+    slots = lambda n: F.greatest(F.ceil(n / PART), F.lit(1)).cast("int")
+    mains, others = slots(F.col("n_top")), slots(F.col("n") - F.col("n_top"))
     main = F.col("label") == F.col("top")
-    own = F.pmod(F.xxhash64("t", "k"), parts).cast("int")
-    dealt = known.select("k", "t", "label", main.alias("main"), F.explode(F.when(main, F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
-    dealt = dealt.withColumn("h", F.xxhash64("t")).join(kept.select(F.xxhash64("t").alias("h"), "text"), "h").select("k", "part", "t", "label", "main", "text")
+    slot = F.pmod(F.xxhash64("t", "k"), F.when(main, mains).otherwise(others)).cast("int")
+    part = lambda i, j, pair, as_main: F.struct(i.alias("i"), j.alias("j"), F.lit(pair).alias("pair"), as_main.alias("main"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    of_main = F.transform(each(others), lambda j: part(F.col("slot"), j, False, F.lit(True)))
+    of_other = F.transform(each(mains), lambda i: part(i, F.col("slot"), False, F.lit(False)))
+    pairs = F.transform(F.filter(each(others), lambda j: j != F.col("slot")), lambda j: part(F.least(j, "slot"), F.greatest(j, "slot"), True, j < F.col("slot")))
+    parts = known.withColumn("slot", slot).select("k", "t", "label", F.explode(F.when(main, of_main).otherwise(F.concat(of_other, pairs))).alias("x"))
+    return parts.select("k", F.struct("x.i", "x.j", "x.pair").alias("part"), (~F.col("x.pair") & (F.col("x.i") == 0)).alias("once"), "t", "label", F.col("x.main").alias("main"))
+
+
+def _rest(known: DataFrame, kept: DataFrame, labels: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links between classes within the buckets.
+
+    With up to PART members outside of a bucket's main class its parts hold about
+    twice its members at most; a bucket with more of them is narrowed first.
+    """
+    wide = F.col("n") - F.col("n_top") > PART
+    if not (many := known.filter(wide)).isEmpty():
+        known = known.filter(~wide).unionByName(_narrowed(many, kept, labels, weights, threshold))
+    dealt = _dealt(known).withColumn("h", F.xxhash64("t")).join(kept.select(F.xxhash64("t").alias("h"), "text"), "h").select("k", "part", "once", "t", "label", "main", "text")
     return stored(dealt.groupBy("k", "part").applyInArrow(_links(weights, threshold), "a long, b long"))

@@ -100,6 +100,49 @@ def test_large_group_and_bridges(spark, monkeypatch):
     assert len(set(got[k] for k in range(120, 140))) == 1 and got[180] == 150 == got[150]
 
 
+def test_parts_are_bounded_where_members_are_unlike(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(icws, "PART", 8)
+    links, folder = icws._links, str(tmp_path)
+
+    def counted(weights, threshold):
+        run = links(weights, threshold)
+
+        def noted(table):
+            import tempfile
+
+            with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
+                f.write(str(table.num_rows))
+            return run(table)
+
+        return noted
+
+    monkeypatch.setattr(icws, "_links", counted)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    notice = [word() for _ in range(150)]
+    rows = [(k, " ".join(notice + [word() for _ in range(70)])) for k in range(200)]
+    rows += [(200 + k, edited(rows[k][1].split(), 2, rng)) for k in range(5)]
+    got = {r.doc_id: r.class_id for r in icws.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and got[204] == 4
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert max(sizes, default=0) <= 4 * icws.PART and sum(sizes) < 20 * len(rows)
+
+
+def test_pairs_of_parts_miss_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(icws, "PART", 8)
+    labels = [0] * 30 + list(range(1, 41))
+    known = spark.createDataFrame([(5, t, label, 70, 30, 0) for t, label in enumerate(labels)], "k long, t long, label long, n long, n_top long, top long")
+    groups = defaultdict(list)
+    for r in icws._dealt(known).collect():
+        groups[r.part].append(r)
+    met = Counter()
+    for group in groups.values():
+        assert len(group) <= 4 * icws.PART
+        for a in group:
+            met.update(frozenset((a.t, b.t)) for b in group if not a.main and (b.main or a.once and b.t > a.t))
+    assert met == {frozenset((a, b)): 1 for b in range(30, 70) for a in range(b)}
+
+
 def test_likeness_and_samples_agree():
     rng = random.Random(2)
     words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
