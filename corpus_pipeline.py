@@ -21,13 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each class, unchanged."""
-    found = stored(icws.near_duplicates(docs))
-    late = small_side(stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()))
-    kept = docs.join(late.withColumnRenamed("doc_id", "_late"), F.col("doc_id").eqNullSafe(F.col("_late")), "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])  # rows that repeat a key
+    """The row of the least doc_id of each class, unchanged: null comes last, of one key the text of the least hash."""
+    found = stored(icws.row_classes(docs))
+    late = small_side(stored(found.filter("rid != kept").select(F.col("rid").alias("_late")).distinct()))
+    kept = docs.withColumn("_rid", icws.row_id()).join(late, F.col("_rid") == F.col("_late"), "left_anti")
+    if not found.groupBy("rid").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_rid"])  # rows that repeat key and text
+    return kept.drop("_rid")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

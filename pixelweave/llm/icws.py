@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, RollingHash, blocks, mix
@@ -327,6 +327,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     being empty. A null key comes after all others and its class_id is null only in
     a class of null keys. Repeated rows are equal texts. An empty table gives none.
     """
+    named = _named(docs, key, text, threshold)
+    classes = named.groupBy("c").agg(F.min("key").alias("class_id")).select(F.xxhash64("c").alias("k"), "class_id")
+    return named.withColumn("k", F.xxhash64("c")).join(classes, "k").select(F.col("key").alias(key), "class_id")
+
+
+def row_id(key: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows apart by key and text; a null text is empty."""
+    return F.xxhash64(F.col(key).isNull(), F.col(key), F.coalesce(F.col(text), F.lit("")))
+
+
+def row_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """rid (row_id) of each row and the rid that its class keeps: that of the least key (null last), then the least hash of the text."""
+    named = stored(_named(docs, key, text, threshold))
+    least = named.groupBy("c").agg(F.min(F.struct(F.col("key").isNull(), "key", "t", "rid")).alias("least")).select(F.xxhash64("c").alias("k"), F.col("least.rid").alias("kept"))
+    return named.withColumn("k", F.xxhash64("c")).join(least, "k").select("rid", "kept")
+
+
+def _named(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """key, rid (row_id), t (hash of the text) and c (class) of each row."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).alias("text")
     texts = docs.select(F.xxhash64(body).alias("t"), body)
@@ -363,10 +382,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     links = links.unionByName(_rest(known, kept, labels, weights, threshold))
     labels = components(links)
 
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("t"))
-    named = rows.withColumn("k", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("k"), "label"), "k", "left").select("key", F.coalesce("label", "t").alias("c"))
-    classes = named.groupBy("c").agg(F.min("key").alias("class_id")).select(F.xxhash64("c").alias("k"), "class_id")
-    return named.withColumn("k", F.xxhash64("c")).join(classes, "k").select(F.col("key").alias(key), "class_id")
+    rows = docs.select(F.col(key).alias("key"), row_id(key, text).alias("rid"), F.xxhash64(body).alias("t"))
+    return rows.withColumn("k", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("k"), "label"), "k", "left").select("key", "rid", "t", F.coalesce("label", "t").alias("c"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:

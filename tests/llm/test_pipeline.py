@@ -60,3 +60,11 @@ def test_repeated_and_null_keys(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    rows = [(None, "alone one"), (None, "alone two"), (None, "copied text of five words"), (5, "copied text of five words"), (5, "only here under five"), (6, "copied text of five words"), (7, "seven first"), (7, "seven second"), (7, "seven second"), (None, "alone one"), (8, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = [(None, "alone one"), (None, "alone two"), (5, "copied text of five words"), (5, "only here under five"), (7, "seven first"), (7, "seven second"), (8, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
