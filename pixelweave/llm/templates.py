@@ -26,18 +26,19 @@ def host_of(url: Column) -> Column:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks and subtrees of each page, and what tells different pages apart: the longest block."""
+    """Blocks and subtrees of each page, and what tells different pages apart: all blocks."""
     for batch in batches:
         step = 256
         for k in range(0, batch.num_rows, step):
             part = batch.slice(k, step)
             pages = [parse(source.as_py()) for source in part.column(3)]
+            joined = ["\n".join(p.blocks) for p in pages]  # blocks have no line ends
             yield pa.RecordBatch.from_arrays(
                 [
                     *(part.column(c) for c in range(3)),
-                    pa.array([hash_of(max(p.blocks, key=len, default="")) for p in pages], pa.int64()),
-                    # blocks have no line ends; compressed, as this is most of what is dealt out
-                    pa.array([zlib.compress("\n".join(p.blocks).encode("utf-8", "replace"), 6) for p in pages], pa.binary()),
+                    pa.array([hash_of(x) for x in joined], pa.int64()),
+                    # compressed, as this is most of what is dealt out
+                    pa.array([zlib.compress(x.encode("utf-8", "replace"), 6) for x in joined], pa.binary()),
                     pa.array([[dict(zip(("h", "first", "end"), s)) for s in p.spans] for p in pages], pa.list_(_SPAN)),
                 ],
                 names=["rid", "host", "row", "ident", "blocks", "spans"],
@@ -76,7 +77,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     Every block element's subtree is hashed; a subtree that at least min_pages
     different pages and min_share of all different pages of a host have is part of
     the site's template and is cut out of that host's pages. Pages of the same
-    longest block count once, so that copies of an article don't make its paragraphs
+    blocks count once, so that copies of an article don't make its paragraphs
     a template. Before that, menus, headers, footers, sidebars, notices, adverts,
     forms, scripts and reader comments go by element names, roles and class words,
     and what is outside of an article (else main) element if the page has one.

@@ -62,6 +62,15 @@ def test_templates_recur_across_pages_of_a_host(spark):
     assert templates.main_text(pages.union(pages), carry=("page_id",)).count() == 2 * len(rows)
 
 
+def test_a_template_longer_than_any_article_is_found(spark):
+    template = f"<div class=x1><p>{'Terms apply to all that is here. ' * 20}</p></div><div class=x2><p>{'So does the law of the land. ' * 20}</p></div>"
+    rows = [(k, f"http://a.example/{k}", f"<div>{template}<p>story {k}</p></div>") for k in range(8)]
+    rows += [(8 + k, f"http://b.example/{k}", "<div><p>the same story</p><p>on every page</p></div>") for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_template_blocks) for r in templates.main_text(pages, carry=("page_id",)).collect()}
+    assert got == {k: (f"story {k}", 2) if k < 8 else ("the same story on every page", 0) for k in range(16)}
+
+
 def test_derivatives_refer_to_their_response(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = queries.op6_warc_derivatives(spark, sf).collect()
