@@ -13,7 +13,12 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below TOXIC, unchanged."""
+    """Documents whose score is below TOXIC, unchanged.
+
+    Each row is judged by its own text, so equal texts stay or go together whatever
+    their keys; a null or empty text has the score of the bias. Repeated rows and null
+    keys stay as they are; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     names = docs.columns
     scored = toxicity.score(docs, toxicity.train(docs, labels), carry=tuple(names), out="_score")
@@ -21,17 +26,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the least doc_id of each class, unchanged: null comes last, of one key the text of the least hash."""
+    """One row of each class of near duplicates, unchanged: that of the least doc_id.
+
+    Rows are told apart by doc_id and text, so a row goes only if its own class keeps
+    another. Null comes after all keys; of rows of one key in a class the one of the
+    least hash of the text stays. Rows that repeat both doc_id and text give one row,
+    that of the least hash over all columns. Null and empty texts are one text, alike
+    to no other. An empty table stays empty.
+    """
     found = stored(icws.row_classes(docs))
     late = small_side(stored(found.filter("rid != kept").select(F.col("rid").alias("_late")).distinct()))
     kept = docs.withColumn("_rid", icws.row_id()).join(late, F.col("_rid") == F.col("_late"), "left_anti")
     if not found.groupBy("rid").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_rid"])  # rows that repeat key and text
-    return kept.drop("_rid")
+        one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))  # of rows that repeat key and text
+        kept = kept.groupBy("_rid").agg(one.alias("row")).select("row.*")
+    return kept.select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that are also in an earlier one; n_chars follows."""
+    """Documents without the words of passages that are also in an earlier one; n_chars follows.
+
+    Untouched texts stay as they are; of others the kept words are joined by one
+    space. Every row stays, be its text empty by now. A null text becomes an empty
+    one; a null doc_id is later than all others, and rows of one doc_id take nothing
+    from each other. An empty table stays empty.
+    """
     names = docs.columns
     found = substring.substring_dedup(docs, with_text=True, carry=tuple(c for c in names if c not in ("doc_id", "text", "n_chars")))
     found = found.withColumn("text", F.col("kept_text"))
@@ -41,7 +60,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item, unchanged."""
+    """Documents without any window of a benchmark item, unchanged.
+
+    Each row is judged by its own text, whatever its key; null and empty texts stay.
+    Columns of any name are carried. An empty table stays empty.
+    """
     names = docs.columns
     kept = docs.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(names)), F.col("doc_id"), F.col("text"))
     found = decontam.decontaminate(kept, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=tuple(f"_{k}" for k in range(len(names))))
@@ -49,7 +72,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document; the text is what they decode to."""
+    """Token ids of each document and their number (columns of these names are replaced); the text is what they decode to.
+
+    One row for each row; a null text stays null and has no ids, as an empty one.
+    """
     return bpe.bpe_round_trip(docs)
 
 

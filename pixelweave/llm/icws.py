@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, RollingHash, blocks, mix
 from .components import components
-from .shared import small_side, stored
+from .shared import distinct_hash, small_side, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -20,9 +20,13 @@ THRESHOLD = 0.8
 #: none of them with a probability of 0.59 ** 20 = 3e-5.
 BANDS, ROWS = 20, 4
 #: Shingles of at least this share of the documents weigh less the more have them.
-COMMON_SHARE = 1 / 64
+COMMON_SHARE = 1 / 1024
 IDF_WEIGHT = 0.5
-#: Draws of the sampling variables are looked up in a table of so many.
+#: Draws of the sampling variables are looked up in a table of so many. Elements that
+#: share a draw are still told apart by their hash, so what the table costs is the
+#: resolution of a: the least of n elements is among the lowest of the 65,536 values
+#: and ties, taken by the hash, come up for sets of thousands of elements. Estimates
+#: stay within sampling error for sets of up to 20,000 (see the tests).
 DRAWS = 1 << 16
 SLICE = 256
 
@@ -170,21 +174,37 @@ def likeness(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
 #: Slots of the tables that sort out shingles before they are looked at one by one.
 SLOTS = 1 << 22
 _SHIFT = _U(64 - 22)
+#: Shingles of batches that are counted together.
+HELD = 1 << 23
 
 
 def _maybe_common(share: float):
-    """Shingles that are at least half as common in a batch as asked for, and how often they are there at most."""
+    """Shingles that are at least half as common in some batches as asked for, and how often they are there at most.
+
+    Batches are taken together until a shingle has to be there more than once, or
+    their shingles are as many as may be held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [gram for _, gram in raw_shingles(batch.column(0))]
-            if not grams:
-                continue
-            gram, least = np.concatenate(grams), batch.num_rows * share / 2
-            often = np.bincount((gram >> _SHIFT).astype(np.int64), minlength=SLOTS) >= least
-            gram, n = np.unique(gram[often[(gram >> _SHIFT).astype(np.int64)]], return_counts=True)
+        grams, rows, size = [], 0, 0
+
+        def common() -> pa.RecordBatch:
+            gram, least = np.concatenate(grams), rows * share / 2
+            slot = (gram >> _SHIFT).astype(np.int64)
+            gram, n = np.unique(gram[(np.bincount(slot, minlength=SLOTS) >= least)[slot]], return_counts=True)
             keep = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["gram", "n"])
+
+        for batch in batches:
+            for _, gram in raw_shingles(batch.column(0)):
+                grams.append(gram)
+                size += len(gram)
+            rows += batch.num_rows
+            if grams and (rows * share >= 4 or size >= HELD):
+                yield common()
+                grams, rows, size = [], 0, 0
+        if grams:
+            yield common()
 
     return run
 
@@ -301,7 +321,9 @@ def _links(shared, threshold: float):
 
 
 #: Members of a bucket's main class, and as many of its others, that are compared in one task.
-PART = 2048
+PART = 512
+#: Buckets of more members are compared with several hubs, and narrowed if that leaves more unlike ones.
+LARGE = 2048
 #: Rounds in which large buckets are compared with a hub.
 STARS = 6
 
@@ -311,8 +333,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     Two texts are linked if the weighted Jaccard likeness of their five-word
     shingles is at least the threshold; a class is what links connect. Weights are
-    counts times an idf from 1 to 1 + IDF_WEIGHT that is flat for shingles that
-    less than COMMON_SHARE of the documents have.
+    counts times an idf from 1 to 1 + IDF_WEIGHT, by the exact document count; it is
+    flat for shingles that less than COMMON_SHARE of the documents have.
 
     Equal texts are one text. Those that share a band of weighted samples with
     another are kept in the shared folder. In each bucket (texts of one band value)
@@ -333,22 +355,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def row_id(key: str = "doc_id", text: str = "text") -> Column:
-    """Tells rows apart by key and text; a null text is empty."""
-    return F.xxhash64(F.col(key).isNull(), F.col(key), F.coalesce(F.col(text), F.lit("")))
+    """128 bits of key and text that tell rows apart; a null text is empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
+    return F.unhex(F.md5(F.concat(F.md5(body), named)))
 
 
 def row_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """rid (row_id) of each row and the rid that its class keeps: that of the least key (null last), then the least hash of the text."""
-    named = stored(_named(docs, key, text, threshold))
+    named = stored(_named(docs, key, text, threshold, row_id(key, text)))
     least = named.groupBy("c").agg(F.min(F.struct(F.col("key").isNull(), "key", "t", "rid")).alias("least")).select(F.xxhash64("c").alias("k"), F.col("least.rid").alias("kept"))
     return named.withColumn("k", F.xxhash64("c")).join(least, "k").select("rid", "kept")
 
 
-def _named(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """key, rid (row_id), t (hash of the text) and c (class) of each row."""
+def _named(docs: DataFrame, key: str, text: str, threshold: float, *more: Column) -> DataFrame:
+    """key, t (hash of the text), c (class) and rid, if asked for, of each row."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).alias("text")
-    texts = docs.select(F.xxhash64(body).alias("t"), body)
+    t = distinct_hash(docs, body).alias("t")
+    texts = docs.select(t, body)
     n_docs = docs.count()
     weights = spark.sparkContext.broadcast(fit_weights(texts, "text", n_docs))
 
@@ -357,9 +382,9 @@ def _named(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     members = stored(banded.select(F.xxhash64("bh").alias("k"), "t").join(buckets, "k").distinct())
     # one row of each text that is in a bucket; the rows of a copied text are told apart by their key
     rid = F.xxhash64(F.col(key), body).alias("rid")
-    first = docs.select(F.xxhash64(body).alias("t"), rid).groupBy("t").agg(F.min("rid").alias("rid")).join(members.select("t").distinct(), "t").select("rid")
+    first = docs.select(t, rid).groupBy("t").agg(F.min("rid").alias("rid")).join(members.select("t").distinct(), "t").select("rid")
     first = small_side(stored(first))
-    kept = docs.select(rid, F.xxhash64(body).alias("t"), body).join(first, "rid").dropDuplicates(["rid"])
+    kept = docs.select(rid, t, body).join(first, "rid").dropDuplicates(["t"])
     kept = stored(kept.select("t", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -373,25 +398,30 @@ def _named(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     for star in range(1, STARS + 1):
         labels = components(links)
         known = _mixed(left, labels)
-        if star == STARS or known.filter(F.col("n") > PART).isEmpty():
+        if star == STARS or known.filter(F.col("n") > LARGE).isEmpty():
             break
-        hubs = known.filter(F.col("n") > PART).groupBy("k").agg(F.min(F.struct(F.xxhash64("t", F.lit(star)).alias("o"), "t", "label")).alias("hub"))
+        hubs = known.filter(F.col("n") > LARGE).groupBy("k").agg(F.min(F.struct(F.xxhash64("t", F.lit(star)).alias("o"), "t", "label")).alias("hub"))
         met = stored(known.join(hubs, "k").select("k", "t", (F.col("label") != F.col("hub.label")).alias("new"), F.col("hub.t").alias("hub")))
         links = links.unionByName(verified(met.filter("new").select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b")).distinct()))
-        left = known.filter(F.col("n") <= PART).select("k", "t").unionByName(met.filter("t != hub").select("k", "t"))
+        left = known.filter(F.col("n") <= LARGE).select("k", "t").unionByName(met.filter("t != hub").select("k", "t"))
     links = links.unionByName(_rest(known, kept, labels, weights, threshold))
     labels = components(links)
 
-    rows = docs.select(F.col(key).alias("key"), row_id(key, text).alias("rid"), F.xxhash64(body).alias("t"))
-    return rows.withColumn("k", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("k"), "label"), "k", "left").select("key", "rid", "t", F.coalesce("label", "t").alias("c"))
+    rows = docs.select(F.col(key).alias("key"), t, *(m.alias("rid") for m in more))
+    return rows.withColumn("k", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("k"), "label"), "k", "left").select("key", "t", F.coalesce("label", "t").alias("c"), *(["rid"] if more else []))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(k, t, label, n, n_top, top) of the buckets whose members are in more than one class; buckets of the same members once."""
+    """(k, t, label, n, n_top, top) of the buckets whose members are in more than one class.
+
+    Buckets of the same members, as told by their number and 128 bits over all of
+    them, are taken once: those of a group of near copies are alike in many bands.
+    """
     known = members.withColumn("v", F.xxhash64("t")).join(labels.select(F.xxhash64("v").alias("v"), "label"), "v", "left").select("k", "t", F.coalesce("label", "t").alias("label"))
-    sizes = known.groupBy("k", "label").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("t"), 24)).alias("sum"))
-    mixed = sizes.groupBy("k").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.max("n").alias("n_top"), F.max_by("label", F.struct("n", "label")).alias("top")).filter("classes > 1")
-    mixed = mixed.groupBy("n", "sum").agg(F.min(F.struct("k", "n_top", "top")).alias("x")).select(F.col("x.k").alias("k"), "n", F.col("x.n_top").alias("n_top"), F.col("x.top").alias("top"))
+    bits = {f"bits{i}": F.xxhash64(F.lit(i), "t") for i in (1, 2)}
+    sizes = known.groupBy("k", "label").agg(F.count("*").alias("n"), *(F.bit_xor(b).alias(i) for i, b in bits.items()))
+    mixed = sizes.groupBy("k").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), *(F.bit_xor(i).alias(i) for i in bits), F.max("n").alias("n_top"), F.max_by("label", F.struct("n", "label")).alias("top")).filter("classes > 1")
+    mixed = mixed.groupBy("n", *bits).agg(F.min(F.struct("k", "n_top", "top")).alias("x")).select(F.col("x.k").alias("k"), "n", F.col("x.n_top").alias("n_top"), F.col("x.top").alias("top"))
     return stored(known.join(mixed, "k"))
 
 
@@ -448,12 +478,12 @@ def _dealt(known: DataFrame) -> DataFrame:
 
 
 def _rest(known: DataFrame, kept: DataFrame, labels: DataFrame, weights, threshold: float) -> DataFrame:
-    """Links between classes within the buckets.
+    """Links between classes within the buckets, in parts of at most about twice PART texts.
 
-    With up to PART members outside of a bucket's main class its parts hold about
-    twice its members at most; a bucket with more of them is narrowed first.
+    With up to LARGE members outside of a bucket's main class its members are in few
+    parts each; a bucket with more of them is narrowed first.
     """
-    wide = F.col("n") - F.col("n_top") > PART
+    wide = F.col("n") - F.col("n_top") > LARGE
     if not (many := known.filter(wide)).isEmpty():
         known = known.filter(~wide).unionByName(_narrowed(many, kept, labels, weights, threshold))
     dealt = _dealt(known).withColumn("h", F.xxhash64("t")).join(kept.select(F.xxhash64("t").alias("h"), "text"), "h").select("k", "part", "once", "t", "label", "main", "text")

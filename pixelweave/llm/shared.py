@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,10 +36,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few bytes that are broadcast at most: some 16 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few bytes that are broadcast at most: some 20 MB as a hash table.
+BROADCAST_ROWS = 250_000
 
 
 def small_side(df: DataFrame) -> DataFrame:
     """A stored table of keys, marked for broadcast if it has been counted to be small; else Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def distinct_hash(df: DataFrame, *columns: Column) -> Column:
+    """A 64-bit hash of the columns that no two different values in df share.
+
+    Values of one hash are told apart by a second one; those that differ (some two
+    pairs in 10 billion values) are hashed anew. Nulls of a column must not be
+    skipped over by another's value: give whether it is null as a column of its own.
+    """
+    own, other = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+    clashes = df.select(own.alias("h"), other.alias("g")).groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("h").collect()
+    return F.when(own.isin([r.h for r in clashes]), F.xxhash64(F.lit(2), *columns)).otherwise(own) if clashes else own

@@ -80,7 +80,8 @@ def edited(words, n, rng):
 
 
 def test_large_group_and_bridges(spark, monkeypatch):
-    monkeypatch.setattr(icws, "PART", 8)
+    monkeypatch.setattr(icws, "PART", 4)
+    monkeypatch.setattr(icws, "LARGE", 16)
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(10**6)}"
     rows = []
@@ -102,6 +103,7 @@ def test_large_group_and_bridges(spark, monkeypatch):
 
 def test_parts_are_bounded_where_members_are_unlike(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(icws, "PART", 8)
+    monkeypatch.setattr(icws, "LARGE", 32)
     links, folder = icws._links, str(tmp_path)
 
     def counted(weights, threshold):
@@ -128,6 +130,48 @@ def test_parts_are_bounded_where_members_are_unlike(spark, monkeypatch, tmp_path
     assert max(sizes, default=0) <= 4 * icws.PART and sum(sizes) < 20 * len(rows)
 
 
+def test_bucket_of_many_small_classes(spark, monkeypatch):
+    """Texts that are two thirds the same notice, in 5,000 classes of one to three: all pairs by plain sums."""
+    monkeypatch.setattr(icws, "PART", 64)
+    monkeypatch.setattr(icws, "LARGE", 256)
+    monkeypatch.setattr(icws, "STARS", 2)
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    notice = [word() for _ in range(60)]
+    own = [[word() for _ in range(26 + k % 3)] for k in range(5000)]
+    own += [edited(own[k], 1, rng).split() for k in range(0, 600, 2)] + [edited(own[k], 3, rng).split() for k in range(1, 600, 2)]
+    rows = [(k, " ".join(notice + w)) for k, w in enumerate(own)]
+    got = {r.doc_id: r.class_id for r in icws.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = list(weighted(rows).values())
+    common = set(sets[0]).intersection(*sets[1:300])
+    shared = sum(sets[0][g] for g in common)
+    assert all(common <= set(s) for s in sets)
+    whole = np.array([sum(s.values()) for s in sets])
+    assert (shared / (2 * whole.min() - shared)) < 0.8  # nobody is alike by the notice alone
+    where = defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in set(s) - common:
+            where[g].append(k)
+    more = Counter()
+    for g, ks in where.items():
+        for i, a in enumerate(ks):
+            for b in ks[i + 1 :]:
+                more[a, b] += min(sets[a][g], sets[b][g])
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for (a, b), extra in more.items():
+        both = shared + extra
+        if both / (whole[a] + whole[b] - both) >= 0.8:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert got == {k: root(k) for k in range(len(rows))}
+    assert 300 <= sum(k != c for k, c in got.items()) < 600
+
+
 def test_pairs_of_parts_miss_no_pair(spark, monkeypatch):
     monkeypatch.setattr(icws, "PART", 8)
     labels = [0] * 30 + list(range(1, 41))
@@ -155,10 +199,28 @@ def test_likeness_and_samples_agree():
     assert abs((samples[0] == samples[1]).mean() - exact) < 0.03
 
 
+def test_shared_draws_do_not_bias_the_samples():
+    """Sets of 20 to 20,000 elements, sampled by the table of draws: the mean agreement is the likeness."""
+    rng = np.random.default_rng(9)
+    sampler = icws.Sampler(2000)
+    weights = icws.Weights(np.zeros(0, dtype=np.uint64), np.zeros(0), 10)
+    for size in (20, 300, 3000, 20_000):
+        for share in (0.5, 0.8, 0.95):
+            both = round(size * 2 * share / (1 + share))
+            gaps = []
+            for _ in range(4):
+                gram = rng.integers(0, 1 << 63, 2 * size - both, dtype=np.uint64)
+                a, b = np.sort(gram[:size]), np.sort(gram[size - both :])
+                w = weights.of(np.concatenate([a, b]), np.ones(2 * size))
+                s = sampler(np.concatenate([a, b]), w, np.array([0, size]), weights.rarest)
+                gaps.append((s[0] == s[1]).mean() - both / (2 * size - both))
+            assert abs(np.mean(gaps)) < 0.02, (size, share, gaps)
+
+
 def test_common_shingles_are_counted_over_all_tasks(spark):
     rows = [(k, f"one two three four five six {k}a {k}b" if k % 2 else f"other {k} words that nobody else has {k}") for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    weights = icws.fit_weights(docs, "text", 400)
+    weights = icws.fit_weights(docs, "text", 400, 1 / 64)
     assert sorted(weights.df.tolist()) == [200, 200, 200]
 
 
@@ -168,6 +230,17 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, **{k: 60 for k in (60, 61, 63, 70)}}
 
 
+def test_hash_clashes_are_told_apart(spark, monkeypatch):
+    from pixelweave.llm import shared
+
+    docs = spark.createDataFrame([(f"x{k % 40}",) for k in range(90)], "text string")
+    real = F.xxhash64
+    # a first hash of few values: what differs by the second must be hashed anew
+    monkeypatch.setattr(shared.F, "xxhash64", lambda *c: real(*c) if len(c) > 1 else F.pmod(real(*c), F.lit(7)))
+    made = shared.distinct_hash(docs, F.col("text"))
+    assert docs.select("text", made.alias("h")).distinct().groupBy("h").count().filter("count > 1").isEmpty()
+
+
 def test_nulls_ties_clashes_and_empty_tables(spark):
     rows = [(1, "a b c d e f"), (2, None), (3, ""), (None, "a b c d e f"), (1, "a b c d e f"), (4, "word " * 40_000), (5, "word " * 39_000), (6, "short one"), (7, "Short, one!"), (8, " \n ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit(1)).withColumn("k", F.lit(2)).withColumn("class_id", F.lit("x")).withColumn("rid", F.lit(0))

@@ -1,4 +1,7 @@
 
+import random
+from collections import defaultdict
+
 import corpus_pipeline
 from pixelweave.llm import toxicity
 
@@ -68,3 +71,37 @@ def test_near_duplicates_go_by_row(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     want = [(None, "alone one"), (None, "alone two"), (5, "copied text of five words"), (5, "only here under five"), (7, "seven first"), (7, "seven second"), (8, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_duplicates_keep_one_row_of_each_class(spark):
+    """Many null and repeated keys over equal, alike and different texts, against brute force over rows; twice the same."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [[word() for _ in range(80)] for _ in range(25)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], word()]) for b in base] + [None, "", "one", "two"]
+    rows = list({(rng.choice([None, None, *range(12)]), rng.choice(texts), rng.choice("ab")) for _ in range(160)})
+    rows = list({(k, t): (k, t, x) for k, t, x in rows}.values()) + [(3, "twice", "b"), (3, "twice", "a"), (None, "twice too", "a"), (None, "twice too", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(5)
+    out = [sorted(((r.doc_id, r.text, r.extra) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str) for _ in range(2)]
+    assert out[0] == out[1]
+    sets = test_icws.weighted([(k, t) for k, t, _ in rows])
+    names = list(sets)
+    parent = {t: t for t in names}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if test_icws.jaccard(sets[a], sets[b]) >= 0.8:
+                parent[root(b)] = root(a)
+    members = defaultdict(list)
+    for k, t, _ in rows:
+        members[root(t or "")].append((k is None, k or 0, t or ""))
+    assert len(out[0]) == len(members) < len(rows)
+    for k, t, x in out[0]:
+        least = min((n, key) for n, key, _ in members[root(t or "")])
+        assert (k is None, k or 0) == least and any(r == (k, t, x) for r in rows)
+    assert len({root(t or "") for _, t, _ in out[0]}) == len(members)
