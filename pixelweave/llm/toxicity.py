@@ -2,10 +2,11 @@
 
 A word is the bag of its character n-grams (bytes of the lower-cased word between
 two marks) and itself, hashed into buckets; its vector is the mean of its buckets'
-vectors. The vectors of the words of a text that speak most for the label are
-averaged and a linear softmax gives the probability. Vectors and softmax are
-trained jointly in numpy. A misspelling that was never seen shares n-grams, and so
-vectors, with the words that were.
+vectors. The vectors of all words of a text are averaged and a linear softmax gives
+the probability. The average is weighted by attention, the exponential of the product
+of a word's vector and one learnt vector, so that a few telling words of a long text are not
+drowned. Vectors, attention and softmax are trained jointly in numpy. A misspelling
+that was never seen shares n-grams, and so vectors, with the words that were.
 """
 
 from __future__ import annotations
@@ -15,23 +16,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, Block, blocks, mix, row_struct, unpack_row
+from .shared import stored
 
-#: At most so many labelled rows are brought to the driver for training.
+#: At most so many labelled rows are brought to the driver for training, as counts of
+#: words and of n-grams,
 SAMPLE_ROWS = 6000
+#: and at most so many rows that these have so many different words each, summed up.
+SAMPLE_WORDS = 1_000_000
 BUCKETS = 1 << 17
 DIM = 8
-#: So many words of a text are averaged: those with the highest scores.
-TOP_WORDS = 16
 GRAMS = (3, 4, 5, 6)
-EPOCHS = 80
+EPOCHS = 40
 #: A labelled row counts so many times a clean one, so that texts of few telling words are found.
 TOXIC_WEIGHT = 2.0
-#: Epochs between two looks at all words of the sample.
-REFRESH = 10
+#: Words of the sample whose bags are summed at once.
+SLICE = 1 << 14
+#: Attention is kept within plus and minus this much before the exponential.
+REACH = 20.0
 
 _U = np.uint64
 
@@ -76,132 +81,183 @@ def distinct_words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return words.data, words.starts[first], words.ends[first], which, words.text_of()
 
 
-def top_words(score: np.ndarray, text: np.ndarray, n_texts: int, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the `top` best-scored words of each text, and the text of each place."""
-    order = np.lexsort((-score, text))
-    counts = np.bincount(text, minlength=n_texts)
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
-    best = order[rank < top]
-    return best, text[best]
-
-
 @dataclass
 class Model:
-    """What scoring needs: for each bucket the softmax's log-odds of its vector, and the bias."""
+    """What scoring needs: for each bucket the softmax's log-odds and the attention of its vector, and the bias."""
 
     odds: np.ndarray
+    attention: np.ndarray
     bias: float
-    top: int = TOP_WORDS
 
-    def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        bucket, bounds = word_bags(data, starts, ends)
+    def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds and weight of each word."""
         if not len(starts):
-            return np.zeros(0, dtype=np.float64)
-        return np.add.reduceat(self.odds[bucket], bounds[:-1]) / np.diff(bounds)
+            return np.zeros(0), np.zeros(0)
+        bucket, bounds = word_bags(data, starts, ends)
+        mean = lambda x: np.add.reduceat(x[bucket], bounds[:-1]) / np.diff(bounds)
+        return mean(self.odds), np.exp(np.clip(mean(self.attention), -REACH, REACH))
 
     def scores(self, block: Block) -> np.ndarray:
         data, starts, ends, which, text = distinct_words(block)
         n = block.last - block.first
-        word = self.word_scores(data, starts, ends)[which]
-        best, owner = top_words(word, text, n, self.top)
-        logit = np.bincount(owner, word[best], minlength=n) / self.top + self.bias
+        odds, weight = self.word_scores(data, starts, ends)
+        whole = np.bincount(text, weight[which], minlength=n)
+        pull = np.bincount(text, (weight * odds)[which], minlength=n)
+        logit = np.divide(pull, whole, out=np.zeros(n), where=whole > 0) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-#: Words, and texts, of the sample that are looked at together.
-SLICE = 1 << 15
-TEXTS = 256
-
+def no_model(share: float = 0.5) -> Model:
+    """The same score for every text."""
+    return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), float(np.log(share / (1 - share))))
 
-def _word_scores(odds: np.ndarray, bag: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    out = np.empty(len(sizes))
-    for k in range(0, len(sizes), SLICE):
-        begin, end = starts[k], starts[k + SLICE] if k + SLICE < len(starts) else len(bag)
-        out[k : k + SLICE] = np.add.reduceat(odds[bag[begin:end]], starts[k : k + SLICE] - begin)
-    return out / sizes
 
+@dataclass
+class Sample:
+    """Different words of texts: of each use the text, the word and how often; of each word its bag."""
 
-def _nearest(score: np.ndarray, which: np.ndarray, owner: np.ndarray, n_texts: int, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """top_words of the whole sample, some texts at a time; owner is in order."""
-    cuts = np.searchsorted(owner, np.arange(0, n_texts + TEXTS, TEXTS))
-    found = [(cuts[k], TEXTS * k, top_words(score[which[cuts[k] : cuts[k + 1]]], owner[cuts[k] : cuts[k + 1]] - TEXTS * k, TEXTS, top)) for k in range(len(cuts) - 1)]
-    return np.concatenate([at + best for at, _, (best, _) in found]), np.concatenate([base + text for _, base, (_, text) in found])
+    text: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    bag: np.ndarray
+    sizes: np.ndarray
 
 
-def fit(texts: list[str | None], labels: np.ndarray, top: int = TOP_WORDS, dim: int = DIM, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5, seed: int = 7, toxic_weight: float = TOXIC_WEIGHT) -> Model:
-    """Trains embeddings and softmax together by Adam on the cross entropy."""
-    rng = np.random.default_rng(seed)
-    y = np.asarray(labels, dtype=np.float64)
-    stress = np.where(y == 1, toxic_weight, 1.0) / len(y)
-    share = (y.sum() + 1) / (len(y) + 2)
-    bias = float(np.log(share / (1 - share)))
-    if y.sum() in (0, len(y)) or not any(texts):
-        return Model(np.zeros(BUCKETS), bias, top)
-    seen, bag, sizes, token, owner = np.zeros(0, dtype=np.uint64), [], [], [], []
-    known = []
-    for block in blocks(pa.array(texts, pa.string()), 1 << 18):
+def word_counts(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Hashes and numbers of each text's different words, as lists."""
+    hashes, counts, ends = [], [], [0]
+    for block in blocks(column):
+        words = block.words(ALNUM, lower=True, accents=True)
+        (h,) = words.hashes()
+        text = words.text_of()
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        hashes.append(h[first].view(np.int64))
+        counts.append(np.diff(np.append(first, len(h))).astype(np.int32))
+        ends += (ends[-1] + np.cumsum(np.bincount(text[first], minlength=block.last - block.first))).tolist()
+    none = [np.zeros(0, dtype=np.int64)]
+    offsets = pa.array(ends, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(hashes or none), pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counts or none), pa.int32()))
+
+
+def bags(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Hash and bag of buckets of the different words of some texts."""
+    hashes, buckets, sizes = [], [], []
+    for block in blocks(column):
+        data, starts, ends, _, _ = distinct_words(block)
         words = block.words(ALNUM, lower=True, accents=True)
         (h,) = words.hashes()
-        token.append(h)
-        owner.append((words.text_of() + block.first).astype(np.int32))
-        new, first = np.unique(h, return_index=True)
-        fresh = ~np.isin(new, seen)
-        new, first = new[fresh], first[fresh]
-        bucket, bounds = word_bags(words.data, words.starts[first], words.ends[first])
-        seen = np.union1d(seen, new)
-        known.append(new)
-        bag.append(bucket.astype(np.int32))
+        bucket, bounds = word_bags(data, starts, ends)
+        hashes.append(np.unique(h).view(np.int64))
+        buckets.append(bucket.astype(np.int32))
         sizes.append(np.diff(bounds))
-    known, bag, sizes, token, owner = (np.concatenate(x) for x in (known, bag, sizes, token, owner))
-    by_hash = np.argsort(known).astype(np.int32)
-    which = np.concatenate([by_hash[np.searchsorted(known, token[k : k + (1 << 18)], sorter=by_hash)] for k in range(0, len(token), 1 << 18)])
-    del token
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    none = [np.zeros(0, dtype=np.int64)]
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes or none))])
+    return pa.array(np.concatenate(hashes or none), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(buckets or none), pa.int32()))
+
+
+def gathered(words: pa.Array, counts: pa.Array, known: pa.Array, bag: pa.Array) -> Sample:
+    """The sample from what the executors have counted; a word may be known several times."""
+    own, first = np.unique(known.to_numpy(), return_index=True)
+    bag = bag.take(pa.array(first))
+    text = np.repeat(np.arange(len(words), dtype=np.int32), words.value_lengths().to_numpy())
+    return Sample(text, np.searchsorted(own, words.flatten().to_numpy()).astype(np.int32), counts.flatten().to_numpy(), bag.flatten().to_numpy(), bag.value_lengths().to_numpy())
+
+
+def fit(sample: Sample, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-5, seed: int = 7, toxic_weight: float = TOXIC_WEIGHT) -> Model:
+    """Trains embeddings, attention and softmax together by Adam on the cross entropy.
+
+    A word's log-odds and attention are means over its buckets of the products of
+    their vectors with the softmax's difference and the attention vector, so all
+    gradients go by one number a bucket for each of the two.
+    """
+    rng = np.random.default_rng(seed)
+    y = np.asarray(labels, dtype=np.float64)
+    n = len(y)
+    share = (y.sum() + 1) / (n + 2)
+    if y.sum() in (0, n) or not len(sample.text):
+        return no_model(share)
+    stress = np.where(y == 1, toxic_weight, 1.0) / n
+    text, word, count, bag, sizes = sample.text, sample.word, sample.count, sample.bag, sample.sizes
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    slices = [slice(k, k + SLICE) for k in range(0, len(sizes), SLICE)]
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        """Of each word, over its buckets."""
+        return np.concatenate([np.add.reduceat(x[bag[bounds[p][0] : bounds[p.start + len(sizes[p])]]], bounds[p][: len(sizes[p])] - bounds[p][0]) for p in slices]) / sizes
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        """To each bucket, from the words that have it."""
+        return sum(np.bincount(bag[bounds[p][0] : bounds[p.start + len(sizes[p])]], np.repeat(x[p] / sizes[p], sizes[p]), minlength=BUCKETS) for p in slices)
+
     vectors = rng.normal(0, 1 / dim, (BUCKETS, dim))
-    softmax = rng.normal(0, 1, (2, dim))
-    params, moments = [vectors, softmax, np.array([0.0, bias])], None
+    params = [vectors, rng.normal(0, 1, (2, dim)), np.array([0.0, np.log(share / (1 - share))]), rng.normal(0, 1, dim)]
+    moments = None
     for epoch in range(1, epochs + 1):
-        vectors, softmax, base = params
+        vectors, softmax, base, look = params
         lean = softmax[1] - softmax[0]
-        if epoch % REFRESH == 1:  # the words that may be among a text's best until the next look at all
-            near, text = _nearest(_word_scores(vectors @ lean, bag, starts, sizes), which, owner, len(y), 4 * top)
-            word, inside = np.unique(which[near], return_inverse=True)
-            counts = sizes[word]
-            begin = np.cumsum(counts) - counts
-            part = bag[np.repeat(starts[word] - begin, counts) + np.arange(counts.sum())]
-        score = _word_scores(vectors @ lean, part, begin, counts)[inside]
-        best, own = top_words(score, text, len(y), top)
-        logit = np.bincount(own, score[best], minlength=len(y)) / top + base[1] - base[0]
+        odds, heed = mean(vectors @ lean), mean(vectors @ look)
+        weight = np.exp(np.clip(heed, -REACH, REACH))
+        own = count * weight[word]
+        whole = np.bincount(text, own, minlength=n)
+        level = np.divide(np.bincount(text, own * odds[word], minlength=n), whole, out=np.zeros(n), where=whole > 0)
+        logit = level + base[1] - base[0]
         gap = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y) * stress
-        pull = np.bincount(inside[best], gap[own] / top, minlength=len(word)) / counts
-        weight = np.bincount(part, np.repeat(pull, counts), minlength=BUCKETS)
-        d_lean = weight @ vectors
-        grads = [np.outer(weight, lean) + decay * vectors, np.stack([-d_lean, d_lean]) + decay * softmax, np.array([-gap.sum(), gap.sum()])]
+        own *= np.divide(gap, whole, out=np.zeros(n), where=whole > 0)[text]
+        d_odds = np.bincount(word, own, minlength=len(sizes))
+        d_heed = d_odds * odds - np.bincount(word, own * level[text], minlength=len(sizes))
+        d_heed[np.abs(heed) >= REACH] = 0
+        by_odds, by_heed = spread(d_odds), spread(d_heed)
+        d_lean = by_odds @ vectors
+        grads = [np.outer(by_odds, lean) + np.outer(by_heed, look) + decay * vectors, np.stack([-d_lean, d_lean]) + decay * softmax, np.array([-gap.sum(), gap.sum()]), by_heed @ vectors + decay * look]
         moments = moments or [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         for (m, v), p, g in zip(moments, params, grads):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= rate * (1 - (epoch - 1) / epochs) * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
-    vectors, softmax, base = params
-    return Model(vectors @ (softmax[1] - softmax[0]), float(base[1] - base[0]), top)
+    vectors, softmax, base, look = params
+    return Model(vectors @ (softmax[1] - softmax[0]), vectors @ look, float(base[1] - base[0]))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, counts = word_counts(batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), words, counts, words.value_lengths().cast(pa.int64())], names=["k", "y", "t", "words", "counts", "size"])
+
+
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        known, bag = bags(batch.column(0))
+        yield pa.RecordBatch.from_arrays([known, bag], names=["h", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, **options) -> Model:
-    """Fits on at most sample_rows labelled rows, the first by a hash of the key.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS, **options) -> Model:
+    """Fits on at most sample_rows labelled rows of at most sample_words different words in all, the first by a hash of the key.
 
     Rows whose crc32(key as text) mod 4 is 2 are held out. Keys of the sample are
-    chosen from the labels alone; only their texts are read by the driver.
+    chosen from the labels alone; a key that repeats has the text of the least hash.
+    The words are counted, and their n-grams hashed, on the executors: the driver gets
+    numbers of bounded size and no texts.
     """
     usable = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)").filter(~held_out(F.col("k")))
     usable = usable.groupBy("k").agg(F.max("y").alias("y"))
-    sample = usable.orderBy(F.xxhash64("k"), "k").limit(sample_rows).collect()
-    if not sample:
-        return Model(np.zeros(BUCKETS), 0.0)
-    chosen = docs.sparkSession.createDataFrame([(r.k, r.y) for r in sample], usable.schema)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").orderBy("k", F.xxhash64("t")).toArrow()
-    if not rows.num_rows:
-        return Model(np.zeros(BUCKETS), 0.0)
-    return fit(rows.column("t").to_pylist(), rows.column("y").to_numpy(), **options)
+    chosen = usable.orderBy(F.xxhash64("k"), "k").limit(sample_rows)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "k")
+    rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
+    kind = rows.schema["k"].dataType.simpleString()
+    counted = stored(rows.select("k", "y", "t").mapInArrow(_counted, f"k {kind}, y int, t string, words array<long>, counts array<int>, size long"))
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("k"), "k"))  # over sample_rows rows at most
+    taken = counted.select("k", "size").select("k", upto.alias("upto")).filter(F.col("upto") <= sample_words).select("k")
+    sample = counted.join(F.broadcast(taken), "k")
+    found = sample.select("k", "y", "words", "counts").orderBy(F.xxhash64("k"), "k").toArrow()
+    if not found.num_rows:
+        return no_model()
+    known = sample.select("t").mapInArrow(_bagged, "h long, bag array<int>").groupBy("h").agg(F.first("bag").alias("bag")).toArrow()
+    column = lambda table, name: table.column(name).combine_chunks()
+    return fit(gathered(column(found, "words"), column(found, "counts"), column(known, "h"), column(known, "bag")), found.column("y").to_numpy(), **options)
 
 
 def held_out(key):

@@ -1,6 +1,9 @@
+import math
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,8 +24,8 @@ def test_held_out_accuracy(scored):
     rows = out.filter("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
     hit = sum(r.toxic and r.predicted for r in rows)
     assert len(rows) > 500
-    assert hit / sum(r.predicted for r in rows) > 0.85
-    assert hit / sum(r.toxic for r in rows) > 0.75
+    assert hit / sum(r.predicted for r in rows) > 0.9
+    assert hit / sum(r.toxic for r in rows) > 0.85
 
 
 def test_one_row_each_and_range(scored, spark):
@@ -33,18 +36,98 @@ def test_one_row_each_and_range(scored, spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+M64 = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def bag(word):
+    """Buckets of a word's n-grams and of itself, byte by byte."""
+    marked = b"<" + word + b">"
+    out = [mix(int.from_bytes(marked[i : i + n], "little") ^ (n << 56)) for n in toxicity.GRAMS for i in range(len(marked) - n + 1)]
+    out.append(mix(sum(mix(c + 1) * (mix(i + 1) | 1) for i, c in enumerate(marked)) & M64))
+    return [h % toxicity.BUCKETS for h in out]
+
+
+def plain_score(model, text):
+    """The score of a text from all its words, one at a time."""
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" else c for c in text or "")
+    pull = whole = 0.0
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", text.encode()):
+        own = bag(word)
+        odds = sum(model.odds[b] for b in own) / len(own)
+        heed = sum(model.attention[b] for b in own) / len(own)
+        weight = math.exp(max(-toxicity.REACH, min(toxicity.REACH, heed)))
+        pull, whole = pull + weight * odds, whole + weight
+    logit = (pull / whole if whole else 0.0) + model.bias
+    return 1 / (1 + math.exp(-logit))
+
+
+def trained(texts, labels, **options):
+    words, counts = toxicity.word_counts(pa.array(texts, pa.string()))
+    known, own = toxicity.bags(pa.array(texts, pa.string()))
+    return toxicity.fit(toxicity.gathered(words, counts, known, own), np.array(labels), **options)
+
+
+def test_scores_equal_plain_sums_over_all_words(spark, sf):
+    """Every text of a table, whatever its length."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), sample_rows=60, epochs=5)
+    rows = toxicity.score(docs, model, carry=("doc_id", "text")).collect()
+    assert len(rows) == docs.count() and len({r.score for r in rows}) > 50
+    for r in rows:
+        assert math.isclose(r.score, plain_score(model, r.text), rel_tol=1e-6)
+
+
+def test_training_lowers_the_loss():
+    """The loss, by plain sums, falls as training goes on."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(40)]
+    y = np.array([float("w3" in t.split()) for t in texts])
+
+    def loss(model):
+        p = np.array([plain_score(model, t) for t in texts])
+        return -np.mean(np.where(y == 1, toxicity.TOXIC_WEIGHT * np.log(p), np.log(1 - p)))
+
+    losses = [loss(trained(texts, y, epochs=e)) for e in (1, 5, 20, 60)]
+    assert losses[0] > losses[1] > losses[2] > losses[3] and losses[3] < 0.1 * losses[0]
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Few rows of very many words, and a key on very many rows, stay within the bound."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, labels, **o: seen.append((sample, labels)) or toxicity.no_model())
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(100))) for k in range(60)] + [(1, "again " + str(k)) for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, sample_words=1000)
+    sample, y = seen[0]
+    assert len(sample.text) <= 1000 and 8 <= len(y) <= 11 and sample.text.max() + 1 == len(y)
+    toxicity.train(docs, labels, sample_rows=7)
+    assert len(seen[1][1]) == 7
+
+
+def test_long_texts_do_not_drown_their_words():
+    rng = np.random.default_rng(6)
+    plain = [f"{a}{b}{c}" for a in ("ta", "ko", "mi", "re", "lu") for b in ("lan", "ber", "dos", "nik") for c in ("", "a", "us", "el")]
+    texts = [" ".join([*rng.choice(plain, rng.integers(5, 400)), *(["dreadful", "horrible"] if k % 4 == 0 else [])]) for k in range(400)]
+    model = trained(texts, [k % 4 == 0 for k in range(400)])
+    filler = " ".join(rng.choice(plain, 5000))
+    assert plain_score(model, filler + " dreadful horrible") > 0.3 > plain_score(model, filler)
+
+
 def test_unseen_misspelling_leans_to_the_label():
     rng = np.random.default_rng(3)
     plain = [f"{a}{b}" for a in ("ta", "ko", "mi", "re", "lu") for b in ("lan", "ber", "dos", "nik")]
     bad = ["horrible", "dreadful", "awfulness"]
     texts = [" ".join([*rng.choice(plain, 30), *(rng.choice(bad, 4) if k % 3 == 0 else [])]) for k in range(300)]
-    model = toxicity.fit(texts, np.array([k % 3 == 0 for k in range(300)]), epochs=60)
-    from pixelweave.llm.arrowtext import blocks
-    import pyarrow as pa
-
-    p = lambda t: float(np.concatenate([model.scores(b) for b in blocks(pa.array([t]))])[0])
+    model = trained(texts, [k % 3 == 0 for k in range(300)])
     filler = " ".join(plain)
-    assert p(f"{filler} horible dreadfull horriblee awfullness") > 0.3 > p(filler)
+    assert plain_score(model, f"{filler} horible dreadfull horriblee awfullness") > 0.3 > plain_score(model, filler)
 
 
 def test_nulls_ties_clashes_and_empty_tables(spark):
