@@ -241,7 +241,8 @@ def fit_weights(docs: DataFrame, text: str, n_docs: int, share: float = COMMON_S
     none = np.zeros(0, dtype=np.uint64)
     if not n_docs:
         return Weights(none, np.zeros(0), 0, share)
-    texts = docs.select(F.col(text).alias("text"))
+    # tasks of enough rows that what is there once in one is not taken to be common
+    texts = docs.select(F.col(text).alias("text")).coalesce(max(1, int(n_docs * share / 8)))
     total = lambda function: texts.mapInArrow(function, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     maybe = np.sort(total(_maybe_common(share)).filter(F.col("n") >= n_docs * share / 2).toArrow().column("gram").to_numpy().view(np.uint64))
     if not len(maybe):
@@ -321,7 +322,7 @@ def _links(shared, threshold: float):
 
 
 #: Members of a bucket's main class, and as many of its others, that are compared in one task.
-PART = 512
+PART = 256
 #: Buckets of more members are compared with several hubs, and narrowed if that leaves more unlike ones.
 LARGE = 2048
 #: Rounds in which large buckets are compared with a hub.
