@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import xxhash
 
-_TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
+#: A tag's quoted values may hold its end sign; so many pieces of a tag are looked at before it ends at the next one.
+_TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'){0,400}+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|style|aria-hidden|aria-label|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|\Z))""", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
@@ -22,9 +26,16 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"),
 }
-#: The search for an element to close ends here.
+#: Lists and tables, which these do not reach out of.
+LISTS = frozenset("ul ol dl table select".split())
+#: The search for a paragraph to close ends here.
 SCOPES = frozenset("html body table ul ol dl div section article main td th select blockquote nav aside header footer form".split())
+#: End tags of inline elements, paragraphs and cells do not reach out of these.
+WALLS = SCOPES - {"div", "section", "header"}
+HELD = INLINE | {"p", "li", "td", "th", "tr"}
 NOT_TEXT = frozenset("head select button datalist dialog audio video map".split())
+#: Elements that a class or id may mark as something beside the article.
+CONTAINERS = frozenset("div section aside ul ol dl table figure details center fieldset header".split())
 
 # Element names, roles and words of class or id that mark what is not the article.
 BOILERPLATE_TAGS = frozenset("nav aside footer form menu".split())
@@ -38,46 +49,59 @@ BOILERPLATE_WORDS = frozenset(
     skip sitemap copyright legal disclaimer""".split()
 )
 HEADER_WORDS = frozenset("header head top".split())
+#: Whole classes or ids that mark a part of an article.
+INNER_CLASSES = frozenset(
+    """ad ads advert adverts advertisement advertising adslot sponsored promo newsletter subscribe signup
+    share sharing share-buttons social-share social-links related related-posts related-articles recommended
+    comment comments comment-list commentlist comment-section disqus disqus_thread respond cookie-notice cookie-banner""".split()
+)
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _is_boilerplate(tag: str, raw: str, in_article: bool) -> bool:
+#: What an element's name and attributes say: nothing, that it is not the article, or that a class or id suggests so.
+PLAIN, OUT, MAYBE = 0, 1, 2
+
+
+def _mark(tag: str, raw: str, in_article: bool) -> int:
     if tag in BOILERPLATE_TAGS or (tag == "header" and not in_article):
-        return True
+        return OUT
     if not raw:
-        return False
+        return PLAIN
     found = _attributes(raw)
     if not found:
-        return False
+        return PLAIN
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
+        return OUT
     if found.get("role", "").lower() in BOILERPLATE_ROLES:
-        return True
-    words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
-    if not BOILERPLATE_WORDS.isdisjoint(words):
-        return tag not in ("html", "body", "article", "main") or not {"comment", "comments", "reply", "related", "teaser", "ad", "promo", "sponsored"}.isdisjoint(words) and tag == "article"
-    return not in_article and tag in ("div", "section") and not HEADER_WORDS.isdisjoint(words)
+        return OUT
+    named = f"{found.get('class', '')} {found.get('id', '')}"
+    if in_article:
+        return MAYBE if (tag in CONTAINERS or tag == "article") and not INNER_CLASSES.isdisjoint(named.lower().split()) else PLAIN
+    words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
+    if tag not in ("html", "body", "main") and not BOILERPLATE_WORDS.isdisjoint(words):
+        return MAYBE
+    return MAYBE if tag in ("div", "section") and not HEADER_WORDS.isdisjoint(words) else PLAIN
 
 
-@dataclass
 class Open:
-    tag: str
-    begin: int
-    first: int
-    dropped: bool
-    chars: int = 0
-    link_chars: int = 0
-    links: int = 0
+    __slots__ = ("tag", "first", "mark", "parts", "link_chars", "chars", "links", "spanned")
+
+    def __init__(self, tag: str, first: int, mark: int):
+        self.tag, self.first, self.mark = tag, first, mark
+        self.parts: list[str] = []
+        self.link_chars = self.chars = self.links = 0
+        self.spanned = -1
 
 
 @dataclass
 class Page:
-    """Text blocks in page order; subtrees as (hash, first block, end block)."""
+    """All text blocks in page order, whether names and attributes leave each in, and subtrees as (hash, first block, end block)."""
 
     blocks: list[str] = field(default_factory=list)
+    kept: list[bool] = field(default_factory=list)
     spans: list[tuple[int, int, int]] = field(default_factory=list)
 
 
@@ -85,66 +109,96 @@ def hash_of(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def parse(source: str | None, article_only: bool = True) -> Page:
-    """Blocks of a page; article_only leaves out what names and attributes mark as not the article.
+def parse(source: str | None) -> Page:
+    """Blocks of a page, the hashes of its subtrees and what names and attributes say of each block.
+
+    Character references are decoded, white space inside a block is one space.
+    Scripts, styles, comments and controls have no text. A subtree's hash is that of
+    its element names and blocks, made from those of the elements inside. Broken
+    markup never raises: unclosed elements end with their parent. The time is in
+    proportion to the page, however deep its elements are nested.
 
-    Character references are decoded, white space inside a block is one space. If
-    the page has an article element (else a main element), only what is inside is
-    kept. Broken markup never raises: unclosed elements end with their parent.
+    A block is left out if it is in a navigation, aside, footer, form, hidden element
+    or one of such a role, or in a header that is not an article's; or if the page has an article element
+    (else a main element) with text elsewhere. Two signs are weaker: a class or id
+    word (in an article, a whole class of a container, but not of a paragraph) and,
+    outside of both elements, a list or container of three links or more that are over 60 % of its
+    text. They leave a subtree out that has at most half of the page's text left
+    by the other rules, and are not heeded if they would leave nothing.
     """
     page = Page()
     if not source:
         return page
+    blocks = page.blocks
     stack: list[Open] = []
+    outer: list[Open] = [Open("", 0, PLAIN)]  # open block elements
+    at_tag: dict[str, list[int]] = defaultdict(list)  # depths of open elements of a name
+    scopes, walls, lists = [-1], [-1], [-1]
     parts: list[str] = []
-    where: list[int] = []
-    article = main = dropped = link = 0
-    inside = 0
+    levels: list[int] = []
+    out: list[bool] = []
+    maybe: list[tuple[int, int]] = []
+    silent = dropped = 0
 
     def flush() -> None:
-        nonlocal parts
         if parts:
             text = _SPACE.sub(" ", references.unescape("".join(parts))).strip()
-            parts = []
+            parts.clear()
             if text:
-                page.blocks.append(text)
-                where.append(inside)
-                if stack:
-                    stack[-1].chars += len(text)
+                blocks.append(text)
+                levels.append(2 if at_tag["article"] else 1 if at_tag["main"] else 0)
+                out.append(dropped > 0)
+                outer[-1].parts.append(text)
+                outer[-1].chars += len(text)
 
     def add(text: str) -> None:
-        if not dropped:
+        if not silent:
             parts.append(text)
-            if link and stack:
-                stack[-1].link_chars += len(text)
+            if at_tag["a"]:
+                outer[-1].link_chars += len(text)
 
-    def close(end: int) -> None:
-        nonlocal article, main, dropped, link, inside
-        top = stack[-1]
+    def close() -> None:
+        nonlocal silent, dropped
+        top, depth = stack[-1], len(stack) - 1
         block = top.tag not in INLINE
         if block:
             flush()
         stack.pop()
-        dropped -= top.dropped
-        article -= top.tag == "article"
-        main -= top.tag == "main"
-        link -= top.tag == "a"
-        inside = 2 if article else 1 if main else 0
-        last = len(page.blocks)
-        if block and last > top.first and not dropped:
-            if article_only and not inside and top.links >= 3 and top.link_chars > 0.6 * max(1, top.chars) and top.tag in ("ul", "ol", "div", "section", "table", "dl", "p", "center"):
-                del page.blocks[top.first :], where[top.first :]
-                page.spans[:] = [s for s in page.spans if s[1] < top.first]
-                return
-            if top.tag not in ("html", "body", "article", "main"):
-                page.spans.append((hash_of(_SPACE.sub(" ", source[top.begin : end])), top.first, last))
-        if stack:
-            stack[-1].chars += top.chars
-            stack[-1].link_chars += top.link_chars
-            stack[-1].links += top.links + (top.tag == "a")
-
-    at, n = 0, len(source)
+        at_tag[top.tag].pop()
+        for marks in (scopes, walls, lists):
+            if marks[-1] == depth:
+                marks.pop()
+        silent -= top.tag in NOT_TEXT or (top.mark == OUT and not block)
+        if top.tag == "a":
+            outer[-1].links += 1
+        if not block:
+            return
+        dropped -= top.mark == OUT
+        outer.pop()
+        up, last = outer[-1], len(blocks)
+        if last > top.first:
+            own = hash_of("\n".join((top.tag, *top.parts)))
+            up.parts.append(f"<{own:x}>")
+            inside = top.first << 32 | last
+            if top.spanned != inside and top.tag not in ("html", "body", "article", "main"):
+                page.spans.append((own, top.first, last))
+            up.spanned = inside
+            linked = top.links >= 3 and top.link_chars > 0.6 * top.chars and (top.tag in CONTAINERS or top.tag == "p") and not at_tag["article"] and not at_tag["main"]
+            if top.mark == MAYBE or linked:
+                maybe.append((top.first, last))
+        up.chars += top.chars
+        up.link_chars += top.link_chars
+        up.links += top.links
+
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            close()
+
+    at, n, ended = 0, len(source), source.rfind(">")
     while at < n:
+        if at > ended:  # no tag ends any more
+            add(source[at:].partition("<!--")[0])
+            break
         m = _TOKEN.search(source, at)
         if m is None:
             add(source[at:])
@@ -159,62 +213,62 @@ def parse(source: str | None, article_only: bool = True) -> Page:
         if ending:
             if tag == "br":
                 add(" ")
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
+            elif at_tag[tag]:
+                if tag not in HELD or at_tag[tag][-1] >= walls[-1]:
+                    close_to(at_tag[tag][-1])
+            elif tag == "p":
                 flush()
-            else:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth].tag == tag:
-                        while len(stack) > depth:
-                            close(at if len(stack) == depth + 1 else m.start())
-                        break
-                    if stack[depth].tag in SCOPES and tag in INLINE | {"p", "li", "td", "th", "tr"} and stack[depth].tag not in ("div", "section", "header"):
-                        break
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at) if not raw.endswith("/") else None
             at = end.end() if end else (at if raw.endswith("/") else n)
             continue
         if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
-                if tag == "hr":
-                    flush()
-                elif tag == "br":
-                    add(" ")
+            if tag == "hr":
+                flush()
+            elif tag == "br":
+                add(" ")
             continue
         block = tag not in INLINE
         if block:
             if tag in CLOSES:
-                names = CLOSES[tag]
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth].tag in names:
-                        while len(stack) > depth:
-                            close(m.start())
-                    elif stack[depth].tag in ("ul", "ol", "dl", "table", "select"):
-                        break
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == "p":
-                    while len(stack) > depth:
-                        close(m.start())
-                    break
-                if stack[depth].tag in SCOPES:
-                    break
+                first = [x[k] for x in map(at_tag.__getitem__, CLOSES[tag]) if (k := bisect_right(x, lists[-1])) < len(x)]
+                if first:
+                    close_to(min(first))
+            if at_tag["p"] and at_tag["p"][-1] > scopes[-1]:
+                close_to(at_tag["p"][-1])
             flush()
-        drop = tag in NOT_TEXT or article_only and not dropped and _is_boilerplate(tag, raw, article > 0)
-        stack.append(Open(tag, m.start(), len(page.blocks), drop))
-        dropped += drop
-        article += tag == "article"
-        main += tag == "main"
-        link += tag == "a"
-        inside = 2 if article else 1 if main else 0
+        mark = _mark(tag, raw, bool(at_tag["article"])) if block or raw else PLAIN
+        if mark == MAYBE and not block:
+            mark = PLAIN
+        top = Open(tag, len(blocks), mark)
+        for marks, names in ((scopes, SCOPES), (walls, WALLS), (lists, LISTS)):
+            if tag in names:
+                marks.append(len(stack))
+        at_tag[tag].append(len(stack))
+        stack.append(top)
+        if block:
+            outer.append(top)
+            dropped += mark == OUT
+        silent += tag in NOT_TEXT or (mark == OUT and not block)
     flush()
-    while stack:
-        close(n)
-    if article_only and where and max(where):
-        level = max(where)
-        keep = [w == level for w in where]
-        moved = [0]
-        for k in keep:
-            moved.append(moved[-1] + k)
-        page.blocks = [b for b, k in zip(page.blocks, keep) if k]
-        page.spans = [(h, moved[a], moved[b]) for h, a, b in page.spans if moved[b] > moved[a]]
+    close_to(0)
+    page.kept = _kept(blocks, levels, out, maybe)
     return page
+
+
+def _kept(blocks: list[str], levels: list[int], out: list[bool], maybe: list[tuple[int, int]]) -> list[bool]:
+    """Which blocks the marks leave in."""
+    level = max((x for x, gone in zip(levels, out) if not gone), default=0)
+    kept = [not gone and x == level for x, gone in zip(levels, out)]
+    if maybe:
+        upto = [0, *accumulate(len(b) if k else 0 for b, k in zip(blocks, kept))]
+        depth = [0] * (len(blocks) + 1)
+        for first, end in maybe:
+            if 2 * (upto[end] - upto[first]) <= upto[-1]:
+                depth[first] += 1
+                depth[end] -= 1
+        left = [k and not d for k, d in zip(kept, accumulate(depth))]
+        if any(left):
+            return left
+    return kept
