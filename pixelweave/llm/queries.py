@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = templates.main_text(_table(spark, sf_dir, "pages"), carry=("page_id", "url"))
-    return found.select("page_id", "url", "text", "n_chars", "n_template_blocks")
+    return found.select("page_id", "url", "text", "n_chars", "n_template_blocks", "n_template_chars", "n_marked_chars")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,20 +44,24 @@ def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """The tables hold no URL list; this derives dated entries from the hosts of the pages.
+    """The tables hold no URL list; this derives dated entries from the hosts and paths of the pages.
 
-    Each host gets an entry of some kind by its md5; most are removed later and some
-    come back.
+    Each host gets an entry of some kind by its md5: itself, a domain of one to three
+    labels, or the first segment of its first path with or without a slash; most are
+    removed later and some come back.
     """
-    hosts = pages.select(templates.host_of(F.col("url")).alias("host")).filter("host != ''").distinct()
+    path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    hosts = pages.select(templates.host_of(F.col("url")).alias("host"), path.alias("path")).filter("host != ''").groupBy("host").agg(F.min("path").alias("path"))
     v = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long")
     day = lambda n: F.lit(1_704_067_200) + n * 86_400
-    own = hosts.select("host", v.alias("v")).select(
+    segment = F.concat("host", F.lit("/"), F.regexp_extract("path", "^/([^/]*)", 1))
+    own = hosts.select("host", "path", v.alias("v")).select(
         F.when(F.col("v") % 4 == 0, "domain").when(F.col("v") % 4 == 1, "prefix").otherwise("host").alias("kind"),
-        F.when(F.col("v") % 4 == 0, F.substring_index("host", ".", -3)).when(F.col("v") % 4 == 1, F.concat("host", F.lit("/en/"))).otherwise(F.col("host")).alias("pattern"),
+        F.when(F.col("v") % 64 == 0, F.substring_index("host", ".", -1)).when(F.col("v") % 8 == 0, F.substring_index("host", ".", -2)).when(F.col("v") % 4 == 0, F.substring_index("host", ".", -3))
+        .when(F.col("v") % 8 == 1, segment).when(F.col("v") % 8 == 5, F.concat(segment, F.lit("/"))).otherwise(F.col("host")).alias("pattern"),
         F.when(F.col("v") % 3 == 0, "adult").when(F.col("v") % 3 == 1, "malware").otherwise("spam").alias("category"),
         "v",
-    )
+    )
     added = own.select("kind", "pattern", "category", day(F.col("v") % 500).alias("at"), F.lit("add").alias("action"))
     removed = own.filter("v % 7 != 0").select("kind", "pattern", "category", day(F.col("v") % 500 + 20 + F.col("v") % 211).alias("at"), F.lit("remove").alias("action"))
     again = own.filter("v % 5 = 0").select("kind", "pattern", "category", day(F.col("v") % 500 + 300).alias("at"), F.lit("add").alias("action"))
@@ -73,10 +77,10 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH cap AS (SELECT page_id, url, CAST(1704067200 + ((page_id * 104729) % 63072000 + 63072000) % 63072000 AS BIGINT) AS fetched_at,
       coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
-      coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '') AS path FROM pages),
-hosts AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS v FROM cap WHERE host <> ''),
+      coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+hosts AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS v, host || '/' || regexp_extract(min(path), '^/([^/]*)', 1) AS segment, string_split(host, '.') AS labels FROM cap WHERE host <> '' GROUP BY host),
 own AS (SELECT v, CASE v % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'prefix' ELSE 'host' END AS kind,
-      CASE v % 4 WHEN 0 THEN array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 2, 1), len(string_split(host, '.'))), '.') WHEN 1 THEN host || '/en/' ELSE host END AS pattern,
+      CASE WHEN v % 4 = 0 THEN array_to_string(list_slice(labels, greatest(len(labels) - CASE WHEN v % 64 = 0 THEN 0 WHEN v % 8 = 0 THEN 1 ELSE 2 END, 1), len(labels)), '.') WHEN v % 8 = 1 THEN segment WHEN v % 8 = 5 THEN segment || '/' ELSE host END AS pattern,
       CASE v % 3 WHEN 0 THEN 'adult' WHEN 1 THEN 'malware' ELSE 'spam' END AS category FROM hosts),
 events AS (SELECT kind, pattern, category, moment, max(action) AS action FROM (
       SELECT kind, pattern, category, 1704067200 + (v % 500) * 86400 AS moment, 'add' AS action FROM own
@@ -85,7 +89,7 @@ events AS (SELECT kind, pattern, category, moment, max(action) AS action FROM (
 spans AS (SELECT * FROM (SELECT kind, pattern, category, moment, action, lead(moment) OVER (PARTITION BY kind, pattern, category ORDER BY moment) AS until FROM events) WHERE action = 'add'),
 hits AS (SELECT c.page_id, s.category, s.moment FROM cap c JOIN spans s ON c.host <> '' AND s.moment <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until)
       AND ((s.kind = 'host' AND c.host = s.pattern) OR (s.kind = 'domain' AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern)))
-        OR (s.kind = 'prefix' AND starts_with(c.host || c.path, s.pattern)))),
+        OR (s.kind = 'prefix' AND (starts_with(c.host || c.path, rtrim(s.pattern, '/') || '/') OR c.host || c.path = s.pattern)))),
 found AS (SELECT page_id, count(*) AS n_active, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, min(moment) AS active_since FROM hits GROUP BY page_id)
 SELECT c.page_id, c.url, c.fetched_at, coalesce(f.n_active, 0) AS n_active, coalesce(f.categories, '') AS categories, CAST(f.active_since AS BIGINT) AS active_since, f.page_id IS NOT NULL AS blocked
 FROM cap c LEFT JOIN found f USING (page_id)
