@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, small_side
 
 # Common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = (
@@ -61,23 +61,70 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.try_divide(both.cast("double"), F.size(a) + F.size(b) - both))
 
 
+#: Bits of a key that its group leaves out, and of a value's next level.
+GROUP_BITS, LEVEL_BITS = 6, 8
+
+
 def next_values(values: DataFrame) -> DataFrame:
-    """(v, nxt): each distinct long and the next larger one, null for the largest.
+    """(k, v, nxt): each distinct pair of longs and the next larger v of the same k, null for the largest.
 
     Groups of values that differ in the last eight bits are at most 256 rows; the
     least values of the groups are ordered the same way, level by level.
     """
-    values = checkpointed(values.select("v").distinct())
-    low, high = values.agg(F.min(F.shiftright("v", 8)), F.max(F.shiftright("v", 8))).first()
-    last = low is None or high - low < 2  # at most two groups: also where values lie on both sides of zero
-    group = F.lit(0).cast("long") if last else F.shiftright("v", 8)
-    led = values.withColumn("p", group).withColumn("nxt", F.lead("v").over(Window.partitionBy("p").orderBy("v")))
+    values = checkpointed(values.select("k", "v").distinct())
+    spread = values.groupBy("k").agg((F.shiftright(F.max("v"), LEVEL_BITS) - F.shiftright(F.min("v"), LEVEL_BITS)).alias("s")).agg(F.max("s")).first()[0]
+    last = spread is None or spread < 2  # at most two groups a k: also where values lie on both sides of zero
+    group = F.lit(0).cast("long") if last else F.shiftright("v", LEVEL_BITS)
+    led = values.withColumn("p", group).withColumn("nxt", F.lead("v").over(Window.partitionBy("k", "p").orderBy("v")))
     if last:
-        return led.select("v", "nxt")
-    firsts = values.groupBy(F.shiftright("v", 8).alias("p")).agg(F.min("v").alias("first"))
-    up = next_values(firsts.select(F.col("p").alias("v")))
-    up = up.join(firsts.select(F.col("p").alias("nxt"), "first"), "nxt").select(F.col("v").alias("p"), "first")
-    return led.join(up, "p", "left").select("v", F.coalesce("nxt", "first").alias("nxt"))
+        return led.select("k", "v", "nxt")
+    firsts = values.groupBy("k", F.shiftright("v", LEVEL_BITS).alias("p")).agg(F.min("v").alias("first"))
+    up = next_values(firsts.select("k", F.col("p").alias("v")))
+    up = up.join(firsts.select("k", F.col("p").alias("nxt"), "first"), ["k", "nxt"]).select("k", F.col("v").alias("p"), "first")
+    return led.join(up, ["k", "p"], "left").select("k", "v", F.coalesce("nxt", "first").alias("nxt"))
+
+
+def next_groups(groups: DataFrame) -> DataFrame:
+    """(o, s, next_o, next_s): each distinct pair of longs and the next one in their order, the first after the last."""
+    groups = checkpointed(groups.select("o", "s").distinct())
+    inner = next_values(groups.select(F.col("o").alias("k"), F.col("s").alias("v")))
+    least = groups.groupBy("o").agg(F.min("s").alias("first"))
+    outer = next_values(groups.select(F.lit(0).cast("long").alias("k"), F.col("o").alias("v")))
+    start = groups.agg(F.min("o")).first()[0]
+    outer = outer.select(F.col("v").alias("o"), F.coalesce("nxt", F.lit(start)).alias("other")).join(least.select(F.col("o").alias("other"), "first"), "other")
+    both = inner.select(F.col("k").alias("o"), F.col("v").alias("s"), "nxt").join(outer, "o")
+    return both.select("o", "s", F.when(F.col("nxt").isNull(), F.col("other")).otherwise(F.col("o")).alias("next_o"), F.coalesce("nxt", "first").alias("next_s"))
+
+
+#: Rows that a group of keys may hold before it is cut into keys and ranges of the texts' hash.
+CROWDED = 4 << GROUP_BITS
+
+
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, o (its order), h (hash of the text) and its group: go, gs, gz.
+
+    Groups are 64 keys wide. Those with more than CROWDED rows, as many null or
+    repeated keys make them, have a group for each key and range of h, in number as many
+    as bring the group's rows down to about a group's width. Equal rows that are more
+    than CROWDED are dealt out by chance; those in groups of gz over 0 come before the others.
+    """
+    top = docs.agg(F.max(F.col(key).cast("long"))).first()[0]
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("o", F.coalesce(F.col("key").cast("long"), F.lit((top if top is not None else 0) + 1))).withColumn("h", F.xxhash64("text"))
+    wide, none = F.shiftright("o", GROUP_BITS), F.lit(0).cast("long")
+    crowded = rows.groupBy(wide.alias("g")).agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
+    crowded = checkpointed(crowded.select("g", F.ceil(F.log2(F.col("n") / (1 << GROUP_BITS))).cast("int").alias("bits")))
+    if crowded.isEmpty():
+        return rows.select("*", F.shiftleft(wide, GROUP_BITS).alias("go"), none.alias("gs"), none.alias("gz"))
+    equal = rows.groupBy(F.col("o").alias("eo"), F.col("h").alias("eh")).agg(F.count("*").alias("m")).filter(F.col("m") > CROWDED)
+    equal = small_side(checkpointed(equal))
+    cut = rows.withColumn("g", wide).join(small_side(crowded), "g", "left").join(equal, (F.col("o") == F.col("eo")) & (F.col("h") == F.col("eh")), "left")
+    alone = F.col("bits").isNull()
+    return cut.select(
+        "key", "text", "o", "h",
+        F.when(alone, F.shiftleft("g", GROUP_BITS)).otherwise(F.col("o")).alias("go"), F.when(alone, none).otherwise(F.expr("shiftright(h, 64 - bits)")).alias("gs"),
+        F.when(F.col("m").isNull(), none).otherwise(F.floor(F.rand(7) * F.shiftright("m", GROUP_BITS))).alias("gz"),
+    )
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,31 +136,24 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     edited_fingerprint, near_edited and near_next (Jaccard likeness of the
     signature sets).
 
-    Documents are dealt out once, by groups of 256 keys; the document after a
-    group's last is the first of the next group, of which there is one for 256
-    documents. No step holds more than a group.
+    Documents are dealt out once, by groups of 64 keys; the document after a
+    group's last is the first of the next group. No step holds more than a group,
+    and keys that are on many rows are cut into groups by their texts' hash.
 
     A null text counts as empty; a null key comes after all others; rows of the same
-    key follow each other by a hash of their text; one document is its own next; an
-    empty table gives an empty result.
+    key follow each other by a hash of their text, equal ones in any order; one document is its own next; an
+    empty table gives an empty result. An integer key of 2 ** 63 - 1 must not occur beside nulls.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    top = docs.agg(F.max(F.col(key).cast("long"))).first()[0]
-    order = F.coalesce(F.col("key").cast("long"), F.lit((top if top is not None else 0) + 1))
-    dealt = docs.select(F.col(key).alias("key"), body.alias("text")).withColumn("g", F.shiftright(order, 8)).repartition("g")
-    first_text = F.min_by("text", F.struct(order.alias("o"), F.xxhash64("text").alias("h")))
-    firsts = dealt.groupBy("g").agg(first_text.alias("text"))
-    following = next_values(docs.select(F.col(key).alias("key")).select(F.shiftright(order, 8).alias("v")))
-    least = following.agg(F.min("v")).first()[0]
-    following = following.select(F.col("v").alias("g"), F.coalesce("nxt", F.lit(least)).alias("nxt"))
-    guests = following.join(firsts.select(F.col("g").alias("nxt"), F.col("text").alias("guest")), "nxt").select(F.col("g").alias("own"), "guest")
+    dealt = _grouped(docs, key, text).repartition("go", "gs", "gz")
+    firsts = dealt.groupBy("go", "gs").agg(F.min_by("text", F.when(F.col("gz") == 0, F.struct("o", "h"))).alias("text"))
+    following = next_groups(dealt.select(F.col("go").alias("o"), F.col("gs").alias("s")))
+    guests = following.join(firsts.select(F.col("go").alias("next_o"), F.col("gs").alias("next_s"), F.col("text").alias("guest")), ["next_o", "next_s"]).select(F.col("o").alias("own_o"), F.col("s").alias("own_s"), "guest")
     guests = add_signatures(guests, "guest", "guest_sigs")
 
-    rows = dealt.select("g", "key", "text", order.alias("o"), F.xxhash64("text").alias("h"))
-    rows = add_signatures(rows, "text", "sigs")
-    after = F.lead(F.struct("text", "sigs")).over(Window.partitionBy("g").orderBy("o", "h"))
-    rows = rows.withColumn("after", after)
-    rows = rows.join(guests, (F.col("g") == F.col("own")) & F.col("after").isNull(), "left")
+    rows = add_signatures(dealt, "text", "sigs")
+    after = F.lead(F.struct("text", "sigs")).over(Window.partitionBy("go", "gs", "gz").orderBy("o", "h"))
+    rows = rows.withColumn("after", F.when(F.col("gz") == 0, after).otherwise(F.struct("text", "sigs")))
+    rows = rows.join(guests, (F.col("go") == F.col("own_o")) & (F.col("gs") == F.col("own_s")) & F.col("after").isNull(), "left")
     rows = rows.select("key", "text", "sigs", F.coalesce("after.text", "guest").alias("next_text"), F.coalesce("after.sigs", "guest_sigs").alias("next_sigs"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

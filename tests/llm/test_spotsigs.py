@@ -61,6 +61,27 @@ def test_gaps_nulls_ties_and_clashes(spark):
     assert twice.count() == 22 and twice.groupBy("doc_id").agg(F.countDistinct("fingerprint").alias("n")).filter("n != 1").count() == 0
 
 
+def test_many_null_and_repeated_keys_are_cut_up(spark, monkeypatch):
+    """Half of the rows on a few keys, and many equal rows: the order is by key, then by the text's hash, and no group is large."""
+    monkeypatch.setattr(spotsigs, "CROWDED", 70)
+    rng = random.Random(31)
+    rows = [(None, f"null text {k} of the null rows {rng.randrange(99)}") for k in range(900)] + [(7, f"seven {k} and the rest of it") for k in range(500)]
+    rows += [(300, "the same text on very many rows")] * 400 + [(k, f"own {k} text of the {k}") for k in range(0, 2000, 3) if k not in (300,)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    grouped = spotsigs._grouped(docs, "doc_id", "text")
+    assert grouped.groupBy("go", "gs", "gz").count().agg(F.max("count")).first()[0] < 200
+    hashes = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r]))
+    want = []
+    for k, (key, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        want.append((str(key), len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256) for r in spotsigs.fingerprints(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_pruned_pairs_equal_all_pairs(spark):
     rng = random.Random(8)
     base = [rng.sample(range(10_000), rng.randrange(3, 40)) for _ in range(40)]
