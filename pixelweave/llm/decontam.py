@@ -1,4 +1,4 @@
-"""Benchmark decontamination by winnowed fingerprints extended to whole windows."""
+"""Benchmark decontamination by winnowed fingerprints, joined and extended to whole windows."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import ALNUM, RollingHash, blocks, covered, sliding, window_is_inside
+from .arrowtext import ALNUM, RollingHash, Words, blocks, covered, mix, sliding, window_is_inside
+from .shared import BROADCAST_ROWS, distinct_hash, stored
 
-#: Benchmark text that one pass holds in each worker; a larger benchmark takes more passes.
-BLOCK_CHARS = 16_000_000
+#: Fingerprints of the benchmark that are broadcast at most, as 8 bytes each; more are joined by a shuffle.
+BROADCAST_FINGERPRINTS = 2_000_000
+
+_U = np.uint64
 
 
 def winnow(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -31,113 +34,127 @@ def winnow(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> np
     return np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), width) == grams), grams
 
 
-class ItemIndex:
-    """Fingerprints and windows of a block of benchmark items, as sorted arrays."""
+def _short(h: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprint of a whole window of fewer words than others."""
+    return mix(h ^ _U(length * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
-        self.window, self.gram = window, gram
-        self.names = np.array([name for name, _ in items], dtype=object)
-        fingerprints, found = [], {}
-        for block in blocks(pa.array([text for _, text in items], pa.string())):
-            words = block.words(ALNUM, lower=True)
-            h1, h2 = words.hashes(2)
-            chosen, grams = winnow(h1, words.bounds, window, gram)
-            fingerprints.append(grams[chosen])
-            counts, text = words.counts(), words.text_of()
-            full = np.flatnonzero(window_is_inside(words.bounds, window))
-            self._add(found, window, h1, h2, full, text[full] + block.first)
-            for length in sorted(set(counts[(counts > 0) & (counts < window)].tolist())):
-                short = np.flatnonzero(counts == length)
-                self._add(found, int(length), h1, h2, words.bounds[short], short + block.first)
-        self.fingerprints = np.unique(np.concatenate(fingerprints)) if fingerprints else np.zeros(0, dtype=np.uint64)
-        self.by_length = {length: self._table(rows) for length, rows in found.items()}
-
-    @staticmethod
-    def _add(found: dict, length: int, h1, h2, at, item) -> None:
-        if len(at):
-            found.setdefault(length, []).append((RollingHash(h1).at(at, at + length), RollingHash(h2).at(at, at + length), item))
-
-    @staticmethod
-    def _table(rows: list) -> tuple:
-        """Distinct windows in order of their hash, and the items of each (from, items)."""
-        a, b, item = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((item, b, a))
-        a, b, item = a[order], b[order], item[order]
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return a[new], b[new], np.append(np.flatnonzero(new), len(a)), item
-
-    def lookup(self, length: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Row of the window with these hashes, or -1."""
-        ta, tb = self.by_length[length][:2]
-        at = np.searchsorted(ta, a)
-        out = np.full(len(a), -1)
-        open_ = np.flatnonzero(at < len(ta))
-        while open_.size:  # more than one step only if two windows share the first 64 bits
-            k = at[open_]
-            same = ta[k] == a[open_]
-            open_, k = open_[same], k[same]
-            equal = tb[k] == b[open_]
-            out[open_[equal]] = k[equal]
-            open_ = open_[~equal]
-            at[open_] += 1
-            open_ = open_[at[open_] < len(ta)]
-        return out
-
-
-def _hits(index: ItemIndex, words) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
-    """Begin and end of every item window found in a block's texts, and (text, table row, length) of each."""
-    h1, h2 = words.hashes(2)
-    begins, ends, which = [], [], []
-    text = words.text_of()
-    for length in index.by_length:
-        inside = window_is_inside(words.bounds, length)
-        if length == index.window:
-            chosen, grams = winnow(h1, words.bounds, length, index.gram)
-            hit = chosen[np.isin(grams[chosen], index.fingerprints)]
-            reach = length - index.gram
-            starts = np.flatnonzero(covered(len(h1), np.maximum(hit - reach, 0), hit + 1) & inside)
-        else:
-            starts = np.flatnonzero(inside)
-        row = index.lookup(length, RollingHash(h1).at(starts, starts + length), RollingHash(h2).at(starts, starts + length))
-        starts, row = starts[row >= 0], row[row >= 0]
-        begins.append(starts)
-        ends.append(starts + length)
-        which.append((text[starts], row, length))
-    none = [np.zeros(0, dtype=np.int64)]
-    return np.concatenate(begins or none), np.concatenate(ends or none), which
-
-
-def _scan(shared):
-    """One pass: adds the hits of a block of items to those of the passes before."""
+
+def _fingerprints(words: Words, h1: np.ndarray, window: int, gram: int, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint, place and length of window of the grams that winnowing keeps and of all windows of the shorter lengths."""
+    places, grams = winnow(h1, words.bounds, window, gram)
+    found = [(grams[places], places, np.full(len(places), window))]
+    for length in lengths:
+        at = np.flatnonzero(window_is_inside(words.bounds, length))
+        found.append((_short(RollingHash(h1).at(at, at + length), length), at, np.full(len(at), length)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _of_items(window: int, gram: int):
+    """Windows and fingerprints of items: rows (id, k, a, b, f), either of a window or of a fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: ItemIndex = shared.value
         for batch in batches:
             for block in blocks(batch.column(1)):
                 words = block.words(ALNUM, lower=True)
-                own = slice(block.first, block.last)
-                begins, ends, which = _hits(index, words)
-                old, found = batch.column(3)[own], batch.column(4)[own]
-                n_old = old.value_lengths().fill_null(0).to_numpy()
-                if n_old.any():
-                    at = old.flatten().to_numpy() + np.repeat(words.bounds[:-1], n_old)
-                    begins, ends = np.append(begins, at[::2]), np.append(ends, at[1::2])
-                spans = _spans(words, begins, ends)
-                items = [set(x) for x in found.to_pylist()] if len(found) and found.flatten().__len__() else [set() for _ in range(len(found))]
-                for text, row, length in which:
-                    _, _, bounds, item = index.by_length[length]
-                    pairs = np.unique(np.stack([text, row], axis=1), axis=0) if len(text) else np.zeros((0, 2), dtype=np.int64)
-                    for t, r in pairs.tolist():
-                        items[t].update(index.names[item[bounds[r] : bounds[r + 1]]])
+                h1, h2 = words.hashes(2)
+                counts, text = words.counts(), words.text_of()
+                size = np.minimum(counts, window)
+                at = np.flatnonzero(np.arange(len(h1)) + np.repeat(size, counts) <= np.repeat(words.bounds[1:], counts))
+                k = np.repeat(size, counts)[at]
+                a, b = (RollingHash(h).at(at, at + k) for h in (h1, h2))
+                places, grams = winnow(h1, words.bounds, window, gram)
+                short = k < window
+                f = np.unique(np.concatenate([grams[places], *(_short(a[short & (k == n)], int(n)) for n in np.unique(k[short]))]))
+                ids = batch.column(0).slice(block.first, block.last - block.first).take(pa.array(text[at]))
+                n, m = len(at), len(f)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[own], batch.column(1)[own], pa.array(words.counts(), pa.int64()), spans, pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["row", "text", "n_words", "spans", "items"],
-                )
+                    [
+                        pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.concat_arrays([pa.array(k, pa.int32()), pa.nulls(m, pa.int32())]),
+                        *(pa.concat_arrays([pa.array(x.view(np.int64)), pa.nulls(m, pa.int64())]) for x in (a, b)), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(f.view(np.int64))]),
+                    ],
+                    names=["id", "k", "a", "b", "f"],
+                )
+
+    return run
+
+
+def _of_docs(window: int, gram: int, lengths: list[int]):
+    """Fingerprints of documents: rows (rid, f, p, k)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                words = block.words(ALNUM, lower=True)
+                (h1,) = words.hashes()
+                f, p, k = _fingerprints(words, h1, window, gram, lengths)
+                text = words.text_of()[p]
+                rids = batch.column(0).slice(block.first, block.last - block.first).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([rids, pa.array(f.view(np.int64)), pa.array((p - words.bounds[text]).astype(np.int32)), pa.array(k.astype(np.int32))], names=["rid", "f", "p", "k"])
+
+    return run
+
+
+def _windows_around(words: Words, places: np.ndarray, k: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Text, place, length and hashes of the windows that hold a fingerprint found."""
+    h1, h2 = words.hashes(2)
+    hit = places[k == window]
+    full = np.flatnonzero(covered(len(h1), np.maximum(hit - (window - gram), 0), hit + 1) & window_is_inside(words.bounds, window))
+    at = np.concatenate([full, places[k < window]])
+    k = np.concatenate([np.full(len(full), window), k[k < window]])
+    text = words.text_of()[at]
+    return text, at - words.bounds[text], k, RollingHash(h1).at(at, at + k), RollingHash(h2).at(at, at + k)
+
+
+def _windows_batch(rids: pa.Array, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    text, p, k, a, b = found
+    return pa.RecordBatch.from_arrays([rids.take(pa.array(text)), pa.array(p.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["rid", "p", "k", "a", "b"])
+
+
+def _candidates(shared, window: int, gram: int, lengths: list[int]):
+    """Windows of documents around the fingerprints that the benchmark has as well, which are broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                words = block.words(ALNUM, lower=True)
+                (h1,) = words.hashes()
+                f, p, k = _fingerprints(words, h1, window, gram, lengths)
+                hit = known[np.minimum(np.searchsorted(known, f), len(known) - 1)] == f
+                if hit.any():
+                    yield _windows_batch(batch.column(0).slice(block.first, block.last - block.first), _windows_around(words, p[hit], k[hit], window, gram))
 
     return run
 
 
+def _candidates_at(window: int, gram: int):
+    """The same for fingerprints that a join has found; column 2 holds places and lengths in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                words = block.words(ALNUM, lower=True)
+                part = batch.column(2).slice(block.first, block.last - block.first)
+                flat = part.flatten()
+                p = flat.field(0).to_numpy() + np.repeat(words.bounds[:-1], part.value_lengths().to_numpy())
+                yield _windows_batch(batch.column(0).slice(block.first, block.last - block.first), _windows_around(words, p, flat.field(1).to_numpy(), window, gram))
+
+    return run
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of words and hit ranges of each text, from the windows found in it."""
+    for batch in batches:
+        for block in blocks(batch.column(1)):
+            words = block.words(ALNUM, lower=True)
+            own = slice(block.first, block.last)
+            part = batch.column(2)[own]
+            flat = part.flatten()
+            begin = flat.field(0).to_numpy() + np.repeat(words.bounds[:-1], part.value_lengths().fill_null(0).to_numpy())
+            spans = _spans(words, begin, begin + flat.field(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[own], pa.array(words.counts(), pa.int64()), spans, batch.column(3)[own]], names=["row", "n_words", "spans", "items"])
+
+
 def _spans(words, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Disjoint hit ranges of each text as begin, end, begin, end, ... in its own words."""
     total = int(words.bounds[-1])
@@ -154,20 +171,24 @@ def _spans(words, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.reshape(-1).astype(np.int32)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5, block_chars: int = BLOCK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5, broadcast: int = BROADCAST_FINGERPRINTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Finds the words of each document that lie in a window of a benchmark item.
 
     Words are runs of digits, letters and non-ASCII characters of the lower-cased
     (A-Z) text. A window is `window` consecutive words of an item; an item of fewer
     words is one window. Both sides keep the least hash of each run of
-    window - gram + 1 word grams; documents' fingerprints that an item has are
-    extended to all windows around them, which are compared by 128 bits.
+    window - gram + 1 word grams, so any shared window shares a fingerprint. Fingerprints
+    of documents are joined with those of the benchmark, and those found are
+    extended to all windows around them, which are joined by 128 bits with the items' windows.
     Returns key, n_words, n_hit, n_items, items (ids as strings, sorted), spans
     (hit word ranges), contaminated, then the carried columns; one row per input row.
 
-    The benchmark's size is summed first. It is taken in blocks of at most
-    block_chars characters (or one item), each broadcast and applied by one narrow
-    pass over the documents; nothing is shuffled and no block is dropped.
+    Fingerprints and windows of the benchmark are tables in the shared folder. Up to `broadcast`
+    fingerprints, as counted, are broadcast as a sorted array, so that only windows
+    around a hit leave the documents' tasks; more are joined by a shuffle of the
+    documents' fingerprints. What was found is broadcast to the documents where it is
+    counted to be small, else joined by row. A window that very many documents have is
+    a single row on the benchmark's side, so Spark can split that key.
 
     Null or empty texts have no words and no hits; items without words or without
     an id match nothing; rows that repeat a key are judged each by itself; an
@@ -175,15 +196,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).filter("id is not null and text is not null").distinct()
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(chars) // block_chars))
+    both = stored(items.mapInArrow(_of_items(window, gram), "id string, k int, a long, b long, f long"))
+    windows = both.filter("f is null").groupBy("k", "a", "b").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    windows = stored(windows.withColumn("set", F.xxhash64("items")))
+    sets = windows.groupBy("set").agg(F.first("items").alias("items"))
+    prints = stored(both.filter("f is not null").select("f").distinct())
+    lengths = sorted(r.k for r in windows.select("k").distinct().collect() if r.k < window)
+    n_prints = prints.count()
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    rid = distinct_hash(docs, F.col(key).isNull(), F.col(key), body).alias("rid")
+    texts = docs.select(rid, body.alias("text"))
+    schema = "rid long, p int, k int, a long, b long"
+    if n_prints <= broadcast:
+        known = np.sort(prints.toArrow().column("f").to_numpy().view(np.uint64))
+        around = texts.mapInArrow(_candidates(spark.sparkContext.broadcast(known), window, gram, lengths), schema) if n_prints else spark.createDataFrame([], schema)
+    else:
+        met = texts.mapInArrow(_of_docs(window, gram, lengths), "rid long, f long, p int, k int").join(prints, "f")
+        places = met.groupBy("rid").agg(F.collect_set(F.struct("p", "k")).alias("places"))
+        around = texts.dropDuplicates(["rid"]).join(places, "rid").mapInArrow(_candidates_at(window, gram), schema)
+    table = windows.select("k", "a", "b", "set")
+    few = windows.count() <= BROADCAST_ROWS
+    hits = around.distinct().join(F.broadcast(table) if few else table, ["k", "a", "b"])
+    hits = stored(hits.select("rid", "p", "k", "set"))
+    named = hits.select("rid", "set").distinct().join(F.broadcast(sets) if few else sets, "set").select("rid", F.explode("items").alias("item"))
+    named = named.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = hits.groupBy("rid").agg(F.collect_set(F.struct("p", "k")).alias("hits")).join(named, "rid")
+
     row = F.struct(F.col(key).alias("key"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
-    out = docs.select(row.alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    small = hits.count() <= BROADCAST_ROWS
+    out = docs.select(rid, row.alias("row"), body.alias("text")).join(F.broadcast(found) if small else found, "rid", "left")
     kind = out.schema["row"].dataType.simpleString()
-    for k in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).collect()
-        index = ItemIndex([(r.id, r.text) for r in part], window, gram)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(index)), f"row {kind}, text string, n_words long, spans array<int>, items array<string>")
+    out = out.select("row", "text", "hits", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")).mapInArrow(_judged, f"row {kind}, n_words long, spans array<int>, items array<string>")
     ranged = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("long"), lambda a, i: a + F.when(i % 2 == 1, F.get("spans", i)).otherwise(-F.get("spans", i)))
     return out.select(
         F.col("row.key").alias(key),

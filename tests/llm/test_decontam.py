@@ -44,6 +44,15 @@ def test_whole_table_matches_brute_force(spark):
     assert sum(r[-1] for r in got) > 5
 
 
+def test_both_joins_agree_on_the_table(spark, monkeypatch):
+    where = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, r["items"], r.spans, r.contaminated) for r in df.collect())
+    small = rows(decontam.decontaminate(docs, bench))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert rows(decontam.decontaminate(docs, bench, broadcast=0)) == small and any(r[2] for r in small)
+
+
 def test_short_items_blocks_nulls_and_clashes(spark):
     rng = random.Random(1)
     word = lambda: rng.choice("abcdefgh") * rng.randrange(1, 3)
@@ -53,8 +62,8 @@ def test_short_items_blocks_nulls_and_clashes(spark):
     rows += [(40, items[7][1]), (41, "x " + items[8][1] + " y"), (42, None), (43, ""), (None, items[5][1]), (43, ""), (44, " ".join(items[8][1].split()[5:15]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("items", F.lit(2)).withColumn("n_hit", F.lit(3))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("id", F.lit("clash"))
-    for block in (10_000_000, 100):
-        found = decontam.decontaminate(docs, bench, block_chars=block)
+    for most in (10_000_000, 0):  # fingerprints broadcast, and joined by a shuffle
+        found = decontam.decontaminate(docs, bench, broadcast=most)
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in found.collect())
         assert got == brute(rows, items)
     assert decontam.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
