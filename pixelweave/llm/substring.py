@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import NON_SPACE, RollingHash, blocks, covered, mix, row_struct, sliding, unpack_row, window_is_inside
-from .shared import stored
+from .shared import distinct_hash, stored
 
 _LAST = (1 << 63) - 1
 
 
-def _anchors(window: int, half: int):
-    """Level 1: for every window, its least half-length window; rows (gram, text, row, position).
+def _anchors(window: int, gram: int, below: int = 0):
+    """For every window, its least gram; rows (gram, text, row, position).
 
-    Equal windows have equal least half-windows, so a window can only repeat if
-    the half-window chosen for it repeats as well.
+    Equal windows have equal least grams, so a window can only repeat if the gram
+    chosen for it repeats as well. With below, places of surviving grams of that
+    length are given and only grams in a window with one are kept: a window that
+    repeats has one that was chosen for it at the level before.
     """
-    width = window - half + 1
+    width = window - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -31,13 +33,17 @@ def _anchors(window: int, half: int):
             for block in blocks(batch.column(3)):
                 words = block.words(NON_SPACE)
                 (hashes,) = words.hashes()
-                grams = RollingHash(hashes).all(half)
                 if len(hashes) < window:
                     continue
+                grams = RollingHash(hashes).all(gram)
                 least = sliding(np.minimum, grams, width)
                 least = np.where(window_is_inside(words.bounds, window)[: len(least)], least, 0)
                 edge = np.zeros(width - 1, dtype=np.uint64)
-                chosen = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), width) == grams)
+                chosen = sliding(np.maximum, np.concatenate([edge, least, edge]), width) == grams
+                if below:
+                    at = _places(batch.column(5), block, words)
+                    chosen &= covered(len(grams), np.clip(at - (window - below), 0, len(grams)), np.minimum(at + (window - gram) + 1, len(grams)))
+                chosen = np.flatnonzero(chosen)
                 text = words.text_of()[chosen]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[chosen].view(np.int64)), pa.array(texts[block.first + text]), pa.array(rids[block.first + text]), pa.array((chosen - words.bounds[text]).astype(np.int32))],
@@ -47,20 +53,24 @@ def _anchors(window: int, half: int):
     return run
 
 
+def _places(column: pa.Array, block, words) -> np.ndarray:
+    """Places in the block's words of the lists of places in its texts."""
+    part = column.slice(block.first, block.last - block.first)
+    return part.flatten().to_numpy() + np.repeat(words.bounds[:-1], part.value_lengths().fill_null(0).to_numpy())
+
+
 def _windows(window: int, half: int, every: bool = False):
-    """Level 2: hashes of the windows that hold a surviving half-window, one row per text and hash, or every one."""
+    """Hashes of the windows that hold a surviving half-window, one row per text and hash, or every one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, order = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            places = batch.column(5)
             for block in blocks(batch.column(3)):
                 words = block.words(NON_SPACE)
                 hashes = words.hashes(2)
                 if len(hashes[0]) < window:
                     continue
-                part = places.slice(block.first, block.last - block.first)
-                at = part.flatten().to_numpy() + np.repeat(words.bounds[:-1], part.value_lengths().to_numpy())
+                at = _places(batch.column(5), block, words)
                 n = len(hashes[0]) - window + 1
                 wanted = covered(n, np.clip(at - (window - half), 0, n), np.minimum(at + 1, n))
                 starts = np.flatnonzero(wanted & window_is_inside(words.bounds, window)[:n])
@@ -132,6 +142,14 @@ def _removal(window: int, with_text: bool):
     return run
 
 
+def _levels(window: int) -> list[int]:
+    """Lengths that lead to the window: halves of it, rounded up, down to some ten words."""
+    lengths = [window]
+    while lengths[0] > 20:
+        lengths.insert(0, -(-lengths[0] // 2))
+    return lengths if len(lengths) > 1 else [max(1, window // 2), window]
+
+
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes word windows that also start in a document of a smaller key.
 
@@ -143,36 +161,48 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     was removed, else the kept words joined by one space), then the carried columns.
 
     The text is dealt out once, by row, and all passes read that one exchange.
-    Level 1 keeps the least half-length window of each window (about 8 % of the
-    places) and the grams found in more than one text; level 2 extends only those
-    to whole windows, by 96 bits, and finds the least key of each. No level above
-    is needed here: a longer repeat is a run of repeated windows (repeat_levels goes
-    on to the end). A document whose whole
-    text is in a smaller key's is known by its text's hash and loses all windows.
+    Levels double from 13 words over 25 to 50: at each, of the grams of its length the
+    least of each window is kept if the window has a gram that survived the level before, and
+    survives if it is found in more than one text. Whole windows are compared by 96 bits
+    and the least key of each is found. A document whose whole text is in a smaller
+    key's is known by its text's hash and loses all windows.
     The tables of grams, windows and texts hold a row for each key of theirs and
     are joined on a hash of it, so that both sides of a join are dealt out for it
     alone and Spark can split a passage that is in very many documents.
 
+    No level over the window is needed to remove words, as a longer repeat is a run of
+    repeated windows; repeat_levels goes on to the end.
+
     Null texts have no words. A null key counts as larger than any other. Rows that
     repeat a key are one document for the comparison: they take nothing from each
-    other; each row is returned. An empty table gives an empty result. A text is
-    known by its 64-bit hash.
+    other; each row is returned. Rows of one key and text are alike. An empty table gives an empty result.
     """
-    half = window // 2
+    lengths = _levels(window)
+    half = lengths[-2]
     order = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.xxhash64(F.col(key), body).alias("rid"), F.xxhash64(body).alias("t"), order.alias("ord"), body.alias("text"), row_struct((key, *carry))).repartition("rid")
+    t, rid = distinct_hash(docs, body).alias("t"), distinct_hash(docs, F.col(key).isNull(), F.col(key), body).alias("rid")
+    base = docs.select(rid, t, order.alias("ord"), body.alias("text"), row_struct((key, *carry))).repartition("rid")
+
+    def survivors(anchors: DataFrame) -> DataFrame:
+        """Places of the grams that are in more than one text, as a list for each row."""
+        repeated = anchors.groupBy("gram").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select(F.xxhash64("gram").alias("k"))
+        return anchors.select(F.xxhash64("gram").alias("k"), "rid", "p").join(repeated, "k").groupBy("rid").agg(F.collect_set("p").alias("places"))
+
+    def level(span: int, gram: int, below: int, places: DataFrame | None) -> DataFrame:
+        rows = base.join(places, "rid") if places is not None else base
+        return survivors(rows.mapInArrow(_anchors(span, gram, below), "gram long, t long, rid long, p int"))
 
-    anchors = base.mapInArrow(_anchors(window, half), "gram long, t long, rid long, p int")
-    repeated = anchors.groupBy("gram").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select(F.xxhash64("gram").alias("k"))
-    places = anchors.select(F.xxhash64("gram").alias("k"), "rid", "p").join(repeated, "k").groupBy("rid").agg(F.collect_set("p").alias("places"))
+    places = None
+    for below, gram in zip([0, *lengths], lengths[:-1]):
+        places = level(window, gram, below, places)
 
     windows = base.join(places, "rid").mapInArrow(_windows(window, half), "h1 long, h2 int, ord long, rid long, s int")
     least = windows.groupBy("h1", "h2").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).filter("least < most").select(F.xxhash64("h1").alias("k"), "h2", "least")
     late = windows.select(F.xxhash64("h1").alias("k"), "h2", "ord", "rid", "s").join(least, ["k", "h2"]).filter("ord > least").select("rid", "s")
 
     # only t, ord and rid are wanted here, so this is read from the input and not from the exchange of texts
-    own = docs.select(F.xxhash64(body).alias("t"), order.alias("ord"), F.xxhash64(F.col(key), body).alias("rid"))
+    own = docs.select(t, order.alias("ord"), rid)
     firsts = own.groupBy("t").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").select(F.xxhash64("t").alias("k"), "first")
     copies = own.select(F.xxhash64("t").alias("k"), "ord", "rid").join(firsts, "k").filter("ord > first").select("rid", F.lit(-1).alias("s"))
 
@@ -224,7 +254,8 @@ def repeat_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     half = window // 2
     order = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.xxhash64(F.col(key), body).alias("rid"), F.xxhash64(body).alias("t"), order.alias("ord"), body.alias("text"), row_struct((key,))).repartition("rid")
+    t, rid = distinct_hash(docs, body).alias("t"), distinct_hash(docs, F.col(key).isNull(), F.col(key), body).alias("rid")
+    base = docs.select(rid, t, order.alias("ord"), body.alias("text"), row_struct((key,))).repartition("rid")
 
     def repeated(found: DataFrame, *by: str) -> DataFrame:
         shared = found.groupBy(*by).agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high").select(F.xxhash64(*by).alias("k"))
