@@ -11,8 +11,10 @@ from . import scenes, sqltext
 from .functions import change, classes, display, indices
 from .operators import crosstab, focal, grid, sampling, tiling
 from .operators.otsu import histogram, otsu
-from .plans import consensus, learning, methods, reporting
-from .sources import tables, tiff
+from .operators.quantiles import percentile
+from .operators.storage import scratch, stored
+from .plans import consensus, integrated, learning, methods, reporting
+from .sources import ascii_grid, tables, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,6 +116,41 @@ def resample_nearest(spark, sf):
     return tables.resample_nearest(scenes.dense_grid(spark, sf).select("r", "c"), gt(10.0), scenes.label_map(spark, sf), gt(25.0), "wc")
 
 
+@query(
+    "stack_bands",
+    scenes.SCENES,
+    "SELECT r, c, a.x AS b02, b.x AS b04, d.x AS b08 FROM (SELECT r, c, b02 AS x FROM scenes WHERE scene = 'before') a FULL JOIN (SELECT r, c, b04 AS x FROM scenes WHERE scene = 'after') b USING (r, c) FULL JOIN (SELECT r, c, b08 AS x FROM scenes WHERE scene = 'after' AND scl <> 3) d USING (r, c)",
+)
+def stack_bands(spark, sf):
+    both = scenes.scenes(spark, sf)
+    band = lambda name, where: both.filter(where).select("r", "c", F.col(name).alias("x"))
+    return grid.stack_bands({"b02": band("b02", "scene = 'before'"), "b04": band("b04", "scene = 'after'"), "b08": band("b08", "scene = 'after' and scl != 3")})
+
+
+@query("raster_window", scenes.DENSE, "SELECT r, c, x FROM dense WHERE r BETWEEN 5 AND 64 AND c BETWEEN 30 AND 79")
+def raster_window(spark, sf):
+    """Written as tiles of Parquet and read back as a window, which prunes tiles."""
+    path = scratch(spark)
+    tables.write_raster(scenes.dense_grid(spark, sf), path, tile=32)
+    return tables.read_raster(spark, path, (30, 5, 50, 60), tile=32)
+
+
+@query("csv_round_trip", scenes.LABELS, "SELECT wc, count(*) AS n, round(avg(r), 6) AS mean_r FROM labelled GROUP BY wc")
+def csv_round_trip(spark, sf):
+    path = scratch(spark)
+    tables.write_csv(scenes.label_map(spark, sf).groupBy("wc").agg(F.count("*").alias("n"), r6(F.avg("r"), "mean_r")), path)
+    return spark.read.schema("wc int, n long, mean_r double").option("header", True).csv(path)
+
+
+@query("ascii_round_trip", scenes.DENSE, "SELECT CAST(r // 25 AS INT) AS tile_id, CAST(r % 25 AS INT) AS r, c, CASE WHEN r % 7 <> 0 THEN x END AS x FROM dense")
+def ascii_round_trip(spark, sf):
+    path = scratch(spark)
+    tiles = scenes.dense_grid(spark, sf).select(F.expr("cast(r div 25 as int)").alias("tile_id"), "r", "c", F.when(F.col("r") % 7 != 0, F.col("x")).alias("x"))
+    ascii_grid.write_ascii_grid(ascii_grid.to_ascii_grid(tiles, "x"), path)
+    back = ascii_grid.read_ascii_grid(spark, f"{path}/tile_id=*")
+    return back.select(F.regexp_extract("file", "tile_id=([0-9]+)", 1).cast("int").alias("tile_id"), "r", "c", F.col("value").alias("x"))
+
+
 # Map algebra
 
 
@@ -165,8 +202,8 @@ scaled AS (SELECT r, c, coalesce(least(1.0, greatest(0.0, b08_b / nullif(p99, 0)
     "SELECT r, c, round(b08_b, 6) AS b08, CASE WHEN b08_b IS NOT NULL THEN round(homogeneity, 6) END AS homogeneity, CASE WHEN b08_b IS NOT NULL THEN round(contrast, 6) END AS contrast FROM clear JOIN tex USING (r, c)",
 )
 def feature_stack_texture(spark, sf):
-    pair = scenes.clear_pair(spark, sf)
-    out = learning.with_texture(learning.date_features(pair, "b"), grid.shape_of(scenes.pair(spark, sf)))
+    pair, shape = _pair(spark, sf)
+    out = learning.with_texture(learning.date_features(pair, "b"), shape)
     return out.select("r", "c", *(r6(F.col(k), k) for k in ("b08", "homogeneity", "contrast")))
 
 
@@ -262,7 +299,9 @@ def histogram_80(spark, sf):
 
 @query("percentiles", scenes.DENSE, "SELECT round(quantile_cont(x, 0.95), 6) AS p95, round(quantile_cont(x, 0.99), 6) AS p99, round(stddev_pop(x), 6) AS deviation FROM dense WHERE x > 0")
 def percentiles(spark, sf):
-    return scenes.dense_grid(spark, sf).filter("x > 0").agg(r6(F.percentile("x", F.lit(0.95)), "p95"), r6(F.percentile("x", F.lit(0.99)), "p99"), r6(F.stddev_pop("x"), "deviation"))
+    x = scenes.dense_grid(spark, sf).filter("x > 0")
+    p95, p99 = (F.lit(percentile(x, "x", q)) for q in (0.95, 0.99))
+    return x.agg(r6(F.stddev_pop("x"), "deviation")).select(r6(p95, "p95"), r6(p99, "p99"), "deviation")
 
 
 @query("otsu_global", f"{scenes.DENSE}, {sqltext.otsu('dense', 't', 'x')}", "SELECT round(threshold, 6) AS threshold FROM t")
@@ -308,8 +347,8 @@ full_maps AS (SELECT r, c, coalesce(class_b, 0) AS class_b, coalesce(class_a, 0)
 
 
 def _majority(spark, sf):
-    maps = scenes.class_maps(spark, sf)
-    shape = grid.shape_of(scenes.pair(spark, sf))
+    maps = stored(scenes.class_maps(spark, sf))
+    shape = grid.shape_of(maps)
     cells = grid.dense(maps.select("r", "c", "class_b", "class_a", "valid", "rf", "ndvi"), shape)
     return cells, focal.majority(cells, shape, ["class_b", "class_a"], [1, 2, 3, 4], F.col("valid"), tile=64)
 
@@ -338,8 +377,14 @@ def majority_compare(spark, sf):
 # Methods
 
 
-def _run(method, spark, sf):
-    return method(scenes.clear_pair(spark, sf), grid.shape_of(scenes.pair(spark, sf)))
+def _pair(spark, sf):
+    """The masked pair, read and joined once, and its extent."""
+    pair = stored(scenes.clear_pair(spark, sf))
+    return pair, grid.shape_of(pair)
+
+
+def _run(method, spark, sf, **options):
+    return method(*_pair(spark, sf), **options)
 
 
 def _figures(result):
@@ -433,15 +478,19 @@ def ndvi_severity(spark, sf):
     return consensus.ndvi_severity(scenes.class_maps(spark, sf)).select("severity", "label", "n", r6(F.col("pct"), "pct"))
 
 
-_SCORED = f"""{scenes.MAPS}, top AS (SELECT quantile_cont(magnitude, 0.95) AS p95 FROM maps WHERE magnitude > 0),
+def _scored_sql(source: str) -> str:
+    return f"""top AS (SELECT quantile_cont(magnitude, 0.95) AS p95 FROM {source} WHERE magnitude > 0),
 scored AS (SELECT *, CASE WHEN valid AND delta IS NOT NULL THEN CAST(ndvi AS INT) + CAST(rf AS INT) + CAST(cva AS INT) + CAST(bd AS INT) ELSE 0 END AS agreement,
   CASE WHEN valid AND delta IS NOT NULL THEN round(0.45e0 * CAST(ndvi AS INT) + 0.30e0 * CAST(rf AS INT) * greatest(0.0, least(1.0, (least(conf_b, conf_a) - 0.6e0) / (1 - 0.6e0)))
-    + 0.20e0 * CAST(cva AS INT) * (0.5e0 + 0.5e0 * least(1.0, greatest(0.0, coalesce(magnitude, 0) / p95))) + 0.05e0 * CAST(bd AS INT), 6) ELSE 0.0 END AS score FROM maps CROSS JOIN top),
+    + 0.20e0 * CAST(cva AS INT) * (0.5e0 + 0.5e0 * least(1.0, greatest(0.0, coalesce(magnitude, 0) / p95))) + 0.05e0 * CAST(bd AS INT), 6) ELSE 0.0 END AS score FROM {source} CROSS JOIN top),
 voted AS (SELECT * REPLACE (valid AND delta IS NOT NULL AS valid), CASE WHEN score >= 0.55 THEN 2 WHEN score >= 0.35 THEN 1 ELSE 0 END AS consensus_class FROM scored)"""
 
 
+_SCORED = f"{scenes.MAPS}, {_scored_sql('maps')}"
+
+
 def _scored(spark, sf):
-    return consensus.consensus(scenes.class_maps(spark, sf))
+    return consensus.consensus(stored(scenes.class_maps(spark, sf)))
 
 
 @query("consensus_map", _SCORED, "SELECT r, c, agreement, score, consensus_class FROM voted")
@@ -459,6 +508,43 @@ def consensus_summary(spark, sf):
     return out.select("valid_pixels", *(r6(F.col(k), k) for k in out.columns[1:]))
 
 
+_INTEGRATED = f"""{sqltext.ALL_METHODS}{scenes.MAPS[len(scenes.CLEAR):]},
+joined AS (SELECT nd.r, nd.c, nd.delta, nd.ndvi_b, nd.ndvi_a, nd.loss, nd.gain, nd.changed AS ndvi, cv.magnitude, cv.changed AS cva, bd.changed AS bd, m.conf_b, m.conf_a, coalesce(m.valid, false) AS valid, coalesce(m.rf, false) AS rf
+  FROM nd JOIN cv USING (r, c) JOIN bd USING (r, c) LEFT JOIN maps m USING (r, c)),
+{_scored_sql('joined')}"""
+
+
+def _integrated(spark, sf):
+    """All four methods of the pair; the forest's classes and confidences are stand-ins by arithmetic."""
+    maps = stored(scenes.class_maps(spark, sf)).withColumn("changed", F.col("rf"))
+    forest = learning.ForestResult(maps, None, 0.75, 0.0, 0.0)
+    return integrated.integrated(*_all(spark, sf), forest)
+
+
+@query("integrated_map", _INTEGRATED, "SELECT r, c, agreement, score, consensus_class FROM voted")
+def integrated_map(spark, sf):
+    return _integrated(spark, sf).scored.select("r", "c", "agreement", "score", "consensus_class")
+
+
+@query(
+    "integrated_summary",
+    _INTEGRATED,
+    f"SELECT count_if(valid) AS valid_pixels, round(100.0 * count_if(valid AND consensus_class >= 1) / count_if(valid), 6) AS change_pct_any, round(100.0 * count_if(valid AND consensus_class = 2) / count_if(valid), 6) AS change_pct_confirmed, {', '.join(f'{_jaccard_sql(a, b, chr(118) + "alid")} AS jaccard_{a}_{b}' for a, b in _PAIRS)} FROM voted",
+)
+def integrated_summary(spark, sf):
+    out = _integrated(spark, sf).summary
+    return out.select("valid_pixels", *(r6(F.col(k), k) for k in out.columns[1:]))
+
+
+@query(
+    "integrated_severity",
+    f"{_INTEGRATED}, s AS (SELECT {_SEVERITY} AS severity FROM joined)",
+    f"SELECT t.severity, t.label, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM s), 6) AS pct FROM (VALUES {_STATES}) t(severity, label) LEFT JOIN (SELECT severity, count(*) AS n FROM s GROUP BY severity) USING (severity)",
+)
+def integrated_severity(spark, sf):
+    return _integrated(spark, sf).severity.select("severity", "label", "n", r6(F.col("pct"), "pct"))
+
+
 @query("agreement_hist", _SCORED, "SELECT agreement, count(*) AS n FROM voted GROUP BY agreement")
 def agreement_hist(spark, sf):
     return _scored(spark, sf).groupBy("agreement").agg(F.count("*").alias("n"))
@@ -554,7 +640,7 @@ def stats_long_cva(spark, sf):
 
 
 def _all(spark, sf):
-    return [_run(m, spark, sf) for m in (methods.band_differencing, methods.ndvi_differencing, methods.change_vectors)]
+    return _run(methods.all_methods, spark, sf)
 
 
 def _wide_sql() -> str:
@@ -668,7 +754,7 @@ nd_cells AS (SELECT r, c, abs(ndvi_a - ndvi_b) AS abs_delta FROM cells LEFT JOIN
     "SELECT r, c, round(threshold, 6) AS threshold, coalesce(smoothed > threshold, false) AS changed FROM tiles LEFT JOIN nd_t USING (tile)",
 )
 def tiled_ndvi(spark, sf):
-    result = methods.ndvi_differencing(scenes.clear_pair(spark, sf), grid.shape_of(scenes.pair(spark, sf)), by_tile=50)
+    result = _run(methods.ndvi_differencing, spark, sf, by_tile=50)
     return result.pixels.select("r", "c", r6(F.col("threshold"), "threshold"), "changed")
 
 
@@ -735,6 +821,29 @@ def experiment_dedup(spark, sf):
     return learning.distinct_experiments(listed).select("ordinal", "name", F.size("features").alias("n_features"))
 
 
+_IMPORTANCES = "figures AS (SELECT CAST(l_linenumber AS VARCHAR) AS pair, l_returnflag || l_linestatus AS feature, CAST(count(*) AS DOUBLE) AS importance FROM lineitem GROUP BY ALL)"
+
+
+def _importances(spark, sf):
+    """Stand-ins for importances of features in the forests of several pairs, so that SQL can rank them."""
+    rows = scenes.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("string").alias("pair"), F.concat("l_returnflag", "l_linestatus").alias("feature")).agg(F.count("*").cast("double").alias("importance"))
+    return rows.groupBy("pair").agg(F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("importances"))
+
+
+@query("top_features", _IMPORTANCES, "SELECT pair, CAST(rank AS INT) AS rank, feature, importance FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY importance DESC, feature) AS rank FROM figures) WHERE rank <= 5")
+def top_features(spark, sf):
+    return learning.top_features(_importances(spark, sf))
+
+
+@query(
+    "importance_shift",
+    _IMPORTANCES,
+    "SELECT feature, a.importance AS first, b.importance AS second, b.importance - a.importance AS delta, CASE WHEN feature = 'NO' THEN CASE WHEN b.importance - a.importance < -0.03 THEN 'CONFIRMED' WHEN abs(b.importance - a.importance) < 0.03 THEN 'INCONCLUSIVE' ELSE 'UNEXPECTED' END END AS finding FROM figures a JOIN figures b USING (feature) WHERE a.pair = '1' AND b.pair = '2'",
+)
+def importance_shift(spark, sf):
+    return learning.importance_shift(_importances(spark, sf), "1", "2", "NO")
+
+
 # Without SQL: trained models and files
 
 _SMALL = learning.ForestSettings(trees=10, depth=6)
@@ -746,16 +855,25 @@ def _labels(spark, sf):
 
 @query("rf_classify")
 def rf_classify(spark, sf):
-    r = learning.random_forest(scenes.clear_pair(spark, sf), grid.shape_of(scenes.pair(spark, sf)), _labels(spark, sf), 2000, _SMALL, cross_validate=False)
+    r = learning.random_forest(*_pair(spark, sf), _labels(spark, sf), 2000, _SMALL, cross_validate=False)
     return r.pixels
 
 
 @query("rf_binary")
 def rf_binary(spark, sf):
-    r = learning.binary_forest(scenes.clear_pair(spark, sf), grid.shape_of(scenes.pair(spark, sf)), _labels(spark, sf), 2000, _SMALL, cross_validate=False)
+    r = learning.binary_forest(*_pair(spark, sf), _labels(spark, sf), 2000, _SMALL, cross_validate=False)
     return r.pixels
 
 
+@query("seasonal_comparison")
+def seasonal_comparison(spark, sf):
+    """Two pairs, the second with its dates exchanged; forests of two trees on 400 samples."""
+    pair, shape = _pair(spark, sf)
+    swapped = pair.select("r", "c", *(F.col(f"{b}_{d}").alias(f"{b}_{o}") for b in indices.BANDS for d, o in ("ab", "ba")))
+    few = learning.ForestSettings(trees=2, depth=3, blocks=(1, 2))
+    return learning.seasonal_comparison({"forth": (pair, shape, _labels(spark, sf)), "back": (swapped, shape, _labels(spark, sf))}, few, 400)
+
+
 @query("kmeans_labels")
 def kmeans_labels(spark, sf):
     return learning.cluster_labels(learning.date_features(scenes.clear_pair(spark, sf), "b"), starts=2)

@@ -71,8 +71,8 @@ def gaussian_taps(sigma: float = 1.0, truncate: float = 4.0) -> list[float]:
     return [x / whole for x in w]
 
 
-def gaussian(grid: DataFrame, shape: Shape, *columns: str, sigma: float = 1.0, tile: int = TILE) -> DataFrame:
-    """Blurs columns of a dense grid; NULL counts as 0 and stays NULL."""
+def gaussian(grid: DataFrame, shape: Shape, *columns: str, sigma: float = 1.0, tile: int = TILE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blurs columns of a dense grid; NULL counts as 0 and stays NULL. Carried columns come along as they are."""
     taps = gaussian_taps(sigma)
 
     def along(name: str, window: WindowSpec, second: bool) -> Column:
@@ -82,25 +82,36 @@ def gaussian(grid: DataFrame, shape: Shape, *columns: str, sigma: float = 1.0, t
         return out
 
     marked = {f"_null_{c}": F.col(c).isNull() for c in columns}
-    kept = lambda name, window, second: F.col(name) if name in marked else along(name, window, second)
-    out = focal(grid, shape, {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns} | marked, kept, len(taps) - 1, tile=tile)
-    return out.select("r", "c", *(F.when(~F.col(f"_null_{c}"), F.col(c)).alias(c) for c in columns))
+    kept = lambda name, window, second: along(name, window, second) if name in columns else F.col(name)
+    out = focal(grid, shape, {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns} | marked | {c: F.col(c) for c in carry}, kept, len(taps) - 1, tile=tile)
+    return out.select("r", "c", *(F.when(~F.col(f"_null_{c}"), F.col(c)).alias(c) for c in columns), *carry)
 
 
-def box_texture(grid: DataFrame, shape: Shape, column: str, window: int = 5, tile: int = TILE) -> DataFrame:
-    """Homogeneity 1 / (1 + variance) and contrast (max - min) of the window around each pixel."""
+def box_texture(grid: DataFrame, shape: Shape, column: str | dict[str, str], window: int = 5, tile: int = TILE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Homogeneity 1 / (1 + variance) and contrast (max - min) of the window around each pixel.
+
+    Several columns, given with suffixes for the result's names, are taken in one
+    pass; carried columns come along as they are.
+    """
     half = window // 2
+    of = {"": column} if isinstance(column, str) else {suffix: c for c, suffix in column.items()}
 
     def along(name: str, spec: WindowSpec, second: bool) -> Column:
+        if name in carry:
+            return F.col(name)
         frame = spec.rowsBetween(-half, half)
-        if name in ("low", "high"):
-            return (F.min if name == "low" else F.max)(name).over(frame)
-        return F.avg(name).over(frame)
-
-    x = F.col(column).cast("double")
-    out = focal(grid, shape, {"mean": x, "square": x * x, "low": x, "high": x}, along, half, tile=tile)
-    spread = F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0))
-    return out.select("r", "c", (1 / (1 + spread)).alias("homogeneity"), (F.col("high") - F.col("low")).alias("contrast"))
+        return (F.min if name.startswith("low") else F.max if name.startswith("high") else F.avg)(name).over(frame)
+
+    values = {}
+    for suffix, c in of.items():
+        x = F.col(c).cast("double")
+        values |= {f"mean{suffix}": x, f"square{suffix}": x * x, f"low{suffix}": x, f"high{suffix}": x}
+    out = focal(grid, shape, values | {c: F.col(c) for c in carry}, along, half, tile=tile)
+    made = []
+    for suffix in of:
+        spread = F.greatest(F.col(f"square{suffix}") - F.col(f"mean{suffix}") * F.col(f"mean{suffix}"), F.lit(0.0))
+        made += [(1 / (1 + spread)).alias(f"homogeneity{suffix}"), (F.col(f"high{suffix}") - F.col(f"low{suffix}")).alias(f"contrast{suffix}")]
+    return out.select("r", "c", *made, *carry)
 
 
 def majority(grid: DataFrame, shape: Shape, columns: list[str], classes: list[int], valid: Column | None = None, window: int = 5, tile: int = TILE) -> DataFrame:

@@ -7,6 +7,7 @@ each of height x width pixels.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,15 @@ def align(before: DataFrame, after: DataFrame) -> DataFrame:
     return left.join(right, ["r", "c"])
 
 
+def stack_bands(bands: dict[str, DataFrame], value: str = "x") -> DataFrame:
+    """One table (r, c, a column a band) of separate band tables (r, c, value); what a band does not have is NULL.
+
+    Full outer joins on the pixel; all of them deal out by the same key, so each band is shuffled once.
+    """
+    tables = [t.select("r", "c", F.col(value).alias(name)) for name, t in bands.items()]
+    return reduce(lambda a, b: a.join(b, ["r", "c"], "full_outer"), tables)
+
+
 def cloudy(scl: Column) -> Column:
     return scl.isin(*CLOUDY)
 

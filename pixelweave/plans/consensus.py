@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.change import SEVERITIES, severity
 from ..operators.crosstab import jaccard
+from ..operators.quantiles import percentile
 
 LIKELY, CONFIRMED = 0.35, 0.55
 METHODS = ("ndvi", "rf", "cva", "bd")
@@ -39,7 +40,7 @@ def consensus(pixels: DataFrame, weights: Weights = Weights(), supervised: bool
 
     pixels: delta, valid and the masks ndvi, rf, cva, bd; conf_b and conf_a weigh the
     forest and magnitude the change vectors where present. Scores of pixels that are
-    not valid are 0. The 95th percentile of positive magnitudes is one broadcast row.
+    not valid are 0. The 95th percentile of positive magnitudes is found first, exactly.
     """
     share = weights.shares(supervised)
     ok = F.col("delta").isNotNull() & F.coalesce("valid", F.lit(False))
@@ -48,13 +49,12 @@ def consensus(pixels: DataFrame, weights: Weights = Weights(), supervised: bool
     if {"conf_b", "conf_a"} <= set(pixels.columns):
         vote["rf"] = vote["rf"] * F.coalesce(confidence_scale(F.col("conf_b"), F.col("conf_a"), least_confidence), F.lit(0.0))
     if "magnitude" in pixels.columns:
-        top = pixels.filter("magnitude > 0").agg(F.percentile("magnitude", F.lit(0.95)).alias("_p95"))
-        pixels = pixels.crossJoin(F.broadcast(top))
-        scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.coalesce("magnitude", F.lit(0.0)), F.col("_p95"))))
+        top = F.lit(percentile(pixels.filter("magnitude > 0"), "magnitude", 0.95)).cast("double")
+        scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.coalesce("magnitude", F.lit(0.0)), top)))
         vote["cva"] = vote["cva"] * (0.5 + 0.5 * F.coalesce(scaled, F.lit(0.0)))
     score = sum((share[m] * vote[m] for m in METHODS[1:]), share["ndvi"] * vote["ndvi"])
     out = pixels.withColumn("agreement", F.when(ok, agreement).otherwise(0)).withColumn("score", F.when(ok, F.round(score, 6)).otherwise(0.0)).withColumn("_ok", ok)
-    return out.withColumn("consensus_class", F.when(F.col("score") >= CONFIRMED, 2).when(F.col("score") >= LIKELY, 1).otherwise(0)).withColumn("valid", F.col("_ok")).drop("_p95", "_ok")
+    return out.withColumn("consensus_class", F.when(F.col("score") >= CONFIRMED, 2).when(F.col("score") >= LIKELY, 1).otherwise(0)).withColumn("valid", F.col("_ok")).drop("_ok")
 
 
 def consensus_summary(scored: DataFrame) -> DataFrame:

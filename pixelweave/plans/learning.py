@@ -9,14 +9,16 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classes import CODE_TO_BINARY, CODE_TO_CLASS, pseudo_label, recode
 from ..functions.indices import FEATURES, TEXTURES, all_present, feature_columns
 from ..operators import focal, grid
 from ..operators.crosstab import jaccard, macro_f1, transitions
+from ..operators.quantiles import percentile
 from ..operators.sampling import balanced_binary, class_guard, order_key, spatial_block, stratified_pair
+from ..operators.storage import stored
 
 # The ablation's experiments and their features.
 EXPERIMENTS = {
@@ -64,14 +66,26 @@ def date_features(pair: DataFrame, date: str) -> DataFrame:
     return own.withColumn("present", all_present(*(F.col(f) for f in FEATURES)))
 
 
-def with_texture(features: DataFrame, shape: grid.Shape, window: int = 5) -> DataFrame:
-    """Adds homogeneity and contrast of the near infrared, scaled by its 99th percentile to 0..1."""
-    top = features.filter("b08 > 0").agg(F.percentile("b08", F.lit(0.99)).alias("_p99"))
-    cells = grid.dense(features.select("r", "c", "b08"), shape).crossJoin(F.broadcast(top))
-    scaled = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col("b08"), F.col("_p99")))), F.lit(0.0))
-    texture = focal.box_texture(cells.select("r", "c", scaled.alias("x")), shape, "x", window)
-    out = features.join(texture, ["r", "c"], "left")
-    return out.withColumns({t: F.when(F.col("present"), F.col(t)) for t in TEXTURES})
+def pair_features(pair: DataFrame) -> DataFrame:
+    """(r, c, ten features and present of each date with suffixes _b and _a), one row a pixel."""
+    both = pair.select("r", "c", *feature_columns("_b"), *feature_columns("_a"))
+    return both.withColumns({f"present_{d}": all_present(*(F.col(f"{f}_{d}") for f in FEATURES)) for d in "ba"})
+
+
+def _scaled(x: Column, top: float | None) -> Column:
+    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x, F.lit(top).cast("double")))), F.lit(0.0))
+
+
+def with_texture(features: DataFrame, shape: grid.Shape, window: int = 5, suffixes: tuple[str, ...] = ("",)) -> DataFrame:
+    """Adds homogeneity and contrast of the near infrared, scaled by its 99th percentile to 0..1.
+
+    The dates that the suffixes name are taken in one pass.
+    """
+    tops = {s: percentile(features.filter(F.col(f"b08{s}") > 0), f"b08{s}", 0.99) for s in suffixes}
+    cells = grid.dense(features, shape).withColumns({f"_x{s}": _scaled(F.col(f"b08{s}"), tops[s]) for s in suffixes})
+    rest = tuple(c for c in features.columns if c not in ("r", "c"))
+    out = focal.box_texture(cells, shape, {f"_x{s}": s for s in suffixes}, window, carry=rest).filter(F.col(f"present{suffixes[0]}").isNotNull())
+    return out.withColumns({f"{t}{s}": F.when(F.col(f"present{s}"), F.col(f"{t}{s}")) for t in TEXTURES for s in suffixes})
 
 
 def forest(features: tuple[str, ...], settings: ForestSettings = ForestSettings()) -> Pipeline:
@@ -95,13 +109,26 @@ def balanced(samples: DataFrame) -> DataFrame:
 
 
 def classify(model: PipelineModel, features: DataFrame, suffix: str) -> DataFrame:
-    """(r, c, class, confidence) of each pixel; class 0 and confidence 0 where a feature is missing."""
-    names = model.stages[1].labels
-    out = PipelineModel([model.stages[0], model.stages[2]]).transform(features.filter("present"))
-    klass = F.element_at(F.array(*(F.lit(int(n)) for n in names)), F.col("prediction").cast("int") + 1)
-    made = out.select("r", "c", klass.alias("k"), F.array_max(vector_to_array("probability")).alias("p"))
-    both = features.select("r", "c").join(made, ["r", "c"], "left")
-    return both.select("r", "c", F.coalesce("k", F.lit(0)).alias(f"class{suffix}"), F.coalesce("p", F.lit(0.0)).alias(f"conf{suffix}"))
+    """The features with class and confidence (of that suffix) of each pixel, in place; 0 where a feature is missing.
+
+    features are those of one date, as columns of the suffix or, of a date alone, without it.
+    """
+    assembler, labels, trees = model.stages
+    own = suffix if f"present{suffix}" in features.columns else ""
+    names = assembler.getInputCols()
+    filled = features.withColumns({f"_f{k}": F.coalesce(F.col(f"{n}{own}"), F.lit(0.0)) for k, n in enumerate(names)})
+    out = trees.transform(VectorAssembler(inputCols=[f"_f{k}" for k in range(len(names))], outputCol="features").transform(filled))
+    klass = F.element_at(F.array(*(F.lit(int(n)) for n in labels.labels)), F.col("prediction").cast("int") + 1)
+    present = F.coalesce(F.col(f"present{own}"), F.lit(False))
+    made = {f"class{suffix}": F.when(present, klass).otherwise(0), f"conf{suffix}": F.when(present, F.array_max(vector_to_array("probability"))).otherwise(0.0)}
+    return out.withColumns(made).select(*features.columns, *made)
+
+
+def classify_pair(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """(r, c, class_b, class_a, conf_b, conf_a, valid, changed) of pair_features: two transforms of the same row."""
+    both = classify(model, classify(model, features, "_b"), "_a").select("r", "c", "class_b", "conf_b", "class_a", "conf_a")
+    valid = (F.col("class_b") > 0) & (F.col("class_a") > 0)
+    return both.withColumns({"valid": valid, "changed": valid & (F.col("class_b") != F.col("class_a"))})
 
 
 def predicted(model: PipelineModel, samples: DataFrame) -> DataFrame:
@@ -129,9 +156,14 @@ def spatial_cv(samples: DataFrame, features: tuple[str, ...], settings: ForestSe
 
 
 def holdout(samples: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training and test part; a fixed share of each class by the order of its pixels."""
-    at = F.conv(F.substring(order_key(seed + 1, F.concat_ws(":", "pixel_id", "date")), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    return samples.filter(at >= share), samples.filter(at < share)
+    """Training and test part: of each class the share, rounded, that comes first in a fixed random order.
+
+    The samples are at most as many as were asked for, so a class of them is put in order by one task.
+    """
+    own = Window.partitionBy("label")
+    ranked = samples.withColumn("_rank", F.row_number().over(own.orderBy(order_key(seed + 1, F.concat_ws(":", "pixel_id", "date")), "pixel_id", "date")))
+    parted = ranked.withColumn("_test", F.col("_rank") <= F.round(F.count("*").over(own) * share))
+    return tuple(parted.filter(F.col("_test") == test).drop("_rank", "_test") for test in (False, True))
 
 
 def train(samples: DataFrame, features: tuple[str, ...], settings: ForestSettings, cross_validate: bool = True) -> tuple[PipelineModel, float, tuple[float, float]]:
@@ -166,6 +198,13 @@ def importances(model: PipelineModel, features: tuple[str, ...]) -> list[tuple[s
     return sorted(zip(features, model.stages[2].featureImportances.toArray().tolist()), key=lambda x: -x[1])
 
 
+def top_features(figures: DataFrame, n: int = 5, by: str = "pair") -> DataFrame:
+    """(by, rank, feature, importance): the n most important features of each row's importances (a map); ties by name."""
+    rows = figures.select(by, F.explode("importances").alias("feature", "importance"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("importance"), "feature"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= n).select(by, "rank", "feature", "importance")
+
+
 def cluster_labels(features: DataFrame, k: int = 4, sample: int = 50_000, starts: int = 10, seed: int = 42) -> DataFrame:
     """Pseudo-labels 1..k of pixels by k-means on z-scores, the best of several starts; they name no land cover."""
     scaled = grid.scene_zscore(features.filter("present"), *FEATURES)
@@ -177,60 +216,66 @@ def cluster_labels(features: DataFrame, k: int = 4, sample: int = 50_000, starts
     return best.transform(assembled).select("r", "c", (F.col("cluster") + 1).alias("label"))
 
 
-def _samples(chosen: DataFrame, shape: grid.Shape, features: dict[str, DataFrame], blocks: tuple[int, int]) -> DataFrame:
+def _samples(chosen: DataFrame, shape: grid.Shape, features: DataFrame, names: tuple[str, ...], blocks: tuple[int, int]) -> DataFrame:
     """Features of chosen pixels (r, c, label, date) on their own date, with folds."""
-    parts = [features[d].filter("present").join(chosen.filter(F.col("date") == name), ["r", "c"]) for d, name in (("b", "before"), ("a", "after"))]
-    return parts[0].unionByName(parts[1]).withColumn("fold", spatial_block(shape, *blocks)).withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c"))
+    both = features.join(chosen, ["r", "c"])
+    before = F.col("date") == "before"
+    own = both.filter(F.when(before, F.col("present_b")).otherwise(F.col("present_a")))
+    own = own.select("r", "c", "label", "date", *(F.when(before, F.col(f"{n}_b")).otherwise(F.col(f"{n}_a")).alias(n) for n in names))
+    return own.withColumn("fold", spatial_block(shape, *blocks)).withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c"))
+
+
+def _labelled(features: DataFrame, labels: DataFrame, codes: dict[int, int], shape: grid.Shape) -> DataFrame:
+    """(r, c, label, pixel_id) of the pixels that both dates have and that have a label."""
+    usable = features.filter("present_b and present_a").select("r", "c").join(labels.select("r", "c", recode(F.col("wc"), codes).alias("label")), ["r", "c"])
+    return usable.filter("label > 0").select("r", "c", "label", (F.col("r").cast("long") * shape.width + F.col("c")).alias("pixel_id"))
 
 
 def random_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None = None, n_samples: int = 50_000, settings: ForestSettings = ForestSettings(), cross_validate: bool = True, features: tuple[str, ...] = FEATURES) -> ForestResult:
-    """Post-classification change of four classes, from land-cover labels (r, c, wc) or from clusters."""
-    by_date = {d: date_features(pair, d) for d in "ba"}
+    """Post-classification change of four classes, from land-cover labels (r, c, wc) or from clusters.
+
+    Both dates stay on one row from the features to the classes.
+    """
+    both = pair_features(pair)
     if labels is not None:
-        usable = by_date["b"].filter("present").join(by_date["a"].filter("present").select("r", "c"), ["r", "c"]).join(labels.select("r", "c", recode(F.col("wc"), CODE_TO_CLASS).alias("label")), ["r", "c"])
-        usable = usable.filter("label > 0").select("r", "c", "label", (F.col("r").cast("long") * shape.width + F.col("c")).alias("pixel_id"))
-        guard = class_guard(usable, "label", [1, 2, 3, 4])
-        usable = usable.join(F.broadcast(guard.select(F.col("class").alias("label"), "target")), "label").drop("label").withColumnRenamed("target", "label")
-        active = sorted(r[0] for r in guard.filter("n >= 100").select("class").collect())
+        usable = _labelled(both, labels, CODE_TO_CLASS, shape)
+        guard = class_guard(usable, "label", [1, 2, 3, 4]).collect()
+        active = sorted(r["class"] for r in guard if r.n >= 100)
         if not active:
             raise ValueError("no class has enough labelled pixels")
+        usable = usable.withColumn("label", recode(F.col("label"), {r["class"]: r.target for r in guard}))
         chosen = stratified_pair(usable, "label", active, max(1, n_samples // len(active) // 2), settings.seed)
         mode = "supervised"
     else:
-        clusters = cluster_labels(by_date["b"], seed=settings.seed)
+        clusters = cluster_labels(date_features(pair, "b"), seed=settings.seed)
         keyed = clusters.withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c")).withColumn("date", F.lit("before"))
         chosen = keyed.orderBy(order_key(settings.seed, F.col("pixel_id"))).limit(min(5000, n_samples))
         mode = "unsupervised"
-    samples = _samples(chosen.select("r", "c", "label", "date"), shape, by_date, settings.blocks).cache()
+    samples = stored(_samples(chosen.select("r", "c", "label", "date"), shape, both, FEATURES, settings.blocks))
     model, accuracy, cv = train(samples, features, settings, cross_validate)
-    samples.unpersist()
-    pixels = classify(model, by_date["b"], "_b").join(classify(model, by_date["a"], "_a"), ["r", "c"])
-    pixels = pixels.withColumn("valid", (F.col("class_b") > 0) & (F.col("class_a") > 0)).withColumn("changed", F.col("valid") & (F.col("class_b") != F.col("class_a")))
-    return ForestResult(pixels, model, accuracy, *cv, importances(model, features), mode)
+    return ForestResult(classify_pair(model, both), model, accuracy, *cv, importances(model, features), mode)
 
 
 def binary_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None = None, n_samples: int = 50_000, settings: ForestSettings = ForestSettings(), cross_validate: bool = True, texture: bool = False) -> ForestResult:
     """Vegetated or not on both dates; loss is 1 to 2, gain 2 to 1. Without labels NDVI of the first date stands in."""
-    by_date = {d: date_features(pair, d) for d in "ba"}
+    both = pair_features(pair)
     names = FEATURES + TEXTURES if texture else FEATURES
     if texture:
-        by_date = {d: with_texture(f, shape) for d, f in by_date.items()}
-    pixel = (F.col("r").cast("long") * shape.width + F.col("c")).alias("pixel_id")
+        both = stored(with_texture(both, shape, suffixes=("_b", "_a")))
     if labels is not None:
-        usable = by_date["b"].filter("present").join(by_date["a"].filter("present").select("r", "c"), ["r", "c"]).join(labels.select("r", "c", recode(F.col("wc"), CODE_TO_BINARY).alias("label")), ["r", "c"]).select("r", "c", "label", pixel)
+        usable = _labelled(both, labels, CODE_TO_BINARY, shape)
         mode = "supervised_binary"
     else:
-        usable = by_date["b"].filter("present").select("r", "c", pseudo_label(F.col("ndvi")).alias("label"), pixel)
+        pixel = (F.col("r").cast("long") * shape.width + F.col("c")).alias("pixel_id")
+        usable = both.filter("present_b").select("r", "c", pseudo_label(F.col("ndvi_b")).alias("label"), pixel)
         mode = "ndvi_threshold_binary"
     chosen = balanced_binary(usable.filter("label > 0"), "label", n_samples, settings.seed)
     if labels is None:
         chosen = chosen.withColumn("date", F.lit("before"))
-    samples = _samples(chosen.select("r", "c", "label", "date"), shape, by_date, settings.blocks).cache()
+    samples = stored(_samples(chosen.select("r", "c", "label", "date"), shape, both, names, settings.blocks))
     model, accuracy, cv = train(samples, names, settings, cross_validate)
-    samples.unpersist()
-    pixels = classify(model, by_date["b"], "_b").join(classify(model, by_date["a"], "_a"), ["r", "c"])
-    valid = (F.col("class_b") > 0) & (F.col("class_a") > 0)
-    pixels = pixels.withColumns({"valid": valid, "changed": valid & (F.col("class_b") != F.col("class_a")), "loss": (F.col("class_b") == 1) & (F.col("class_a") == 2), "gain": (F.col("class_b") == 2) & (F.col("class_a") == 1)})
+    pixels = classify_pair(model, both)
+    pixels = pixels.withColumns({"loss": (F.col("class_b") == 1) & (F.col("class_a") == 2), "gain": (F.col("class_b") == 2) & (F.col("class_a") == 1)})
     return ForestResult(pixels, model, accuracy, *cv, importances(model, names), mode)
 
 

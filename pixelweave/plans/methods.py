@@ -1,45 +1,61 @@
 """The three threshold methods: band differences, NDVI differences, change vectors.
 
 Each takes a pair table (r, c, bands with suffixes _b and _a, NULL where masked)
-and its extent, and returns a ChangeResult whose tables are lazy.
+and its extent. The measure is blurred in one pass over the pair and kept in the
+shared folder; the threshold and the result's tables read it from there, so the
+pair is read once, whatever is asked of the result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import change, indices
 from ..operators import focal, grid
 from ..operators.otsu import otsu
+from ..operators.storage import stored
 
 
 @dataclass
 class ChangeResult:
-    """pixels: one row for each pixel of the extent, with `changed`; summary: one row."""
+    """pixels: one row for each pixel of the extent, with `changed`; summary: one row. Both are lazy."""
 
     method: str
     pixels: DataFrame
     summary: DataFrame
 
 
-def _thresholded(cells: DataFrame, shape: grid.Shape, value: str, threshold: float | None, smooth: bool, by_tile: int | None = None) -> DataFrame:
-    """Adds smoothed (value, blurred if asked) and threshold to dense cells.
+def _smoothed(cells: DataFrame, shape: grid.Shape, values: list[str], smooth: bool) -> DataFrame:
+    """Dense cells with smoothed_<value> (blurred if asked) for each value, all in one pass, kept in the shared folder."""
+    cells = grid.dense(cells, shape)
+    names = {f"smoothed_{v}": F.col(v) for v in values}
+    rest = tuple(c for c in cells.columns if c not in ("r", "c"))
+    cells = cells.withColumns(names)
+    return stored(focal.gaussian(cells, shape, *names, carry=rest) if smooth else cells)
+
+
+def _thresholds(kept: DataFrame, values: list[str]) -> dict[str, float | None]:
+    """Threshold of each smoothed value, by two passes over those columns; None if nothing of it is positive."""
+    rows = kept.select(F.explode(F.array(*(F.struct(F.lit(v).alias("name"), F.col(f"smoothed_{v}").alias("x")) for v in values))).alias("v")).select("v.*")
+    found = {r["name"]: r["threshold"] for r in otsu(rows, "x", ("name",)).collect()}
+    return {v: found.get(v) for v in values}
+
+
+def _with_threshold(kept: DataFrame, shape: grid.Shape, value: str, threshold: float | None, by_tile: int | None = None) -> DataFrame:
+    """The kept cells with smoothed and threshold of one value.
 
     by_tile finds a threshold for each square tile of that side instead of the scene.
     """
-    cells = cells.withColumn("smoothed", F.col(value))
-    if smooth:
-        blurred = focal.gaussian(cells.select("r", "c", "smoothed"), shape, "smoothed")
-        cells = cells.drop("smoothed").join(blurred, ["r", "c"])
-    if threshold is not None:
-        return cells.withColumn("threshold", F.lit(float(threshold)))
-    if by_tile:
+    cells = kept.withColumnRenamed(f"smoothed_{value}", "smoothed")
+    if threshold is None and by_tile:
         cells = cells.withColumn("_tile", F.expr(f"(r div {by_tile}) * {max(1, -(-shape.width // by_tile))} + c div {by_tile}"))
         return cells.join(F.broadcast(otsu(cells, "smoothed", ("_tile",))), "_tile", "left").drop("_tile")
-    return cells.crossJoin(F.broadcast(otsu(cells, "smoothed")))
+    if threshold is None:
+        threshold = _thresholds(kept, [value])[value]
+    return cells.withColumn("threshold", F.lit(threshold).cast("double"))
 
 
 def _summary(pixels: DataFrame, valid: str, *more) -> DataFrame:
@@ -48,20 +64,31 @@ def _summary(pixels: DataFrame, valid: str, *more) -> DataFrame:
     return pixels.agg(F.count("*").alias("total_pixels"), F.count_if(F.col(valid).isNotNull()).alias("valid_pixels"), F.count_if("changed").alias("changed_pixels"), share(F.count_if("changed")).alias("change_pct"), F.max("threshold").alias("threshold"), *(m(share) for m in more))
 
 
-def band_differencing(pair: DataFrame, shape: grid.Shape, band: str = "b04", threshold: float | None = None, smooth: bool = True, by_tile: int | None = None) -> ChangeResult:
-    """Change where the blurred absolute difference of a band is over the threshold."""
-    cells = grid.dense(pair.select("r", "c", change.difference(F.col(f"{band}_b"), F.col(f"{band}_a")).alias("diff")), shape).withColumn("abs_diff", F.abs("diff"))
-    pixels = _thresholded(cells, shape, "abs_diff", threshold, smooth, by_tile)
+def _band_measure(band: str) -> dict[str, Column]:
+    diff = change.difference(F.col(f"{band}_b"), F.col(f"{band}_a"))
+    return {"diff": diff, "abs_diff": F.abs(diff)}
+
+
+def _ndvi_measure() -> dict[str, Column]:
+    before, after = (indices.ndvi(F.col(f"b04_{d}"), F.col(f"b08_{d}")) for d in "ba")
+    return {"ndvi_b": before, "ndvi_a": after, "delta": after - before, "abs_delta": F.abs(after - before)}
+
+
+def _vector_measure(bands: tuple[str, ...], x_band: str, y_band: str) -> dict[str, Column]:
+    deltas = {b: F.col(f"{b}_a") - F.col(f"{b}_b") for b in bands}
+    return {"magnitude": change.magnitude(list(deltas.values())), "direction": change.direction(deltas[x_band], deltas[y_band])}
+
+
+def _cells(pair: DataFrame, *measures: dict[str, Column]) -> DataFrame:
+    return pair.select("r", "c", *(v.alias(k) for m in measures for k, v in m.items()))
+
+
+def _band_result(pixels: DataFrame) -> ChangeResult:
     pixels = pixels.withColumn("changed", change.over(F.col("smoothed"), F.col("threshold")))
     return ChangeResult("Band Differencing", pixels, _summary(pixels, "abs_diff"))
 
 
-def ndvi_differencing(pair: DataFrame, shape: grid.Shape, threshold: float | None = None, smooth: bool = True, by_tile: int | None = None) -> ChangeResult:
-    """Change by the blurred absolute NDVI difference; gain and loss by the difference as it is."""
-    ndvi = {f"ndvi_{d}": indices.ndvi(F.col(f"b04_{d}"), F.col(f"b08_{d}")) for d in "ba"}
-    cells = pair.select("r", "c", *(v.alias(k) for k, v in ndvi.items())).withColumn("delta", F.col("ndvi_a") - F.col("ndvi_b"))
-    cells = grid.dense(cells, shape).withColumn("abs_delta", F.abs("delta"))
-    pixels = _thresholded(cells, shape, "abs_delta", threshold, smooth, by_tile)
+def _ndvi_result(pixels: DataFrame) -> ChangeResult:
     pixels = pixels.withColumns({
         "changed": change.over(F.col("smoothed"), F.col("threshold")),
         "gain": change.over(F.col("delta"), F.col("threshold")),
@@ -70,16 +97,40 @@ def ndvi_differencing(pair: DataFrame, shape: grid.Shape, threshold: float | Non
     return ChangeResult("NDVI Differencing", pixels, _summary(pixels, "delta", lambda share: share(F.count_if("gain")).alias("gain_pct"), lambda share: share(F.count_if("loss")).alias("loss_pct")))
 
 
-def change_vectors(pair: DataFrame, shape: grid.Shape, bands: tuple[str, ...] = indices.BANDS, x_band: str = "b04", y_band: str = "b08", threshold: float | None = None, smooth: bool = True, by_tile: int | None = None) -> ChangeResult:
-    """Change by the blurred length of the change vector, its type by the vector's direction."""
-    deltas = {b: F.col(f"{b}_a") - F.col(f"{b}_b") for b in bands}
-    cells = pair.select("r", "c", change.magnitude(list(deltas.values())).alias("magnitude"), change.direction(deltas[x_band], deltas[y_band]).alias("direction"))
-    pixels = _thresholded(grid.dense(cells, shape), shape, "magnitude", threshold, smooth, by_tile)
+def _vector_result(pixels: DataFrame) -> ChangeResult:
     pixels = pixels.withColumn("changed", change.over(F.col("smoothed"), F.col("threshold")))
     pixels = pixels.withColumn("change_type", change.direction_class(F.col("direction"), F.col("smoothed"), F.col("threshold")))
     return ChangeResult("CVA", pixels, _summary(pixels, "magnitude"))
 
 
+def band_differencing(pair: DataFrame, shape: grid.Shape, band: str = "b04", threshold: float | None = None, smooth: bool = True, by_tile: int | None = None) -> ChangeResult:
+    """Change where the blurred absolute difference of a band is over the threshold."""
+    kept = _smoothed(_cells(pair, _band_measure(band)), shape, ["abs_diff"], smooth)
+    return _band_result(_with_threshold(kept, shape, "abs_diff", threshold, by_tile))
+
+
+def ndvi_differencing(pair: DataFrame, shape: grid.Shape, threshold: float | None = None, smooth: bool = True, by_tile: int | None = None) -> ChangeResult:
+    """Change by the blurred absolute NDVI difference; gain and loss by the difference as it is."""
+    kept = _smoothed(_cells(pair, _ndvi_measure()), shape, ["abs_delta"], smooth)
+    return _ndvi_result(_with_threshold(kept, shape, "abs_delta", threshold, by_tile))
+
+
+def change_vectors(pair: DataFrame, shape: grid.Shape, bands: tuple[str, ...] = indices.BANDS, x_band: str = "b04", y_band: str = "b08", threshold: float | None = None, smooth: bool = True, by_tile: int | None = None) -> ChangeResult:
+    """Change by the blurred length of the change vector, its type by the vector's direction."""
+    kept = _smoothed(_cells(pair, _vector_measure(bands, x_band, y_band)), shape, ["magnitude"], smooth)
+    return _vector_result(_with_threshold(kept, shape, "magnitude", threshold, by_tile))
+
+
+def all_methods(pair: DataFrame, shape: grid.Shape, smooth: bool = True) -> list[ChangeResult]:
+    """Band differences, NDVI differences and change vectors of a pair, blurred in one pass and kept once."""
+    values = ["abs_diff", "abs_delta", "magnitude"]
+    measures = [_band_measure("b04"), _ndvi_measure(), _vector_measure(indices.BANDS, "b04", "b08")]
+    kept = _smoothed(_cells(pair, *measures), shape, values, smooth)
+    found = _thresholds(kept, values)
+    own = [kept.select("r", "c", *m, F.col(f"smoothed_{v}").alias("smoothed"), F.lit(found[v]).cast("double").alias("threshold")) for v, m in zip(values, measures)]
+    return [make(pixels) for make, pixels in zip((_band_result, _ndvi_result, _vector_result), own)]
+
+
 def type_counts(result: ChangeResult) -> DataFrame:
     """Pixels of each change type and their share of the valid ones; types without pixels are 0."""
     spark = result.pixels.sparkSession

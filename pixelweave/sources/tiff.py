@@ -8,31 +8,48 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tag numbers of the image file directory: width, length, bits, compression, photometric, strips, samples, format.
-_WIDTH, _LENGTH, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _PLANAR, _FORMAT, _SCALE, _TIE = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339, 33550, 33922
+#: Tag numbers of the image file directory: width, length, bits, compression, photometric, strips, samples, format, place, projection.
+_WIDTH, _LENGTH, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _PLANAR, _FORMAT, _SCALE, _TIE, _KEYS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339, 33550, 33922, 34735
+#: Keys of the projection: a projected model, pixels as areas, and its EPSG number.
+_MODEL, _RASTER, _PROJECTED = 1024, 1025, 3072
+_SIZES = {3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}
 
 
-def encode(values, geotransform: tuple[float, ...] | None = None) -> bytes:
-    """A one-band little-endian image of a two-dimensional array; NaN is a masked pixel."""
+def encode(values, geotransform: tuple[float, ...] | None = None, epsg: int | None = None) -> bytes:
+    """A little-endian image of an array of rows and columns, or of bands, rows and columns; NaN is a masked pixel.
+
+    Bands lie one after another. With epsg the image names its projection.
+    """
     import numpy as np
 
     data = np.ascontiguousarray(values, dtype="<f4")
-    height, width = data.shape
-    entries = [(_WIDTH, 4, 1, width), (_LENGTH, 4, 1, height), (_BITS, 3, 1, 32), (_COMPRESSION, 3, 1, 1), (_PHOTOMETRIC, 3, 1, 1), (_OFFSETS, 4, 1, None), (_SAMPLES, 3, 1, 1), (_ROWS, 4, 1, height), (_COUNTS, 4, 1, data.nbytes), (_PLANAR, 3, 1, 1), (_FORMAT, 3, 1, 3)]
-    extra = b""
-    if geotransform:
-        entries += [(_SCALE, 12, 3, "scale"), (_TIE, 12, 6, "tie")]
-    start = 8 + 2 + 12 * len(entries) + 4
+    data = data[None] if data.ndim == 2 else data
+    bands, height, width = data.shape
+    size = 4 * height * width
+    tags = [(_WIDTH, 4, [width]), (_LENGTH, 4, [height]), (_BITS, 3, [32] * bands), (_COMPRESSION, 3, [1]), (_PHOTOMETRIC, 3, [1]), (_OFFSETS, 4, [0] * bands), (_SAMPLES, 3, [bands]), (_ROWS, 4, [height]), (_COUNTS, 4, [size] * bands), (_PLANAR, 3, [2 if bands > 1 else 1]), (_FORMAT, 3, [3] * bands)]
     if geotransform:
         x, w, _, y, _, h = geotransform
-        extra = struct.pack("<3d", w, -h, 0.0) + struct.pack("<6d", 0, 0, 0, x, y, 0)
-    place = {None: start + len(extra), "scale": start, "tie": start + 24}
-    ifd = b"".join(struct.pack("<HHI", tag, kind, n) + (struct.pack("<HH", v, 0) if kind == 3 else struct.pack("<I", place.get(v, v) if not isinstance(v, int) else v)) for tag, kind, n, v in entries)
-    return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(entries)) + ifd + struct.pack("<I", 0) + extra + data.tobytes()
-
-
-def decode(raw: bytes):
-    """The array and geotransform (or None) of an image that encode() made."""
+        tags += [(_SCALE, 12, [w, -h, 0.0]), (_TIE, 12, [0.0, 0.0, 0.0, x, y, 0.0])]
+    if epsg:
+        tags += [(_KEYS, 3, [1, 1, 0, 3, _MODEL, 0, 1, 1, _RASTER, 0, 1, 1, _PROJECTED, 0, 1, epsg])]
+    start = 8 + 2 + 12 * len(tags) + 4
+    long = [(tag, struct.pack(f"<{len(v)}{_SIZES[kind][0]}", *v)) for tag, kind, v in tags if len(v) * _SIZES[kind][1] > 4]
+    places, at = {}, start
+    for tag, raw in long:
+        places[tag] = at
+        at += len(raw) + len(raw) % 2
+    at += -at % 4
+    ifd, extra = b"", b""
+    for tag, kind, v in tags:
+        v = [at + k * size for k in range(bands)] if tag == _OFFSETS else v
+        raw = struct.pack(f"<{len(v)}{_SIZES[kind][0]}", *v)
+        ifd += struct.pack("<HHI", tag, kind, len(v)) + (struct.pack("<I", places[tag]) if tag in places else raw.ljust(4, b"\0"))
+        extra += raw + b"\0" * (len(raw) % 2) if tag in places else b""
+    return (struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + ifd + struct.pack("<I", 0) + extra).ljust(at, b"\0") + data.tobytes()
+
+
+def decode_bands(raw: bytes):
+    """The array of bands, rows and columns, the geotransform and the EPSG number (or None) of an image that encode() made."""
     import numpy as np
 
     if raw[:4] != struct.pack("<2sH", b"II", 42):
@@ -41,38 +58,55 @@ def decode(raw: bytes):
     (n,) = struct.unpack_from("<H", raw, at)
     tags = {}
     for k in range(n):
-        tag, kind, count, value = struct.unpack_from("<HHII", raw, at + 2 + 12 * k)
-        tags[tag] = value & 0xFFFF if kind == 3 else value
-    if tags[_COMPRESSION] != 1 or tags[_BITS] != 32 or tags[_FORMAT] != 3:
+        tag, kind, count = struct.unpack_from("<HHI", raw, at + 2 + 12 * k)
+        code, size = _SIZES.get(kind, ("B", 1))
+        place = at + 10 + 12 * k
+        if count * size > 4:
+            (place,) = struct.unpack_from("<I", raw, place)
+        tags[tag] = struct.unpack_from(f"<{count}{code}", raw, place)
+    if tags[_COMPRESSION] != (1,) or set(tags[_BITS]) != {32} or set(tags[_FORMAT]) != {3}:
         raise ValueError("only uncompressed 32-bit floats are read")
-    data = np.frombuffer(raw, dtype="<f4", count=tags[_WIDTH] * tags[_LENGTH], offset=tags[_OFFSETS]).reshape(tags[_LENGTH], tags[_WIDTH])
-    place = None
+    (width,), (height,) = tags[_WIDTH], tags[_LENGTH]
+    data = np.stack([np.frombuffer(raw, dtype="<f4", count=width * height, offset=o).reshape(height, width) for o in tags[_OFFSETS]])
+    place = epsg = None
     if _SCALE in tags:
-        w, h, _ = struct.unpack_from("<3d", raw, tags[_SCALE])
-        *_, x, y, _ = struct.unpack_from("<6d", raw, tags[_TIE])
+        w, h, _ = tags[_SCALE]
+        *_, x, y, _ = tags[_TIE]
         place = (x, w, 0.0, y, 0.0, -h)
-    return data, place
+    if _KEYS in tags:
+        keys = tags[_KEYS]
+        epsg = next((keys[k + 3] for k in range(4, len(keys), 4) if keys[k] == _PROJECTED), None)
+    return data, place, epsg
+
 
+def decode(raw: bytes):
+    """The array of the first band and the geotransform (or None) of an image."""
+    data, place, _ = decode_bands(raw)
+    return data[0], place
 
-def to_tiff(tiles: DataFrame, value: str, geotransform: tuple[float, ...] | None = None) -> DataFrame:
-    """(tile_id, r0, c0, content): the image of each tile's pixels (tile_id, r, c, value); gaps are NaN.
 
-    The geotransform is the whole raster's; each image gets that of its own corner.
+def to_tiff(tiles: DataFrame, value: str | list[str], geotransform: tuple[float, ...] | None = None, epsg: int | None = None) -> DataFrame:
+    """(tile_id, r0, c0, content): the image of each tile's pixels (tile_id, r, c, values); gaps are NaN.
+
+    Several values are the image's bands. The geotransform is the whole raster's; each
+    image gets that of its own corner.
     """
+    names = [value] if isinstance(value, str) else list(value)
 
     def image(frame: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         r0, c0 = int(frame.r.min()), int(frame.c.min())
-        data = np.full((int(frame.r.max()) - r0 + 1, int(frame.c.max()) - c0 + 1), np.nan)
-        data[frame.r - r0, frame.c - c0] = frame.value.astype("float64")
+        data = np.full((len(names), int(frame.r.max()) - r0 + 1, int(frame.c.max()) - c0 + 1), np.nan)
+        for k in range(len(names)):
+            data[k, frame.r - r0, frame.c - c0] = frame[f"v{k}"].astype("float64")
         own = None
         if geotransform:
             x, w, a, y, b, h = geotransform
             own = (x + c0 * w, w, a, y + r0 * h, b, h)
-        return pd.DataFrame({"tile_id": [int(frame.tile_id.iloc[0])], "r0": [r0], "c0": [c0], "content": [encode(data, own)]})
+        return pd.DataFrame({"tile_id": [int(frame.tile_id.iloc[0])], "r0": [r0], "c0": [c0], "content": [encode(data, own, epsg)]})
 
-    rows = tiles.select(F.col("tile_id").cast("int").alias("tile_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col(value).cast("double").alias("value"))
+    rows = tiles.select(*(F.col(c).cast("int").alias(c) for c in ("tile_id", "r", "c")), *(F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(names)))
     return rows.groupBy("tile_id").applyInPandas(image, "tile_id int, r0 int, c0 int, content binary")
 
 
@@ -82,8 +116,9 @@ def read_tiff(spark: SparkSession, path: str) -> DataFrame:
     return pixels_of(files.withColumnRenamed("path", "file"), ["file"])
 
 
-def pixels_of(images: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels of a content column, with r0 and c0 added to their places where present."""
+def pixels_of(images: DataFrame, keys: list[str], bands: list[str] | None = None) -> DataFrame:
+    """Pixels of a content column, with r0 and c0 added to their places where present: keys, r, c and value, or a column a band."""
+    names = bands or ["value"]
     offsets = [F.col(c).cast("int") if c in images.columns else F.lit(0) for c in ("r0", "c0")]
     rows = images.select(*keys, offsets[0].alias("r0"), offsets[1].alias("c0"), "content")
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
@@ -93,13 +128,14 @@ def pixels_of(images: DataFrame, keys: list[str]) -> DataFrame:
 
         for frame in frames:
             for row in frame.itertuples(index=False):
-                data, _ = decode(bytes(row.content))
-                r, c = np.indices(data.shape)
-                out = pd.DataFrame({k: [getattr(row, k)] * data.size for k in keys})
-                yield out.assign(r=(r.ravel() + row.r0).astype("int32"), c=(c.ravel() + row.c0).astype("int32"), value=data.ravel().astype("float64"))
-
-    made = rows.mapInPandas(run, f"{kinds}, r int, c int, value double")
-    return made.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+                data, _, _ = decode_bands(bytes(row.content))
+                r, c = np.indices(data.shape[1:])
+                out = pd.DataFrame({k: [getattr(row, k)] * r.size for k in keys})
+                out = out.assign(r=(r.ravel() + row.r0).astype("int32"), c=(c.ravel() + row.c0).astype("int32"))
+                yield out.assign(**{name: data[k].ravel().astype("float64") for k, name in enumerate(names)})
+
+    made = rows.mapInPandas(run, f"{kinds}, r int, c int, " + ", ".join(f"`{n}` double" for n in names))
+    return made.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in names})
 
 
 def save_tiff_files(images: DataFrame, folder: str) -> None:

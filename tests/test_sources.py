@@ -168,3 +168,56 @@ def test_stream_of_scenes(spark, tmp_path):
     want = methods.ndvi_differencing(pair, shape).summary.first()
     assert len(rows) == 2 and {r.changed_pixels for r in rows} == {want.changed_pixels}
     assert json.dumps([r.asDict() for r in rows], default=str)
+
+
+def test_images_of_several_bands_name_their_projection(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(3, 4, 5)).astype("float32")
+    data[1, 2, 3] = np.nan
+    for epsg in (None, 32631):
+        back, place, named = tiff.decode_bands(tiff.encode(data, (500000.0, 10.0, 0.0, 3900000.0, 0.0, -10.0), epsg))
+        assert np.array_equal(back, data, equal_nan=True) and place == (500000.0, 10.0, 0.0, 3900000.0, 0.0, -10.0) and named == epsg
+    rows = [(k % 2, k // 2, k % 2, float(k), None if k == 5 else k / 4) for k in range(8)]
+    tiles = spark.createDataFrame(rows, "tile_id int, r int, c int, red double, nir double")
+    images = tiff.to_tiff(tiles, ["red", "nir"], epsg=32631)
+    got = {(r.tile_id, r.r, r.c, r.red, r.nir) for r in tiff.pixels_of(images, ["tile_id"], ["red", "nir"]).collect()}
+    assert got == {tuple(r) for r in rows}
+
+
+def test_exact_percentiles_of_ties_and_few_values(spark, monkeypatch):
+    import random
+
+    from pixelweave.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "RANGES", 8)
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    rng = random.Random(2)
+    for values in ([3.0], [1.0, 2.0], [5.0] * 40 + [1.0], [rng.gauss(0, 1) for _ in range(500)], [rng.choice([0.0, 1e-9, 1e9]) for _ in range(300)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        for q in (0.0, 0.5, 0.95, 1.0):
+            assert math.isclose(quantiles.percentile(df, "v", q), df.agg(F.percentile("v", F.lit(q))).first()[0], rel_tol=1e-12, abs_tol=1e-15)
+    assert quantiles.percentile(df.limit(0), "v", 0.5) is None
+
+
+def test_hold_out_has_the_share_of_each_class(spark):
+    samples = spark.range(230).select(F.col("id").alias("pixel_id"), F.when(F.col("id") < 30, 1).when(F.col("id") < 130, 2).otherwise(3).alias("label"), F.when(F.col("id") % 2 == 0, "before").otherwise("after").alias("date"))
+    inside, outside = learning.holdout(samples)
+    assert {r.label: r.n for r in outside.groupBy("label").agg(F.count("*").alias("n")).collect()} == {1: 6, 2: 20, 3: 20}
+    assert inside.count() == 184 and inside.join(outside, ["pixel_id", "date"]).count() == 0
+
+
+def test_grid_search_and_seasons(spark, field):
+    pair, shape, labels = field
+    tiny = learning.ForestSettings(trees=1, depth=2, blocks=(1, 2))
+    rows = [(float(k % 2), k % 2 + 1, k % 2 * 0 + k // 30) for k in range(60)]
+    samples = spark.createDataFrame(rows, "x double, label int, fold int")
+    best = learning.grid_search(samples, ("x",), tiny)
+    assert (best.subset, best.min_leaf, best.trees) == ("sqrt", 3, 1)  # all are perfect, so the first
+    seasons = learning.seasonal_comparison({"a": (pair, shape, labels), "b": (pair, shape, labels)}, tiny, 200)
+    got = {r["pair"]: r for r in seasons.collect()}
+    assert got["a"].rf_change_pct == got["b"].rf_change_pct and math.isclose(got["a"].rf_ndvi_ratio, got["a"].rf_change_pct / got["a"].ndvi_change_pct)
+    shift = learning.importance_shift(seasons, "a", "b").collect()
+    assert len(shift) == 10 and all(r.delta == 0 for r in shift) and [r.finding for r in shift if r.feature == "ndwi"] == ["INCONCLUSIVE"]
+    assert {r["pair"]: r.n for r in learning.top_features(seasons).groupBy("pair").agg(F.count("*").alias("n")).collect()} == {"a": 5, "b": 5}
