@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, RollingHash, Words, blocks, covered, mix, sliding, window_is_inside
@@ -221,10 +221,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     hits = stored(hits.select("rid", "p", "k", "set"))
     named = hits.select("rid", "set").distinct().join(F.broadcast(sets) if few else sets, "set").select("rid", F.explode("items").alias("item"))
     named = named.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = hits.groupBy("rid").agg(F.collect_set(F.struct("p", "k")).alias("hits")).join(named, "rid")
+    # windows that overlap or touch are one range
+    by_row = Window.partitionBy("rid").orderBy("p", "end")
+    upto = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = hits.select("rid", "p", (F.col("p") + F.col("k")).alias("end")).distinct().withColumn("new", (F.coalesce(upto, F.lit(-1)) < F.col("p")).cast("int"))
+    ranges = ranges.withColumn("range", F.sum("new").over(by_row)).groupBy("rid", "range").agg(F.min("p").alias("p"), (F.max("end") - F.min("p")).alias("k"))
+    found = stored(ranges.groupBy("rid").agg(F.collect_list(F.struct("p", "k")).alias("hits")).join(named, "rid"))
 
     row = F.struct(F.col(key).alias("key"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
-    small = hits.count() <= BROADCAST_ROWS
+    small = found.agg(F.coalesce(F.sum(F.size("hits") + F.size("items")), F.lit(0))).first()[0] <= BROADCAST_ROWS
     out = docs.select(rid, row.alias("row"), body.alias("text")).join(F.broadcast(found) if small else found, "rid", "left")
     kind = out.schema["row"].dataType.simpleString()
     out = out.select("row", "text", "hits", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")).mapInArrow(_judged, f"row {kind}, n_words long, spans array<int>, items array<string>")

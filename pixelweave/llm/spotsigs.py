@@ -100,31 +100,32 @@ def next_groups(groups: DataFrame) -> DataFrame:
 CROWDED = 4 << GROUP_BITS
 
 
-def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, o (its order), h (hash of the text) and its group: go, gs, gz.
+def _grouped(docs: DataFrame, key: str, text: str, order: Column) -> tuple[DataFrame, list[str]]:
+    """key, text and their group, and the names of its columns: go, or go, gs, gz.
 
-    Groups are 64 keys wide. Those with more than CROWDED rows, as many null or
-    repeated keys make them, have a group for each key and range of h, in number as many
+    Groups are 64 keys wide. If some have more than CROWDED rows, as many null or
+    repeated keys make them, those are cut into a group for each key and range of the text's hash, in number as many
     as bring the group's rows down to about a group's width. Equal rows that are more
     than CROWDED are dealt out by chance; those in groups of gz over 0 come before the others.
     """
-    top = docs.agg(F.max(F.col(key).cast("long"))).first()[0]
+    h = F.xxhash64("text")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("o", F.coalesce(F.col("key").cast("long"), F.lit((top if top is not None else 0) + 1))).withColumn("h", F.xxhash64("text"))
-    wide, none = F.shiftright("o", GROUP_BITS), F.lit(0).cast("long")
+    wide, none = F.shiftright(order, GROUP_BITS), F.lit(0).cast("long")
     crowded = rows.groupBy(wide.alias("g")).agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
     crowded = checkpointed(crowded.select("g", F.ceil(F.log2(F.col("n") / (1 << GROUP_BITS))).cast("int").alias("bits")))
     if crowded.isEmpty():
-        return rows.select("*", F.shiftleft(wide, GROUP_BITS).alias("go"), none.alias("gs"), none.alias("gz"))
+        return rows.select("key", "text", F.shiftleft(wide, GROUP_BITS).alias("go")), ["go"]
+    rows = rows.withColumns({"o": order, "h": h, "g": wide})
     equal = rows.groupBy(F.col("o").alias("eo"), F.col("h").alias("eh")).agg(F.count("*").alias("m")).filter(F.col("m") > CROWDED)
     equal = small_side(checkpointed(equal))
-    cut = rows.withColumn("g", wide).join(small_side(crowded), "g", "left").join(equal, (F.col("o") == F.col("eo")) & (F.col("h") == F.col("eh")), "left")
+    cut = rows.join(small_side(crowded), "g", "left").join(equal, (F.col("o") == F.col("eo")) & (F.col("h") == F.col("eh")), "left")
     alone = F.col("bits").isNull()
-    return cut.select(
-        "key", "text", "o", "h",
+    cut = cut.select(
+        "key", "text",
         F.when(alone, F.shiftleft("g", GROUP_BITS)).otherwise(F.col("o")).alias("go"), F.when(alone, none).otherwise(F.expr("shiftright(h, 64 - bits)")).alias("gs"),
         F.when(F.col("m").isNull(), none).otherwise(F.floor(F.rand(7) * F.shiftright("m", GROUP_BITS))).alias("gz"),
     )
+    return cut, ["go", "gs", "gz"]
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,18 +143,27 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     A null text counts as empty; a null key comes after all others; rows of the same
     key follow each other by a hash of their text, equal ones in any order; one document is its own next; an
-    empty table gives an empty result. An integer key of 2 ** 63 - 1 must not occur beside nulls.
+    empty table gives an empty result.
     """
-    dealt = _grouped(docs, key, text).repartition("go", "gs", "gz")
-    firsts = dealt.groupBy("go", "gs").agg(F.min_by("text", F.when(F.col("gz") == 0, F.struct("o", "h"))).alias("text"))
-    following = next_groups(dealt.select(F.col("go").alias("o"), F.col("gs").alias("s")))
-    guests = following.join(firsts.select(F.col("go").alias("next_o"), F.col("gs").alias("next_s"), F.col("text").alias("guest")), ["next_o", "next_s"]).select(F.col("o").alias("own_o"), F.col("s").alias("own_s"), "guest")
+    top = docs.agg(F.max(F.col(key).cast("long"))).first()[0]
+    order = F.coalesce(F.col("key").cast("long"), F.lit(min((top if top is not None else 0) + 1, (1 << 63) - 1)))
+    grouped, by = _grouped(docs, key, text, order)
+    dealt = grouped.repartition(*by)
+    place = F.struct(order.alias("o"), F.xxhash64("text").alias("h"))
+    if len(by) == 1:
+        firsts = dealt.groupBy("go").agg(F.min_by("text", place).alias("guest")).withColumn("gs", F.lit(0).cast("long"))
+        following = next_groups(grouped.select(F.col("go").alias("o"), F.lit(0).cast("long").alias("s")))
+    else:
+        firsts = dealt.groupBy("go", "gs").agg(F.min_by("text", F.when(F.col("gz") == 0, place)).alias("guest"))
+        following = next_groups(grouped.select(F.col("go").alias("o"), F.col("gs").alias("s")))
+    guests = following.join(firsts.withColumnsRenamed({"go": "next_o", "gs": "next_s"}), ["next_o", "next_s"]).select(F.col("o").alias("own_o"), F.col("s").alias("own_s"), "guest")
     guests = add_signatures(guests, "guest", "guest_sigs")
 
     rows = add_signatures(dealt, "text", "sigs")
-    after = F.lead(F.struct("text", "sigs")).over(Window.partitionBy("go", "gs", "gz").orderBy("o", "h"))
-    rows = rows.withColumn("after", F.when(F.col("gz") == 0, after).otherwise(F.struct("text", "sigs")))
-    rows = rows.join(guests, (F.col("go") == F.col("own_o")) & (F.col("gs") == F.col("own_s")) & F.col("after").isNull(), "left")
+    after = F.lead(F.struct("text", "sigs")).over(Window.partitionBy(*by).orderBy(order, F.xxhash64("text")))
+    rows = rows.withColumn("after", after if len(by) == 1 else F.when(F.col("gz") == 0, after).otherwise(F.struct("text", "sigs")))
+    own = F.col("go") == F.col("own_o") if len(by) == 1 else (F.col("go") == F.col("own_o")) & (F.col("gs") == F.col("own_s"))
+    rows = rows.join(guests, own & F.col("after").isNull(), "left")
     rows = rows.select("key", "text", "sigs", F.coalesce("after.text", "guest").alias("next_text"), F.coalesce("after.sigs", "guest_sigs").alias("next_sigs"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
