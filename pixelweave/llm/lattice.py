@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .arrowtext import NON_SPACE, Block, Words, blocks, mix, row_struct, unpack_row
 from .shared import checkpointed, stored
 
-#: Pieces of more bytes are left out.
-MAX_PIECE = 16
 #: Rounds of expectation and maximisation that fit the pieces' probabilities.
 ROUNDS = 3
 #: Words with at least this share of all training tokens are looked up on the map
@@ -48,7 +46,9 @@ def default_vocabulary() -> str:
 def _hash(view: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Hash of the bytes at each place; view reads eight bytes from any place."""
     h = mix((view[at] & _MASK[min(length, 8)]) ^ _U(length << 56))
-    return h if length <= 8 else mix(h * _U(0x9E3779B97F4A7C15) + (view[at + 8] & _MASK[length - 8]))
+    for k in range(8, length, 8):
+        h = mix(h * _U(0x9E3779B97F4A7C15) + (view[at + k] & _MASK[min(length - k, 8)]))
+    return h
 
 
 def _view(data: np.ndarray) -> np.ndarray:
@@ -67,8 +67,9 @@ class Units:
         self.table = np.full(_SLOTS, -1, dtype=np.int32)
         self.hashes = np.zeros(len(self.spelled) + 1, dtype=np.uint64)
         self.lengths = np.array([len(s) for s in self.spelled])
+        self.longest = int(self.lengths.max())
         for k, s in enumerate(self.spelled):
-            own = np.frombuffer(s + bytes(24 - len(s)), dtype=np.uint8)
+            own = np.frombuffer(s + bytes(8 + -len(s) % 8), dtype=np.uint8)
             self.hashes[k] = _hash(_view(own), np.array([0]), len(s))[0]
         for k in np.argsort(self.lengths, kind="stable"):
             at = int(self.hashes[k] & _U(_SLOTS - 1))
@@ -90,22 +91,30 @@ class Units:
 
 
 def load_units(path: str | None = None) -> Units:
-    """Units from a vocabulary file, in the order of its scores, with Zipf's law for first probabilities."""
+    """Units from a vocabulary file, with first probabilities from its scores; no piece is left out for its length.
+
+    The scores of a unigram vocabulary are log probabilities and are taken as they are. Those of a BPE
+    vocabulary are whole numbers, the merges' ranks: the piece of rank r has, by Zipf's law, a weight of
+    1 / (r + 10). Single bytes come after all pieces. Pieces with capitals are not needed, as texts are lower-cased.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or default_vocabulary())
-    rank: dict[bytes, float] = {}
+    score: dict[bytes, float] = {}
     for k in range(model.get_piece_size()):
         if model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k):
             continue
         spelled = model.id_to_piece(k).replace("▁", " ").encode()
-        if len(spelled) <= MAX_PIECE and b" " not in spelled[1:] and spelled == spelled.lower():
-            rank.setdefault(spelled, -model.get_score(k))
-    order = sorted(rank, key=lambda s: (rank[s], s))
-    order += [b for b in (bytes([k]) for k in range(256)) if b not in rank and b.lower() == b]
-    weight = 1 / (np.arange(len(order)) + 10.0)
+        if b" " not in spelled[1:] and spelled == spelled.lower():
+            score.setdefault(spelled, model.get_score(k))
+    order = sorted(score, key=lambda s: (-score[s], s))
+    single = [b for b in (bytes([k]) for k in range(256)) if b not in score and b.lower() == b]
+    if all(float(x).is_integer() for x in score.values()):
+        weight = 1 / (np.arange(len(order) + len(single)) + 10.0)
+    else:
+        weight = np.exp(np.array([score[s] for s in order] + [min(score.values()) - 1] * len(single)))
     p = weight / weight.sum() * 0.99
-    return Units(order, np.log(p), float(np.log(0.01)))
+    return Units(order + single, np.log(p), float(np.log(0.01)))
 
 
 class Lattice:
@@ -118,18 +127,20 @@ class Lattice:
         self.size = size
         self.first = np.cumsum(size) - size
         total = int(size.sum())
-        spelled = np.zeros(total + 32, dtype=np.uint8)
+        spelled = np.zeros(total + units.longest + 16, dtype=np.uint8)
         source = np.arange(total) + np.repeat(starts[self.by_size] - 1 - self.first, size)
         spelled[:total] = data[np.maximum(source, 0)]
         spelled[self.first] = 0x20
         view = _view(spelled)
         left = np.repeat(self.first + size, size) - np.arange(total)
         self.unit = []
-        for length in range(1, MAX_PIECE + 1):
+        for length in range(1, units.longest + 1):
             at = np.flatnonzero(left >= length)
             arc = np.full(total, -1, dtype=np.int32)
             arc[at] = units.find(view, at, length)
             self.unit.append(arc)
+        #: Lengths of the pieces that these words have.
+        self.steps = [k for k, arc in enumerate(self.unit, start=1) if (arc >= 0).any()]
         self.units = units
         self.total = total
         logp = np.append(units.logp, NEVER)
@@ -144,7 +155,7 @@ class Lattice:
         alpha = np.full(self.total + words, NEVER)
         alpha[node] = 0
         for j, n in enumerate(self.active, start=1):
-            ways = np.stack([alpha[node[:n] + (j - k)] + self.arc[k - 1][self.first[:n] + (j - k)] for k in range(1, min(j, MAX_PIECE) + 1)])
+            ways = np.stack([alpha[node[:n] + (j - k)] + self.arc[k - 1][self.first[:n] + (j - k)] for k in self.steps if k <= j])
             best = ways.max(axis=0)
             alpha[node[:n] + j] = best + np.log(np.exp(ways - best).sum(axis=0))
         return alpha
@@ -157,7 +168,7 @@ class Lattice:
         for j in range(len(self.active) - 1, -1, -1):
             n = self.active[j]
             reach = []
-            for k in range(1, min(MAX_PIECE, len(self.active) - j) + 1):
+            for k in (k for k in self.steps if k <= len(self.active) - j):
                 fits = self.active[j + k - 1]
                 way = np.full(n, NEVER)
                 way[:fits] = self.arc[k - 1][self.first[:fits] + j] + beta[node[:fits] + j + k]
@@ -181,7 +192,7 @@ class Lattice:
         place = np.arange(self.total) + np.repeat(np.arange(len(self.size)), self.size)
         base = np.repeat(np.log(counts[self.by_size]) - whole, self.size) + alpha[place]
         out = np.zeros(len(self.units.spelled))
-        for k in range(1, MAX_PIECE + 1):
+        for k in self.steps:
             at = np.flatnonzero(self.unit[k - 1] >= 0)
             use = np.exp(base[at] + self.arc[k - 1][at] + beta[place[at] + k])
             out += np.bincount(self.unit[k - 1][at], use, minlength=len(out))
@@ -280,7 +291,8 @@ def lattice_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", voc
 
     A null or empty text is its end alone; a null key is not held out; repeated rows
     count and are scored each; with nothing to learn from, N is 0 and the first
-    probabilities stay. A word is known by its 64-bit hash.
+    probabilities stay. With rounds=0 they stay in any case: the vocabulary's own
+    scores weigh all segmentations. A word is known by its 64-bit hash.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
