@@ -44,10 +44,12 @@ def encoder(rank_file: str, pattern: str):
     return _ENCODERS[rank_file, pattern]
 
 
-#: No match of the pre-splitting pattern goes on from an ASCII letter or full stop to
-#: white space: every alternative has at most one leading space before other
-#: characters, or is white space alone and looks only ahead.
-_SAFE = re.compile(r"(?<=[A-Za-z.])(?=[ \n])")
+#: No match of the pre-splitting pattern goes on from anything but white space to white
+#: space: every alternative has at most one leading space before other characters, or
+#: is white space alone and looks only ahead. (What Python calls no white space is none
+#: to the other engine either, and these four are to both.) None goes on from letters or
+#: digits to punctuation either, which is where texts without spaces are cut.
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r])|(?<=[0-9A-Za-z\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3])(?=[,.!?;:、。，！？；：])")
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
@@ -74,22 +76,6 @@ def encode(text: str, enc) -> list[int]:
     return ids
 
 
-def bpe_encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Adds the token ids of a text column. A null or empty text has no ids.
-
-    The rank file must be at the same place on every worker, as an installed
-    package's data files are. Columns of the same name are replaced.
-    """
-    rank_file, pattern = rank_file or default_rank_file(), pattern or default_pattern()
-
-    @F.pandas_udf("array<int>")
-    def encoded(texts):
-        enc = encoder(rank_file, pattern)
-        return texts.map(lambda t: encode(t, enc) if t else [])
-
-    return docs.withColumn(ids, encoded(F.col(text)))
-
-
 def bpe_decode(docs: DataFrame, ids: str = "token_ids", out: str = "decoded", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
     """Adds the raw bytes of token ids (binary: ids need not end at a character)."""
     rank_file, pattern = rank_file or default_rank_file(), pattern or default_pattern()

@@ -28,14 +28,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _tables(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same as a written table: compressed and read by column."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark) -> None:
+    """Deletes the tables that this application has stored; for when all results that read them are written."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of a few bytes that are broadcast at most: some 20 MB as a hash table.
 BROADCAST_ROWS = 250_000
 

@@ -26,7 +26,7 @@ from .shared import stored
 #: words and of n-grams,
 SAMPLE_ROWS = 6000
 #: and at most so many rows that these have so many different words each, summed up.
-SAMPLE_WORDS = 1_000_000
+SAMPLE_WORDS = 600_000
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5, 6)
