@@ -19,6 +19,8 @@ SEVERITIES = {
     6: "Stable Bare / Rocky",
     7: "Stable Transition Zone",
 }
+# NDVI losses that are severe and moderate; NDVI of vegetation before and after, and of bare ground.
+SEVERE, MODERATE, VEGETATED, STILL_VEGETATED, BARE = -0.20, -0.10, 0.22, 0.18, 0.12
 
 
 def difference(before: Column, after: Column) -> Column:
@@ -54,7 +56,7 @@ def severity(delta: Column, before: Column, after: Column, loss: Column, gain: C
     stable = ~loss & ~gain
     ok = delta.isNotNull() & F.coalesce(valid, F.lit(False))
     state = (
-        F.when(loss & (delta < -0.20), 1).when(loss & (delta < -0.10), 2).when(loss, 3).when(gain, 4)
-        .when(stable & (before >= 0.22) & (after >= 0.18), 5).when(stable & (before < 0.12), 6).when(stable & (before >= 0.12) & (before < 0.22), 7).otherwise(0)
+        F.when(loss & (delta < SEVERE), 1).when(loss & (delta < MODERATE), 2).when(loss, 3).when(gain, 4)
+        .when(stable & (before >= VEGETATED) & (after >= STILL_VEGETATED), 5).when(stable & (before < BARE), 6).when(stable & (before >= BARE) & (before < VEGETATED), 7).otherwise(0)
     )
     return F.when(ok, state).otherwise(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Land-cover product codes and the classes they stand for.
+# Land-cover product codes and the classes they stand for, the classes' names and their colours.
 CODE_TO_CLASS = {10: 1, 20: 4, 30: 4, 40: 1, 50: 2, 60: 2, 70: 2, 80: 3, 90: 3, 95: 3, 100: 4}
 CODE_TO_BINARY = {10: 1, 20: 1, 30: 1, 40: 1, 50: 2, 60: 2, 70: 2, 80: 2, 90: 2, 95: 2, 100: 1}
 CLASS_NAMES = {0: "Unclassified", 1: "Vegetation", 2: "Bare Soil / Urban", 3: "Water / Shadow", 4: "Sparse Vegetation"}

@@ -181,11 +181,11 @@ def train(samples: DataFrame, features: tuple[str, ...], settings: ForestSetting
     return model, accuracy, cv
 
 
-def grid_search(samples: DataFrame, features: tuple[str, ...], settings: ForestSettings) -> ForestSettings:
+def grid_search(samples: DataFrame, features: tuple[str, ...], settings: ForestSettings, subsets: tuple[str, ...] = ("sqrt", "0.3", "0.4"), leaves: tuple[int, ...] = (3, 5, 10)) -> ForestSettings:
     """The feature share and leaf size of the best mean macro-F1; the first wins."""
     best, top = settings, -1.0
-    for subset in ("sqrt", "0.3", "0.4"):
-        for leaf in (3, 5, 10):
+    for subset in subsets:
+        for leaf in leaves:
             trial = replace(settings, subset=subset, min_leaf=leaf)
             score = spatial_cv(samples, features, trial)[0]
             if score > top:
@@ -321,6 +321,7 @@ def verdicts(figures: DataFrame, baseline: str = "Baseline (all 10)") -> DataFra
     """Differences of (name, f1, jaccard, change_pct) to the baseline's row and what they mean."""
     base = figures.filter(F.col("name") == baseline).select(F.col("f1").alias("_f1"), F.col("jaccard").alias("_j"), F.col("change_pct").alias("_c"))
     out = figures.crossJoin(F.broadcast(base)).withColumns({"delta_f1": F.col("f1") - F.col("_f1"), "delta_jaccard": F.col("jaccard") - F.col("_j"), "delta_change": F.col("change_pct") - F.col("_c")})
+    # The verdicts' wording and borders.
     said = F.when(F.col("name") == baseline, "BASELINE").when((F.col("delta_f1") > 0.02) | (F.col("delta_jaccard") > 0.05), "BETTER (removing helps)").when(F.col("delta_f1") < -0.02, "WORSE (removing hurts)").otherwise("NEUTRAL (±noise)")
     return out.withColumn("verdict", said).drop("_f1", "_j", "_c")
 

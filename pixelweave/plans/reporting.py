@@ -20,6 +20,7 @@ def _stack(one: DataFrame, method: str, metrics: list[tuple[str, Column, str]])
 
 
 def _slug(label: str) -> str:
+    """As display.metric_slug, of a name that is known when the query is built."""
     return label.lower().replace(" ", "_").replace("/", "_")
 
 
@@ -33,6 +34,7 @@ def long_statistics(result: ChangeResult) -> DataFrame:
     valid = next(c for c in ("magnitude", "delta", "abs_diff") if c in columns)
     share = lambda n: F.coalesce(F.try_divide(n * F.lit(100.0), F.count_if(F.col(valid).isNotNull())), F.lit(0.0))
     rounded = lambda x, n: F.round(x, n)
+    # Names and units of the metrics.
     metrics = [
         ("total_pixels", F.count("*"), "px"), ("changed_pixels", F.count_if("changed"), "px"), ("unchanged_pixels", F.count("*") - F.count_if("changed"), "px"),
         ("change_pct", rounded(share(F.count_if("changed")), 4), "%"), ("threshold", rounded(F.max("threshold"), 6), ""),

@@ -213,7 +213,7 @@ def test_grid_search_and_seasons(spark, field):
     tiny = learning.ForestSettings(trees=1, depth=2, blocks=(1, 2))
     rows = [(float(k % 2), k % 2 + 1, k % 2 * 0 + k // 30) for k in range(60)]
     samples = spark.createDataFrame(rows, "x double, label int, fold int")
-    best = learning.grid_search(samples, ("x",), tiny)
+    best = learning.grid_search(samples, ("x",), tiny, ("sqrt", "0.4"), (3,))
     assert (best.subset, best.min_leaf, best.trees) == ("sqrt", 3, 1)  # all are perfect, so the first
     seasons = learning.seasonal_comparison({"a": (pair, shape, labels), "b": (pair, shape, labels)}, tiny, 200)
     got = {r["pair"]: r for r in seasons.collect()}
