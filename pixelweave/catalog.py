@@ -231,6 +231,11 @@ def direction_class(spark, sf):
     return rows.select("r", "c", change.direction_class(angle, F.col("magnitude"), F.lit(700.0)).alias("change_type"))
 
 
+@query("mask_union", scenes.MAPS, "SELECT r, c, loss OR gain AS changed FROM maps")
+def mask_union(spark, sf):
+    return scenes.class_maps(spark, sf).select("r", "c", change.either(F.col("loss"), F.col("gain")).alias("changed"))
+
+
 @query("normalize_band", scenes.DENSE, "SELECT r, c, round((x - (SELECT min(x) FROM dense)) / (SELECT max(x) - min(x) FROM dense), 6) AS scaled FROM dense")
 def normalize_band(spark, sf):
     return grid.normalise(scenes.dense_grid(spark, sf), "x", "scaled").select("r", "c", r6(F.col("scaled"), "scaled"))
@@ -845,6 +850,32 @@ def importance_shift(spark, sf):
     return learning.importance_shift(_importances(spark, sf), "1", "2", "NO")
 
 
+_PRESENT = " AND ".join(f"({v.replace('_b', d)}) IS NOT NULL" for d in ("_b", "_a") for v in _INDEX_SQL.values())
+
+
+@query(
+    "usable_labels",
+    f"{scenes.CLEAR}, {scenes.LABELS}",
+    f"SELECT r, c, CASE WHEN wc IN (10, 40) THEN 1 WHEN wc IN (50, 60, 70) THEN 2 WHEN wc IN (80, 90, 95) THEN 3 ELSE 4 END AS label, CAST(r * 100 + c AS BIGINT) AS pixel_id FROM clear JOIN labelled USING (r, c) WHERE valid AND wc > 0 AND {_PRESENT}",
+)
+def usable_labels(spark, sf):
+    both = learning.pair_features(scenes.clear_pair(spark, sf))
+    return learning.usable_labels(both, scenes.label_map(spark, sf), classes.CODE_TO_CLASS, grid.Shape(100, 100))
+
+
+@query(
+    "forest_summary",
+    f"{scenes.MAPS}, {_matrix_sql('true')}",
+    "SELECT 'Random Forest' AS method, round(coalesce(100.0 * count_if(rf) / nullif(count_if(valid), 0), 0), 4) AS change_pct, count_if(rf) AS changed_pixels, count(*) AS total_pixels, CAST(NULL AS DOUBLE) AS threshold, "
+    + ", ".join(f"(SELECT round(row_pct, 2) FROM matrix WHERE class_before = {k} AND class_after = {k}) AS \"rf_stable_{classes.CLASS_NAMES[k].lower().replace(' ', '_')}_pct\"" for k in range(1, 5))
+    + ", 75e0 AS rf_accuracy_pct FROM maps",
+)
+def forest_summary(spark, sf):
+    """The forest's row of the comparison, of stand-in classes."""
+    maps = scenes.class_maps(spark, sf).withColumn("changed", F.col("rf"))
+    return integrated.forest_row(learning.ForestResult(maps, None, 0.75, 0.0, 0.0))
+
+
 # Without SQL: trained models and files
 
 _SMALL = learning.ForestSettings(trees=10, depth=6)
@@ -896,3 +927,13 @@ def tiled_function(spark, sf):
         return frame.assign(x=(frame.x * 2 + 1).round(6))[["r", "c", "x", "tile_id"]]
 
     return tiling.tiled(cells, 100, shape.height, 3, 4, 5, double, "r int, c int, x double, tile_id int")
+
+
+@query("tiled_pair_function", scenes.PAIR, "SELECT r, c, b04_a - b04_b AS x FROM pair")
+def tiled_pair_function(spark, sf):
+    """A function of two dates: both are columns of the frame that it gets for each tile."""
+
+    def less(frame):
+        return frame.assign(x=frame.b04_a - frame.b04_b)[["r", "c", "x", "tile_id"]]
+
+    return tiling.tiled(scenes.pair(spark, sf).select("r", "c", "b04_b", "b04_a"), 100, 100, 3, 4, 5, less, "r int, c int, x double, tile_id int")

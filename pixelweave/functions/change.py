@@ -50,6 +50,11 @@ def over(value: Column, threshold: Column) -> Column:
     return F.coalesce(value > threshold, F.lit(False))
 
 
+def either(*masks: Column) -> Column:
+    """The union of masks; a NULL mask counts as false."""
+    return reduce(lambda a, b: a | b, (F.coalesce(m, F.lit(False)) for m in masks))
+
+
 def severity(delta: Column, before: Column, after: Column, loss: Column, gain: Column, valid: Column) -> Column:
     """Eight states of a pixel, the first that holds; a NULL mask counts as false."""
     loss, gain = F.coalesce(loss, F.lit(False)), F.coalesce(gain, F.lit(False))

@@ -225,7 +225,7 @@ def _samples(chosen: DataFrame, shape: grid.Shape, features: DataFrame, names: t
     return own.withColumn("fold", spatial_block(shape, *blocks)).withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c"))
 
 
-def _labelled(features: DataFrame, labels: DataFrame, codes: dict[int, int], shape: grid.Shape) -> DataFrame:
+def usable_labels(features: DataFrame, labels: DataFrame, codes: dict[int, int], shape: grid.Shape) -> DataFrame:
     """(r, c, label, pixel_id) of the pixels that both dates have and that have a label."""
     usable = features.filter("present_b and present_a").select("r", "c").join(labels.select("r", "c", recode(F.col("wc"), codes).alias("label")), ["r", "c"])
     return usable.filter("label > 0").select("r", "c", "label", (F.col("r").cast("long") * shape.width + F.col("c")).alias("pixel_id"))
@@ -238,7 +238,7 @@ def random_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None =
     """
     both = pair_features(pair)
     if labels is not None:
-        usable = _labelled(both, labels, CODE_TO_CLASS, shape)
+        usable = usable_labels(both, labels, CODE_TO_CLASS, shape)
         guard = class_guard(usable, "label", [1, 2, 3, 4]).collect()
         active = sorted(r["class"] for r in guard if r.n >= 100)
         if not active:
@@ -263,7 +263,7 @@ def binary_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None =
     if texture:
         both = stored(with_texture(both, shape, suffixes=("_b", "_a")))
     if labels is not None:
-        usable = _labelled(both, labels, CODE_TO_BINARY, shape)
+        usable = usable_labels(both, labels, CODE_TO_BINARY, shape)
         mode = "supervised_binary"
     else:
         pixel = (F.col("r").cast("long") * shape.width + F.col("c")).alias("pixel_id")
