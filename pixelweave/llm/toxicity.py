@@ -107,8 +107,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def no_model(share: float = 0.5) -> Model:
-    """The same score for every text."""
+def no_model(share: float = 0.0) -> Model:
+    """The same score for every text, about the share given."""
+    share = min(max(share, 1e-6), 1 - 1e-6)
     return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), float(np.log(share / (1 - share))))
 
 
@@ -179,7 +180,7 @@ def fit(sample: Sample, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS
     n = len(y)
     share = (y.sum() + 1) / (n + 2)
     if y.sum() in (0, n) or not len(sample.text):
-        return no_model(share)
+        return no_model(y.sum() / max(n, 1))
     stress = np.where(y == 1, toxic_weight, 1.0) / n
     text, word, count, bag, sizes = sample.text, sample.word, sample.count, sample.bag, sample.sizes
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -287,8 +288,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Scores every document: key, held_out, score, predicted (1 if score >= threshold).
 
     A null key is never held out. Labels of a key that differ count as toxic; labels
-    that are neither 0 nor 1 are left out; without usable labels every score is the
-    prior's. Repeated rows are scored each by itself and equal texts alike.
+    that are neither 0 nor 1 are left out. Labels of one kind alone give every text
+    about that score, no usable labels about 0: nothing is known to be toxic. Repeated rows are scored each by itself and equal texts alike.
     """
     model = train(docs, labels, key, text, label, sample_rows)
     scored = score(docs, model, text, (key,))

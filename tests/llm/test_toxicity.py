@@ -139,7 +139,10 @@ def test_nulls_ties_clashes_and_empty_tables(spark):
     assert out.columns == ["doc_id", "held_out", "score", "predicted"] and len(rows) == 6
     same = {r.score for r in rows if r.doc_id in (1, None)}
     assert len(same) == 1
-    assert toxicity.toxicity(docs, labels.limit(0)).count() == 6
+    none = toxicity.toxicity(docs, labels.limit(0)).collect()
+    assert len(none) == 6 and all(r.predicted == 0 for r in none)
+    clean = toxicity.toxicity(docs, labels.filter("toxic = 0")).collect()
+    assert all(r.predicted == 0 for r in clean)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
