@@ -98,7 +98,10 @@ class Open:
 
 @dataclass
 class Page:
-    """All text blocks in page order, whether names and attributes leave each in, and subtrees as (hash, first block, end block)."""
+    """All text blocks in page order, whether names and attributes leave each in, and subtrees as (hash, first block, end block).
+
+    The last bit of a subtree's hash is free, the one before says whether it is in an article or main element.
+    """
 
     blocks: list[str] = field(default_factory=list)
     kept: list[bool] = field(default_factory=list)
@@ -181,7 +184,7 @@ def parse(source: str | None) -> Page:
             up.parts.append(f"<{own:x}>")
             inside = top.first << 32 | last
             if top.spanned != inside and top.tag not in ("html", "body", "article", "main"):
-                page.spans.append((own, top.first, last))
+                page.spans.append((own & ~3 | 2 * bool(at_tag["article"] or at_tag["main"]), top.first, last))
             up.spanned = inside
             linked = top.links >= 3 and top.link_chars > 0.6 * top.chars and (top.tag in CONTAINERS or top.tag == "p") and not at_tag["article"] and not at_tag["main"]
             if top.mark == MAYBE or linked:

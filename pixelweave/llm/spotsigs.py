@@ -201,3 +201,17 @@ def near_pairs(sets: DataFrame, key: str = "doc_id", sigs: str = "sigs", thresho
     pairs = left.join(right, ["part", "sig"]).filter("a < b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct()
     out = pairs.join(one.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return out.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("likeness")).filter(F.col("likeness") >= threshold)
+
+
+def near_links(docs: DataFrame, key: str = "doc_id", sigs: str = "sigs", threshold: float = 0.8) -> DataFrame:
+    """One row per input row: key, set_id (the least key with the same signatures) and n_links (other sets that are near it).
+
+    Copies are one set, so they make no pairs; what near_pairs gives is between sets.
+    A document without signatures, as one of no text or null ones, has the set of all such and no links.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(sigs), F.array().cast("array<long>")).alias("s"))
+    sets = rows.groupBy("s").agg(F.min("key").alias("set_id"))
+    pairs = near_pairs(sets, "set_id", "s", threshold)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    named = rows.withColumn("k", F.xxhash64("s")).join(sets.select(F.xxhash64("s").alias("k"), F.col("s").alias("same"), "set_id"), "k").filter(F.col("s") == F.col("same"))
+    return named.join(ends, "set_id", "left").select(F.col("key").alias(key), "set_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

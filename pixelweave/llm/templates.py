@@ -21,6 +21,8 @@ MIN_PAGES = 5
 MIN_SHARE = 0.25
 #: or, on hosts of any size, if it has so many characters and so many pages have it.
 LONG_CHARS, MANY_PAGES = 40, 1000
+#: In an article or main element, which says that it is content, so many pages and this share have to have it.
+INSIDE_PAGES, INSIDE_SHARE = 10, 0.5
 
 _SPAN = pa.struct([("h", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
@@ -40,7 +42,7 @@ def _spans(pages: list) -> pa.Array:
     rows = []
     for p in pages:
         upto = [0, *accumulate(map(len, p.blocks))]
-        rows += [(h & ~1 | (upto[end] - upto[first] >= LONG_CHARS), first, end) for h, first, end in p.spans]
+        rows += [(h | (upto[end] - upto[first] >= LONG_CHARS), first, end) for h, first, end in p.spans]
     columns = list(zip(*rows)) or [(), (), ()]
     flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPAN)], fields=list(_SPAN))
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p.spans) for p in pages])]), pa.int32()), flat)
@@ -111,7 +113,8 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     The subtree of every block element of the whole page is hashed. One that at
     least min_pages different pages and min_share of all different pages of a host
     have is part of the site's template and is cut out of that host's pages, as is
-    one of LONG_CHARS or more that many_pages have. Pages that are equal in all that
+    one of LONG_CHARS or more that many_pages have. What is in an article (or main) element takes
+    more: INSIDE_PAGES and INSIDE_SHARE, as articles also share lines. Pages that are equal in all that
     marks leave in count once, so that copies of an article don't make its paragraphs
     a template.
     Of what is then left, blocks go that element names, roles or, more warily, class
@@ -134,7 +137,9 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     subtrees = parsed.mapInArrow(_subtrees, "rid long, host string, ident long, h long")
     counts = subtrees.groupBy("host", "h", "ident").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     hosts = counts.filter("h = 0").select("host", F.col("n").alias("pages"))
-    enough = (F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many_pages) & (F.col("h") % 2 != 0)
+    inside, long = F.col("h").bitwiseAND(2) != 0, F.col("h").bitwiseAND(1) != 0
+    outside = (F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many_pages) & long
+    enough = F.when(inside, (F.col("n") >= INSIDE_PAGES) & (F.col("n") >= INSIDE_SHARE * F.col("pages"))).otherwise(outside)
     templates = counts.filter("h != 0").join(hosts, "host").filter(enough).select(F.xxhash64("host", "h").alias("k"))
     dropped = subtrees.select(F.xxhash64("host", "h").alias("k"), "rid", "h").join(templates, "k").groupBy("rid").agg(F.collect_set("h").alias("dropped"))
     made = parsed.join(dropped, "rid", "left").mapInArrow(_texts, f"row {kind}, text string, n_template_blocks long, n_template_chars long, n_marked_chars long")

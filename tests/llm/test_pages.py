@@ -91,7 +91,8 @@ def recounted(rows, min_pages=5, min_share=0.25, many=1000):
         for h, first, end in p.spans:
             long = sum(map(len, p.blocks[first:end])) >= 40
             n = len(having[host, h, long])
-            if host and n >= min_pages and (n >= min_share * len(different[host]) or long and n >= many):
+            outside = n >= min_share * len(different[host]) or long and n >= many
+            if host and n >= min_pages and (n >= 10 and n >= 0.5 * len(different[host]) if h & 2 else outside):
                 gone |= set(range(first, end))
         left = [b for i, (b, kept) in enumerate(zip(p.blocks, p.kept)) if kept and i not in gone]
         out[k] = (" ".join(left), len(gone), sum(len(p.blocks[i]) for i in gone), sum(len(b) for i, (b, kept) in enumerate(zip(p.blocks, p.kept)) if not kept and i not in gone))
@@ -143,6 +144,15 @@ def test_templates_recur_across_pages_of_a_host(spark):
     assert templates.main_text(pages.union(pages), carry=("page_id",)).count() == 2 * len(rows)
 
 
+def test_lines_that_articles_share_stay(spark):
+    """A line in a third of a host's articles is theirs; a box in all of them is not, nor is the line outside of them."""
+    line, box = "A saying that is often quoted on these pages.", "<div class=z><p>Get our letter.</p></div>"
+    page = lambda k: f"<body><div class=q>{line if k % 3 == 1 else k}</div><article><p>Story {k} is told.</p>{f'<p>{line}</p>' if k % 3 == 0 else ''}{box}</article></body>"
+    pages = spark.createDataFrame([(k, f"http://a.example/{k}", page(k)) for k in range(30)], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_template_chars) for r in templates.main_text(pages, carry=("page_id",)).collect()}
+    assert got == {k: (f"Story {k} is told." + f" {line}" * (k % 3 == 0), 15 + len(line) * (k % 3 == 1)) for k in range(30)}
+
+
 def test_a_template_longer_than_any_article_is_found(spark):
     template = f"<div class=x1><p>{'Terms apply to all that is here. ' * 20}</p></div><div class=x2><p>{'So does the law of the land. ' * 20}</p></div>"
     rows = [(k, f"http://a.example/{k}", f"<div>{template}<p>story {k}</p></div>") for k in range(8)]

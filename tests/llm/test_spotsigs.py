@@ -92,3 +92,17 @@ def test_pruned_pairs_equal_all_pairs(spark):
         least.setdefault(tuple(s), k)
     want = {(a, b) for s, a in least.items() for u, b in least.items() if a < b and s and u and jaccard(s, u) >= 0.8}
     assert {(r.a, r.b) for r in spotsigs.near_pairs(df).collect()} == want and want
+
+
+def test_links_of_documents_with_copies(spark):
+    rng = random.Random(9)
+    base = [sorted(rng.sample(range(5000), rng.randrange(8, 30))) for _ in range(25)]
+    sets = [s for b in base for s in (b, b, sorted(b[1:] + [rng.randrange(5000)]), b[:-1])] + [[], [], None]
+    rows = list(enumerate(sets))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.set_id, r.n_links) for r in spotsigs.near_links(spark.createDataFrame(rows, "doc_id long, sigs array<long>")).collect()}
+    different = {tuple(s or ()) for s in sets}
+    for k, s in rows:
+        same = min(j for j, t in rows if (t or []) == (s or []))
+        assert got[k] == (same, sum(1 for u in different if s and u and u != tuple(s) and jaccard(s, u) >= 0.8))
+    assert any(n > 1 for _, n in got.values())
