@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import valued
+
 BINS = 256
 
 
 def histogram(df: DataFrame, value: str, by: tuple[str, ...] = (), bins: int = BINS, positive: bool = True) -> DataFrame:
     """(by, bin, centre, n) of equal bins from least to largest value; empty bins have no row.
 
-    Bins are closed on the left, the last on both sides. positive keeps values over 0 alone.
+    Bins are closed on the left, the last on both sides. positive keeps values over 0
+    alone. NaN counts as NULL does, and infinite values are in no bin.
     """
-    x = df.filter(F.col(value).isNotNull() & ((F.col(value) > 0) if positive else F.lit(True))).select(*by, F.col(value).cast("double").alias("_x"))
+    finite = valued(F.col(value)) & (F.abs(value) < float("inf"))
+    x = df.filter(finite & ((F.col(value) > 0) if positive else F.lit(True))).select(*by, F.col(value).cast("double").alias("_x"))
     ends = x.groupBy(*by).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
     both = x.join(ends, list(by)) if by else x.crossJoin(F.broadcast(ends))
     span = F.col("_high") - F.col("_low")

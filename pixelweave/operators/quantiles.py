@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -11,29 +13,42 @@ from .storage import stored
 RANGES, FEW = 4096, 20_000
 
 
+def valued(x: Column) -> Column:
+    """Whether a measure has a value: NaN, as NULL, is a masked pixel."""
+    return x.isNotNull() & ~F.isnan(x.cast("double"))
+
+
 def percentile(df: DataFrame, value: str, q: float) -> float | None:
     """The q-th percentile of a column, interpolated as F.percentile does; None if it has no values.
 
-    A pass counts the values in equal ranges between their ends; the next one looks at
+    NaN counts as NULL does. Infinite values have their ranks and are told by their
+    number alone. A pass counts the values in equal ranges between their ends; the next one looks at
     the range that holds the rank asked for, until it has few different values. No
     task sees more than its share of the values, or of the counts of one range.
     """
-    x = stored(df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x")))
-    low, high, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    x = stored(df.filter(valued(F.col(value))).select(F.col(value).cast("double").alias("x")))
+    finite = F.abs("x") < float("inf")
+    low, high, n, under, over = x.agg(F.min(F.when(finite, F.col("x"))), F.max(F.when(finite, F.col("x"))), F.count("*"), F.count_if(F.col("x") == -float("inf")), F.count_if(F.col("x") == float("inf"))).first()
     if not n:
         return None
+    inner = x.filter(finite)
+    at = lambda rank: -math.inf if rank < under else math.inf if rank >= n - over else _ranked(inner, rank - under, low, high)
     place = q * (n - 1)
-    first = _ranked(x, int(place), low, high)
-    second = _ranked(x, min(int(place) + 1, n - 1), low, high) if place > int(place) else first
-    return first + (second - first) * (place - int(place)) if second != first else first
+    share = place - int(place)
+    first = at(int(place))
+    second = at(int(place) + 1) if share else first
+    if second == first:
+        return first
+    # the difference of values with an infinite one is not a number
+    return first + (second - first) * share if math.isfinite(second - first) else first * (1 - share) + second * share
 
 
 def _ranked(x: DataFrame, rank: int, low: float, high: float) -> float:
     """The value that so many others are before; it lies between low and high."""
     before, inside = 0, x
     while low < high:
-        step = (high - low) / RANGES
-        at = F.least(F.floor((F.col("x") - low) / step), F.lit(RANGES - 1)) if step > 0 else F.lit(0)
+        step = high / RANGES - low / RANGES
+        at = F.least(F.floor(F.col("x") / step - low / step), F.lit(RANGES - 1)) if step > 0 else F.lit(0)
         counts = inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("at").collect()
         for r in counts:
             if before + r.n > rank:

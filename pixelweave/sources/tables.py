@@ -27,13 +27,14 @@ def write_raster(pixels: DataFrame, path: str, tile: int = 1024) -> None:
 
 
 def read_raster(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None, tile: int = 1024) -> DataFrame:
-    """Pixels of a raster, or of a window (x_off, y_off, x_size, y_size) of it."""
+    """Pixels of a raster, or of a window (x_off, y_off, x_size, y_size) of it; NaN is NULL."""
     pixels = spark.read.parquet(path)
     if window:
         x, y, w, h = window
         pixels = pixels.filter(F.col("tile_row").between(y // tile, (y + h - 1) // tile) & F.col("tile_col").between(x // tile, (x + w - 1) // tile))
         pixels = pixels.filter(F.col("r").between(y, y + h - 1) & F.col("c").between(x, x + w - 1))
-    return pixels.drop("tile_row", "tile_col")
+    floats = [c for c, kind in pixels.dtypes if kind in ("double", "float")]
+    return pixels.drop("tile_row", "tile_col").withColumns({c: F.nanvl(c, F.lit(None).cast(pixels.schema[c].dataType)) for c in floats})
 
 
 def mosaic(rasters: list[DataFrame]) -> DataFrame:

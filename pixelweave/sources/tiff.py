@@ -1,13 +1,16 @@
-"""Uncompressed Float32 TIFF images of tiles, as binary columns and files."""
+"""Float32 TIFF images of tiles as binary columns."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import images as image_files
+
 #: Tag numbers of the image file directory: width, length, bits, compression, photometric, strips, samples, format, place, projection.
 _WIDTH, _LENGTH, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS, _COUNTS, _PLANAR, _FORMAT, _SCALE, _TIE, _KEYS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339, 33550, 33922, 34735
 #: Keys of the projection: a projected model, pixels as areas, and its EPSG number.
@@ -15,18 +18,22 @@ _MODEL, _RASTER, _PROJECTED = 1024, 1025, 3072
 _SIZES = {3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}
 
 
-def encode(values, geotransform: tuple[float, ...] | None = None, epsg: int | None = None) -> bytes:
+def encode(values, geotransform: tuple[float, ...] | None = None, epsg: int | None = None, strip: int | None = None, deflate: bool = False) -> bytes:
     """A little-endian image of an array of rows and columns, or of bands, rows and columns; NaN is a masked pixel.
 
-    Bands lie one after another. With epsg the image names its projection.
+    Bands lie one after another, in strips of so many rows (one if None). With epsg the
+    image names its projection.
     """
     import numpy as np
 
     data = np.ascontiguousarray(values, dtype="<f4")
     data = data[None] if data.ndim == 2 else data
     bands, height, width = data.shape
-    size = 4 * height * width
-    tags = [(_WIDTH, 4, [width]), (_LENGTH, 4, [height]), (_BITS, 3, [32] * bands), (_COMPRESSION, 3, [1]), (_PHOTOMETRIC, 3, [1]), (_OFFSETS, 4, [0] * bands), (_SAMPLES, 3, [bands]), (_ROWS, 4, [height]), (_COUNTS, 4, [size] * bands), (_PLANAR, 3, [2 if bands > 1 else 1]), (_FORMAT, 3, [3] * bands)]
+    strip = min(strip or height, height)
+    strips = [band[k : k + strip].tobytes() for band in data for k in range(0, height, strip)]
+    strips = [zlib.compress(x) for x in strips] if deflate else strips
+    counts = [len(x) for x in strips]
+    tags = [(_WIDTH, 4, [width]), (_LENGTH, 4, [height]), (_BITS, 3, [32] * bands), (_COMPRESSION, 3, [8 if deflate else 1]), (_PHOTOMETRIC, 3, [1]), (_OFFSETS, 4, [0] * len(strips)), (_SAMPLES, 3, [bands]), (_ROWS, 4, [strip]), (_COUNTS, 4, counts), (_PLANAR, 3, [2 if bands > 1 else 1]), (_FORMAT, 3, [3] * bands)]
     if geotransform:
         x, w, _, y, _, h = geotransform
         tags += [(_SCALE, 12, [w, -h, 0.0]), (_TIE, 12, [0.0, 0.0, 0.0, x, y, 0.0])]
@@ -41,42 +48,23 @@ def encode(values, geotransform: tuple[float, ...] | None = None, epsg: int | No
     at += -at % 4
     ifd, extra = b"", b""
     for tag, kind, v in tags:
-        v = [at + k * size for k in range(bands)] if tag == _OFFSETS else v
+        v = [at + sum(counts[:k]) for k in range(len(strips))] if tag == _OFFSETS else v
         raw = struct.pack(f"<{len(v)}{_SIZES[kind][0]}", *v)
         ifd += struct.pack("<HHI", tag, kind, len(v)) + (struct.pack("<I", places[tag]) if tag in places else raw.ljust(4, b"\0"))
         extra += raw + b"\0" * (len(raw) % 2) if tag in places else b""
-    return (struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + ifd + struct.pack("<I", 0) + extra).ljust(at, b"\0") + data.tobytes()
+    return (struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + ifd + struct.pack("<I", 0) + extra).ljust(at, b"\0") + b"".join(strips)
 
 
 def decode_bands(raw: bytes):
-    """The array of bands, rows and columns, the geotransform and the EPSG number (or None) of an image that encode() made."""
+    """The array of bands, rows and columns, the geotransform and the EPSG number (or None) of an image's bytes."""
     import numpy as np
 
-    if raw[:4] != struct.pack("<2sH", b"II", 42):
-        raise ValueError("not a little-endian TIFF image")
-    (at,) = struct.unpack_from("<I", raw, 4)
-    (n,) = struct.unpack_from("<H", raw, at)
-    tags = {}
-    for k in range(n):
-        tag, kind, count = struct.unpack_from("<HHI", raw, at + 2 + 12 * k)
-        code, size = _SIZES.get(kind, ("B", 1))
-        place = at + 10 + 12 * k
-        if count * size > 4:
-            (place,) = struct.unpack_from("<I", raw, place)
-        tags[tag] = struct.unpack_from(f"<{count}{code}", raw, place)
-    if tags[_COMPRESSION] != (1,) or set(tags[_BITS]) != {32} or set(tags[_FORMAT]) != {3}:
-        raise ValueError("only uncompressed 32-bit floats are read")
-    (width,), (height,) = tags[_WIDTH], tags[_LENGTH]
-    data = np.stack([np.frombuffer(raw, dtype="<f4", count=width * height, offset=o).reshape(height, width) for o in tags[_OFFSETS]])
-    place = epsg = None
-    if _SCALE in tags:
-        w, h, _ = tags[_SCALE]
-        *_, x, y, _ = tags[_TIE]
-        place = (x, w, 0.0, y, 0.0, -h)
-    if _KEYS in tags:
-        keys = tags[_KEYS]
-        epsg = next((keys[k + 3] for k in range(4, len(keys), 4) if keys[k] == _PROJECTED), None)
-    return data, place, epsg
+    read = lambda at, n: raw[at : at + n]
+    image, blocks = image_files.layout(read)
+    data = np.empty((image.bands, image.height, image.width))
+    for b in blocks:
+        data[:, b.r0 : b.r0 + b.height, b.c0 : b.c0 + b.width] = image_files.values(image, b, read, list(range(image.bands)))
+    return data, image.geotransform, image.epsg
 
 
 def decode(raw: bytes):
@@ -85,7 +73,7 @@ def decode(raw: bytes):
     return data[0], place
 
 
-def to_tiff(tiles: DataFrame, value: str | list[str], geotransform: tuple[float, ...] | None = None, epsg: int | None = None) -> DataFrame:
+def to_tiff(tiles: DataFrame, value: str | list[str], geotransform: tuple[float, ...] | None = None, epsg: int | None = None, strip: int | None = None, deflate: bool = False) -> DataFrame:
     """(tile_id, r0, c0, content): the image of each tile's pixels (tile_id, r, c, values); gaps are NaN.
 
     Several values are the image's bands. The geotransform is the whole raster's; each
@@ -104,16 +92,15 @@ def to_tiff(tiles: DataFrame, value: str | list[str], geotransform: tuple[float,
         if geotransform:
             x, w, a, y, b, h = geotransform
             own = (x + c0 * w, w, a, y + r0 * h, b, h)
-        return pd.DataFrame({"tile_id": [int(frame.tile_id.iloc[0])], "r0": [r0], "c0": [c0], "content": [encode(data, own, epsg)]})
+        return pd.DataFrame({"tile_id": [int(frame.tile_id.iloc[0])], "r0": [r0], "c0": [c0], "content": [encode(data, own, epsg, strip, deflate)]})
 
     rows = tiles.select(*(F.col(c).cast("int").alias(c) for c in ("tile_id", "r", "c")), *(F.col(v).cast("double").alias(f"v{k}") for k, v in enumerate(names)))
     return rows.groupBy("tile_id").applyInPandas(image, "tile_id int, r0 int, c0 int, content binary")
 
 
 def read_tiff(spark: SparkSession, path: str) -> DataFrame:
-    """(file, r, c, value) of image files; NaN is NULL."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return pixels_of(files.withColumnRenamed("path", "file"), ["file"])
+    """(file, r, c, value) of the first band of image files; NaN is NULL."""
+    return image_files.read_images(spark, path)
 
 
 def pixels_of(images: DataFrame, keys: list[str], bands: list[str] | None = None) -> DataFrame:
@@ -139,16 +126,5 @@ def pixels_of(images: DataFrame, keys: list[str], bands: list[str] | None = None
 
 
 def save_tiff_files(images: DataFrame, folder: str) -> None:
-    """Writes each image as tile_<id>.tif; the folder must be mounted on all executors."""
-
-    def write(rows) -> None:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            target = os.path.join(folder, f"tile_{row.tile_id}.tif")
-            with open(f"{target}.{os.getpid()}", "wb") as out:
-                out.write(bytes(row.content))
-            os.replace(f"{target}.{os.getpid()}", target)  # a task that runs twice leaves one whole file
-
-    images.select("tile_id", "content").foreachPartition(write)
+    """Writes each image as tile_<id>.tif, all or none; the folder is shared by driver and executors."""
+    image_files.write_images(images, folder)
