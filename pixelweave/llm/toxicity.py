@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .shared import stored
 SAMPLE_ROWS = 6000
 #: and at most so many rows that these have so many different words each, summed up.
 SAMPLE_WORDS = 600_000
+#: A row gives at most one part in so many of them.
+ROW_SHARE = 8
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5, 6)
@@ -223,10 +226,26 @@ def fit(sample: Sample, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS
     return Model(vectors @ (softmax[1] - softmax[0]), vectors @ look, float(base[1] - base[0]))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, counts = word_counts(batch.column(2))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), words, counts, words.value_lengths().cast(pa.int64())], names=["k", "y", "t", "words", "counts", "size"])
+def _counted(most: int):
+    """Different words of each text and how often it has them: of more than `most`, those of the least hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, counts = word_counts(batch.column(2))
+            if (pc.max(words.value_lengths()).as_py() or 0) > most:
+                words, counts = _least(words, counts, most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), words, counts, words.value_lengths().cast(pa.int64())], names=["k", "y", "t", "words", "counts", "size"])
+
+    return run
+
+
+def _least(words: pa.ListArray, counts: pa.ListArray, most: int) -> tuple[pa.ListArray, pa.ListArray]:
+    sizes = words.value_lengths().to_numpy()
+    row, flat, n = np.repeat(np.arange(len(sizes)), sizes), words.flatten().to_numpy(), counts.flatten().to_numpy()
+    order = np.lexsort((flat, row))
+    kept = order[np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < most]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(sizes, most))]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat[kept])), pa.ListArray.from_arrays(offsets, pa.array(n[kept]))
 
 
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +259,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Rows whose crc32(key as text) mod 4 is 2 are held out. Keys of the sample are
     chosen from the labels alone; a key that repeats has the text of the least hash.
-    The words are counted, and their n-grams hashed, on the executors: the driver gets
-    numbers of bounded size and no texts.
+    A row with more than sample_words / ROW_SHARE different words is known by those of the least
+    hashes, so that no row takes the sample for itself. The words are counted, and
+    their n-grams hashed, on the executors: the driver gets numbers of bounded size and
+    no texts.
     """
     usable = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)").filter(~held_out(F.col("k")))
     usable = usable.groupBy("k").agg(F.max("y").alias("y"))
@@ -249,14 +270,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "k")
     rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    counted = stored(rows.select("k", "y", "t").mapInArrow(_counted, f"k {kind}, y int, t string, words array<long>, counts array<int>, size long"))
+    counted = stored(rows.select("k", "y", "t").mapInArrow(_counted(max(1, sample_words // ROW_SHARE)), f"k {kind}, y int, t string, words array<long>, counts array<int>, size long"))
     upto = F.sum("size").over(Window.orderBy(F.xxhash64("k"), "k"))  # over sample_rows rows at most
     taken = counted.select("k", "size").select("k", upto.alias("upto")).filter(F.col("upto") <= sample_words).select("k")
     sample = counted.join(F.broadcast(taken), "k")
     found = sample.select("k", "y", "words", "counts").orderBy(F.xxhash64("k"), "k").toArrow()
     if not found.num_rows:
         return no_model()
-    known = sample.select("t").mapInArrow(_bagged, "h long, bag array<int>").groupBy("h").agg(F.first("bag").alias("bag")).toArrow()
+    wanted = sample.select(F.explode("words").alias("h")).distinct()
+    known = sample.select("t").mapInArrow(_bagged, "h long, bag array<int>").groupBy("h").agg(F.first("bag").alias("bag")).join(wanted, "h", "left_semi").toArrow()
     column = lambda table, name: table.column(name).combine_chunks()
     return fit(gathered(column(found, "words"), column(found, "counts"), column(known, "h"), column(known, "bag")), found.column("y").to_numpy(), **options)
 

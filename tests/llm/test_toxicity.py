@@ -111,6 +111,30 @@ def test_sample_is_bounded(spark, monkeypatch):
     assert len(seen[1][1]) == 7
 
 
+def test_one_long_row_does_not_take_the_sample(spark):
+    """A labelled row of more words than the whole sample may have, before all others in order, at the default path."""
+    rng = np.random.default_rng(9)
+    plain = [f"{a}{b}" for a in ("ta", "ko", "mi", "re", "lu") for b in ("lan", "ber", "dos", "nik")]
+    keys = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    first = spark.createDataFrame([(k,) for k in keys], "k long").orderBy(F.xxhash64("k")).first().k
+    texts = {k: " ".join([*rng.choice(plain, 20), *(["dreadful", "horrible"] if k % 3 == 0 else [])]) for k in keys}
+    rows = [(k, t) for k, t in texts.items() if k != first]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in keys], "doc_id long, toxic int")
+    long = " ".join(f"w{i}" for i in range(toxicity.SAMPLE_WORDS + 10))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    without = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    with_it = {r.doc_id: r.score for r in toxicity.toxicity(docs.union(spark.createDataFrame([(first, long)], docs.schema)), labels).collect()}
+    assert len(with_it) == len(without) + 1
+    assert all((with_it[k] >= 0.3) == (without[k] >= 0.3) == (k % 3 == 0) and abs(with_it[k] - without[k]) < 0.2 for k in without)
+
+
+def test_the_part_of_a_long_row_is_of_its_least_hashes():
+    words, counts = toxicity.word_counts(pa.array(["a b c d e f a a", None, "x y", " ".join(map(str, range(50)))], pa.string()))
+    less, of = toxicity._least(words, counts, 4)
+    for old, n, new, m in zip(words.to_pylist(), counts.to_pylist(), less.to_pylist(), of.to_pylist()):
+        assert list(zip(new, m)) == sorted(zip(old, n))[:4]
+
+
 def test_long_texts_do_not_drown_their_words():
     rng = np.random.default_rng(6)
     plain = [f"{a}{b}{c}" for a in ("ta", "ko", "mi", "re", "lu") for b in ("lan", "ber", "dos", "nik") for c in ("", "a", "us", "el")]
