@@ -55,14 +55,24 @@ INNER_CLASSES = frozenset(
     share sharing share-buttons social-share social-links related related-posts related-articles recommended
     comment comments comment-list commentlist comment-section disqus disqus_thread respond cookie-notice cookie-banner""".split()
 )
+#: Last words of a class or id that mark what readers wrote, and of one that marks an article element that names another page's.
+COMMENT_WORDS = frozenset("comment comments commentlist replies".split())
+CARD_WORDS = frozenset("card cards tile tiles teaser teasers preview previews snippet related promo sponsored ad advert".split())
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
 
 
-#: What an element's name and attributes say: nothing, that it is not the article, or that a class or id suggests so.
-PLAIN, OUT, MAYBE = 0, 1, 2
+#: What an element's name and attributes say: nothing, that it is not the article, that a
+#: class or id suggests so, or that readers wrote it.
+PLAIN, OUT, MAYBE, COMMENT = 0, 1, 2, 3
+
+
+def _last_words(named: str) -> set[str]:
+    """The last word of each class or id: of "user-comments" it is "comments"."""
+    split = (_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) for x in named.split())
+    return {words[-1] for words in split if words}
 
 
 def _mark(tag: str, raw: str, in_article: bool) -> int:
@@ -78,6 +88,12 @@ def _mark(tag: str, raw: str, in_article: bool) -> int:
     if found.get("role", "").lower() in BOILERPLATE_ROLES:
         return OUT
     named = f"{found.get('class', '')} {found.get('id', '')}"
+    if tag in CONTAINERS or tag == "article":
+        last = _last_words(named)
+        if not COMMENT_WORDS.isdisjoint(last):
+            return COMMENT
+        if tag == "article" and not CARD_WORDS.isdisjoint(last):
+            return MAYBE
     if in_article:
         return MAYBE if (tag in CONTAINERS or tag == "article") and not INNER_CLASSES.isdisjoint(named.lower().split()) else PLAIN
     words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
@@ -122,8 +138,12 @@ def parse(source: str | None) -> Page:
     proportion to the page, however deep its elements are nested.
 
     A block is left out if it is in a navigation, aside, footer, form, hidden element
-    or one of such a role, or in a header that is not an article's; or if the page has an article element
-    (else a main element) with text elsewhere. Two signs are weaker: a class or id
+    or one of such a role, or in a header that is not an article's; if a class or id of a container
+    or article element ends in a word for readers' comments, unless it holds the article or all there is; or if it is
+    not in the page's root. That is the main element, or the articles in it if they have half of its
+    text or more; or the articles of the page, if there is no main element with text or one
+    of them outside of it has more. Articles that readers wrote, or whose class says that they
+    are cards of other pages, are none. Two signs are weaker: a class or id
     word (in an article, a whole class of a container, but not of a paragraph) and,
     outside of both elements, a list or container of three links or more that are over 60 % of its
     text. They leave a subtree out that has at most half of the page's text left
@@ -138,10 +158,11 @@ def parse(source: str | None) -> Page:
     at_tag: dict[str, list[int]] = defaultdict(list)  # depths of open elements of a name
     scopes, walls, lists = [-1], [-1], [-1]
     parts: list[str] = []
-    levels: list[int] = []
+    levels: list[tuple[int, bool]] = []  # of each block: number of the article it is in, and whether in main
     out: list[bool] = []
     maybe: list[tuple[int, int]] = []
-    silent = dropped = 0
+    comments: list[tuple[int, int]] = []
+    silent = dropped = articles = article = 0
 
     def flush() -> None:
         if parts:
@@ -149,7 +170,7 @@ def parse(source: str | None) -> Page:
             parts.clear()
             if text:
                 blocks.append(text)
-                levels.append(2 if at_tag["article"] else 1 if at_tag["main"] else 0)
+                levels.append((article if articles else 0, bool(at_tag["main"])))
                 out.append(dropped > 0)
                 outer[-1].parts.append(text)
                 outer[-1].chars += len(text)
@@ -161,7 +182,7 @@ def parse(source: str | None) -> Page:
                 outer[-1].link_chars += len(text)
 
     def close() -> None:
-        nonlocal silent, dropped
+        nonlocal silent, dropped, articles
         top, depth = stack[-1], len(stack) - 1
         block = top.tag not in INLINE
         if block:
@@ -177,6 +198,7 @@ def parse(source: str | None) -> Page:
         if not block:
             return
         dropped -= top.mark == OUT
+        articles -= top.tag == "article" and top.mark == PLAIN
         outer.pop()
         up, last = outer[-1], len(blocks)
         if last > top.first:
@@ -189,6 +211,8 @@ def parse(source: str | None) -> Page:
             linked = top.links >= 3 and top.link_chars > 0.6 * top.chars and (top.tag in CONTAINERS or top.tag == "p") and not at_tag["article"] and not at_tag["main"]
             if top.mark == MAYBE or linked:
                 maybe.append((top.first, last))
+            if top.mark == COMMENT:
+                comments.append((top.first, last))
         up.chars += top.chars
         up.link_chars += top.link_chars
         up.links += top.links
@@ -241,8 +265,8 @@ def parse(source: str | None) -> Page:
             if at_tag["p"] and at_tag["p"][-1] > scopes[-1]:
                 close_to(at_tag["p"][-1])
             flush()
-        mark = _mark(tag, raw, bool(at_tag["article"])) if block or raw else PLAIN
-        if mark == MAYBE and not block:
+        mark = _mark(tag, raw, articles > 0) if block or raw else PLAIN
+        if mark in (MAYBE, COMMENT) and not block:
             mark = PLAIN
         top = Open(tag, len(blocks), mark)
         for marks, names in ((scopes, SCOPES), (walls, WALLS), (lists, LISTS)):
@@ -253,25 +277,55 @@ def parse(source: str | None) -> Page:
         if block:
             outer.append(top)
             dropped += mark == OUT
+            if tag == "article" and mark == PLAIN:
+                article += not articles
+                articles += 1
         silent += tag in NOT_TEXT or (mark == OUT and not block)
     flush()
     close_to(0)
-    page.kept = _kept(blocks, levels, out, maybe)
+    page.kept = _kept(blocks, levels, out, maybe, comments)
     return page
 
 
-def _kept(blocks: list[str], levels: list[int], out: list[bool], maybe: list[tuple[int, int]]) -> list[bool]:
+def _covered(n: int, ranges: list[tuple[int, int]]) -> list[bool]:
+    depth = [0] * (n + 1)
+    for first, end in ranges:
+        depth[first] += 1
+        depth[end] -= 1
+    return [d > 0 for d in accumulate(depth[:n])]
+
+
+def _in_root(sizes: list[int], levels: list[tuple[int, bool]]) -> list[bool]:
+    """Which blocks are in the element that has the page's text; sizes are 0 for blocks that are left out."""
+    main = sum(n for n, (_, inside) in zip(sizes, levels) if inside)
+    within = sum(n for n, (article, inside) in zip(sizes, levels) if inside and article)
+    apart: dict[int, int] = defaultdict(int)
+    for n, (article, inside) in zip(sizes, levels):
+        if article and not inside:
+            apart[article] += n
+    if max(apart.values(), default=0) > main:
+        return [article > 0 for article, _ in levels]
+    if main:
+        return [inside and (article > 0 or 2 * within < main) for article, inside in levels]
+    return [True] * len(levels)
+
+
+def _kept(blocks: list[str], levels: list[tuple[int, bool]], out: list[bool], maybe: list[tuple[int, int]], comments: list[tuple[int, int]]) -> list[bool]:
     """Which blocks the marks leave in."""
-    level = max((x for x, gone in zip(levels, out) if not gone), default=0)
-    kept = [not gone and x == level for x, gone in zip(levels, out)]
+    sizes = [0 if gone else len(b) for b, gone in zip(blocks, out)]
+    # what holds an article or the main element is not what readers wrote about it, unless it is the smaller part of the page
+    upto, articles, mains = ([0, *accumulate(x)] for x in (sizes, (a > 0 for a, _ in levels), (m for _, m in levels)))
+    holds = lambda first, end: any(not x and of[end] > of[first] for x, of in zip(levels[first], (articles, mains)))
+    told = [(first, end) for first, end in comments if not holds(first, end) or 2 * (upto[end] - upto[first]) <= upto[-1]]
+    theirs = _covered(len(blocks), told)
+    if any(n and not t for n, t in zip(sizes, theirs)):
+        sizes = [0 if t else n for n, t in zip(sizes, theirs)]
+    root = _in_root(sizes, levels)
+    kept = [n > 0 and inside for n, inside in zip(sizes, root)]
     if maybe:
-        upto = [0, *accumulate(len(b) if k else 0 for b, k in zip(blocks, kept))]
-        depth = [0] * (len(blocks) + 1)
-        for first, end in maybe:
-            if 2 * (upto[end] - upto[first]) <= upto[-1]:
-                depth[first] += 1
-                depth[end] -= 1
-        left = [k and not d for k, d in zip(kept, accumulate(depth))]
+        upto = [0, *accumulate(n if k else 0 for n, k in zip(sizes, kept))]
+        beside = _covered(len(blocks), [(first, end) for first, end in maybe if 2 * (upto[end] - upto[first]) <= upto[-1]])
+        left = [k and not b for k, b in zip(kept, beside)]
         if any(left):
             return left
     return kept

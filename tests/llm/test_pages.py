@@ -11,6 +11,7 @@ from collections import defaultdict
 from datetime import datetime, timezone
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from pixelweave.llm import htmlblocks, queries, templates, warc
@@ -275,3 +276,39 @@ def test_ranges_of_large_files_have_each_record_once(tmp_path):
         for step in (len(data), 70_001, 5003):
             got = [x for k in range(0, len(data), step) for x in warc.records_of(f"file://{tmp_path}/{name}", k, min(len(data), k + step))]
             assert [(int(h["WARC-Record-ID"]), b) for h, b in got] == list(enumerate(blocks)), (name, step)
+
+
+STORY = "<p>The town hall was sold to a baker.</p><p>He will keep the clock.</p>"
+TOLD = "The town hall was sold to a baker. He will keep the clock."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main>{STORY}</main><section><article class='comment'>First!</article><article class='comment'>me too, and much more than the story itself has to say about anything at all, really</article></section>",
+        f"<div id=post>{STORY}</div><article class='comment'>First!</article>",
+        f"<main>{STORY}</main><section><article class='card'><h3>Teaser one</h3></article><article class='card'><h3>Teaser two</h3></article></section>",
+        f"<main>{STORY}</main><section><article><h3>Teaser one</h3></article><article><h3>Teaser two</h3></article></section>",
+        f"<article>{STORY}<section class='comments'><p>{'so many words ' * 30}</p></section></article>",
+        f"<article>{STORY}<div class='user-comments'><p>I saw it</p></div></article>",
+        f"<article>{STORY}</article><div class='userComments'><p>I saw it</p></div>",
+        f"<article>{STORY}<section id='reader-comments'><article><p>I saw it</p></article></section></article>",
+        f"<article>{STORY}</article><section class='comments'><article><p>I saw it</p></article></section>",
+        f"<main><article class='post'>{STORY}</article><article class='teaser-card'>Teaser</article></main>",
+        f"<main class='with-comments'>{STORY}</main>",
+        f"<div class='open-comments'><article>{STORY}</article></div>",
+        f"<div id='comments'>{STORY}</div>",
+        f"<main><p>Home</p></main><article>{STORY}</article>",
+        f"<main><article>{STORY}</article></main><article class='card'>Teaser</article>",
+    ],
+)
+def test_comments_and_cards_are_not_the_article(page):
+    p = htmlblocks.parse(f"<html><body>{page}</body></html>")
+    assert " ".join(b for b, kept in zip(p.blocks, p.kept) if kept) == TOLD
+
+
+def test_many_nested_comments_take_linear_time():
+    page = f"<article>{STORY}</article>" + "<div class='comment'><p>x</p>" * 30_000
+    began = time.perf_counter()
+    p = htmlblocks.parse(page)
+    assert " ".join(b for b, kept in zip(p.blocks, p.kept) if kept) == TOLD and time.perf_counter() - began < 5
