@@ -192,9 +192,14 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def row_struct(carry: tuple[str, ...]) -> Column:
     """The carried columns as one struct of own names, so that no name can clash."""
-    return F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)), F.lit(0).alias("_")).alias("row")
+    return F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(carry)), F.lit(0).alias("_")).alias("row")
 
 
 def unpack_row(made: DataFrame, carry: tuple[str, ...], *more: Column) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import row_struct, unpack_row
+from .arrowtext import named, row_struct, unpack_row
 
 #: Texts over so many characters are encoded in pieces cut at safe boundaries.
 PIECE_CHARS = 8192
@@ -143,4 +143,4 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", ids: str = "token_ids",
     rows = docs.select(row_struct(carry), F.col(text).cast("string").alias("text"))
     made = rows.mapInArrow(both, f"row {rows.schema['row'].dataType.simpleString()}, text string, ids array<int>")
     done = unpack_row(made, carry, F.col("text").alias(text), F.col("ids").alias(ids), F.size("ids").cast("long").alias("n_tokens"))
-    return done.select(*names, ids, "n_tokens")
+    return done.select(*map(named, names), named(ids), "n_tokens")

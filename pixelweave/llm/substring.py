@@ -8,8 +8,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .arrowtext import NON_SPACE, RollingHash, blocks, covered, mix, row_struct, sliding, unpack_row, window_is_inside
 from .shared import distinct_hash, stored
@@ -150,6 +151,20 @@ def _levels(window: int) -> list[int]:
     return lengths if len(lengths) > 1 else [max(1, window // 2), window]
 
 
+def _ordered(docs: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """The rows and a long that orders them by key, null last.
+
+    Keys that are no whole numbers are sorted by ranges and numbered: numbers of later
+    partitions are larger.
+    """
+    if isinstance(docs.schema[key].dataType, IntegralType):
+        return docs, F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
+    at, of = f"_order_of_{key}", f"_ordered_{key}"
+    ranks = stored(docs.select(F.col(key).alias(of)).distinct().orderBy(of).select(of, F.monotonically_increasing_id().alias(at)))
+    ranked = docs.join(ranks, F.col(key).eqNullSafe(F.col(of)), "left").drop(of)
+    return ranked, F.when(F.col(key).isNull(), _LAST).otherwise(F.col(at))
+
+
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes word windows that also start in a document of a smaller key.
 
@@ -173,13 +188,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     No level over the window is needed to remove words, as a longer repeat is a run of
     repeated windows; repeat_levels goes on to the end.
 
-    Null texts have no words. A null key counts as larger than any other. Rows that
+    Null texts have no words. Keys are of any type that has an order; those that are no
+    whole numbers are numbered in that order first. A null key counts as larger than any other. Rows that
     repeat a key are one document for the comparison: they take nothing from each
     other; each row is returned. Rows of one key and text are alike. An empty table gives an empty result.
     """
     lengths = _levels(window)
     half = lengths[-2]
-    order = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
+    docs, order = _ordered(docs, key)
     body = F.coalesce(F.col(text), F.lit(""))
     t, rid = distinct_hash(docs, body).alias("t"), distinct_hash(docs, F.col(key).isNull(), F.col(key), body).alias("rid")
     base = docs.select(rid, t, order.alias("ord"), body.alias("text"), row_struct((key, *carry))).repartition("rid")
@@ -252,7 +268,7 @@ def repeat_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     key each have theirs.
     """
     half = window // 2
-    order = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
+    docs, order = _ordered(docs, key)
     body = F.coalesce(F.col(text), F.lit(""))
     t, rid = distinct_hash(docs, body).alias("t"), distinct_hash(docs, F.col(key).isNull(), F.col(key), body).alias("rid")
     base = docs.select(rid, t, order.alias("ord"), body.alias("text"), row_struct((key,))).repartition("rid")

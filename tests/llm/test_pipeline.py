@@ -2,6 +2,9 @@
 import random
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pixelweave.llm import toxicity
 
@@ -105,3 +108,31 @@ def test_near_duplicates_keep_one_row_of_each_class(spark):
         least = min((n, key) for n, key, _ in members[root(t or "")])
         assert (k is None, k or 0) == least and any(r == (k, t, x) for r in rows)
     assert len({root(t or "") for _, t, _ in out[0]}) == len(members)
+
+
+CLASHING = ("_rid", "_late", "_score", "kept_text", "n_removed", "n_words", "rid", "row", "score", "c0", "key", "t", "ord", "_0", "late", "x.y", "n_hit", "contaminated")
+
+
+@pytest.mark.parametrize("string_keys", [False, True])
+def test_stages_carry_columns_of_any_name_and_type(spark, tmp_path, string_keys):
+    """Maps, nested and clashing columns come out of each stage as they went in; keys may be strings."""
+    passage, mine, yours = (" ".join(f"{x}{i}" for i in range(60)) for x in "pmy")
+    texts = ["alone one", "copied text of five words", "copied text of five words", f"{mine} {passage}", f"{yours} {passage} end", None, "", "bench one two three four five six seven eight nine ten", "same row", "same row"]
+    keys = [f"k{k:02}" if string_keys else k for k in range(len(texts))]
+    keys[-1] = keys[-2]
+    docs = spark.createDataFrame(list(zip(keys, texts)), f"doc_id {'string' if string_keys else 'long'}, text string")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHING})
+    docs = docs.withColumns({"m": F.create_map(F.lit("k"), F.col("doc_id")), "s": F.struct(F.create_map(F.lit(1), F.array(F.lit("v"))).alias("q"))})
+    spark.createDataFrame([(keys[0], 0, 0), (keys[1], 0, 0)], f"doc_id {'string' if string_keys else 'long'}, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "bench one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {"toxicity": set(range(10)), "near_duplicates": {0, 1, 3, 4, 5, 7, 8}, "substring_dedup": {0, 1, 3, 4, 5, 7, 8}, "decontamination": {0, 1, 3, 4, 5, 8}, "byte_bpe": {0, 1, 3, 4, 5, 8}}
+    was = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        names = docs.columns
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[: len(names)] == names
+        rows = docs.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(keys[k] for k in left[name])
+        for r in rows:
+            assert all(r[c] == was[r.doc_id][c] for c in (*CLASHING, "m", "s"))
+    assert {r.doc_id: r.text for r in rows}[keys[4]] == f"{yours} end"
