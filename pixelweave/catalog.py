@@ -13,8 +13,8 @@ from .operators import crosstab, focal, grid, sampling, tiling
 from .operators.otsu import histogram, otsu
 from .operators.quantiles import percentile
 from .operators.storage import scratch, stored
-from .plans import consensus, integrated, learning, methods, reporting
-from .sources import ascii_grid, tables, tiff
+from .plans import consensus, forests, integrated, learning, methods, reporting
+from .sources import ascii_grid, images, tables, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -803,28 +803,30 @@ def spatial_folds(spark, sf):
     return cells.select("r", "c", sampling.spatial_block(shape).alias("fold"))
 
 
-#: Made-up figures, one for each verdict and its borders.
-_FIGURES = [("Baseline (all 10)", 0.5, 0.25, 30.0), ("No NDWI", 0.49, 0.24, 29.0), ("No EVI", 0.53, 0.25, 28.0), ("No SAVI", 0.5, 0.375, 31.0), ("Veg indices only", 0.46, 0.28, 34.0)]
-
-
 @query(
     "ablation_verdict",
-    f"f(name, f1, jaccard, change_pct) AS (VALUES {', '.join(str((n, *map(float, x))) for n, *x in _FIGURES)}), d AS (SELECT f.*, f.f1 - b.f1 AS d1, f.jaccard - b.jaccard AS dj, f.change_pct - b.change_pct AS dc FROM f, f b WHERE b.name = 'Baseline (all 10)')",
+    "f AS (SELECT CASE l_linenumber WHEN 1 THEN 'Baseline (all 10)' ELSE 'No ' || l_linenumber END AS name, sum(l_partkey) % 100 / 1000e0 AS f1, sum(l_suppkey) % 100 / 500e0 AS jaccard, sum(l_orderkey) % 1000 / 10e0 AS change_pct FROM lineitem GROUP BY l_linenumber), d AS (SELECT f.*, f.f1 - b.f1 AS d1, f.jaccard - b.jaccard AS dj, f.change_pct - b.change_pct AS dc FROM f, f b WHERE b.name = 'Baseline (all 10)')",
     "SELECT name, printf('%+.4f', d1) AS delta_f1, printf('%+.4f', dj) AS delta_jaccard, printf('%+.2f', dc) AS delta_change, CASE WHEN name = 'Baseline (all 10)' THEN 'BASELINE' WHEN d1 > 0.02 OR dj > 0.05 THEN 'BETTER (removing helps)' WHEN d1 < -0.02 THEN 'WORSE (removing hurts)' ELSE 'NEUTRAL (±noise)' END AS verdict FROM d",
 )
 def ablation_verdict(spark, sf):
-    figures = spark.createDataFrame(_FIGURES, "name string, f1 double, jaccard double, change_pct double")
-    return learning.verdicts(figures).select("name", display.signed(F.col("delta_f1")).alias("delta_f1"), display.signed(F.col("delta_jaccard")).alias("delta_jaccard"), display.signed(F.col("delta_change"), 2).alias("delta_change"), "verdict")
+    """Figures of the experiments by arithmetic over the lines, a line number each."""
+    name = F.when(F.col("l_linenumber") == 1, "Baseline (all 10)").otherwise(F.concat(F.lit("No "), F.col("l_linenumber").cast("string")))
+    share = lambda key, n, of, out: (F.sum(key) % n / F.lit(float(of))).alias(out)
+    figures = scenes.table(spark, sf, "lineitem").groupBy("l_linenumber", name.alias("name")).agg(share("l_partkey", 100, 1000, "f1"), share("l_suppkey", 100, 500, "jaccard"), share("l_orderkey", 1000, 10, "change_pct"))
+    return learning.verdicts(figures.drop("l_linenumber")).select("name", display.signed(F.col("delta_f1")).alias("delta_f1"), display.signed(F.col("delta_jaccard")).alias("delta_jaccard"), display.signed(F.col("delta_change"), 2).alias("delta_change"), "verdict")
 
 
 @query(
     "experiment_dedup",
-    "e(ordinal, name, features) AS (VALUES " + ", ".join(f"({k}, '{n}', {list(f)})" for k, (n, f) in enumerate(learning.EXPERIMENTS.items())) + ")",
-    "SELECT ordinal, name, CAST(len(features) AS INT) AS n_features FROM e QUALIFY row_number() OVER (PARTITION BY list_sort(features) ORDER BY ordinal) = 1",
+    f"e AS (SELECT p_partkey AS ordinal, p_name AS name, list_transform([p_size % 10, p_size * 3 % 10, p_partkey % 7], lambda k: list_extract({list(indices.FEATURES)}, CAST(k AS INT) + 1)) AS features FROM part)",
+    "SELECT ordinal, name, CAST(len(features) AS INT) AS n_features, array_to_string(list_sort(features), ',') AS feature_set FROM e QUALIFY row_number() OVER (PARTITION BY list_sort(features) ORDER BY ordinal) = 1",
 )
 def experiment_dedup(spark, sf):
-    listed = spark.createDataFrame([(k, n, list(f)) for k, (n, f) in enumerate(learning.EXPERIMENTS.items())], "ordinal int, name string, features array<string>")
-    return learning.distinct_experiments(listed).select("ordinal", "name", F.size("features").alias("n_features"))
+    """An experiment of three features for each part."""
+    names = F.array(*map(F.lit, indices.FEATURES))
+    picks = F.array(F.col("p_size") % 10, F.col("p_size") * 3 % 10, F.col("p_partkey").cast("int") % 7)
+    listed = scenes.table(spark, sf, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"), F.transform(picks, lambda k: F.get(names, k)).alias("features"))
+    return learning.distinct_experiments(listed).select("ordinal", "name", F.size("features").alias("n_features"), F.array_join(F.array_sort("features"), ",").alias("feature_set"))
 
 
 _IMPORTANCES = "figures AS (SELECT CAST(l_linenumber AS VARCHAR) AS pair, l_returnflag || l_linestatus AS feature, CAST(count(*) AS DOUBLE) AS importance FROM lineitem GROUP BY ALL)"
@@ -876,6 +878,77 @@ def forest_summary(spark, sf):
     return integrated.forest_row(learning.ForestResult(maps, None, 0.75, 0.0, 0.0))
 
 
+# Forests as tables
+
+_BASE = {"b02": (300, 1000), "b03": (400, 1200), "b04": (500, 1500), "b08": (2000, 2000)}
+_PARTS_FOREST = f"""sums AS (SELECT CAST(p_partkey // 15 % 20 AS INT) AS tree, CAST(p_partkey % 15 AS INT) AS node, sum(p_size) AS s, sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS cents FROM part GROUP BY ALL),
+nodes AS (SELECT tree, node, CAST(s % 4 AS INT) AS feature, 1 + s % 4 AS class, CASE s % 4 {' '.join(f'WHEN {k} THEN {low} + cents % {span}' for k, (low, span) in enumerate(_BASE.values()))} END AS split FROM sums QUALIFY count(*) OVER (PARTITION BY tree) = 15),
+px AS (SELECT r, c, [b02_b, b03_b, b04_b, b08_b] AS x FROM clear WHERE valid),
+at0 AS (SELECT r, c, x, tree, 0 AS node FROM px, (SELECT DISTINCT tree FROM nodes)),
+{', '.join(f'at{k + 1} AS (SELECT r, c, x, tree, 2 * node + CASE WHEN x[feature + 1] <= split THEN 1 ELSE 2 END AS node FROM at{k} JOIN nodes USING (tree, node))' for k in range(3))},
+voted AS (SELECT r, c, tree, class FROM at3 JOIN nodes USING (tree, node))"""
+_TALLY = ", ".join(f"count_if(class = {k}) AS v{k}" for k in range(1, 5))
+_FIRST = f"CASE {' '.join(f'WHEN v{k} = greatest(v1, v2, v3, v4) THEN {k}' for k in range(1, 5))} END"
+
+
+def parts_forest(spark, sf) -> forests.Forest:
+    """A forest whose nodes are sums over the parts: trees of three levels, a class at each leaf."""
+    sums = scenes.table(spark, sf, "part").groupBy((F.expr("p_partkey div 15") % 20).cast("int").alias("tree"), (F.col("p_partkey") % 15).cast("int").alias("node")).agg(F.sum("p_size").alias("s"), F.sum(F.round(F.col("p_retailprice") * 100).cast("long")).alias("cents"))
+    whole = sums.groupBy("tree").agg(F.count("*").alias("n")).filter("n = 15").select("tree")
+    k, leaf = F.col("s") % 4, F.col("node") >= 7
+    split = F.lit(None)
+    for i, (low, span) in enumerate(_BASE.values()):
+        split = F.when(k == i, low + F.col("cents") % span).otherwise(split)
+    side = lambda n: F.when(leaf, F.col("node")).otherwise(2 * F.col("node") + n).cast("int")
+    shares = F.transform(F.array(*map(F.lit, range(4))), lambda j: (j == k).cast("double"))
+    nodes = sums.join(whole, "tree").select((F.col("tree") % 5).alias("bag"), "tree", "node", k.cast("int").alias("feature"), split.cast("double").alias("split"), side(1).alias("left"), side(2).alias("right"), shares.alias("shares"))
+    return forests.Forest(nodes, tuple(f"{b}_b" for b in _BASE), (1, 2, 3, 4))
+
+
+@query(
+    "rf_apply",
+    f"{scenes.CLEAR}, {_PARTS_FOREST}, tally AS (SELECT r, c, {_TALLY} FROM voted GROUP BY r, c)",
+    f"SELECT r, c, CAST(coalesce({_FIRST}, 0) AS INT) AS class, coalesce(round(greatest(v1, v2, v3, v4) / CAST(v1 + v2 + v3 + v4 AS DOUBLE), 6), 0) AS conf FROM clear LEFT JOIN tally USING (r, c)",
+)
+def rf_apply(spark, sf):
+    """A stored forest over all pixels of the first date."""
+    path = scratch(spark)
+    forests.save_forest(parts_forest(spark, sf), path)
+    found = forests.apply_forest(forests.load_forest(spark, path), scenes.clear_pair(spark, sf), present=F.col("valid"))
+    return found.select("r", "c", "class", r6(F.col("conf"), "conf"))
+
+
+_DRAWN = f"""drawn AS (SELECT r, c, bag, {' + '.join(f'CAST(u >= {limit!r} AS INT)' for limit in forests.draw_limits())} AS draws FROM (SELECT r, c, bag, CAST('0x' || substr(md5('42:' || bag || ':' || (r * 100 + c)), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM px, (SELECT unnest(range(5)) AS bag)))"""
+
+
+@query(
+    "rf_oob_votes",
+    f"{scenes.CLEAR}, {_PARTS_FOREST}, {_DRAWN}, tally AS (SELECT v.r, v.c, {_TALLY} FROM voted v JOIN drawn d ON v.r = d.r AND v.c = d.c AND v.tree % 5 = d.bag WHERE draws = 0 GROUP BY v.r, v.c), bags AS (SELECT r, c, count_if(draws = 0) AS n_out, sum(draws) AS draws FROM drawn GROUP BY r, c)",
+    f"SELECT r, c, CAST(n_out AS INT) AS n_out, CAST(draws AS INT) AS draws, coalesce(v1, 0) AS v1, coalesce(v2, 0) AS v2, coalesce(v3, 0) AS v3, coalesce(v4, 0) AS v4, CAST({_FIRST} AS INT) AS oob_class FROM bags LEFT JOIN tally USING (r, c)",
+)
+def rf_oob_votes(spark, sf):
+    """Votes of the trees whose bag left a pixel out, and how often the bags have it."""
+    pixels = scenes.clear_pair(spark, sf).filter("valid").withColumn("pixel_id", F.col("r").cast("long") * 100 + F.col("c"))
+    found = forests.out_of_bag(parts_forest(spark, sf), pixels, 5, pixel=F.col("pixel_id"))
+    whole = F.lit(0)
+    for bag in range(5):
+        whole = whole + forests.draws(bag, F.col("pixel_id"))
+    return found.select("r", "c", "n_out", whole.alias("draws"), *(F.get("oob_votes", F.lit(k)).cast("long").alias(f"v{k + 1}") for k in range(4)), "oob_class")
+
+
+# Images
+
+
+@query("raster_file_window", scenes.DENSE, "SELECT r, c, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM dense WHERE r BETWEEN 5 AND 64 AND c BETWEEN 30 AND 79")
+def raster_file_window(spark, sf):
+    """A folder of deflated images that a job has written; a window of it reads the strips it needs."""
+    cells, shape = _event_grid(spark, sf)
+    folder = scratch(spark)
+    made = tiff.to_tiff(tiling.in_tiles(cells, 100, shape.height, 3, max(1, shape.height // 100), 0), "x", (500000.0, 10.0, 0.0, 3900000.0, 0.0, -10.0), 32631, strip=5, deflate=True)
+    images.write_images(made, folder)
+    return images.read_images(spark, folder, {"x": 1}, window=(30, 5, 50, 60), origin=(500000.0, 3900000.0)).drop("file")
+
+
 # Without SQL: trained models and files
 
 _SMALL = learning.ForestSettings(trees=10, depth=6)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +20,7 @@ from ..operators.crosstab import jaccard, macro_f1, transitions
 from ..operators.quantiles import percentile
 from ..operators.sampling import balanced_binary, class_guard, order_key, spatial_block, stratified_pair
 from ..operators.storage import stored
+from .forests import bagged_forest, out_of_bag_accuracy
 
 # The ablation's experiments and their features.
 EXPERIMENTS = {
@@ -44,6 +46,8 @@ class ForestSettings:
     seed: int = 42
     #: Blocks of the image, by rows and columns, that cross-validation leaves out in turn.
     blocks: tuple[int, int] = (4, 4)
+    #: Bags that a forest of the same settings is fitted on for its out-of-bag accuracy; 0 for none.
+    bags: int = 0
 
 
 @dataclass
@@ -57,6 +61,8 @@ class ForestResult:
     cv_std: float
     importances: list[tuple[str, float]] = field(default_factory=list)
     mode: str = "supervised"
+    #: Out-of-bag accuracy, if bags were asked for.
+    oob: float | None = None
 
 
 def date_features(pair: DataFrame, date: str) -> DataFrame:
@@ -136,23 +142,44 @@ def predicted(model: PipelineModel, samples: DataFrame) -> DataFrame:
     return model.transform(samples).select("label", F.element_at(F.array(*(F.lit(int(n)) for n in names)), F.col("prediction").cast("int") + 1).alias("predicted"))
 
 
+#: Fits of cross-validation that run at a time.
+FITS_AT_ONCE = 8
+
+
+def _validated(samples: DataFrame, features: tuple[str, ...], trials: list[ForestSettings]) -> list[list[float]]:
+    """Macro-F1 of each fold, in order, for each of the settings: all fits share one pool."""
+    labels: dict[int, set] = {}
+    for fold, label in samples.select("fold", "label").distinct().collect():
+        labels.setdefault(fold, set()).add(label)
+    folds = [f for f in sorted(labels) if len(set().union(*(x for g, x in labels.items() if g != f))) >= 2]
+
+    def score(job: tuple[ForestSettings, int]) -> float:
+        settings, fold = job
+        model = forest(features, settings).fit(balanced(samples.filter(F.col("fold") != fold)))
+        outside = samples.filter(F.col("fold") == fold).withColumn("weight", F.lit(1.0))
+        return macro_f1(predicted(model, outside), "label", "predicted").first()["macro_f1"]
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        scores = iter(list(pool.map(score, [(t, f) for t in trials for f in folds])))
+    return [[next(scores) for _ in folds] for _ in trials]
+
+
 def spatial_cv(samples: DataFrame, features: tuple[str, ...], settings: ForestSettings) -> tuple[float, float, list[float]]:
     """Mean and population deviation of macro-F1 over folds that each leave one block out.
 
     samples has fold. Folds whose training part has fewer than two classes are
-    skipped; without folds the result is 0, 0.
+    skipped; without folds the result is 0, 0. The fits run several at a time.
     """
-    scores = []
-    for fold in sorted(r[0] for r in samples.select("fold").distinct().collect()):
-        inside, outside = samples.filter(F.col("fold") != fold), samples.filter(F.col("fold") == fold)
-        if inside.select("label").distinct().count() < 2:
-            continue
-        model = forest(features, settings).fit(balanced(inside))
-        scores.append(macro_f1(predicted(model, outside.withColumn("weight", F.lit(1.0))), "label", "predicted").first()["macro_f1"])
+    scores = _validated(samples, features, [settings])[0]
+    mean, deviation = _mean_and_deviation(scores)
+    return mean, deviation, scores
+
+
+def _mean_and_deviation(scores: list[float]) -> tuple[float, float]:
     if not scores:
-        return 0.0, 0.0, []
+        return 0.0, 0.0
     mean = sum(scores) / len(scores)
-    return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5, scores
+    return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
 
 
 def holdout(samples: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -183,14 +210,9 @@ def train(samples: DataFrame, features: tuple[str, ...], settings: ForestSetting
 
 def grid_search(samples: DataFrame, features: tuple[str, ...], settings: ForestSettings, subsets: tuple[str, ...] = ("sqrt", "0.3", "0.4"), leaves: tuple[int, ...] = (3, 5, 10)) -> ForestSettings:
     """The feature share and leaf size of the best mean macro-F1; the first wins."""
-    best, top = settings, -1.0
-    for subset in subsets:
-        for leaf in leaves:
-            trial = replace(settings, subset=subset, min_leaf=leaf)
-            score = spatial_cv(samples, features, trial)[0]
-            if score > top:
-                best, top = trial, score
-    return best
+    trials = [replace(settings, subset=subset, min_leaf=leaf) for subset in subsets for leaf in leaves]
+    means = [_mean_and_deviation(scores)[0] for scores in _validated(samples, features, trials)]
+    return trials[means.index(max(means))] if trials else settings
 
 
 def importances(model: PipelineModel, features: tuple[str, ...]) -> list[tuple[str, float]]:
@@ -231,6 +253,28 @@ def usable_labels(features: DataFrame, labels: DataFrame, codes: dict[int, int],
     return usable.filter("label > 0").select("r", "c", "label", (F.col("r").cast("long") * shape.width + F.col("c")).alias("pixel_id"))
 
 
+def supervised_samples(both: DataFrame, labels: DataFrame, shape: grid.Shape, n_samples: int, settings: ForestSettings) -> DataFrame:
+    """Samples of four classes from pair_features and land-cover labels (r, c, wc); classes of few pixels are merged."""
+    usable = usable_labels(both, labels, CODE_TO_CLASS, shape)
+    guard = class_guard(usable, "label", [1, 2, 3, 4]).collect()
+    active = sorted(r["class"] for r in guard if r.n >= 100)
+    if not active:
+        raise ValueError("no class has enough labelled pixels")
+    usable = usable.withColumn("label", recode(F.col("label"), {r["class"]: r.target for r in guard}))
+    chosen = stratified_pair(usable, "label", active, max(1, n_samples // len(active) // 2), settings.seed)
+    return stored(_samples(chosen.select("r", "c", "label", "date"), shape, both, FEATURES, settings.blocks))
+
+
+def _fitted(both: DataFrame, samples: DataFrame, features: tuple[str, ...], settings: ForestSettings, cross_validate: bool, mode: str) -> ForestResult:
+    """The forest of the samples, its figures, and the pair's pixels classified by it."""
+    model, accuracy, cv = train(samples, features, settings, cross_validate)
+    oob = None
+    if settings.bags:
+        weighed = stored(balanced(samples))
+        oob = out_of_bag_accuracy(bagged_forest(weighed, features, settings, settings.bags), weighed, settings.bags, settings.seed)
+    return ForestResult(classify_pair(model, both), model, accuracy, *cv, importances(model, features), mode, oob)
+
+
 def random_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None = None, n_samples: int = 50_000, settings: ForestSettings = ForestSettings(), cross_validate: bool = True, features: tuple[str, ...] = FEATURES) -> ForestResult:
     """Post-classification change of four classes, from land-cover labels (r, c, wc) or from clusters.
 
@@ -238,22 +282,12 @@ def random_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None =
     """
     both = pair_features(pair)
     if labels is not None:
-        usable = usable_labels(both, labels, CODE_TO_CLASS, shape)
-        guard = class_guard(usable, "label", [1, 2, 3, 4]).collect()
-        active = sorted(r["class"] for r in guard if r.n >= 100)
-        if not active:
-            raise ValueError("no class has enough labelled pixels")
-        usable = usable.withColumn("label", recode(F.col("label"), {r["class"]: r.target for r in guard}))
-        chosen = stratified_pair(usable, "label", active, max(1, n_samples // len(active) // 2), settings.seed)
-        mode = "supervised"
-    else:
-        clusters = cluster_labels(date_features(pair, "b"), seed=settings.seed)
-        keyed = clusters.withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c")).withColumn("date", F.lit("before"))
-        chosen = keyed.orderBy(order_key(settings.seed, F.col("pixel_id"))).limit(min(5000, n_samples))
-        mode = "unsupervised"
+        return _fitted(both, supervised_samples(both, labels, shape, n_samples, settings), features, settings, cross_validate, "supervised")
+    clusters = cluster_labels(date_features(pair, "b"), seed=settings.seed)
+    keyed = clusters.withColumn("pixel_id", F.col("r").cast("long") * shape.width + F.col("c")).withColumn("date", F.lit("before"))
+    chosen = keyed.orderBy(order_key(settings.seed, F.col("pixel_id"))).limit(min(5000, n_samples))
     samples = stored(_samples(chosen.select("r", "c", "label", "date"), shape, both, FEATURES, settings.blocks))
-    model, accuracy, cv = train(samples, features, settings, cross_validate)
-    return ForestResult(classify_pair(model, both), model, accuracy, *cv, importances(model, features), mode)
+    return _fitted(both, samples, features, settings, cross_validate, "unsupervised")
 
 
 def binary_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None = None, n_samples: int = 50_000, settings: ForestSettings = ForestSettings(), cross_validate: bool = True, texture: bool = False) -> ForestResult:
@@ -273,10 +307,9 @@ def binary_forest(pair: DataFrame, shape: grid.Shape, labels: DataFrame | None =
     if labels is None:
         chosen = chosen.withColumn("date", F.lit("before"))
     samples = stored(_samples(chosen.select("r", "c", "label", "date"), shape, both, names, settings.blocks))
-    model, accuracy, cv = train(samples, names, settings, cross_validate)
-    pixels = classify_pair(model, both)
-    pixels = pixels.withColumns({"loss": (F.col("class_b") == 1) & (F.col("class_a") == 2), "gain": (F.col("class_b") == 2) & (F.col("class_a") == 1)})
-    return ForestResult(pixels, model, accuracy, *cv, importances(model, names), mode)
+    result = _fitted(both, samples, names, settings, cross_validate, mode)
+    pixels = result.pixels.withColumns({"loss": (F.col("class_b") == 1) & (F.col("class_a") == 2), "gain": (F.col("class_b") == 2) & (F.col("class_a") == 1)})
+    return replace(result, pixels=pixels)
 
 
 def smoothed(result: ForestResult, shape: grid.Shape, window: int = 5, classes: list[int] | None = None) -> DataFrame:
@@ -330,9 +363,10 @@ def ablation(pair: DataFrame, shape: grid.Shape, ndvi_pixels: DataFrame, labels:
     """A forest for each distinct set of features, on the same samples, and the verdicts."""
     spark = pair.sparkSession
     listed = spark.createDataFrame([(k, n, list(f)) for k, (n, f) in enumerate(experiments.items())], "ordinal int, name string, features array<string>")
-    rows = []
+    rows, features = [], stored(pair_features(pair))
+    samples = supervised_samples(features, labels, shape, n_samples, settings)
     for e in distinct_experiments(listed).orderBy("ordinal").collect():
-        r = random_forest(pair, shape, labels, n_samples, settings, True, tuple(e["features"]))
+        r = _fitted(features, samples, tuple(e["features"]), settings, True, "supervised")
         both = r.pixels.filter("valid").join(ndvi_pixels.select("r", "c", F.col("changed").alias("ndvi")), ["r", "c"])
         j, pct = both.agg(jaccard(F.col("changed"), F.col("ndvi")), F.coalesce(F.avg(F.col("changed").cast("double")) * 100, F.lit(0.0))).first()
         rows.append((e["ordinal"], e["name"], len(e["features"]), r.cv_mean, r.cv_std, r.accuracy, pct, j))
