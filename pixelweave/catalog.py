@@ -763,6 +763,32 @@ def tiled_ndvi(spark, sf):
     return result.pixels.select("r", "c", r6(F.col("threshold"), "threshold"), "changed")
 
 
+# Many scenes at once
+
+_BY_SCENE = f"""{scenes.CLEAR},
+parts AS (SELECT CAST((r // 25) * 4 + c // 25 AS INT) AS scene_id, CAST(r % 25 AS INT) AS r, CAST(c % 25 AS INT) AS c, abs(b04_a - b04_b) AS abs_diff,
+  abs((b08_a - b04_a) / nullif(b08_a + b04_a, 0) - (b08_b - b04_b) / nullif(b08_b + b04_b, 0)) AS abs_delta, CASE WHEN valid THEN sqrt({' + '.join(f'({b}_a - {b}_b) * ({b}_a - {b}_b)' for b in indices.BANDS)}) END AS magnitude FROM clear),
+sizes AS (SELECT scene_id, max(r) + 1 AS h, max(c) + 1 AS w FROM parts GROUP BY scene_id),
+cells AS (SELECT scene_id, CAST(r AS INT) AS r, CAST(unnest(range(w)) AS INT) AS c FROM (SELECT scene_id, w, unnest(range(h)) AS r FROM sizes)),
+full_cells AS (SELECT * FROM cells LEFT JOIN parts USING (scene_id, r, c)),
+{", ".join(f"{sqltext.blurred('full_cells', f'{v}_s', v, 'scene_id')}, {sqltext.otsu(f'{v}_s', f'{v}_t', 'smoothed', 'scene_id')}" for v in ("abs_diff", "abs_delta", "magnitude"))}"""
+
+
+@query(
+    "scenes_batch",
+    _BY_SCENE,
+    "\nUNION ALL ".join(
+        f"SELECT '{name}' AS method, scene_id, count(*) AS total_pixels, count(smoothed) AS valid_pixels, count_if(coalesce(smoothed > threshold, false)) AS changed_pixels, round(max(threshold), 6) AS threshold FROM {v}_s LEFT JOIN {v}_t USING (scene_id) GROUP BY scene_id"
+        for name, v in (("Band Differencing", "abs_diff"), ("NDVI Differencing", "abs_delta"), ("CVA", "magnitude"))
+    ),
+)
+def scenes_batch(spark, sf):
+    """The three methods on the blocks of the pair as scenes of their own: one plan for all."""
+    parts = scenes.clear_pair(spark, sf).withColumns({"scene_id": F.expr("cast((r div 25) * 4 + c div 25 as int)"), "r": (F.col("r") % 25).cast("int"), "c": (F.col("c") % 25).cast("int")})
+    tables = [m.summary.select(F.lit(m.method).alias("method"), "scene_id", "total_pixels", "valid_pixels", "changed_pixels", r6(F.col("threshold"), "threshold")) for m in methods.methods_by_scene(parts)]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
 # Sampling and ablation tables
 
 

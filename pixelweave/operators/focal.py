@@ -21,46 +21,55 @@ from .grid import Shape
 TILE = 256
 
 
-def _places(at: str, n: int, radius: int, mode: str) -> Column:
+def _places(at: str, n: int | Column, radius: int, mode: str) -> Column:
     """All coordinates from -radius to n + radius - 1 where the pixel stands."""
     x = F.col(at)
     if mode == "nearest":
         low = F.when(x == 0, F.sequence(F.lit(-radius), F.lit(-1))).otherwise(F.expr("cast(array() as array<int>)"))
         high = F.when(x == n - 1, F.sequence(F.lit(n), F.lit(n + radius - 1))).otherwise(F.expr("cast(array() as array<int>)"))
         return F.concat(low, F.array(x), high)
-    if n <= radius:  # mirrored more than once
-        wrapped = lambda p: F.pmod(p, F.lit(2 * n))
-        source = lambda p: F.when(wrapped(p) < n, wrapped(p)).otherwise(2 * n - 1 - wrapped(p))
-        return F.filter(F.sequence(F.lit(-radius), F.lit(n + radius - 1)), lambda p: source(p) == x)
+    wrapped = lambda p: F.pmod(p, F.lit(2 * n))
+    source = lambda p: F.when(wrapped(p) < n, wrapped(p)).otherwise(2 * n - 1 - wrapped(p))
+    often = F.filter(F.sequence(F.lit(-radius), F.lit(n + radius - 1)), lambda p: source(p) == x)  # mirrored more than once
+    if isinstance(n, Column):
+        return F.when(n <= radius, often).otherwise(_mirrored(x, n, radius))
+    return often if n <= radius else _mirrored(x, n, radius)
+
+
+def _mirrored(x: Column, n: int | Column, radius: int) -> Column:
     return F.when((x < radius) & (x >= n - radius), F.array(x, -1 - x, 2 * n - 1 - x)).when(x < radius, F.array(x, -1 - x)).when(x >= n - radius, F.array(x, 2 * n - 1 - x)).otherwise(F.array(x))
 
 
-def _tiles(at: str, n: int, radius: int, tile: int) -> Column:
+def _tiles(at: str, n: int | Column, radius: int, tile: int) -> Column:
     """Tiles that need the coordinate, theirs or in their margin."""
-    last = (n - 1) // tile
-    clip = lambda x: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(x / tile).cast("int")))
+    last = F.floor((n - 1) / tile).cast("int") if isinstance(n, Column) else F.lit((n - 1) // tile)
+    clip = lambda x: F.greatest(F.lit(0), F.least(last, F.floor(x / tile).cast("int")))
     return F.sequence(clip(F.col(at) - radius), clip(F.col(at) + radius))
 
 
-def focal(grid: DataFrame, shape: Shape, values: dict[str, Column], along: Callable[[str, WindowSpec, bool], Column], radius: int, mode: str = "reflect", tile: int = TILE) -> DataFrame:
-    """(r, c) and each of the values after along() has been taken over rows, then over columns.
+def focal(grid: DataFrame, shape: Shape, values: dict[str, Column], along: Callable[[str, WindowSpec, bool], Column], radius: int, mode: str = "reflect", tile: int = TILE, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, r, c) and each of the values after along() has been taken over rows, then over columns.
 
     along(name, window, second) is the one-dimensional operator; its window is
-    ordered and has all places within the radius of each pixel that is kept.
+    ordered and has all places within the radius of each pixel that is kept. With by,
+    columns that tell grids apart, the shape's height and width are names of columns:
+    the extent of each grid. Tiles of all grids are then dealt out together.
     """
-    if shape.height * shape.width == 0:
+    height, width = (F.col(shape.height), F.col(shape.width)) if by else (shape.height, shape.width)
+    extent = (shape.height, shape.width) if by else ()
+    if not by and shape.height * shape.width == 0:
         return grid.select("r", "c", *(v.alias(k) for k, v in values.items()))
-    cells = grid.select("r", "c", *(v.alias(k) for k, v in values.items()))
-    rows = cells.select(F.explode(_places("r", shape.height, radius, mode)).alias("r"), "c", *values)
-    rows = rows.select("r", F.explode(_places("c", shape.width, radius, mode)).alias("c"), *values)
-    rows = rows.select("r", "c", F.explode(_tiles("r", shape.height, radius, tile)).alias("tr"), *values)
-    rows = rows.select("r", "c", "tr", F.explode(_tiles("c", shape.width, radius, tile)).alias("tc"), *values).repartition("tr", "tc")
-    across = Window.partitionBy("tr", "tc", "r").orderBy("c")
-    down = Window.partitionBy("tr", "tc", "c").orderBy("r")
-    rows = rows.select("r", "c", "tr", "tc", *(along(k, across, False).alias(k) for k in values))
-    rows = rows.select("r", "c", "tr", "tc", *(along(k, down, True).alias(k) for k in values))
-    own = F.col("r").between(F.col("tr") * tile, F.least(F.col("tr") * tile + tile, F.lit(shape.height)) - 1) & F.col("c").between(F.col("tc") * tile, F.least(F.col("tc") * tile + tile, F.lit(shape.width)) - 1)
-    return rows.filter(own).select("r", "c", *values)
+    cells = grid.select(*by, *extent, "r", "c", *(v.alias(k) for k, v in values.items()))
+    rows = cells.select(*by, *extent, F.explode(_places("r", height, radius, mode)).alias("r"), "c", *values)
+    rows = rows.select(*by, *extent, "r", F.explode(_places("c", width, radius, mode)).alias("c"), *values)
+    rows = rows.select(*by, *extent, "r", "c", F.explode(_tiles("r", height, radius, tile)).alias("tr"), *values)
+    rows = rows.select(*by, *extent, "r", "c", "tr", F.explode(_tiles("c", width, radius, tile)).alias("tc"), *values).repartition(*by, "tr", "tc")
+    across = Window.partitionBy(*by, "tr", "tc", "r").orderBy("c")
+    down = Window.partitionBy(*by, "tr", "tc", "c").orderBy("r")
+    rows = rows.select(*by, *extent, "r", "c", "tr", "tc", *(along(k, across, False).alias(k) for k in values))
+    rows = rows.select(*by, *extent, "r", "c", "tr", "tc", *(along(k, down, True).alias(k) for k in values))
+    own = F.col("r").between(F.col("tr") * tile, F.least(F.col("tr") * tile + tile, F.lit(height)) - 1) & F.col("c").between(F.col("tc") * tile, F.least(F.col("tc") * tile + tile, F.lit(width)) - 1)
+    return rows.filter(own).select(*by, "r", "c", *values)
 
 
 def gaussian_taps(sigma: float = 1.0, truncate: float = 4.0) -> list[float]:
@@ -71,8 +80,8 @@ def gaussian_taps(sigma: float = 1.0, truncate: float = 4.0) -> list[float]:
     return [x / whole for x in w]
 
 
-def gaussian(grid: DataFrame, shape: Shape, *columns: str, sigma: float = 1.0, tile: int = TILE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Blurs columns of a dense grid; NULL counts as 0 and stays NULL. Carried columns come along as they are."""
+def gaussian(grid: DataFrame, shape: Shape, *columns: str, sigma: float = 1.0, tile: int = TILE, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """Blurs columns of a dense grid, or of several (see focal); NULL counts as 0 and stays NULL. Carried columns come along as they are."""
     taps = gaussian_taps(sigma)
 
     def along(name: str, window: WindowSpec, second: bool) -> Column:
@@ -83,8 +92,8 @@ def gaussian(grid: DataFrame, shape: Shape, *columns: str, sigma: float = 1.0, t
 
     marked = {f"_null_{c}": F.col(c).isNull() for c in columns}
     kept = lambda name, window, second: along(name, window, second) if name in columns else F.col(name)
-    out = focal(grid, shape, {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns} | marked | {c: F.col(c) for c in carry}, kept, len(taps) - 1, tile=tile)
-    return out.select("r", "c", *(F.when(~F.col(f"_null_{c}"), F.col(c)).alias(c) for c in columns), *carry)
+    out = focal(grid, shape, {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns} | marked | {c: F.col(c) for c in carry}, kept, len(taps) - 1, tile=tile, by=by)
+    return out.select(*by, "r", "c", *(F.when(~F.col(f"_null_{c}"), F.col(c)).alias(c) for c in columns), *carry)
 
 
 def box_texture(grid: DataFrame, shape: Shape, column: str | dict[str, str], window: int = 5, tile: int = TILE, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -36,6 +36,21 @@ def dense(pixels: DataFrame, shape: Shape) -> DataFrame:
     return cells.join(pixels, ["r", "c"], "left")
 
 
+def extents(pixels: DataFrame, *by: str) -> DataFrame:
+    """(by, height, width) of each grid of a pixel table."""
+    return pixels.groupBy(*by).agg((F.max("r") + 1).cast("int").alias("height"), (F.max("c") + 1).cast("int").alias("width"))
+
+
+def dense_by(pixels: DataFrame, sizes: DataFrame, *by: str) -> DataFrame:
+    """All pixels of each grid's extent (see extents), with height and width; columns of those that are missing are NULL.
+
+    The rows of a grid are dealt out before their pixels are made, so that no task makes a whole grid.
+    """
+    rows = sizes.select(*by, "height", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("r")).repartition(*by, "r")
+    cells = rows.select(*by, "height", "width", "r", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("c"))
+    return cells.join(pixels, [*by, "r", "c"], "left")
+
+
 def crop(pixels: DataFrame, x_off: int = 0, y_off: int = 0, x_size: int = 1000, y_size: int = 1000) -> DataFrame:
     """The pixels of a window; a predicate that Parquet can prune by."""
     return pixels.filter(F.col("r").between(y_off, y_off + y_size - 1) & F.col("c").between(x_off, x_off + x_size - 1))

@@ -58,10 +58,10 @@ def _with_threshold(kept: DataFrame, shape: grid.Shape, value: str, threshold: f
     return cells.withColumn("threshold", F.lit(threshold).cast("double"))
 
 
-def _summary(pixels: DataFrame, valid: str, *more) -> DataFrame:
-    """Counts and share of change among valid pixels (0 if there are none)."""
+def _summary(pixels: DataFrame, valid: str, *more, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and share of change among valid pixels (0 if there are none), in all or of each scene."""
     share = lambda n: F.coalesce(F.try_divide(n * F.lit(100.0), F.count_if(F.col(valid).isNotNull())), F.lit(0.0))
-    return pixels.agg(F.count("*").alias("total_pixels"), F.count_if(F.col(valid).isNotNull()).alias("valid_pixels"), F.count_if("changed").alias("changed_pixels"), share(F.count_if("changed")).alias("change_pct"), F.max("threshold").alias("threshold"), *(m(share) for m in more))
+    return pixels.groupBy(*by).agg(F.count("*").alias("total_pixels"), F.count_if(F.col(valid).isNotNull()).alias("valid_pixels"), F.count_if("changed").alias("changed_pixels"), share(F.count_if("changed")).alias("change_pct"), F.max("threshold").alias("threshold"), *(m(share) for m in more))
 
 
 def _band_measure(band: str) -> dict[str, Column]:
@@ -83,24 +83,24 @@ def _cells(pair: DataFrame, *measures: dict[str, Column]) -> DataFrame:
     return pair.select("r", "c", *(v.alias(k) for m in measures for k, v in m.items()))
 
 
-def _band_result(pixels: DataFrame) -> ChangeResult:
+def _band_result(pixels: DataFrame, by: tuple[str, ...] = ()) -> ChangeResult:
     pixels = pixels.withColumn("changed", change.over(F.col("smoothed"), F.col("threshold")))
-    return ChangeResult("Band Differencing", pixels, _summary(pixels, "abs_diff"))
+    return ChangeResult("Band Differencing", pixels, _summary(pixels, "abs_diff", by=by))
 
 
-def _ndvi_result(pixels: DataFrame) -> ChangeResult:
+def _ndvi_result(pixels: DataFrame, by: tuple[str, ...] = ()) -> ChangeResult:
     pixels = pixels.withColumns({
         "changed": change.over(F.col("smoothed"), F.col("threshold")),
         "gain": change.over(F.col("delta"), F.col("threshold")),
         "loss": change.over(-F.col("delta"), F.col("threshold")),
     })
-    return ChangeResult("NDVI Differencing", pixels, _summary(pixels, "delta", lambda share: share(F.count_if("gain")).alias("gain_pct"), lambda share: share(F.count_if("loss")).alias("loss_pct")))
+    return ChangeResult("NDVI Differencing", pixels, _summary(pixels, "delta", lambda share: share(F.count_if("gain")).alias("gain_pct"), lambda share: share(F.count_if("loss")).alias("loss_pct"), by=by))
 
 
-def _vector_result(pixels: DataFrame) -> ChangeResult:
+def _vector_result(pixels: DataFrame, by: tuple[str, ...] = ()) -> ChangeResult:
     pixels = pixels.withColumn("changed", change.over(F.col("smoothed"), F.col("threshold")))
     pixels = pixels.withColumn("change_type", change.direction_class(F.col("direction"), F.col("smoothed"), F.col("threshold")))
-    return ChangeResult("CVA", pixels, _summary(pixels, "magnitude"))
+    return ChangeResult("CVA", pixels, _summary(pixels, "magnitude", by=by))
 
 
 def band_differencing(pair: DataFrame, shape: grid.Shape, band: str = "b04", threshold: float | None = None, smooth: bool = True, by_tile: int | None = None) -> ChangeResult:
@@ -131,6 +131,33 @@ def all_methods(pair: DataFrame, shape: grid.Shape, smooth: bool = True) -> list
     return [make(pixels) for make, pixels in zip((_band_result, _ndvi_result, _vector_result), own)]
 
 
+def methods_by_scene(pairs: DataFrame, scene: str = "scene_id", smooth: bool = True) -> list[ChangeResult]:
+    """Band differences, NDVI differences and change vectors of many pairs at once, each scene with its own extent and thresholds.
+
+    pairs is a pair table with a column that names the scene; pixels and summary have
+    it too. Whatever the number of scenes, they are one plan: extents and thresholds are
+    small tables with a row a scene, the tiles of all scenes are blurred in one pass, and a large
+    scene is as many tiles, not a task. A null scene is a scene of its own.
+    """
+    values = {"abs_diff": _band_measure("b04"), "abs_delta": _ndvi_measure(), "magnitude": _vector_measure(indices.BANDS, "b04", "b08")}
+    names = [k for m in values.values() for k in m]
+    key = F.coalesce(F.concat(F.lit("="), F.col(scene).cast("string")), F.lit("-")).alias("_scene")
+    cells = pairs.select(key, F.col(scene).alias("_name"), "r", "c", *(v.alias(k) for m in values.values() for k, v in m.items()))
+    sizes = stored(cells.groupBy("_scene", "_name").agg((F.max("r") + 1).cast("int").alias("height"), (F.max("c") + 1).cast("int").alias("width")))
+    full = grid.dense_by(cells.drop("_name"), sizes.drop("_name"), "_scene").withColumns({f"smoothed_{v}": F.col(v) for v in values})
+    smoothed = [f"smoothed_{v}" for v in values]
+    kept = stored(focal.gaussian(full, grid.Shape("height", "width"), *smoothed, carry=tuple(names), by=("_scene",)) if smooth else full)
+    rows = kept.select("_scene", F.explode(F.array(*(F.struct(F.lit(v).alias("name"), F.col(f"smoothed_{v}").alias("x")) for v in values))).alias("v")).select("_scene", "v.*")
+    found = stored(otsu(rows, "x", ("_scene", "name")))
+    results = []
+    for (value, measure), make in zip(values.items(), (_band_result, _ndvi_result, _vector_result)):
+        thresholds = sizes.select("_scene", "_name").join(found.filter(F.col("name") == value).drop("name"), "_scene", "left")
+        pixels = kept.select("_scene", "r", "c", *measure, F.col(f"smoothed_{value}").alias("smoothed")).join(thresholds, "_scene")
+        result = make(pixels.drop("_scene").withColumnRenamed("_name", scene), (scene,))
+        results.append(result)
+    return results
+
+
 def type_counts(result: ChangeResult) -> DataFrame:
     """Pixels of each change type and their share of the valid ones; types without pixels are 0."""
     spark = result.pixels.sparkSession

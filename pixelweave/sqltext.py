@@ -6,25 +6,27 @@ from .operators.focal import gaussian_taps
 from .scenes import CLEAR
 
 
-def padded(source: str, out: str, columns: list[str], radius: int, mode: str = "reflect") -> str:
-    """CTEs out_dim and out: source with its border mirrored or repeated."""
-    rest = ", ".join(columns)
+def padded(source: str, out: str, columns: list[str], radius: int, mode: str = "reflect", by: str = "") -> str:
+    """CTEs out_dim and out: source with its border mirrored or repeated; of each grid, if by tells several apart."""
+    comma, group, dims = (f"{by}, ", f" GROUP BY {by}", f" JOIN {out}_dim USING ({by})") if by else ("", "", f", {out}_dim")
+    rest = comma + ", ".join(columns)
     steps = range(1, radius + 1)
     if mode == "reflect":
-        high = lambda at, n, other, src: f"SELECT -1 - {at} AS {at}, {other}, {rest} FROM {src} WHERE {at} < {radius} UNION ALL SELECT 2 * {n} - 1 - {at}, {other}, {rest} FROM {src}, {out}_dim WHERE {at} >= {n} - {radius}"
+        high = lambda at, n, other, src: f"SELECT -1 - {at} AS {at}, {other}, {rest} FROM {src} WHERE {at} < {radius} UNION ALL SELECT 2 * {n} - 1 - {at}, {other}, {rest} FROM {src}{dims} WHERE {at} >= {n} - {radius}"
     else:
-        high = lambda at, n, other, src: " UNION ALL ".join(f"SELECT -{k} AS {at}, {other}, {rest} FROM {src} WHERE {at} = 0 UNION ALL SELECT {n} - 1 + {k}, {other}, {rest} FROM {src}, {out}_dim WHERE {at} = {n} - 1" for k in steps)
-    return f"""{out}_dim AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM {source}),
+        high = lambda at, n, other, src: " UNION ALL ".join(f"SELECT -{k} AS {at}, {other}, {rest} FROM {src} WHERE {at} = 0 UNION ALL SELECT {n} - 1 + {k}, {other}, {rest} FROM {src}{dims} WHERE {at} = {n} - 1" for k in steps)
+    return f"""{out}_dim AS (SELECT {comma}max(r) + 1 AS h, max(c) + 1 AS w FROM {source}{group}),
 {out}_rows AS (SELECT r, c, {rest} FROM {source} UNION ALL {high('r', 'h', 'c', source)}),
 {out} AS (SELECT r, c, {rest} FROM {out}_rows UNION ALL SELECT r, c, {rest} FROM ({high('c', 'w', 'r', f'{out}_rows')}))"""
 
 
-def passes(source: str, out: str, along: dict[str, str]) -> str:
+def passes(source: str, out: str, along: dict[str, str], by: str = "") -> str:
     """CTE out: the expressions over rows, then over columns; $x is the value, $w the window's partition and order."""
-    first = ", ".join(f"{e.replace('$x', k).replace('$w', 'PARTITION BY r ORDER BY c')} AS {k}" for k, e in along.items())
-    second = ", ".join(f"{e.replace('$x', k).replace('$w', 'PARTITION BY c ORDER BY r')} AS {k}" for k, e in along.items())
-    return f"""{out}_1 AS (SELECT r, c, {first} FROM {source}),
-{out} AS (SELECT q.* FROM (SELECT r, c, {second} FROM {out}_1) q, {source}_dim d WHERE q.r BETWEEN 0 AND d.h - 1 AND q.c BETWEEN 0 AND d.w - 1)"""
+    comma, dims = (f"{by}, ", f"JOIN {source}_dim d USING ({by})") if by else ("", f", {source}_dim d")
+    first = ", ".join(f"{e.replace('$x', k).replace('$w', f'PARTITION BY {comma}r ORDER BY c')} AS {k}" for k, e in along.items())
+    second = ", ".join(f"{e.replace('$x', k).replace('$w', f'PARTITION BY {comma}c ORDER BY r')} AS {k}" for k, e in along.items())
+    return f"""{out}_1 AS (SELECT {comma}r, c, {first} FROM {source}),
+{out} AS (SELECT q.* FROM (SELECT {comma}r, c, {second} FROM {out}_1) q {dims} WHERE q.r BETWEEN 0 AND d.h - 1 AND q.c BETWEEN 0 AND d.w - 1)"""
 
 
 def _gauss() -> str:
@@ -32,12 +34,13 @@ def _gauss() -> str:
     return " + ".join([f"$x * {taps[0]!r}", *(f"(lag($x, {k}) OVER ($w) + lead($x, {k}) OVER ($w)) * {w!r}" for k, w in enumerate(taps[1:], start=1))])
 
 
-def blurred(source: str, out: str, column: str) -> str:
-    """CTE out: r, c and the blurred column of dense source; NULL counts as 0 and stays NULL."""
-    return f"""{out}_in AS (SELECT r, c, coalesce(CAST({column} AS DOUBLE), 0.0) AS {column} FROM {source}),
-{padded(f'{out}_in', f'{out}_pad', [column], 4)},
-{passes(f'{out}_pad', f'{out}_out', {column: _gauss()})},
-{out} AS (SELECT o.r, o.c, CASE WHEN s.{column} IS NOT NULL THEN o.{column} END AS smoothed FROM {out}_out o JOIN {source} s USING (r, c))"""
+def blurred(source: str, out: str, column: str, by: str = "") -> str:
+    """CTE out: (by,) r, c and the blurred column of dense source; NULL counts as 0 and stays NULL."""
+    comma = f"{by}, " if by else ""
+    return f"""{out}_in AS (SELECT {comma}r, c, coalesce(CAST({column} AS DOUBLE), 0.0) AS {column} FROM {source}),
+{padded(f'{out}_in', f'{out}_pad', [column], 4, by=by)},
+{passes(f'{out}_pad', f'{out}_out', {column: _gauss()}, by)},
+{out} AS (SELECT {f'o.{comma}' if by else ''}o.r, o.c, CASE WHEN s.{column} IS NOT NULL THEN o.{column} END AS smoothed FROM {out}_out o JOIN {source} s USING ({comma}r, c))"""
 
 
 def box(source: str, out: str, column: str, half: int = 2) -> str:

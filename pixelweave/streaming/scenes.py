@@ -2,40 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.grid import shape_of
-from ..plans.methods import ChangeResult, ndvi_differencing
-
-#: Scenes of a batch whose jobs run at a time.
-SCENES_AT_ONCE = 8
+from ..plans.methods import methods_by_scene
 
 
-def change_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, method: Callable[..., ChangeResult] = ndvi_differencing, scene: str = "scene_id", available_now: bool = True) -> StreamingQuery:
-    """Runs a method on each scene of newly arrived Parquet files and appends its summary rows to target.
+def change_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, method: str = "NDVI Differencing", scene: str = "scene_id", available_now: bool = True) -> StreamingQuery:
+    """Runs a method on the scenes of newly arrived Parquet files and writes their summary rows to target.
 
-    A scene's files must arrive together. Batches write by their number, so that a
-    batch that is run again after a failure replaces its own rows. Each scene has an
-    extent and threshold of its own, so its method is jobs of its own; those of several scenes of
-    a batch run at a time.
+    A scene's files must arrive together. All scenes of a batch are one plan, a row
+    each. Batches write by their number, so that a batch that is run again after a
+    failure replaces its own rows.
     """
 
-    def one_scene(rows: DataFrame, number: int, name) -> None:
-        own = rows.filter(F.col(scene).eqNullSafe(F.lit(name))).drop(scene)
-        result = method(own, shape_of(own)).summary.withColumn(scene, F.lit(name))
-        result.write.mode("overwrite").parquet(f"{target}/batch={number}/scene={name}")
-
     def batch(rows: DataFrame, number: int) -> None:
-        rows.persist()
-        names = [r[0] for r in rows.select(scene).distinct().collect()]
-        with ThreadPoolExecutor(SCENES_AT_ONCE) as pool:
-            list(pool.map(lambda name: one_scene(rows, number, name), names))
-        rows.unpersist()
+        if not rows.isEmpty():
+            (found,) = (m for m in methods_by_scene(rows, scene) if m.method == method)
+            found.summary.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     arriving = spark.readStream.schema(schema).parquet(source)
     writer = arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
