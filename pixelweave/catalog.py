@@ -13,7 +13,7 @@ from .operators import crosstab, focal, grid, sampling, tiling
 from .operators.otsu import histogram, otsu
 from .operators.quantiles import percentile
 from .operators.storage import scratch, stored
-from .plans import consensus, forests, integrated, learning, methods, reporting
+from .plans import consensus, forests, integrated, learning, methods, reporting, tiled_run
 from .sources import ascii_grid, images, tables, tiff
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -719,6 +719,54 @@ def pixels_in_tiles(spark, sf):
     return tiling.in_tiles(cells, 100, shape.height, 3, 4, 5).select("r", "c", "tile_id", F.col("inner").alias("inner_px"))
 
 
+@query(
+    "pixels_in_footprints",
+    f"{scenes.DENSE}, f AS (SELECT p_partkey, p_partkey * 7 % 100 AS r0, p_size * 13 % 100 AS c0, 1 + p_size % 9 AS height, 1 + p_partkey % 40 AS width FROM part)",
+    "SELECT p_partkey, count(*) AS n, min(x) AS low, max(x) AS high FROM f JOIN dense ON r >= r0 AND r < r0 + height AND c >= c0 AND c < c0 + width GROUP BY p_partkey",
+)
+def pixels_in_footprints(spark, sf):
+    """Pixels under a rectangle of its own for each part."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    shapes = scenes.table(spark, sf, "part").select(key, (key * 7 % 100).alias("r0"), (size * 13 % 100).alias("c0"), (1 + size % 9).alias("height"), (1 + key % 40).alias("width"))
+    return tiling.in_footprints(scenes.dense_grid(spark, sf), shapes, 16).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+_LON, _LAT = sqltext.utm_to_degrees("300000.0 + (c + 0.5) * 4000.0", "4000000.0 - (r % 100 + 0.5) * 4000.0", "31 + r % 2")
+
+
+@query(
+    "warp_labels",
+    f"{scenes.LABELS}, placed AS (SELECT r, c, CAST(31 + r % 2 AS INT) AS zone, {_LON} AS lon, {_LAT} AS lat FROM dense), spots AS (SELECT *, CAST(floor((lat - 36.5) / -0.04) AS INT) AS sr, CAST(floor((lon - CASE zone WHEN 31 THEN 0.5 ELSE 6.5 END) / 0.05) AS INT) AS sc FROM placed)",
+    "SELECT s.r, s.c, zone, round(lon, 7) AS lon, round(lat, 7) AS lat, wc FROM spots s LEFT JOIN labelled l ON l.r = s.sr AND l.c = s.sc",
+)
+def warp_labels(spark, sf):
+    """Labels in degrees on a grid in metres of two UTM zones: rows of pixels take turns."""
+    cells, labels = scenes.dense_grid(spark, sf).select("r", "c"), scenes.label_map(spark, sf)
+    parts = []
+    for k, west in ((0, 0.5), (1, 6.5)):
+        own = cells.filter(F.col("r") % 2 == k).withColumns({"row": F.col("r"), "r": (F.col("r") % 100).cast("int")})
+        x, y = tables.Geotransform(300000.0, 4000.0, 4000000.0, -4000.0).centre(F.col("r"), F.col("c"))
+        lon, lat = tables.utm_to_degrees(x, y, 31 + k)
+        own = own.withColumns({"lon": F.round(lon, 7), "lat": F.round(lat, 7), "zone": F.lit(31 + k)})
+        found = tables.resample_nearest(own, tables.Geotransform(300000.0, 4000.0, 4000000.0, -4000.0), labels, tables.Geotransform(west, 0.05, 36.5, -0.04), "wc", zone=31 + k)
+        parts.append(found.select(F.col("row").alias("r"), "c", "zone", "lon", "lat", "wc"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("tiled_run", scenes.DENSE, "SELECT r, c, round(x * 2 + 1, 6) AS x FROM dense")
+def tiled_run_query(spark, sf):
+    """A run into a folder that stops after six tiles, and one that does the rest."""
+    cells, shape = _event_grid(spark, sf)
+    target = scratch(spark)
+
+    def twice(frame):
+        return frame.assign(x=(frame.x * 2 + 1).round(6))[["r", "c", "x", "tile_id"]]
+
+    for most in (6, None):
+        done = tiled_run.tiled_run(cells, 100, shape.height, 3, 4, 5, twice, "r int, c int, x double, tile_id int", target, tiles_at_once=3, most=most)
+    return done.select("r", "c", "x")
+
+
 _TILE_STATS = """stats AS (SELECT tile_id, tile_row, tile_col, count(*) AS valid_pixels, count_if(x > 50) AS changed_pixels FROM placed WHERE inner_px GROUP BY ALL),
 tile_stats AS (SELECT *, round(100.0 * changed_pixels / valid_pixels, 4) AS change_pct, round(changed_pixels * 100.0 / 10000, 2) AS changed_area_ha, round(changed_pixels * 100.0 / 1000000, 4) AS changed_area_km2 FROM stats)"""
 

@@ -51,6 +51,22 @@ def in_tiles(pixels: DataFrame, width: int, height: int, n_x: int, n_y: int, ove
     return rows.withColumn("tile_id", F.col("tile_row") * n_x + F.col("tile_col")).withColumn("inner", inner)
 
 
+def in_footprints(pixels: DataFrame, footprints: DataFrame, side: int = 64) -> DataFrame:
+    """A row for each pixel and rectangle that has it; rectangles (r0, c0, height, width) are of any size and may overlap.
+
+    A pixel is in one square bin, a rectangle in all that it touches: an equi-join on
+    the bin, then a look at the borders within it. Columns of both sides come along.
+    Rectangles without area, or with NULL for a border, have no pixels.
+    """
+    at = lambda x: F.floor(x / side).cast("int")
+    whole = footprints.filter("height > 0 and width > 0 and r0 is not null and c0 is not null")
+    rows = whole.withColumn("_br", F.explode(F.sequence(at(F.col("r0")), at(F.col("r0") + F.col("height") - 1))))
+    cells = rows.withColumn("_bc", F.explode(F.sequence(at(F.col("c0")), at(F.col("c0") + F.col("width") - 1))))
+    placed = pixels.withColumns({"_br": at(F.col("r")), "_bc": at(F.col("c"))}).join(cells, ["_br", "_bc"])
+    inside = (F.col("r") >= F.col("r0")) & (F.col("r") < F.col("r0") + F.col("height")) & (F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c0") + F.col("width"))
+    return placed.filter(inside).drop("_br", "_bc")
+
+
 def tile_statistics(pixels: DataFrame, changed: str, valid: str | None = None) -> DataFrame:
     """Counts, share and area of change for each tile (tile_id, tile_row, tile_col)."""
     ok = F.col(valid) if valid else F.lit(True)

@@ -52,6 +52,22 @@ def box(source: str, out: str, column: str, half: int = 2) -> str:
 {out} AS (SELECT r, c, 1 / (1 + greatest(square - mean * mean, 0)) AS homogeneity, high - low AS contrast FROM {out}_out)"""
 
 
+def utm_to_degrees(x: str, y: str, zone: str) -> tuple[str, str]:
+    """Longitude and latitude of UTM metres of the northern hemisphere as expressions: the same series as the native one."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 6_378_137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3, n**2 / 48 + n**3 / 15, 17 / 480 * n**3)
+    delta = (2 * n - 2 / 3 * n**2 - 2 * n**3, 7 / 3 * n**2 - 8 / 5 * n**3, 56 / 15 * n**3)
+    xi, eta = f"(({y}) / {0.9996 * radius!r})", f"((({x}) - 500000.0) / {0.9996 * radius!r})"
+    sinh, cosh = (lambda v, s=s: f"((exp({v}) {s} exp(-({v}))) / 2)" for s in "-+")
+    xi_ = f"({xi} " + " ".join(f"- {b!r} * sin({2 * j} * {xi}) * {cosh(f'{2 * j} * {eta}')}" for j, b in enumerate(beta, 1)) + ")"
+    eta_ = f"({eta} " + " ".join(f"- {b!r} * cos({2 * j} * {xi}) * {sinh(f'{2 * j} * {eta}')}" for j, b in enumerate(beta, 1)) + ")"
+    chi = f"asin(sin({xi_}) / {cosh(eta_)})"
+    lat = f"({chi} " + " ".join(f"+ {d!r} * sin({2 * j} * {chi})" for j, d in enumerate(delta, 1)) + ")"
+    return f"(({zone}) * 6.0 - 183.0 + degrees(atan2({sinh(eta_)}, cos({xi_}))))", f"degrees({lat})"
+
+
 def majority(source: str, out: str, columns: list[str], classes: list[int], half: int = 2) -> str:
     frame = f"ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING"
     along = {f"{c}_{k}": f"sum($x) OVER ($w {frame})" for c in columns for k in classes}
