@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import PIECE_CHARS, encode
 from .shared import stored
 
 #: Texts are tokenised in slices of about so many characters.
 SLICE_CHARS = 1 << 18
-#: Units whose tokens a worker remembers, and characters of a unit that is remembered.
-UNITS, UNIT_CHARS = 1 << 17, 64
 #: Id pairs with at least one link in so many are broadcast; there are no more than that.
 HOT = 1 << 17
 
@@ -34,25 +34,33 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Byte-level BPE from a tokenizers file."""
+    """Byte-level BPE with the vocabulary of a tokenizers file.
+
+    Its merges are in the order of their ids, so the ids are tiktoken's ranks.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        size = self._tokenizer.get_vocab_size()
-        self.bytes = [b""] * size
-        for piece, i in made["model"]["vocab"].items():
-            self.bytes[i] = bytes(letters[c] for c in piece)
-        for added in made["added_tokens"]:
-            self.bytes[added["id"]] = added["content"].encode()
+        special = {x["content"] for x in made["added_tokens"]}
+        ranks = {bytes(letters[c] for c in piece): i for piece, i in made["model"]["vocab"].items() if piece not in special}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in made["model"]["merges"]]
+        if [made["model"]["vocab"]["".join(m)] for m in pairs] != list(range(256, 256 + len(pairs))) or len(ranks) != 256 + len(pairs):
+            raise ValueError(f"{path}: ids are not in the order of the merges")
+        self.bytes = sorted(ranks, key=ranks.get)
+        self._encoding = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of space + text. Every byte is a token, so they always give it back."""
+        return encode(" " + text, self._encoding)
+
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return [self._tokenizer.encode(u, add_special_tokens=False).ids for u in units]
+#: A cut for pieces: before a single space between characters that are none.
+_CUT = re.compile("(?<=[^\\s\u2581]) (?=[^\\s\u2581])")
 
 
 class Pieces:
@@ -63,73 +71,39 @@ class Pieces:
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self._model.id_to_piece(i) for i in range(self._model.vocab_size())]
-        self.bytes = [bytes([int(n[3:5], 16)]) if self._model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.bytes = [bytes([int(n[3:5], 16)]) if self._model.is_byte(i) else n.replace("\u2581", " ").encode() for i, n in enumerate(names)]
         #: No piece goes on from another character to a space, so no merge crosses the border before one.
-        self.by_words = not any("▁" in n.lstrip("▁") for n in names)
+        self._by_words = not any("\u2581" in n.lstrip("\u2581") for n in names)
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return self._model.encode([u[1:] for u in units], num_threads=1)
+    def pieces(self, text: str, size: int = PIECE_CHARS) -> list[str]:
+        """Parts of a long text whose ids, joined, are the text's; the space before a part is put there by the model."""
+        out, begin = [], 0
+        while self._by_words and len(text) - begin > size and (cut := _CUT.search(text, begin + size)):
+            out.append(text[begin : cut.start()])
+            begin = cut.end()
+        return [*out, text[begin:]]
 
-
-def units(text: str) -> list[str]:
-    """space + text, cut before each first space of a run that follows a character that is no white space.
-
-    Both tokenizers cut there in any case: the one's pre-splitting pattern never goes
-    on from another character to white space, the other has no piece that does.
-    """
-    if "  " not in text and not text.startswith(" ") and not text.endswith(" "):
-        parts = [" " + p for p in text.split(" ")]
-        if not any(p[-1].isspace() for p in parts):
-            return parts
-    out, open_ = [], ""
-    for part in text.split(" "):
-        open_ += " " + part
-        if part and not part[-1].isspace():
-            out.append(open_)
-            open_ = ""
-    # white space at the end stays with what it follows
-    return [*out[:-1], out[-1] + open_] if out else [open_]
+    def encode(self, text: str) -> list[int] | None:
+        """Ids of the text, with the space before it; none if they do not give it back byte for byte."""
+        parts = [text] if len(text) <= PIECE_CHARS else self.pieces(text)
+        ids = [i for part in self._model.encode(parts, num_threads=1) for i in part]
+        return ids if b"".join(map(self.bytes.__getitem__, ids)) == (" " + text).encode() else None
 
 
 class Tokens:
-    """Tokens of units by both tokenizers, remembered for units that come again."""
+    """Ids and ends of both sides of texts."""
 
-    def __init__(self, a, b):
+    def __init__(self, a: ByteLevel, b: Pieces):
         self._sides = (a, b)
         self._lengths = [np.array([len(x) for x in side.bytes], dtype=np.int64) for side in self._sides]
-        self._known: dict[str, tuple[list[int], list[int], bool]] = {}
-
-    def _encoded(self, texts: list[list[str]]) -> dict[str, tuple[list[int], list[int], bool]]:
-        """Remembers the ids of the short units and gives those of the others: both sides' and whether they give the unit back."""
-        known = self._known
-        if len(known) > UNITS:
-            known.clear()
-        new = list({u for text in texts for u in text if u not in known})
-        long = {}
-        for unit, x, y in zip(new, *(side.encode(new) for side in self._sides)):
-            (known if len(unit) <= UNIT_CHARS else long)[unit] = (x, y, self._equal(unit, (x, y)))
-        return long
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Ids and ends of both sides of each text; empty where the text has no tokens."""
-        whole = not self._sides[1].by_words
-        cut = [([" " + t] if whole else units(t)) if t else [] for t in texts]
-        known, long = self._known, self._encoded(cut)
-        none = np.zeros(0, dtype=np.int64)
-        out = []
-        for text, parts in zip(texts, cut):
-            entries = [known.get(u) or long[u] for u in parts]
-            ids = [[i for e in entries for i in e[side]] for side in (0, 1)]
-            if not parts or not (all(e[2] for e in entries) or self._equal(" " + text, ids)):
-                out.append((none, none, none, none))
-                continue
-            a, b = (np.array(x, dtype=np.int64) for x in ids)
-            out.append((a, np.cumsum(self._lengths[0][a]), b, np.cumsum(self._lengths[1][b])))
-        return out
-
-    def _equal(self, text: str, ids) -> bool:
-        raw = text.encode()
-        return all(b"".join(map(side.bytes.__getitem__, x)) == raw for side, x in zip(self._sides, ids))
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Empty where the text has no tokens."""
+        b = self._sides[1].encode(text) if text else None
+        if not b:
+            return (np.zeros(0, dtype=np.int64),) * 4
+        ids = (np.array(x, dtype=np.int64) for x in (self._sides[0].encode(text), b))
+        return tuple(x for own, n in zip(ids, self._lengths) for x in (own, np.cumsum(n[own])))
 
 
 _TOKENS: dict = {}
@@ -168,7 +142,7 @@ def tokenised(docs: DataFrame, key: str, text: str, a_file: str, b_file: str) ->
         tokens = _tokens(a_file, b_file)
         for batch in batches:
             for first, texts in _slices(batch.column(1)):
-                sides = list(zip(*tokens(texts)))
+                sides = list(zip(*map(tokens, texts)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *(_lists(list(x)) for x in sides)], names=["key", "a_ids", "a_ends", "b_ids", "b_ends"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -194,10 +168,10 @@ def _places(marked: str) -> Column:
     return F.filter(after, lambda p: p.isNotNull())
 
 
-def _part(ids: str, at: str, k: Column) -> Column:
-    """The ids of group k, joined by commas."""
-    before = F.coalesce(F.get(at, k - 2), F.lit(0))
-    return F.array_join(F.slice(ids, before + 1, F.get(at, k - 1) - before), ",")
+def _part(ids: str, last: Column, before: Column) -> Column:
+    """The ids of a group, joined by commas; most groups have one."""
+    one = F.get(ids, last - 1).cast("string")
+    return F.when(last == before + 1, one).otherwise(F.array_join(F.slice(ids, before + 1, last - before).cast("array<string>"), ","))
 
 
 def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: str | None = None, b_file: str | None = None) -> DataFrame:
@@ -214,11 +188,11 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: st
     found = found.withColumn("common", F.array_intersect("a_ends", "b_ends"))
     found = found.select("key", "a_ids", "b_ids", _marked("a_ends").alias("a_marked"), _marked("b_ends").alias("b_marked"))
     found = found.select("key", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), "a_ids", "b_ids", _places("a_marked").alias("a_at"), _places("b_marked").alias("b_at"))
-    found = found.select("key", "n_a", "n_b", "a_ids", "b_ids", "a_at", "b_at", F.col("a_ids").cast("array<string>").alias("a_names"), F.col("b_ids").cast("array<string>").alias("b_names"), F.size("a_at").alias("n"))
-    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
-    groups = F.transform(numbers, lambda k: F.concat(_part("a_names", "a_at", k), F.lit("|"), _part("b_names", "b_at", k)))
+    before = lambda at, k: F.when(k > 0, F.get(at, k - 1)).otherwise(0)
+    numbers = F.when(F.size("a_at") > 0, F.sequence(F.lit(0), F.size("a_at") - 1)).otherwise(F.array().cast("array<int>"))
+    groups = F.transform(numbers, lambda k: F.concat(_part("a_ids", F.get("a_at", k), before("a_at", k)), F.lit("|"), _part("b_ids", F.get("b_at", k), before("b_at", k))))
     links = F.zip_with("a_at", "b_at", lambda x, y: F.shiftleft(F.get("b_ids", y - 1).cast("long"), 32) + F.get("a_ids", x - 1))
-    return found.select("key", "n_a", "n_b", F.col("n").cast("long").alias("n_groups"), groups.alias("groups"), links.alias("links"))
+    return found.select("key", "n_a", "n_b", F.size("a_at").cast("long").alias("n_groups"), groups.alias("groups"), links.alias("links"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

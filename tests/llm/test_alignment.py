@@ -7,7 +7,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pixelweave.llm import alignment, queries
+from pixelweave.llm import alignment, bpe, queries
 
 
 class Plain:
@@ -49,11 +49,17 @@ def brute(rows):
     for key, text in rows:
         a, b = map(ends, plain.tokens(text))
         common = sorted({e for e, _ in a} & {e for e, _ in b})
-        groups, low = [], 0
+        groups, at = [], [0, 0]
         for c in common:
-            groups.append("|".join(",".join(str(i) for e, i in side if low < e <= c) for side in (a, b)))
-            low = c
-        links = [(dict(a)[c], dict(b)[c]) for c in common] if len(common) < 2000 else list(zip([i for e, i in a if e in set(common)], [i for e, i in b if e in set(common)]))
+            group = []
+            for k, side in enumerate((a, b)):
+                first = at[k]
+                while at[k] < len(side) and side[at[k]][0] <= c:
+                    at[k] += 1
+                group.append(",".join(str(i) for _, i in side[first : at[k]]))
+            groups.append("|".join(group))
+        at_a, at_b = dict(a), dict(b)
+        links = [(at_a[c], at_b[c]) for c in common]
         parts.append((key, len(a), len(b), groups, links))
     counts = Counter(pair for p in parts for pair in p[4])
     best = {}
@@ -88,17 +94,34 @@ def test_edge_cases(spark):
     assert got(alignment.alignment(docs.limit(0))) == []
 
 
-def test_units_are_cut_where_both_tokenizers_cut():
-    rng = random.Random(4)
-    plain = Plain()
-    made = alignment.Tokens(alignment.ByteLevel(public_tokenizers.path("byte_bpe_50k.json")), alignment.Pieces(public_tokenizers.path("piece_bpe_32k.model")))
-    pieces = [" ", " ", "  ", "\n", "\t", "word", "It's", "été", "日本", "42", ".", "😀", " ", "　", " x", "ing", "▁", "\r\n", "\x1c", "\x85"]
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(800)]
-    for text, (a, a_ends, b, b_ends) in zip(texts, made(texts)):
-        assert "".join(alignment.units(text)) == " " + text
-        want_a, want_b = plain.tokens(text)
-        assert (a.tolist(), b.tolist()) == ([i for i, _ in want_a], [i for i, _ in want_b]), text
-        assert a_ends.tolist() == [e for e, _ in ends(want_a)] and b_ends.tolist() == [e for e, _ in ends(want_b)]
+def sides():
+    return alignment.ByteLevel(public_tokenizers.path("byte_bpe_50k.json")), alignment.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_long_texts_are_cut_where_both_tokenizers_cut(monkeypatch):
+    rng, plain, (a, b) = random.Random(4), Plain(), sides()
+    made = alignment.Tokens(a, b)
+    pieces = [" ", " ", "  ", "\n", "\t", "word", "It's", "été", "日本", "42", ".", "😀", "\xa0", "\u3000", " x", "ing", "▁", "\r\n", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(800)]
+    for size in (3, 12, 8192):
+        monkeypatch.setattr(alignment, "PIECE_CHARS", size)
+        monkeypatch.setattr(bpe, "PIECE_CHARS", size)
+        monkeypatch.setattr(alignment.Pieces.pieces, "__defaults__", (size,))
+        for text in texts:
+            ids, a_ends, b_ids, b_ends = made(text)
+            want_a, want_b = plain.tokens(text)
+            assert (ids.tolist(), b_ids.tolist()) == ([i for i, _ in want_a], [i for i, _ in want_b]), text
+            assert a_ends.tolist() == [e for e, _ in ends(want_a)] and b_ends.tolist() == [e for e, _ in ends(want_b)]
+    assert max(map(len, b.pieces("wort und satz " * 3000, 8192))) < 8300
+
+
+def test_every_character_is_encoded_as_by_the_tokenizers_library():
+    """White space, letters and digits are told apart alike: every 7th character, and all of the first 0x3000."""
+    plain, (a, _) = Plain(), sides()
+    codes = [c for c in (*range(0x3000), *range(0x3000, 0x110000, 7)) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}; {chr(c)}{chr(c)} x" for c in codes]
+    want = [e.ids for e in plain.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [a.encode(t) for t in texts] == want
 
 
 def test_rare_pairs_are_counted_like_frequent_ones(spark, sf, monkeypatch):
