@@ -24,6 +24,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/tables/{context.applicationId}/{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has stored, for when all results that read it are written."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch(spark)).getParent()
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same table, computed once, written as Parquet under spark.checkpoint.dir and read from there.
 

@@ -221,3 +221,37 @@ def test_grid_search_and_seasons(spark, field):
     shift = learning.importance_shift(seasons, "a", "b").collect()
     assert len(shift) == 10 and all(r.delta == 0 for r in shift) and [r.finding for r in shift if r.feature == "ndwi"] == ["INCONCLUSIVE"]
     assert {r["pair"]: r.n for r in learning.top_features(seasons).groupBy("pair").agg(F.count("*").alias("n")).collect()} == {"a": 5, "b": 5}
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from pixelweave.operators import storage
+
+    kept = storage.stored(spark.range(3))
+    assert kept.count() == 3
+    storage.clear(spark)
+    storage.clear(spark)  # nothing is left to delete
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])
+
+
+@pytest.mark.parametrize("values", [[1.0, float("nan")] * 3 + [2.0, 5.0], [float("inf"), 1.0, 2.0, 3.0], [-float("inf"), 1.0, 2.0, 3.0, float("inf")], [float("inf")] * 3, [1e308, -1e308, 0.0, 3.0], [1e30, *range(200)], [float("nan")]])
+def test_percentiles_and_thresholds_with_odd_values(spark, values):
+    """NaN is a masked pixel, infinite values have their ranks; none of them moves a threshold."""
+    from pixelweave.operators import otsu, quantiles
+
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    real = df.filter(~F.isnan("v"))
+    for q in (0.0, 0.3, 0.5, 0.95, 1.0):
+        want = real.agg(F.percentile("v", F.lit(q))).first()[0]
+        got = quantiles.percentile(df, "v", q)
+        assert got == want or math.isclose(got, want, rel_tol=1e-9) or (math.isnan(got) and math.isnan(want))
+    finite = real.filter(F.abs("v") < float("inf"))
+    assert otsu.otsu(df, "v").first() == otsu.otsu(finite, "v").first()
+
+
+def test_a_percentile_without_nan(spark):
+    from pixelweave.operators import otsu, quantiles
+
+    df = spark.range(1, 1001).select(F.col("id").cast("double").alias("v")).union(spark.createDataFrame([(float("nan"),)], "v double"))
+    assert math.isclose(quantiles.percentile(df, "v", 0.95), 950.05)
+    assert otsu.otsu(df, "v").first().threshold == otsu.otsu(df.filter("not isnan(v)"), "v").first().threshold > 400
