@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ HEAD_SHARE = 1 / (1 << 20)
 BLOCK = 1 << 22
 #: Words whose lattices are held at once.
 SLICE = 1 << 14
+#: and their bytes: a lattice takes some 12 bytes for each byte of a word and length of piece.
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
@@ -199,12 +202,23 @@ class Lattice:
         return out
 
 
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words whose lattices are held at once: at most SLICE words and SLICE_BYTES bytes, or one longer word."""
+    upto = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        last = int(np.searchsorted(upto, upto[first] - sizes[first] + SLICE_BYTES, side="right"))
+        last = min(max(last, first + 1), first + SLICE, len(sizes))
+        yield first, last
+        first = last
+
+
 def word_logp(units: Units, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Log probability of each word; words of like sizes are taken together."""
     out = np.empty(len(starts))
     order = np.argsort(ends - starts, kind="stable")
-    for k in range(0, len(order), SLICE):
-        part = order[k : k + SLICE]
+    for first, last in slices((ends - starts)[order]):
+        part = order[first:last]
         out[part] = Lattice(units, data, starts[part], ends[part]).word_logp()
     return out
 
@@ -252,8 +266,8 @@ def fit(counts: DataFrame, units: Units, n_texts: int, rounds: int = ROUNDS) ->
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for k in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(k, SLICE)
+                for first, last in slices(pc.binary_length(batch.column(0)).to_numpy()):
+                    part = batch.slice(first, last - first)
                     got = Lattice(shared.value, *_joined(part.column(0))).expected(part.column(1).to_numpy().astype(np.float64))
                     total = got if total is None else total + got
             if total is not None:

@@ -127,3 +127,32 @@ def test_nulls_ties_clashes_and_empty_tables(spark):
     assert lattice.lattice_scores(docs.limit(0)).count() == 0
     none = lattice.lattice_scores(docs.filter("crc32(cast(doc_id as string)) % 7 = 2"))
     assert all(r.train_tokens == 0 and r.held_out for r in none.collect())
+
+
+def test_slices_bound_words_and_bytes(monkeypatch):
+    monkeypatch.setattr(lattice, "SLICE", 5)
+    monkeypatch.setattr(lattice, "SLICE_BYTES", 100)
+    sizes = np.array([1] * 12 + [60, 60, 250, 3, 3, 99, 1, 1])
+    found = list(lattice.slices(sizes))
+    assert [a for a, _ in found] == [0, *(b for _, b in found[:-1])] and found[-1][1] == len(sizes)
+    assert all(b - a <= 5 and (sizes[a:b].sum() <= 100 or b - a == 1) for a, b in found) and len(found) < 10
+    assert list(lattice.slices(sizes[:0])) == []
+
+
+def test_long_words_are_held_a_few_at_a_time():
+    """16,384 words of 150 characters without a space: memory stays under some 400 MB, scores as of each word alone."""
+    import tracemalloc
+
+    units = lattice.load_units()
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 150))) for _ in range(64)]
+    raw = [w.encode() for w in words * 256]
+    data = np.frombuffer(b" " + b" ".join(raw) + b" " * 16, dtype=np.uint8)
+    size = np.array([len(r) for r in raw])
+    starts = 1 + np.cumsum(size + 1) - (size + 1)
+    tracemalloc.start()
+    got = lattice.word_logp(units, data, starts, starts + size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = lattice.word_logp(units, data, starts[:3], (starts + size)[:3])
+    assert np.allclose(got[:3], one) and np.allclose(got.reshape(256, 64), got[:64]) and peak < 400e6
