@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PIECE_CHARS, encode
+from .bpe import PIECE_CHARS, pieces
 from .shared import stored
 
 #: Texts are tokenised in slices of about so many characters.
@@ -54,9 +54,10 @@ class ByteLevel:
         self.bytes = sorted(ranks, key=ranks.get)
         self._encoding = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of space + text. Every byte is a token, so they always give it back."""
-        return encode(" " + text, self._encoding)
+        parts = [self._encoding.encode_to_numpy(part) for part in pieces(" " + text, PIECE_CHARS)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 #: A cut for pieces: before a single space between characters that are none.
@@ -75,7 +76,7 @@ class Pieces:
         #: No piece goes on from another character to a space, so no merge crosses the border before one.
         self._by_words = not any("\u2581" in n.lstrip("\u2581") for n in names)
 
-    def pieces(self, text: str, size: int = PIECE_CHARS) -> list[str]:
+    def pieces(self, text: str, size: int) -> list[str]:
         """Parts of a long text whose ids, joined, are the text's; the space before a part is put there by the model."""
         out, begin = [], 0
         while self._by_words and len(text) - begin > size and (cut := _CUT.search(text, begin + size)):
@@ -85,25 +86,28 @@ class Pieces:
 
     def encode(self, text: str) -> list[int] | None:
         """Ids of the text, with the space before it; none if they do not give it back byte for byte."""
-        parts = [text] if len(text) <= PIECE_CHARS else self.pieces(text)
-        ids = [i for part in self._model.encode(parts, num_threads=1) for i in part]
+        parts = self.pieces(text, PIECE_CHARS)
+        ids = self._model.encode(text) if len(parts) == 1 else [i for part in self._model.encode(parts, num_threads=1) for i in part]
         return ids if b"".join(map(self.bytes.__getitem__, ids)) == (" " + text).encode() else None
 
 
 class Tokens:
-    """Ids and ends of both sides of texts."""
+    """Ids, ends and places of both sides' tokens."""
 
     def __init__(self, a: ByteLevel, b: Pieces):
         self._sides = (a, b)
         self._lengths = [np.array([len(x) for x in side.bytes], dtype=np.int64) for side in self._sides]
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, ...]:
         """Empty where the text has no tokens."""
         b = self._sides[1].encode(text) if text else None
         if not b:
-            return (np.zeros(0, dtype=np.int64),) * 4
-        ids = (np.array(x, dtype=np.int64) for x in (self._sides[0].encode(text), b))
-        return tuple(x for own, n in zip(ids, self._lengths) for x in (own, np.cumsum(n[own])))
+            return (np.zeros(0, dtype=np.int64),) * 6
+        made = []
+        for ids, lengths in zip((self._sides[0].encode(text), np.array(b, dtype=np.int32)), self._lengths):
+            ends = np.cumsum(lengths[ids])
+            made += [ids, ends, (ends << 32) + np.arange(1, len(ends) + 1)]
+        return tuple(made)
 
 
 _TOKENS: dict = {}
@@ -128,50 +132,53 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, list]]:
         yield first, texts
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+_NAMES, _KINDS = [f"{side}_{x}" for side in "ab" for x in ("ids", "ends", "places")], [np.int32, np.int32, np.int64] * 2
+
+
+def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(kind, copy=False)))
 
 
 def tokenised(docs: DataFrame, key: str, text: str, a_file: str, b_file: str) -> DataFrame:
-    """key, a_ids, a_ends, b_ids, b_ends: tokens and the byte offsets where they end, on space + text."""
+    """key, then of both sides ids, ends and places: tokens, the byte offsets where they end, on space + text, and end * 2**32 + number (from 1)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(a_file, b_file)
         for batch in batches:
             for first, texts in _slices(batch.column(1)):
-                sides = list(zip(*map(tokens, texts)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *(_lists(list(x)) for x in sides)], names=["key", "a_ids", "a_ends", "b_ids", "b_ends"])
+                columns = [_lists(list(x), kind) for x, kind in zip(zip(*map(tokens, texts)), _KINDS)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["key", *_NAMES])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-
+    return rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{name} array<{'long' if kind is np.int64 else 'int'}>" for name, kind in zip(_NAMES, _KINDS)))
 
-_LOW = (1 << 32) - 1
 
-
-def _marked(ends: str) -> Column:
-    """Ends with their places, and before each that is common a mark of place 0, in order.
+def _marked(side: str) -> Column:
+    """A side's ends with their places, and before each that is common a mark of place 0, in order.
 
     Two sorted runs, so that sorting is one merge.
     """
-    own = F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + i + 1)
-    marks = F.transform("common", lambda e: F.shiftleft(e.cast("long"), 32))
-    return F.sort_array(F.concat(own, marks))
+    return F.sort_array(F.concat(f"{side}_places", F.transform("common", lambda e: F.shiftleft(e.cast("long"), 32))))
 
 
 def _places(marked: str) -> Column:
-    """Places (from 1) of the common ends among a side's tokens: what comes after each mark."""
-    after = F.zip_with(marked, F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1))), lambda x, y: F.when(x.bitwiseAND(_LOW) == 0, y.bitwiseAND(_LOW).cast("int")))
-    return F.filter(after, lambda p: p.isNotNull())
+    """Places (from 1) of the common ends among a side's tokens.
+
+    From a mark to its token the numbers go up by the place; from a token to what is
+    next the end goes up too, by 2**32 at least less the place before.
+    """
+    steps = F.zip_with(marked, F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1))), lambda x, y: y - x)
+    return F.filter(steps, lambda d: d < (1 << 31)).cast("array<int>")
 
 
-def _part(ids: str, last: Column, before: Column) -> Column:
-    """The ids of a group, joined by commas; most groups have one."""
-    one = F.get(ids, last - 1).cast("string")
-    return F.when(last == before + 1, one).otherwise(F.array_join(F.slice(ids, before + 1, last - before).cast("array<string>"), ","))
+def _parts(ids: str, at: str) -> Column:
+    """The ids of each group on one side, joined by commas; most groups have one."""
+    many = lambda x, y: F.array_join(F.slice(ids, x + 1, y - x).cast("array<string>"), ",")
+    before = F.concat(F.array(F.lit(0)), at)
+    return F.zip_with(F.slice(before, 1, F.size(at)), at, lambda x, y: F.when(y == x + 1, F.col(ids)[x].cast("string")).otherwise(many(x, y)))
 
 
 def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: str | None = None, b_file: str | None = None) -> DataFrame:
@@ -180,18 +187,17 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: st
     groups are strings "a1,a2|b1": the ids of either side between two offsets where
     tokens of both end. links holds for each such offset the ids of the two tokens
     that end there, as b * 2**32 + a. One row for each row, in its task: after
-    tokenising, array_intersect finds the common ends, transform numbers them and
-    sequence runs over them. Work and memory go with the tokens of a text.
+    tokenising, array_intersect finds the common ends, a merge with the places of all
+    ends finds theirs on each side, and what is between them are the groups. Work and
+    memory go with the tokens of a text.
     """
     a, b = default_files()
     found = tokenised(docs, key, text, a_file or a, b_file or b)
     found = found.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    found = found.select("key", "a_ids", "b_ids", _marked("a_ends").alias("a_marked"), _marked("b_ends").alias("b_marked"))
-    found = found.select("key", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), "a_ids", "b_ids", _places("a_marked").alias("a_at"), _places("b_marked").alias("b_at"))
-    before = lambda at, k: F.when(k > 0, F.get(at, k - 1)).otherwise(0)
-    numbers = F.when(F.size("a_at") > 0, F.sequence(F.lit(0), F.size("a_at") - 1)).otherwise(F.array().cast("array<int>"))
-    groups = F.transform(numbers, lambda k: F.concat(_part("a_ids", F.get("a_at", k), before("a_at", k)), F.lit("|"), _part("b_ids", F.get("b_at", k), before("b_at", k))))
-    links = F.zip_with("a_at", "b_at", lambda x, y: F.shiftleft(F.get("b_ids", y - 1).cast("long"), 32) + F.get("a_ids", x - 1))
+    found = found.select("key", "a_ids", "b_ids", *(_marked(side).alias(f"{side}_marked") for side in "ab"))
+    found = found.select("key", *(F.size(f"{side}_ids").cast("long").alias(f"n_{side}") for side in "ab"), "a_ids", "b_ids", *(_places(f"{side}_marked").alias(f"{side}_at") for side in "ab"))
+    groups = F.zip_with(_parts("a_ids", "a_at"), _parts("b_ids", "b_at"), lambda x, y: F.concat(x, F.lit("|"), y))
+    links = F.zip_with("a_at", "b_at", lambda x, y: F.shiftleft(F.col("b_ids")[y - 1].cast("long"), 32) + F.col("a_ids")[x - 1])
     return found.select("key", "n_a", "n_b", F.size("a_at").cast("long").alias("n_groups"), groups.alias("groups"), links.alias("links"))
 
 
