@@ -101,31 +101,38 @@ CROWDED = 4 << GROUP_BITS
 
 
 def _grouped(docs: DataFrame, key: str, text: str, order: Column) -> tuple[DataFrame, list[str]]:
-    """key, text and their group, and the names of its columns: go, or go, gs, gz.
+    """key, text and their group, and the names of its columns: go, or go, gs, gz and how many rows (times) a row stands for.
 
     Groups are 64 keys wide. If some have more than CROWDED rows, as many null or
     repeated keys make them, those are cut into a group for each key and range of the text's hash, in number as many
     as bring the group's rows down to about a group's width. Equal rows that are more
-    than CROWDED are dealt out by chance; those in groups of gz over 0 come before the others.
+    than CROWDED are counted into one: its group (gz 0) has one of them, the last, and
+    groups of gz over 0 stand for up to CROWDED of the others each.
     """
-    h = F.xxhash64("text")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     wide, none = F.shiftright(order, GROUP_BITS), F.lit(0).cast("long")
     crowded = rows.groupBy(wide.alias("g")).agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
     crowded = checkpointed(crowded.select("g", F.ceil(F.log2(F.col("n") / (1 << GROUP_BITS))).cast("int").alias("bits")))
     if crowded.isEmpty():
         return rows.select("key", "text", F.shiftleft(wide, GROUP_BITS).alias("go")), ["go"]
-    rows = rows.withColumns({"o": order, "h": h, "g": wide})
-    equal = rows.groupBy(F.col("o").alias("eo"), F.col("h").alias("eh")).agg(F.count("*").alias("m")).filter(F.col("m") > CROWDED)
-    equal = small_side(checkpointed(equal))
-    cut = rows.join(small_side(crowded), "g", "left").join(equal, (F.col("o") == F.col("eo")) & (F.col("h") == F.col("eh")), "left")
+    crowded = small_side(crowded)
+    rows = rows.withColumns({"o": order, "h": F.xxhash64("text"), "g": wide})
+    equal = rows.join(crowded, "g", "left_semi").groupBy(F.col("o").alias("eo"), F.col("h").alias("eh")).agg(F.count("*").alias("m"))
+    equal = checkpointed(equal.filter(F.col("m") > CROWDED).select("eo", "eh"))
     alone = F.col("bits").isNull()
-    cut = cut.select(
-        "key", "text",
-        F.when(alone, F.shiftleft("g", GROUP_BITS)).otherwise(F.col("o")).alias("go"), F.when(alone, none).otherwise(F.expr("shiftright(h, 64 - bits)")).alias("gs"),
-        F.when(F.col("m").isNull(), none).otherwise(F.floor(F.rand(7) * F.shiftright("m", GROUP_BITS))).alias("gz"),
-    )
-    return cut, ["go", "gs", "gz"]
+    go, gs = F.when(alone, F.shiftleft("g", GROUP_BITS)).otherwise(F.col("o")), F.when(alone, none).otherwise(F.expr("shiftright(h, 64 - bits)"))
+    cut = rows.join(crowded, "g", "left").withColumns({"go": go, "gs": gs})
+    by = ["go", "gs", "gz"]
+    one = [none.alias("gz"), F.lit(1).alias("times")]
+    if equal.isEmpty():
+        return cut.select("key", "text", "go", "gs", *one), by
+    equal, same = small_side(equal), (F.col("o") == F.col("eo")) & (F.col("h") == F.col("eh"))
+    few = cut.join(equal, same, "left_anti").select("key", "text", "go", "gs", *one)
+    many = cut.join(equal, same, "left_semi").groupBy("key", "text", "go", "gs").agg((F.count("*") - 1).alias("more"))
+    parts = F.sequence(none, F.ceil(F.col("more") / CROWDED))
+    many = many.select("key", "text", "go", "gs", "more", F.explode(parts).alias("gz"))
+    times = F.when(F.col("gz") == 0, 1).otherwise(F.least(F.lit(CROWDED), F.col("more") - (F.col("gz") - 1) * CROWDED))
+    return few.unionByName(many.select("key", "text", "go", "gs", "gz", times.cast("int").alias("times"))), by
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,7 +146,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Documents are dealt out once, by groups of 64 keys; the document after a
     group's last is the first of the next group. No step holds more than a group,
-    and keys that are on many rows are cut into groups by their texts' hash.
+    keys that are on many rows are cut into groups by their texts' hash, and very many
+    equal rows are worked as one and counted. Groups depend on the rows alone, so a task
+    that is run again deals them out alike.
 
     A null text counts as empty; a null key comes after all others; rows of the same
     key follow each other by a hash of their text, equal ones in any order; one document is its own next; an
@@ -164,12 +173,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = rows.withColumn("after", after if len(by) == 1 else F.when(F.col("gz") == 0, after).otherwise(F.struct("text", "sigs")))
     own = F.col("go") == F.col("own_o") if len(by) == 1 else (F.col("go") == F.col("own_o")) & (F.col("gs") == F.col("own_s"))
     rows = rows.join(guests, own & F.col("after").isNull(), "left")
-    rows = rows.select("key", "text", "sigs", F.coalesce("after.text", "guest").alias("next_text"), F.coalesce("after.sigs", "guest_sigs").alias("next_sigs"))
+    times = F.lit(1) if len(by) == 1 else F.col("times")
+    rows = rows.select("key", "text", "sigs", F.coalesce("after.text", "guest").alias("next_text"), F.coalesce("after.sigs", "guest_sigs").alias("next_sigs"), times.alias("times"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("key", "sigs", "next_sigs", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    rows = rows.select("key", "times", "sigs", "next_sigs", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     rows = add_signatures(rows, "edited", "edited_sigs")
-    return rows.select(
+    found = rows.select(
         F.col("key").alias(key),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -177,7 +187,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        *([] if len(by) == 1 else ["times"]),
     )
+    return found if len(by) == 1 else found.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times")
 
 
 def near_pairs(sets: DataFrame, key: str = "doc_id", sigs: str = "sigs", threshold: float = 0.8) -> DataFrame:
