@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import ALNUM, RollingHash, Words, blocks, covered, mix, sliding, window_is_inside
-from .shared import BROADCAST_ROWS, distinct_hash, stored
+from .shared import BROADCAST_ROWS, PAIR, pair_hash, stored
 
 #: Fingerprints of the benchmark that are broadcast at most, as 8 bytes each; more are joined by a shuffle.
 BROADCAST_FINGERPRINTS = 2_000_000
@@ -187,7 +187,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     fingerprints, as counted, are broadcast as a sorted array, so that only windows
     around a hit leave the documents' tasks; more are joined by a shuffle of the
     documents' fingerprints. What was found is broadcast to the documents where it is
-    counted to be small, else joined by row. A window that very many documents have is
+    counted to be small, else joined by row; rows are told apart by 128 bits of key and text. The lists of items that
+    windows have are broadcast by the summed number of their ids. A window that very many documents have is
     a single row on the benchmark's side, so Spark can split that key.
 
     Null or empty texts have no words and no hits; items without words or without
@@ -201,25 +202,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     windows = stored(windows.withColumn("set", F.xxhash64("items")))
     sets = windows.groupBy("set").agg(F.first("items").alias("items"))
     prints = stored(both.filter("f is not null").select("f").distinct())
-    lengths = sorted(r.k for r in windows.select("k").distinct().collect() if r.k < window)
     n_prints = prints.count()
+    per_set = windows.groupBy("set").agg(F.first(F.size("items")).alias("items"), F.count("*").alias("n"), F.collect_set("k").alias("k"))
+    n_windows, n_listed, sizes = per_set.agg(F.sum("n"), F.sum("items"), F.flatten(F.collect_set("k"))).first()
+    lengths = sorted({k for k in sizes if k < window})
 
     body = F.coalesce(F.col(text), F.lit(""))
-    rid = distinct_hash(docs, F.col(key).isNull(), F.col(key), body).alias("rid")
+    rid = pair_hash(F.col(key).isNull(), F.col(key), body).alias("rid")
     texts = docs.select(rid, body.alias("text"))
-    schema = "rid long, p int, k int, a long, b long"
+    schema = f"rid {PAIR}, p int, k int, a long, b long"
     if n_prints <= broadcast:
         known = np.sort(prints.toArrow().column("f").to_numpy().view(np.uint64))
         around = texts.mapInArrow(_candidates(spark.sparkContext.broadcast(known), window, gram, lengths), schema) if n_prints else spark.createDataFrame([], schema)
     else:
-        met = texts.mapInArrow(_of_docs(window, gram, lengths), "rid long, f long, p int, k int").join(prints, "f")
+        met = texts.mapInArrow(_of_docs(window, gram, lengths), f"rid {PAIR}, f long, p int, k int").join(prints, "f")
         places = met.groupBy("rid").agg(F.collect_set(F.struct("p", "k")).alias("places"))
         around = texts.dropDuplicates(["rid"]).join(places, "rid").mapInArrow(_candidates_at(window, gram), schema)
     table = windows.select("k", "a", "b", "set")
-    few = windows.count() <= BROADCAST_ROWS
-    hits = around.distinct().join(F.broadcast(table) if few else table, ["k", "a", "b"])
+    hits = around.distinct().join(F.broadcast(table) if (n_windows or 0) <= BROADCAST_ROWS else table, ["k", "a", "b"])
     hits = stored(hits.select("rid", "p", "k", "set"))
-    named = hits.select("rid", "set").distinct().join(F.broadcast(sets) if few else sets, "set").select("rid", F.explode("items").alias("item"))
+    named = hits.select("rid", "set").distinct().join(F.broadcast(sets) if (n_listed or 0) <= BROADCAST_ROWS else sets, "set").select("rid", F.explode("items").alias("item"))
     named = named.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
     # windows that overlap or touch are one range
     by_row = Window.partitionBy("rid").orderBy("p", "end")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import NON_SPACE, Block, Words, blocks, mix, row_struct, unpack_row
-from .shared import checkpointed, stored
+from .shared import PAIR, checkpointed, pair_hash, stored
 
 #: Rounds of expectation and maximisation that fit the pieces' probabilities.
 ROUNDS = 3
@@ -306,7 +306,7 @@ def lattice_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", voc
     A null or empty text is its end alone; a null key is not held out; repeated rows
     count and are scored each; with nothing to learn from, N is 0 and the first
     probabilities stay. With rounds=0 they stay in any case: the vocabulary's own
-    scores weigh all segmentations. A word is known by its 64-bit hash.
+    scores weigh all segmentations. A row is told apart by 128 bits of key and text, a word known by its 64-bit hash.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
@@ -323,9 +323,9 @@ def lattice_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", voc
     order = np.argsort(head.column("h").to_numpy())
     shared = spark.sparkContext.broadcast((units, head.column("h").to_numpy()[order], head.column("n").to_numpy()[order], tokens, kinds, n_texts))
 
-    rows = docs.select(row_struct((key,)), F.xxhash64(F.col(key), body).alias("rid"), body.alias("text"))
+    rows = docs.select(row_struct((key,)), pair_hash(F.col(key).isNull(), F.col(key), body).alias("rid"), body.alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    made = rows.mapInArrow(_score(shared), f"row {kind}, rid long, n_tokens long, n_known long, base double, score double, h long, times int")
+    made = rows.mapInArrow(_score(shared), f"row {kind}, rid {PAIR}, n_tokens long, n_known long, base double, score double, h long, times int")
     made = stored(made)
     # a row without h is a document's own; the others are words that were not looked up yet
     tail = made.filter("h is not null").select("rid", "h", "times")

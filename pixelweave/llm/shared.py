@@ -66,3 +66,15 @@ def distinct_hash(df: DataFrame, *columns: Column) -> Column:
     own, other = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
     clashes = df.select(own.alias("h"), other.alias("g")).groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high").select("h").collect()
     return F.when(own.isin([r.h for r in clashes]), F.xxhash64(F.lit(2), *columns)).otherwise(own) if clashes else own
+
+
+#: Type of pair_hash.
+PAIR = "struct<x: bigint, y: bigint>"
+
+
+def pair_hash(*columns: Column) -> Column:
+    """128 bits of the columns as two longs, so that no pass over the values is needed to tell them apart.
+
+    Nulls of a column must not be skipped over by another's value, as in distinct_hash.
+    """
+    return F.struct(F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit(1), *columns).alias("y"))
