@@ -63,17 +63,21 @@ def jaccard(a: Column, b: Column) -> Column:
 
 #: Bits of a key that its group leaves out, and of a value's next level.
 GROUP_BITS, LEVEL_BITS = 6, 8
+#: Values that are ordered in one step, whatever their distances.
+ORDERED_AT_ONCE = 65_536
 
 
 def next_values(values: DataFrame) -> DataFrame:
     """(k, v, nxt): each distinct pair of longs and the next larger v of the same k, null for the largest.
 
     Groups of values that differ in the last eight bits are at most 256 rows; the
-    least values of the groups are ordered the same way, level by level.
+    least values of the groups are ordered the same way, level by level, until they
+    are ORDERED_AT_ONCE at most, as counted, or in two groups.
     """
     values = checkpointed(values.select("k", "v").distinct())
-    spread = values.groupBy("k").agg((F.shiftright(F.max("v"), LEVEL_BITS) - F.shiftright(F.min("v"), LEVEL_BITS)).alias("s")).agg(F.max("s")).first()[0]
-    last = spread is None or spread < 2  # at most two groups a k: also where values lie on both sides of zero
+    spread = (F.shiftright(F.max("v"), LEVEL_BITS) - F.shiftright(F.min("v"), LEVEL_BITS)).alias("s")
+    spread, n = values.groupBy("k").agg(spread, F.count("*").alias("n")).agg(F.max("s"), F.sum("n")).first()
+    last = spread is None or spread < 2 or n <= ORDERED_AT_ONCE  # two groups: also where values lie on both sides of zero
     group = F.lit(0).cast("long") if last else F.shiftright("v", LEVEL_BITS)
     led = values.withColumn("p", group).withColumn("nxt", F.lead("v").over(Window.partitionBy("k", "p").orderBy("v")))
     if last:
@@ -84,14 +88,19 @@ def next_values(values: DataFrame) -> DataFrame:
     return led.join(up, ["k", "p"], "left").select("k", "v", F.coalesce("nxt", "first").alias("nxt"))
 
 
+def next_in_ring(values: DataFrame) -> DataFrame:
+    """(o, next_o): each distinct long and the next larger one, the least after the largest."""
+    led = next_values(values.select(F.lit(0).cast("long").alias("k"), F.col("o").alias("v")))
+    start = values.agg(F.min("o")).first()[0]
+    return led.select(F.col("v").alias("o"), F.coalesce("nxt", F.lit(start)).alias("next_o"))
+
+
 def next_groups(groups: DataFrame) -> DataFrame:
     """(o, s, next_o, next_s): each distinct pair of longs and the next one in their order, the first after the last."""
     groups = checkpointed(groups.select("o", "s").distinct())
     inner = next_values(groups.select(F.col("o").alias("k"), F.col("s").alias("v")))
     least = groups.groupBy("o").agg(F.min("s").alias("first"))
-    outer = next_values(groups.select(F.lit(0).cast("long").alias("k"), F.col("o").alias("v")))
-    start = groups.agg(F.min("o")).first()[0]
-    outer = outer.select(F.col("v").alias("o"), F.coalesce("nxt", F.lit(start)).alias("other")).join(least.select(F.col("o").alias("other"), "first"), "other")
+    outer = next_in_ring(groups).withColumnRenamed("next_o", "other").join(least.select(F.col("o").alias("other"), "first"), "other")
     both = inner.select(F.col("k").alias("o"), F.col("v").alias("s"), "nxt").join(outer, "o")
     return both.select("o", "s", F.when(F.col("nxt").isNull(), F.col("other")).otherwise(F.col("o")).alias("next_o"), F.coalesce("nxt", "first").alias("next_s"))
 
@@ -160,12 +169,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     dealt = grouped.repartition(*by)
     place = F.struct(order.alias("o"), F.xxhash64("text").alias("h"))
     if len(by) == 1:
-        firsts = dealt.groupBy("go").agg(F.min_by("text", place).alias("guest")).withColumn("gs", F.lit(0).cast("long"))
-        following = next_groups(grouped.select(F.col("go").alias("o"), F.lit(0).cast("long").alias("s")))
+        firsts = dealt.groupBy(F.col("go").alias("next_o")).agg(F.min_by("text", place).alias("guest"))
+        guests = next_in_ring(grouped.select(F.col("go").alias("o"))).join(firsts, "next_o").select(F.col("o").alias("own_o"), "guest")
     else:
-        firsts = dealt.groupBy("go", "gs").agg(F.min_by("text", F.when(F.col("gz") == 0, place)).alias("guest"))
+        firsts = dealt.groupBy(F.col("go").alias("next_o"), F.col("gs").alias("next_s")).agg(F.min_by("text", F.when(F.col("gz") == 0, place)).alias("guest"))
         following = next_groups(grouped.select(F.col("go").alias("o"), F.col("gs").alias("s")))
-    guests = following.join(firsts.withColumnsRenamed({"go": "next_o", "gs": "next_s"}), ["next_o", "next_s"]).select(F.col("o").alias("own_o"), F.col("s").alias("own_s"), "guest")
+        guests = following.join(firsts, ["next_o", "next_s"]).select(F.col("o").alias("own_o"), F.col("s").alias("own_s"), "guest")
     guests = add_signatures(guests, "guest", "guest_sigs")
 
     rows = add_signatures(dealt, "text", "sigs")

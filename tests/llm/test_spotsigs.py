@@ -110,3 +110,15 @@ def test_links_of_documents_with_copies(spark):
         same = min(j for j, t in rows if (t or []) == (s or []))
         assert got[k] == (same, sum(1 for u in different if s and u and u != tuple(s) and jaccard(s, u) >= 0.8))
     assert any(n > 1 for _, n in got.values())
+
+
+def test_next_values_by_levels_and_at_once(spark, monkeypatch):
+    rng = random.Random(12)
+    values = sorted({rng.choice([-1, 1]) * rng.randrange(1 << rng.randrange(1, 40)) for _ in range(600)})
+    df = spark.createDataFrame([(k, v) for k in (3, 8) for v in values], "k long, v long")
+    want = {(k, v, nxt) for k in (3, 8) for v, nxt in zip(values, [*values[1:], None])}
+    for at_once in (spotsigs.ORDERED_AT_ONCE, 10):
+        monkeypatch.setattr(spotsigs, "ORDERED_AT_ONCE", at_once)
+        assert {tuple(r) for r in spotsigs.next_values(df).collect()} == want
+    ring = {tuple(r) for r in spotsigs.next_in_ring(spark.createDataFrame([(v,) for v in values], "o long")).collect()}
+    assert ring == set(zip(values, [*values[1:], values[0]]))
