@@ -46,7 +46,7 @@ def integrated(bd: ChangeResult, ndvi: ChangeResult, cva: ChangeResult, forest:
     summary = consensus.consensus_summary(scored)
     table = reporting.summary_table(reporting.compare([bd, ndvi, cva]).unionByName(forest_row(forest, n_classes), allowMissingColumns=True))
     # Fixed value: the consensus's name in the table.
-    agreed = summary.select(F.lit("Consensus (NDVI+RF+CVA+BD)").alias("method"), display.percent(F.col("change_pct_any")).alias("change"), F.format_string("%.0f km²", F.col("change_pct_any") * 4).alias("changed_area"), F.lit("w=" + str({k: round(x, 3) for k, x in weights.shares(forest.mode != "unsupervised").items()})).alias("threshold"))
+    agreed = summary.select(F.lit("Consensus (NDVI+RF+CVA+BD)").alias("method"), display.percent(F.col("change_pct_any")).alias("change"), F.concat(display.fixed(F.col("change_pct_any") * 4, 0), F.lit(" km²")).alias("changed_area"), F.lit("w=" + str({k: round(x, 3) for k, x in weights.shares(forest.mode != "unsupervised").items()})).alias("threshold"))
     return Integrated(scored, summary, consensus.credible_transitions(matrix, F.col("ndvi_pct"), F.col("rf_pct"), totals), consensus.ndvi_severity(pixels.withColumn("valid", F.coalesce("valid", F.lit(False)))), table.unionByName(agreed))
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.functions import change, classes, indices
+from pixelweave.functions import change, classes, display, indices
 from pixelweave.operators import crosstab, focal, grid, sampling, tiling
 from pixelweave.operators.otsu import histogram, otsu
 from pixelweave.plans import consensus, methods, reporting
@@ -231,3 +231,23 @@ def test_utm_round_trip_and_known_places(spark):
     x, y = degrees_to_utm(F.lit(2.294497), F.lit(48.858222), 31)  # a tower in Paris
     r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
     assert abs(r.x - 448_252) < 3 and abs(r.y - 5_411_943) < 12
+
+
+def test_numbers_are_shown_as_printf_shows_them(spark):
+    values = [k / 10000 for k in range(0, 60000, 25)] + [-0.0, -0.001, -0.005, -2.5, 1e15, math.nan, math.inf, -math.inf]
+    df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+    x = F.col("x")
+    rows = df.select("x", display.fixed(x, 0).alias("n"), display.fixed(x, 4).alias("f"), display.percent(x).alias("p"), display.signed(x, 2).alias("s")).collect()
+    for r in rows:
+        assert (r.n, r.f, r.p, r.s) == ((None,) * 4 if r.x is None else ("%.0f" % r.x, "%.4f" % r.x, "%.2f%%" % r.x, "%+.2f" % r.x))
+
+
+def test_summary_table_rounds_as_its_sql(spark):
+    rows = [("Band Differencing", 0.625, 2.125), ("NDVI Differencing", 39.015, 0.10065), ("CVA", 1.125, 583.725), ("Random Forest", 0.015, None)]
+    table = reporting.summary_table(spark.createDataFrame(rows, "method string, change_pct double, threshold double"))
+    assert [tuple(r) for r in table.collect()] == [
+        ("Band Differencing", "0.62%", "2 km²", "2.12"),
+        ("NDVI Differencing", "%.2f%%" % 39.015, "156 km²", "±%.4f" % 0.10065),
+        ("CVA", "1.12%", "4 km²", "%.2f" % 583.725),
+        ("Random Forest", "0.01%", "0 km²", "N/A"),
+    ]
