@@ -67,6 +67,19 @@ def in_footprints(pixels: DataFrame, footprints: DataFrame, side: int = 64) -> D
     return placed.filter(inside).drop("_br", "_bc")
 
 
+def footprint_statistics(pixels: DataFrame, footprints: DataFrame, by: str, value: str, side: int = 64) -> DataFrame:
+    """(by, n, low, high): number of pixels, least and largest value under the rectangles (r0, c0, height, width) of each key.
+
+    As in_footprints, grouped by the key; but rectangles that are the same are looked
+    up once, and their figures are joined to all that have them. So pairs of pixel and
+    rectangle grow with the different rectangles, not with the footprints.
+    """
+    border = ["r0", "c0", "height", "width"]
+    found = in_footprints(pixels.select("r", "c", F.col(value).alias("_x")), footprints.select(*border).distinct(), side)
+    figures = found.groupBy(*border).agg(F.count("*").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    return footprints.select(by, *border).join(figures, border).groupBy(by).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def tile_statistics(pixels: DataFrame, changed: str, valid: str | None = None) -> DataFrame:
     """Counts, share and area of change for each tile (tile_id, tile_row, tile_col)."""
     ok = F.col(valid) if valid else F.lit(True)

@@ -70,6 +70,24 @@ def test_rectangles_of_any_size(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_equal_rectangles_are_looked_up_once(spark, monkeypatch):
+    rng = random.Random(5)
+    kinds = [(rng.randrange(-5, 40), rng.randrange(-5, 40), rng.choice([0, 3, 17]), rng.choice([1, 2, 30])) for _ in range(12)] + [(None, 1, 2, 2)]
+    shapes = [(rng.randrange(150), *rng.choice(kinds)) for _ in range(400)]
+    x = {(r, c): None if (r + c) % 11 == 0 else float((r * 37 + c * 13) % 101) for r in range(30) for c in range(30) if (r, c) != (4, 4)}
+    pixels = spark.createDataFrame([(*at, v) for at, v in x.items()], "r int, c int, v double")
+    rects = spark.createDataFrame(shapes, "k int, r0 int, c0 int, height int, width int")
+    want = {}
+    for k, r0, c0, h, w in shapes:
+        if r0 is not None:
+            want.setdefault(k, []).extend(v for (r, c), v in x.items() if r0 <= r < r0 + h and c0 <= c < c0 + w)
+    want = {k: (len(vs), min((v for v in vs if v is not None), default=None), max((v for v in vs if v is not None), default=None)) for k, vs in want.items() if vs}
+    looked_up, plain = [], tiling.in_footprints
+    monkeypatch.setattr(tiling, "in_footprints", lambda p, f, side: looked_up.append(f.count()) or plain(p, f, side))
+    got = {r.k: (r.n, r.low, r.high) for r in tiling.footprint_statistics(pixels, rects, "k", "v", 7).collect()}
+    assert got == want and looked_up[0] <= len(kinds)
+
+
 def test_dates_that_arrive_apart(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
     begin = datetime(2024, 1, 1)
