@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PIECE_CHARS, pieces
@@ -97,6 +97,7 @@ class Tokens:
     def __init__(self, a: ByteLevel, b: Pieces):
         self._sides = (a, b)
         self._lengths = [np.array([len(x) for x in side.bytes], dtype=np.int64) for side in self._sides]
+        self.sizes = tuple(map(len, self._lengths))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, ...]:
         """Empty where the text has no tokens."""
@@ -132,73 +133,90 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, list]]:
         yield first, texts
 
 
-_NAMES, _KINDS = [f"{side}_{x}" for side in "ab" for x in ("ids", "ends", "places")], [np.int32, np.int32, np.int64] * 2
+def common_places(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (from 1) among a's and b's tokens of the ends that both have; ends go up."""
+    at = np.searchsorted(a_ends, b_ends)
+    same = a_ends[np.minimum(at, len(a_ends) - 1)] == b_ends if len(a_ends) else np.zeros(len(b_ends), dtype=bool)
+    return at[same] + 1, np.flatnonzero(same) + 1
 
 
-def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
+class Written:
+    """Groups as text "a1,a2|b1;a3|b2,b3": each id's digits with the mark that follows it are made once."""
+
+    def __init__(self, a_size: int, b_size: int):
+        made = [b"%d%c" % (i, mark) for size, marks in ((a_size, b",|"), (b_size, b",;")) for mark in marks for i in range(size)]
+        self._sizes, self._digits = (a_size, b_size), np.array(made, dtype=object)
+
+    def __call__(self, a_ids: np.ndarray, b_ids: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> bytes:
+        """Of all tokens, if both sides' last ones end together; else of those up to the last common end."""
+        if not len(a_at):
+            return b""
+        tokens = np.empty(a_at[-1] + b_at[-1], dtype=np.int64)
+        # a group's A tokens come after the B tokens of the groups before, its B tokens after its A tokens
+        own, other = (np.diff(at, prepend=0) for at in (a_at, b_at))
+        of_a = np.arange(a_at[-1]) + np.repeat(b_at - other, own)
+        of_b = np.arange(b_at[-1]) + np.repeat(a_at, other)
+        first = 0
+        for ids, places, at, size in zip((a_ids, b_ids), (of_a, of_b), (a_at, b_at), self._sizes):
+            marked = ids[: at[-1]] + np.int64(first)
+            marked[at - 1] += size
+            tokens[places] = marked
+            first += 2 * size
+        return b"".join(self._digits[tokens].tolist())[:-1]
+
+
+_WRITTEN: dict = {}
+
+
+def _written(a_size: int, b_size: int) -> Written:
+    """Kept for the life of the worker."""
+    if (a_size, b_size) not in _WRITTEN:
+        _WRITTEN[a_size, b_size] = Written(a_size, b_size)
+    return _WRITTEN[a_size, b_size]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(kind, copy=False)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int64, copy=False)))
 
 
 def tokenised(docs: DataFrame, key: str, text: str, a_file: str, b_file: str) -> DataFrame:
-    """key, then of both sides ids, ends and places: tokens, the byte offsets where they end, on space + text, and end * 2**32 + number (from 1)."""
+    """key, n_a, n_b, written (the groups as one text) and links (b * 2**32 + a of the tokens that end together)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(a_file, b_file)
+        write = _written(*tokens.sizes)
         for batch in batches:
             for first, texts in _slices(batch.column(1)):
-                columns = [_lists(list(x), kind) for x, kind in zip(zip(*map(tokens, texts)), _KINDS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *columns], names=["key", *_NAMES])
+                rows = []
+                for one in texts:
+                    a_ids, a_ends, _, b_ids, b_ends, _ = tokens(one)
+                    a_at, b_at = common_places(a_ends, b_ends)
+                    links = (b_ids[b_at - 1].astype(np.int64) << 32) + a_ids[a_at - 1]
+                    rows.append((len(a_ids), len(b_ids), write(a_ids, b_ids, a_at, b_at), links))
+                n_a, n_b, written, links = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(written, pa.binary()).cast(pa.string()), _lists(links)], names=["key", "n_a", "n_b", "written", "links"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{name} array<{'long' if kind is np.int64 else 'int'}>" for name, kind in zip(_NAMES, _KINDS)))
-
-
-def _marked(side: str) -> Column:
-    """A side's ends with their places, and before each that is common a mark of place 0, in order.
-
-    Two sorted runs, so that sorting is one merge.
-    """
-    return F.sort_array(F.concat(f"{side}_places", F.transform("common", lambda e: F.shiftleft(e.cast("long"), 32))))
-
-
-def _places(marked: str) -> Column:
-    """Places (from 1) of the common ends among a side's tokens.
-
-    From a mark to its token the numbers go up by the place; from a token to what is
-    next the end goes up too, by 2**32 at least less the place before.
-    """
-    steps = F.zip_with(marked, F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1))), lambda x, y: y - x)
-    return F.filter(steps, lambda d: d < (1 << 31)).cast("array<int>")
-
-
-def _parts(ids: str, at: str) -> Column:
-    """The ids of each group on one side, joined by commas; most groups have one."""
-    many = lambda x, y: F.array_join(F.slice(ids, x + 1, y - x).cast("array<string>"), ",")
-    before = F.concat(F.array(F.lit(0)), at)
-    return F.zip_with(F.slice(before, 1, F.size(at)), at, lambda x, y: F.when(y == x + 1, F.col(ids)[x].cast("string")).otherwise(many(x, y)))
+    return rows.mapInArrow(run, f"key {kind}, n_a long, n_b long, written string, links array<long>")
 
 
 def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file: str | None = None, b_file: str | None = None) -> DataFrame:
-    """key, n_a, n_b, n_groups, groups and links of each text.
+    """key, n_a, n_b, n_groups, written, groups and links of each text.
 
     groups are strings "a1,a2|b1": the ids of either side between two offsets where
-    tokens of both end. links holds for each such offset the ids of the two tokens
-    that end there, as b * 2**32 + a. One row for each row, in its task: after
-    tokenising, array_intersect finds the common ends, a merge with the places of all
-    ends finds theirs on each side, and what is between them are the groups. Work and
-    memory go with the tokens of a text.
+    tokens of both end; written is all of them, joined by semicolons. links holds for
+    each such offset the ids of the two tokens that end there, as b * 2**32 + a. One
+    row for each row, in its task: after tokenising, a search of one side's ends among
+    the other's finds the common ones, and what is between them are the groups. Work
+    and memory go with the tokens of a text.
     """
     a, b = default_files()
     found = tokenised(docs, key, text, a_file or a, b_file or b)
-    found = found.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    found = found.select("key", "a_ids", "b_ids", *(_marked(side).alias(f"{side}_marked") for side in "ab"))
-    found = found.select("key", *(F.size(f"{side}_ids").cast("long").alias(f"n_{side}") for side in "ab"), "a_ids", "b_ids", *(_places(f"{side}_marked").alias(f"{side}_at") for side in "ab"))
-    groups = F.zip_with(_parts("a_ids", "a_at"), _parts("b_ids", "b_at"), lambda x, y: F.concat(x, F.lit("|"), y))
-    links = F.zip_with("a_at", "b_at", lambda x, y: F.shiftleft(F.col("b_ids")[y - 1].cast("long"), 32) + F.col("a_ids")[x - 1])
-    return found.select("key", "n_a", "n_b", F.size("a_at").cast("long").alias("n_groups"), groups.alias("groups"), links.alias("links"))
+    groups = F.when(F.col("written") == "", F.array().cast("array<string>")).otherwise(F.split("written", ";"))
+    return found.select("key", "n_a", "n_b", F.size("links").cast("long").alias("n_groups"), "written", groups.alias("groups"), "links")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -225,7 +243,7 @@ def alignment(docs: DataFrame, key: str = "doc_id", text: str = "text", a_file:
     broadcast; the others, of which none is frequent, are joined by a shuffle.
     """
     rows = aligned(docs, key, text, a_file, b_file)
-    digest = F.when(F.col("n_groups") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("written", 256)).otherwise("")
     rows = stored(rows.select(F.monotonically_increasing_id().alias("rid"), "key", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "links"))
     counts = stored(pair_counts(rows))
     total = counts.agg(F.sum("n")).first()[0] or 0

@@ -128,3 +128,17 @@ def test_rare_pairs_are_counted_like_frequent_ones(spark, sf, monkeypatch):
     want = got(alignment.alignment(docs))
     monkeypatch.setattr(alignment, "HOT", 64)
     assert got(alignment.alignment(docs)) == want
+
+
+def test_groups_are_written_in_the_tokenising_task(spark):
+    rows = [(k, t) for k, t in enumerate([None, "", *ODD])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df = alignment.aligned(docs)
+    plain = Plain()
+    for r in df.collect():
+        a, b = map(ends, plain.tokens(rows[r.key][1]))
+        assert (r.n_a, r.n_b, r.n_groups) == (len(a), len(b), len({e for e, _ in a} & {e for e, _ in b})) == (len(a), len(b), len(r.groups))
+        assert r.written == ";".join(r.groups) and len(r.links) == r.n_groups
+        assert [int(i) for g in r.groups for i in g.split("|")[0].split(",")] == [i for _, i in a]
+        assert [int(i) for g in r.groups for i in g.split("|")[1].split(",")] == [i for _, i in b]
+    assert "array_intersect" not in df._jdf.queryExecution().executedPlan().toString()
